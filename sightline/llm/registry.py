@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("warc",)
+_MODULES = ("warc", "licenses")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
