@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("warc", "licenses")
+_MODULES = ("warc", "licenses", "urls")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
