@@ -51,3 +51,20 @@ def sheltered(schema_names: list[str], *used: str) -> None:
     missing = [c for c in used if c not in schema_names]
     if missing:
         raise ValueError(f"missing columns {missing}; the table has {schema_names}")
+
+
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+    """Left join of rows to a table with one row per key, without gathering the rows of heavy keys.
+
+    heavy: the column `key`, fewer than HEAVY_SHARE rows. Their entries are broadcast; all other rows meet theirs in a
+    join on the key, where rows of heavy keys carry a key of their own each. Null keys find nothing.
+    """
+    values = [c for c in table.columns if c != key]
+    few = table.join(F.broadcast(heavy.select(key)), key, "left_semi")
+    few = few.select(F.col(key).alias("_heavy"), *(F.col(c).alias(f"_heavy_{c}") for c in values))
+    marked = rows.join(F.broadcast(few), F.col(key) == F.col("_heavy"), "left")
+    lonely = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
+    spread = marked.withColumn("_on", F.when(F.col("_heavy").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(lonely))
+    light = table.select(F.concat(F.lit("k"), F.col(key).cast("string")).alias("_light"), *(F.col(c).alias(f"_light_{c}") for c in values))
+    joined = spread.join(light, F.col("_on") == F.col("_light"), "left")
+    return joined.select(*rows.columns, *(F.coalesce(f"_heavy_{c}", f"_light_{c}").alias(c) for c in values))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("warc", "licenses", "urls", "tokens", "packing")
+_MODULES = ("warc", "licenses", "urls", "tokens", "packing", "quality")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
