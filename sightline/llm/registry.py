@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("warc", "licenses", "urls", "tokens", "packing", "quality")
+_MODULES = ("warc", "licenses", "urls", "tokens", "packing", "quality", "neighbours")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
