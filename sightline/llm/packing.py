@@ -14,6 +14,7 @@ extra columns of the input are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import array
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,38 +27,45 @@ from pyspark.sql import functions as F
 
 from .common import sheltered, written
 
-#: Texts of these characters are split into pre-tokens here; others go to the tokenizer whole.
+#: Texts with a character outside this set go to the tokenizer itself.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ſ–-…€]")
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, others in order from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes, remembered per pre-token in a bounded memory."""
+    """Ids of a tokenizer file as little-endian unsigned 32-bit bytes.
+
+    Where the file's merges are in the order of their ids, plain texts take a faster path over the same vocabulary as
+    ranks, which gives the same ids; all other texts go to the tokenizer itself.
+    """
 
-    def __init__(self, path: str, remembered: int = 400_000) -> None:
-        import regex
+    def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(PRETOKEN).findall
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {}
-        self.remembered = remembered
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [(t.isascii() and t.isprintable()) or not (PLAIN.search(t) or any(s in t for s in self.special)) for t in texts]
-        plain = [ok and not any(s in t for s in self.special) for ok, t in zip(plain, texts, strict=True)]
-        splits = [self.split(t) if ok else () for ok, t in zip(plain, texts, strict=True)]
-        new = list(set().union(*splits).difference(self.known))
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
-            new = list(set().union(*splits))
-        self.known.update(zip(new, self._direct(new), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) if ok else self._direct([t])[0] for ok, s, t in zip(plain, splits, texts, strict=True)]
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary = {k: v for k, v in model["vocab"].items() if k not in self.special}
+        merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        self.fast = None
+        if merged == sorted(merged) and len(merged) + 256 == len(vocabulary):
+            byte_of = _byte_of()
+            ranks = {bytes(byte_of[c] for c in k): v for k, v in vocabulary.items()}
+            self.fast = tiktoken.Encoding("ranks", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(self, text: str) -> bytes:
+        if self.fast and not PLAIN.search(text) and not any(s in text for s in self.special):
+            return array.array("I", self.fast(text)).tobytes()
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -72,7 +80,7 @@ def encoder(path: str) -> Encoder:
 PIECES = "key string, start long, length long, ids_crc32 long, doc_tokens long, block long, local_rank long"
 
 
-def pieces(documents: DataFrame, tokenizer: str, key: str, text: str, window: int, end_id: int, slice_chars: int = 1 << 20) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str, key: str, text: str, window: int, end_id: int) -> DataFrame:
     """A written table of pieces: each with the number of its task and its rank there among pieces of its length."""
     named = documents.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     end = array.array("I", [end_id]).tobytes()
@@ -83,23 +91,16 @@ def pieces(documents: DataFrame, tokenizer: str, key: str, text: str, window: in
         encode = encoder(tokenizer).encode
         seen: dict[int, int] = {}
         for batch in batches:
-            keys, texts = batch["key"].tolist(), batch["text"].tolist()
-            out, at = [], 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size < slice_chars):
-                    size += len(texts[stop])
-                    stop += 1
-                for k, ids in zip(keys[at:stop], encode(texts[at:stop]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for i in range(0, len(ids), step):
-                        part = ids[i : i + step]
-                        length = len(part) // 4
-                        rank = seen.get(length, 0)
-                        seen[length] = rank + 1
-                        out.append((k, i // 4, length, zlib.crc32(part), n, block, rank))
-                at = stop
+            out = []
+            for k, text in zip(batch["key"], batch["text"], strict=True):
+                ids = encode(text) + end
+                n = len(ids) // 4
+                for i in range(0, len(ids), step):
+                    part = ids[i : i + step]
+                    length = len(part) // 4
+                    rank = seen.get(length, 0)
+                    seen[length] = rank + 1
+                    out.append((k, i // 4, length, zlib.crc32(part), n, block, rank))
             yield pd.DataFrame(out, columns=["key", "start", "length", "ids_crc32", "doc_tokens", "block", "local_rank"])
 
     return written(named.mapInPandas(cut, PIECES), "pieces")

@@ -55,3 +55,10 @@ def test_plan_uses_up_any_histogram(counts):
         for n, k in pattern.items():
             used[n] += k * times
     assert (used[1:] == h).all()
+
+
+def test_fast_path_gives_the_tokenizers_ids(spark):
+    own = packing.encoder(packing.tokenizer_path())
+    assert own.fast
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        assert own.encode(r.text) == np.array(own.tokenizer.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()
