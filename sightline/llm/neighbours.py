@@ -132,7 +132,7 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def search(
     vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, sample: int = 20_000, list_size: int = 128, most_lists: int = 4096,
-    replicas: int = 4, slack: float = 0.1, ratio: float = 0.3, probes: int = 64, least_candidates: int = 4000, part: int = 512,
+    replicas: int = 4, slack: float = 0.1, ratio: float = 0.3, probes: int = 64, least_candidates: int = 4000, part: int = 1024,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that the condition `queries` (on the column id) selects, its k nearest."""
     sheltered(vectors.columns, key, vector)
