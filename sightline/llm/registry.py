@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("warc", "licenses", "urls", "tokens", "packing", "quality", "neighbours", "jaccard", "decontaminate")
+_MODULES = ("warc", "licenses", "urls", "tokens", "packing", "quality", "neighbours", "jaccard", "decontaminate", "suffixes")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
