@@ -18,6 +18,7 @@ rows are one node. Rows without an id are left out. Extra columns of the input a
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sheltered, written
+from .common import heavy_keys, lookup_join, sheltered, written
 from .graph import components
 
 _U = np.uint64
@@ -218,37 +219,48 @@ def enough(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 9 * overlap >= 4 * (a + b)
 
 
-def open_groups(blk: Block, limit: int, same: bool, block: int = 32) -> list[tuple[int, int, int, bool]]:
-    """Pairs (node, node, bound, more) that the bounds leave: of different components, at most `limit` per node and component.
+def _missing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row of a and of b, how many bits of a's row are not in b's; in slices of bounded memory."""
+    out = np.empty((len(a), len(b)), dtype=np.int64)
+    step = max(1, (1 << 21) // max(1, b.size))
+    for i in range(0, len(a), step):
+        out[i : i + step] = np.bitwise_count(a[i : i + step, None, :] & ~b[None, :, :]).sum(2, dtype=np.int64)
+    return out
+
+
+def open_groups(blk: Block, limit: int, same: bool, block: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (position, earlier position, bound, more) that the bounds leave: of different components, at most `limit` per node and component.
 
     same: pairs within components count too, and each node keeps the best `limit` among the nodes before it.
     """
     m = len(blk.node)
-    start = np.arange(0, m, block) if same else np.unique(np.concatenate([np.flatnonzero(np.diff(blk.comp, prepend=blk.comp[0] - 1)), *(np.arange(s, e, block) for s, e in _runs(blk.comp))]))
+    start = np.arange(0, m, block) if same else np.concatenate([np.arange(s, e, block) for s, e in _runs(blk.comp)])
     stop = np.append(start[1:], m)
     union = np.bitwise_or.reduceat(blk.bits, start, axis=0)
     smallest, largest = np.minimum.reduceat(blk.n, start), np.maximum.reduceat(blk.n, start)
-    own = blk.comp[start]
-    out = []
-    for i in range(m):
-        bits, n = blk.bits[i], blk.n[i]
-        missing = np.bitwise_count(bits & ~union).sum(1, dtype=np.int64)
-        may = (5 * (n - missing) >= 4 * n) & (5 * largest >= 4 * n) & (4 * smallest <= 5 * n) & (start < i)
-        if not same:
-            may &= own != blk.comp[i]
-        found = []
-        for g in np.flatnonzero(may):
-            s, e = start[g], min(stop[g], i)
-            theirs = blk.bits[s:e]
-            bound = np.minimum(n - np.bitwise_count(bits & ~theirs).sum(1, dtype=np.int64), blk.n[s:e] - np.bitwise_count(theirs & ~bits).sum(1, dtype=np.int64))
-            ok = np.flatnonzero(enough(bound, n, blk.n[s:e]))
-            found += [(bound[j] / (n + blk.n[s + j] - bound[j]), s + j, bound[j]) for j in ok]
-        by: dict[int, list] = {}
-        for f in sorted(found, key=lambda f: (-f[0], f[1])):
-            by.setdefault(0 if same else int(blk.comp[f[1]]), []).append(f)
-        for some in by.values():
-            out += [(int(blk.node[i]), int(blk.node[j]), int(bound), len(some) > limit) for _, j, bound in some[:limit]]
-    return out
+    n = blk.n[:, None]
+    may = (5 * (n - _missing(blk.bits, union)) >= 4 * n) & (5 * largest >= 4 * n) & (4 * smallest <= 5 * n) & (start < np.arange(m)[:, None])
+    if not same:
+        may &= blk.comp[start] != blk.comp[:, None]
+    first, second, bounds = [], [], []
+    for g in np.flatnonzero(may.any(0)):
+        rows, theirs = np.flatnonzero(may[:, g]), slice(start[g], stop[g])
+        bound = np.minimum(blk.n[rows, None] - _missing(blk.bits[rows], blk.bits[theirs]), blk.n[theirs] - _missing(blk.bits[theirs], blk.bits[rows]).T)
+        i, j = np.nonzero(enough(bound, blk.n[rows, None], blk.n[theirs]) & (np.arange(start[g], stop[g]) < rows[:, None]))
+        first.append(rows[i])
+        second.append(j + start[g])
+        bounds.append(bound[i, j])
+    if not first:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none.astype(bool)
+    i, j, bound = (np.concatenate(x) for x in (first, second, bounds))
+    comp = np.zeros(len(j), dtype=np.int64) if same else blk.comp[j]
+    order = np.lexsort((j, -bound / (blk.n[i] + blk.n[j] - bound), comp, i))
+    i, j, bound, comp = i[order], j[order], bound[order], comp[order]
+    new = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (comp[1:] != comp[:-1])))
+    size = np.diff(np.append(new, len(i)))
+    keep = np.arange(len(i)) - np.repeat(new, size) < limit
+    return i[keep], j[keep], bound[keep], np.repeat(size > limit, size)[keep]
 
 
 def _runs(comp: np.ndarray) -> list[tuple[int, int]]:
@@ -256,6 +268,19 @@ def _runs(comp: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start.tolist(), np.append(start[1:], len(comp)).tolist(), strict=True))
 
 
+def banded(members: DataFrame) -> DataFrame:
+    """(group, node, comp) of members (group, node, comp, n) whose sizes can link, without groups of one component.
+
+    Sizes within 5/4 of each other fall in one band or in neighbouring ones; a node stands in its own band and the next,
+    so that any two such nodes meet. Equal groups that this leaves are one.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("long")
+    rows = members.withColumn("band", F.explode(F.array(band, band + 1)))
+    kept = rows.groupBy("group", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("sign"), F.count("*").alias("m")).where("lo < hi")
+    named = kept.select("group", "band", F.xxhash64("sign", "m").alias("name"))
+    return rows.join(named, ["group", "band"]).select(F.col("name").alias("group"), "node", "comp").distinct()
+
+
 def bounded_pairs(members: DataFrame, nodes: DataFrame, limit: int, same: bool, part: int) -> DataFrame:
     """members (group, node, comp), nodes (node, n, bits): pairs (a, b, more) left by the bounds in each group.
 
@@ -270,26 +295,47 @@ def bounded_pairs(members: DataFrame, nodes: DataFrame, limit: int, same: bool,
     else:
         others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("p", o).alias("p"), F.greatest("p", o).alias("q")))
         split = split.withColumn("pq", F.explode(others)).withColumns({"p": F.col("pq.p"), "q": F.col("pq.q")}).drop("pq")
-    full = split.select("group", "p", "q", "node", "comp").join(nodes.select("node", "n", "bits"), "node")
-
-    def bound(b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(b) > 1:
-            n = b["n"].to_numpy()
-            order = np.argsort(n, kind="stable")
-            # nodes of like size together: bitmaps fold to the narrowest of a run, and sizes beyond 5/4 cannot link
-            lo = 0
-            for hi in range(1, len(order) + 1):
-                if hi == len(order) or 4 * n[order[hi]] > 5 * n[order[hi - 1]]:
-                    at = order[lo:hi]
-                    lo = hi
-                    if len(at) > 1:
-                        sub = b.iloc[at]
-                        out += open_groups(Block(sub["node"].to_numpy(), sub["comp"].to_numpy(), sub["n"].to_numpy(), sub["bits"].tolist()), limit, same)
-        return pd.DataFrame([(max(x, y), min(x, y), more) for x, y, _, more in out], columns=["a", "b", "more"])
-
-    pairs = full.groupBy("group", "p", "q").applyInPandas(bound, "a long, b long, more boolean")
-    return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
+    full = split.select(F.xxhash64("group", "p", "q").alias("key"), "node", "comp").join(nodes.select("node", "n", "bits"), "node")
+
+    def group(key_rows: list[np.ndarray]) -> list[tuple]:
+        node, comp, n, bits = key_rows
+        order = np.argsort(n, kind="stable")
+        out, lo = [], 0
+        # nodes of like size together: bitmaps fold to the narrowest of a run, and sizes beyond 5/4 cannot link
+        for hi in np.append(np.flatnonzero(4 * n[order[1:]] > 5 * n[order[:-1]]) + 1, len(order)).tolist():
+            at, lo = order[lo:hi], hi
+            if len(at) > 1:
+                blk = Block(node[at], comp[at], n[at], [bits[i] for i in at])
+                i, j, _, more = open_groups(blk, limit, same)
+                out.append((np.maximum(blk.node[i], blk.node[j]), np.minimum(blk.node[i], blk.node[j]), more))
+        return out
+
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by key; a group that goes on in the next batch waits for it."""
+        held = None
+        for b in itertools.chain(batches, [None]):
+            found: list[tuple] = []
+            if b is not None:
+                now = [b[c].to_numpy() for c in ("key", "node", "comp", "n", "bits")]
+                held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if held is None:
+                continue
+            key = held[0]
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            stop = np.append(start[1:], len(key))
+            if b is not None:
+                rest, start, stop = start[-1], start[:-1], stop[:-1]
+            for s, e in zip(start.tolist(), stop.tolist(), strict=True):
+                if e - s > 1:
+                    found += group([x[s:e] for x in held[1:]])
+            held = [x[rest:] for x in held] if b is not None else None
+            if found:
+                a, c, more = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pd.DataFrame({"a": a, "b": c, "more": more})
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = full.repartition(parts, "key").sortWithinPartitions("key")
+    return sorted_rows.mapInPandas(bound, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -320,7 +366,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
 
 
-def join(documents: DataFrame, key: str = "doc_id", text: str = "text", order_sample: int = 20_000, part: int = 512, first: int = 4) -> DataFrame:
+def join(documents: DataFrame, key: str = "doc_id", text: str = "text", order_sample: int = 20_000, part: int = 512, first: int = 256) -> DataFrame:
     """Per id: n_shingles, component_id (the smallest id reachable by links) and links (ids of the component besides itself)."""
     sheltered(documents.columns, key, text)
     spark = documents.sparkSession
@@ -347,7 +393,7 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text", order_sa
         comps = written(components(links), "components")
         placed = groups.join(comps, "node", "left").select("group", "node", F.coalesce("component", "node").alias("comp"))
         open_ = placed.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("group")
-        members = written(placed.join(open_, "group"), "members")
+        members = written(banded(placed.join(open_, "group").join(nodes.select("node", "n"), "node")), "members")
         pairs = written(bounded_pairs(members, nodes, limit, False, part).join(links, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
@@ -361,8 +407,6 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text", order_sa
     least = rep.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = rep.join(least, "component").select("node", "component_id")
     # a node that many documents share must not gather them: its documents meet it by broadcast
-    from .common import heavy_keys, lookup_join
-
     ids = signed.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
     out = lookup_join(ids, named, "node", heavy_keys(sets.select("node"), "node"))
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
