@@ -1,10 +1,12 @@
-"""The queries of this subpackage and their SQL."""
+"""The queries of this subpackage, of the corpus pipeline, and their SQL."""
 
 from __future__ import annotations
 
 import importlib
 
-_MODULES = ("warc", "licenses", "urls", "tokens", "packing", "quality", "neighbours", "jaccard", "decontaminate", "suffixes")
+import corpus_pipeline
+
+_MODULES = ("warc", "suffixes", "quality", "packing", "urls", "neighbours", "decontaminate", "jaccard", "licenses", "tokens")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -12,3 +14,7 @@ for _name in _MODULES:
     _module = importlib.import_module(f"{__package__}.{_name}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
