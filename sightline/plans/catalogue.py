@@ -1,4 +1,398 @@
-"""Registered queries."""
+"""The registered queries: each operator over the whole derived scene."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry
+from ..operators import config as c
+from ..operators import conflicts, egos, frames, observe, proximity, summary, trajectory, whatif
+from ..operators import visibility as vis
+from . import fixture
+from .oracles import ORACLES  # noqa: F401
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+#: Objects of a frame and an ego are grouped where the frame's tracks already are.
+_SETTINGS = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
+def query(f: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for k, v in _SETTINGS.items():
+            spark.conf.set(k, v)
+        return fixture.rounded(f(spark, sf_dir))
+
+    QUERIES[f.__name__] = run
+    return f
+
+
+def seen(spark: SparkSession, sf_dir: str, fovs: Sequence[float] = (120.0,), sample: int = 0) -> DataFrame:
+    """Classified objects from the grid of egos, of all frames or of an even sample."""
+    tracks = fixture.tracks(spark, sf_dir)
+    if sample:
+        tracks = frames.of_frames(tracks, frames.evenly(tracks, sample))
+    return vis.classified(vis.visibility(tracks, egos.grid(spark), fovs))
+
+
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observe.ratios(observe.counts(seen(spark, sf_dir)))
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with the poses of their egos."""
+    poses = egos.grid(spark).withColumn("ego_heading_deg", F.degrees("ego_h")).drop("ego_h")
+    return observed(spark, sf_dir).join(F.broadcast(poses), "ego_id")
+
+
+def swept(spark: SparkSession, sf_dir: str, preset: str, fovs: Sequence[float], ranges: Sequence[float], positions: int | None = None) -> DataFrame:
+    """A preset's sweep over its configurations: geometry once, blockers once per field of view."""
+    tracks = fixture.tracks(spark, sf_dir)
+    near = fixture.near_misses(spark, tracks)
+    return observe.sweep(frames.of_frames(tracks, frames.strided(tracks, c.FRAME_STEP[preset])), near, egos.grid(spark, positions=positions), fovs, ranges)
+
+
+@query
+def ego_grid(spark, sf_dir):
+    return egos.grid(spark)
+
+
+@query
+def frame_stride(spark, sf_dir):
+    return frames.strided(fixture.tracks(spark, sf_dir), 10)
+
+
+@query
+def frame_window(spark, sf_dir):
+    return frames.in_window(fixture.tracks(spark, sf_dir), 20, 60).groupBy("frame_idx").agg(F.count("*").alias("n"))
+
+
+@query
+def frame_linspace_sample(spark, sf_dir):
+    return frames.evenly(fixture.tracks(spark, sf_dir), 50)
+
+
+@query
+def range_bearing(spark, sf_dir):
+    return vis.with_egos(vis.prepared(fixture.tracks(spark, sf_dir)), egos.grid(spark), c.Sensor(), False).select("frame_idx", "ego_id", "track_id", "rng", "rel", "near")
+
+
+@query
+def box_corners(spark, sf_dir):
+    corners = geometry.box_corners(*(F.col(x) for x in ("bbox_center_x", "bbox_center_y", "bbox_dx", "bbox_dy", "bbox_yaw")))
+    return fixture.tracks(spark, sf_dir).select("frame_idx", "track_id", *(p[k].alias(f"{'xy'[k]}{i}") for i, p in enumerate(corners) for k in (0, 1)))
+
+
+@query
+def corner_bins(spark, sf_dir):
+    rows = vis.with_egos(vis.prepared(fixture.tracks(spark, sf_dir)), egos.grid(spark), c.Sensor(), False)
+    return vis.with_bins(rows, (120.0,), 360).select("frame_idx", "ego_id", "track_id", "cbin", "k0", "k1", "k2", "k3", "lo", "hi")
+
+
+def _row_level(fov: float) -> Query:
+    return lambda spark, sf_dir: seen(spark, sf_dir, (fov,)).select("frame_idx", "ego_id", "track_id", "reason", "occluded_by")
+
+
+for _fov in (60, 120, 180, 360):
+    _f = _row_level(float(_fov))
+    _f.__name__ = f"visibility_{_fov}"
+    query(_f)
+
+
+@query
+def observation_counts(spark, sf_dir):
+    return observed(spark, sf_dir).select("frame_idx", "ego_id", *observe.COUNTS[:5], "visibility_ratio_onboard")
+
+
+@query
+def nearby_visibility(spark, sf_dir):
+    return observed(spark, sf_dir).select("frame_idx", "ego_id", "n_nearby_total", "n_nearby_visible", "nearby_visibility_ratio")
+
+
+@query
+def conflict_zone_visibility(spark, sf_dir):
+    return observed(spark, sf_dir).select("frame_idx", "ego_id", "n_conflict_zone_total", "n_conflict_zone_visible", "conflict_zone_visibility_ratio")
+
+
+@query
+def class_visibility(spark, sf_dir):
+    return observe.by_class(seen(spark, sf_dir)).drop("fov_deg")
+
+
+def _near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observe.near_miss_counts(seen(spark, sf_dir), fixture.near_misses(spark, fixture.tracks(spark, sf_dir)))
+
+
+@query
+def near_miss_observations(spark, sf_dir):
+    return _near_miss(spark, sf_dir).drop("fov_deg")
+
+
+@query
+def near_miss_detectability(spark, sf_dir):
+    return summary.detectability(_near_miss(spark, sf_dir))
+
+
+@query
+def sweep_summary(spark, sf_dir):
+    return summary.sweep_summary(observed(spark, sf_dir))
+
+
+@query
+def sweep_by_approach(spark, sf_dir):
+    return summary.by_approach(placed(spark, sf_dir))
+
+
+def _sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.sensitivity(swept(spark, sf_dir, "sensitivity", c.SENSITIVITY_FOVS, c.SENSITIVITY_RANGES, c.SENSITIVITY_POSITIONS))
+
+
+def _ranges(spark: SparkSession, sf_dir: str, fovs: Sequence[float] = c.RANGE_FOVS) -> DataFrame:
+    return summary.range_sensitivity(swept(spark, sf_dir, "range", fovs, c.RANGES))
+
+
+@query
+def fov_range_sensitivity(spark, sf_dir):
+    return _sensitivity(spark, sf_dir)
+
+
+@query
+def fov_range_pivot(spark, sf_dir):
+    return summary.matrix(_sensitivity(spark, sf_dir), c.SENSITIVITY_RANGES)
+
+
+@query
+def range_sensitivity(spark, sf_dir):
+    return _ranges(spark, sf_dir)
+
+
+@query
+def range_series(spark, sf_dir):
+    return summary.range_series(_ranges(spark, sf_dir), 360.0, "int_wide")
+
+
+@query
+def fov_slice(spark, sf_dir):
+    return summary.fov_slice(_sensitivity(spark, sf_dir), _ranges(spark, sf_dir, (360.0,)))
+
+
+_VEHICLE = ("frame_idx", "ego_track_id", "ego_x", "ego_y", "ego_heading_deg", "ego_dist_to_center", "ego_inbound", *observe.COUNTS, "visibility_ratio_onboard", "nearby_visibility_ratio", "conflict_zone_visibility_ratio")
+
+
+@query
+def vehicle_ego_yaw(spark, sf_dir):
+    return observe.vehicle_sweep(fixture.tracks(spark, sf_dir)).select(*_VEHICLE)
+
+
+@query
+def vehicle_ego_inward(spark, sf_dir):
+    return observe.vehicle_sweep(fixture.tracks(spark, sf_dir), "inward").select(*_VEHICLE)
+
+
+@query
+def vehicle_ego_region_summary(spark, sf_dir):
+    return summary.vehicle_summary(observe.vehicle_sweep(fixture.tracks(spark, sf_dir)))
+
+
+@query
+def inbound_share(spark, sf_dir):
+    return summary.inbound_share(egos.vehicles(fixture.tracks(spark, sf_dir)))
+
+
+@query
+def design_comparison(spark, sf_dir):
+    return summary.design_comparison(summary.sweep_summary(observed(spark, sf_dir)), summary.vehicle_summary(observe.vehicle_sweep(fixture.tracks(spark, sf_dir))))
+
+
+def _ttc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracks = fixture.tracks(spark, sf_dir)
+    return conflicts.ttc_rows(tracks, fixture.near_misses(spark, tracks), (120.0, 360.0))
+
+
+@query
+def partner_perspectives(spark, sf_dir):
+    return conflicts.perspectives(fixture.near_misses(spark, fixture.tracks(spark, sf_dir)))
+
+
+@query
+def partner_ttc_rows(spark, sf_dir):
+    return _ttc(spark, sf_dir).drop("pair")
+
+
+def _ttc_summary(fov: float) -> Query:
+    return lambda spark, sf_dir: conflicts.ttc_summary(_ttc(spark, sf_dir).where(F.col("fov_deg") == fov)).drop("fov_deg")
+
+
+for _fov in (120, 360):
+    _f = _ttc_summary(float(_fov))
+    _f.__name__ = f"partner_ttc_summary_{_fov}"
+    query(_f)
+
+
+@query
+def partner_closest(spark, sf_dir):
+    return conflicts.per_pair(_ttc(spark, sf_dir)).select("fov_deg", "pair.a", "pair.b", "closest")
+
+
+@query
+def partner_ever_visible(spark, sf_dir):
+    return conflicts.per_pair(_ttc(spark, sf_dir)).select("fov_deg", "pair.a", "pair.b", "ever")
+
+
+@query
+def reason_breakdown(spark, sf_dir):
+    return conflicts.ttc_summary(_ttc(spark, sf_dir)).select("fov_deg", *(f"share_{x}" for x in c.REASONS))
+
+
+@query
+def pet_candidates(spark, sf_dir):
+    return conflicts.pet_candidates(fixture.tracks(spark, sf_dir))
+
+
+@query
+def pet_crossings(spark, sf_dir):
+    tracks = fixture.tracks(spark, sf_dir)
+    return conflicts.pet_crossings(tracks, conflicts.pet_candidates(tracks))
+
+
+@query
+def pet_conflicts(spark, sf_dir):
+    return conflicts.pet_conflicts(fixture.tracks(spark, sf_dir), pet_s=2.0)
+
+
+@query
+def pet_summary(spark, sf_dir):
+    tracks = fixture.tracks(spark, sf_dir)
+    return conflicts.pet_summary(conflicts.pet_rows(tracks, conflicts.pet_conflicts(tracks, pet_s=2.0), (120.0, 360.0)))
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proximity.nearest_vehicle(placed(spark, sf_dir), fixture.tracks(spark, sf_dir))
+
+
+@query
+def nearest_vehicle(spark, sf_dir):
+    return _near(spark, sf_dir).select("frame_idx", "ego_id", "d_sensor", "d_center")
+
+
+@query
+def proximity_bins(spark, sf_dir):
+    return proximity.bins(_near(spark, sf_dir))
+
+
+@query
+def clearance_correction(spark, sf_dir):
+    return proximity.clearance_correction(_near(spark, sf_dir))
+
+
+@query
+def vertical_visibility(spark, sf_dir):
+    return whatif.vertical(seen(spark, sf_dir, sample=c.SAMPLE_FRAMES))
+
+
+@query
+def sensor_height_curve(spark, sf_dir):
+    return whatif.height_curve(seen(spark, sf_dir, sample=c.SAMPLE_FRAMES))
+
+
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whatif.scores_of_views(seen(spark, sf_dir, (120.0, 360.0), c.SAMPLE_FRAMES))
+
+
+@query
+def confidence_ungated(spark, sf_dir):
+    return whatif.ungated(_views(spark, sf_dir))
+
+
+@query
+def confidence_curve(spark, sf_dir):
+    return whatif.confidence_curve(_views(spark, sf_dir))
+
+
+@query
+def confidence_grid(spark, sf_dir):
+    return whatif.confidence_grid(_views(spark, sf_dir))
+
+
+@query
+def occlusion_shadow(spark, sf_dir):
+    return whatif.occlusion_shadow(seen(spark, sf_dir, sample=c.SAMPLE_FRAMES))
+
+
+@query
+def truck_occlusion_share(spark, sf_dir):
+    return whatif.truck_share(seen(spark, sf_dir, sample=c.SAMPLE_FRAMES))
+
+
+@query
+def lead_vehicle_benefit(spark, sf_dir):
+    return whatif.lead_benefit(whatif.lead_vehicles(seen(spark, sf_dir, sample=c.SAMPLE_FRAMES)))
+
+
+@query
+def track_speeds(spark, sf_dir):
+    return trajectory.speeds(fixture.tracks(spark, sf_dir)).select("track_id", "frame_idx", "speed_mps")
+
+
+@query
+def speed_summary(spark, sf_dir):
+    return trajectory.speed_summary(trajectory.speeds(fixture.tracks(spark, sf_dir)))
+
+
+@query
+def dimension_summary(spark, sf_dir):
+    return trajectory.dimension_summary(fixture.tracks(spark, sf_dir))
+
+
+@query
+def class_summary(spark, sf_dir):
+    return trajectory.class_summary(fixture.tracks(spark, sf_dir))
+
+
+@query
+def track_length_stats(spark, sf_dir):
+    return trajectory.track_lengths(fixture.tracks(spark, sf_dir))
+
+
+@query
+def arrival_rates(spark, sf_dir):
+    return trajectory.arrival_rates(fixture.tracks(spark, sf_dir))
+
+
+@query
+def frame_bounds(spark, sf_dir):
+    return trajectory.frame_bounds(fixture.tracks(spark, sf_dir))
+
+
+@query
+def near_miss_pair_types(spark, sf_dir):
+    return trajectory.pair_types(fixture.near_misses(spark, fixture.tracks(spark, sf_dir)))
+
+
+@query
+def ttc_stats(spark, sf_dir):
+    return trajectory.ttc_stats(fixture.near_misses(spark, fixture.tracks(spark, sf_dir)))
+
+
+@query
+def separation_stats(spark, sf_dir):
+    return trajectory.separation_stats(fixture.near_misses(spark, fixture.tracks(spark, sf_dir)))
+
+
+@query
+def following_episodes(spark, sf_dir):
+    return trajectory.episodes(trajectory.following(fixture.tracks(spark, sf_dir)))
+
+
+@query
+def following_stats(spark, sf_dir):
+    return trajectory.episode_stats(trajectory.episodes(trajectory.following(fixture.tracks(spark, sf_dir))))
+
+
+@query
+def object_decomposition(spark, sf_dir):
+    return summary.object_decomposition(observe.counts(seen(spark, sf_dir, (120.0, 360.0))))
