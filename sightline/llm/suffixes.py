@@ -7,7 +7,8 @@ occurs in two different texts can matter. Runs of such windows with one key are
 meet in one shard, so shards never need each other. A shard is suffix-sorted by `induced.suffixes`, whose queues carry
 suffixes and common prefixes through memory and the shared folder; neighbours with a common prefix of `length` or more
 are one group, and its windows outside the smallest document are removed. Equal pieces are reduced to the one in the
-smallest document before they move, and keys in more than 1/400 of the texts are dealt by their windows' full hash.
+smallest document, before they move and again in the shard, where pieces alone under their key need no sorting. Keys in
+more than 1/400 of the texts are dealt by their windows' full hash.
 
 Exact copies of a text share the work of the one with the smallest id: they go as a whole (from `length` bytes on).
 Null and empty texts have no bytes; rows without an id lose nothing and remove nothing; rows that share an id do not
@@ -21,7 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import induced
@@ -30,6 +32,8 @@ from .jaccard import _powers, mix
 
 _U = np.uint64
 GRAM = 24
+#: Bytes of a text's digest that name it while keys are counted.
+DIGEST = 16
 
 
 def raw_bytes(text: str | None) -> np.ndarray:
@@ -61,16 +65,32 @@ def window_keys(raw: np.ndarray, length: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def key_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of runs of windows with one key."""
-    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
-    return start, np.append(start[1:], len(keys)) if len(keys) else start
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
+    if not len(x):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    start = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    return start, np.append(start[1:], len(x))
 
 
 def digest_of(raw: np.ndarray) -> bytes:
     return hashlib.sha256(raw).digest()
 
 
+def planes(keys: np.ndarray) -> bytes:
+    """Sorted keys byte by byte: their leading bytes repeat and compress."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(_U).ravel()
+
+
+def short_digest(column: Column) -> Column:
+    """The first DIGEST bytes of the text's SHA-256."""
+    return F.substring(F.unhex(F.sha2(column, 256)), 1, DIGEST)
+
+
 def shared_keys(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     """(digest, keys, hot): for each text the keys that other texts have too; hot ones are in over 1/400 of the texts."""
 
@@ -81,38 +101,38 @@ def shared_keys(rows: DataFrame, length: int, buckets: int) -> DataFrame:
         def flush() -> pd.DataFrame:
             count = [len(v) for v in held.values()]
             keys = np.concatenate([np.zeros(0, dtype=_U), *held.values()])
-            text = np.repeat(np.arange(len(held), dtype=np.int32), count)
+            text = np.repeat(np.arange(len(held), dtype=np.uint16), count)
             names = list(held)
             bucket = ((keys >> _U(32)) % _U(buckets)).astype(np.int64)
-            at = np.argsort(bucket, kind="stable")
+            at = np.lexsort((keys, bucket))
             cut = np.searchsorted(bucket[at], np.arange(buckets + 1))
             out = []
             for i in np.flatnonzero(np.diff(cut)):
                 part = at[cut[i] : cut[i + 1]]
                 used, number = np.unique(text[part], return_inverse=True)
-                out.append((i, keys[part].tobytes(), number.astype(np.int32).tobytes(), b"".join(names[j] for j in used)))
+                out.append((i, planes(keys[part]), number.astype(np.uint16).tobytes(), b"".join(names[j] for j in used)))
             return pd.DataFrame(out, columns=["bucket", "keys", "texts", "names"])
 
         for b in batches:
             for t in b["text"]:
                 raw = raw_bytes(t)
                 if len(raw) >= length:
-                    name = digest_of(raw)
+                    name = digest_of(raw)[:DIGEST]
                     if name not in held:
                         keys = window_keys(raw, length)
-                        held[name] = np.unique(keys[key_runs(keys)[0]])
+                        held[name] = np.unique(keys[runs(keys)[0]])
                         size += len(held[name])
-                if size > 1_000_000:
+                if size > 1_000_000 or len(held) == 1 << 16:
                     yield flush()
                     held, size = {}, 0
         if held:
             yield flush()
 
     def meet(b: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(x, dtype=_U) for x in b["keys"]])
-        names = [x[i : i + 32] for x in b["names"] for i in range(0, len(x), 32)]
-        base = np.cumsum([0, *(len(x) // 32 for x in b["names"])])
-        text = np.concatenate([np.frombuffer(x, dtype=np.int32) + n for x, n in zip(b["texts"], base, strict=False)])
+        keys = np.concatenate([from_planes(x) for x in b["keys"]])
+        names = [x[i : i + DIGEST] for x in b["names"] for i in range(0, len(x), DIGEST)]
+        base = np.cumsum([0, *(len(x) // DIGEST for x in b["names"])])
+        text = np.concatenate([np.frombuffer(x, dtype=np.uint16).astype(np.int64) + n for x, n in zip(b["texts"], base, strict=False)])
         known = {n: i for i, n in enumerate(dict.fromkeys(names))}
         names_once = list(known)
         text = np.array([known[n] for n in names], dtype=np.int64)[text]
@@ -126,8 +146,7 @@ def shared_keys(rows: DataFrame, length: int, buckets: int) -> DataFrame:
         keys, text, many = keys[many > 1], text[many > 1], many[many > 1]
         order = np.argsort(text, kind="stable")
         keys, text, many = keys[order], text[order], many[order]
-        cut = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else []
-        end = np.append(cut[1:], len(text)) if len(text) else []
+        cut, end = runs(text)
         return pd.DataFrame({"digest": [names_once[text[s]] for s in cut], "keys": [keys[s:e].tobytes() for s, e in zip(cut, end, strict=True)], "many": [many[s:e].astype(np.int64).tobytes() for s, e in zip(cut, end, strict=True)]})
 
     posted = rows.select("text").mapInPandas(post, "bucket long, keys binary, texts binary, names binary")
@@ -135,43 +154,66 @@ def shared_keys(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     return written(met.groupBy("digest").agg(F.collect_list(F.struct("keys", "many")).alias("found")), "keys")
 
 
-PIECES = "shard long, docs binary, starts binary, sizes binary, bytes binary, gone_doc binary, gone_start binary, gone_size binary"
+PIECES = "shard long, docs binary, starts binary, sizes binary, keys binary, bytes binary"
+
+
+def packed(doc: np.ndarray, start: np.ndarray, size: np.ndarray, shards: np.ndarray) -> list[tuple]:
+    """Rows of PIECES without bytes, for each of the shards given per piece."""
+    order = np.argsort(shards, kind="stable")
+    out = []
+    for s, e in zip(*runs(shards[order]), strict=True):
+        at = order[s:e]
+        out.append((int(shards[at[0]]), doc[at].tobytes(), start[at].tobytes(), size[at].tobytes(), b"", b""))
+    return out
+
+
+def bucket_of(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(doc.astype(np.int64).view(_U)) % _U(buckets)).astype(np.int64)
+
+
+def equal_pieces(text: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each piece, whether a smaller document holds an equal one)."""
+    number: dict[bytes, int] = {}
+    kind = np.fromiter((number.setdefault(x, len(number)) for x in text), dtype=np.int64, count=len(text))
+    least = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, doc)
+    return kind, doc > least[kind]
 
 
-def pieces(candidates: DataFrame, length: int, shards: int, hot_from: int) -> DataFrame:
-    """Pieces of text by shard, in blocks; equal pieces of a block once, for its smallest document; others are gone already."""
+def pieces(candidates: DataFrame, length: int, shards: int, buckets: int, hot_from: int, block_bytes: int = 12 << 20) -> DataFrame:
+    """Pieces of text by shard, in blocks; of equal pieces of a block those in the smallest document.
+
+    What goes in the other documents of the block is known already; it comes as rows of shards below 0, one for each
+    bucket of documents.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[bytes, list] = {}
+        text: list[bytes] = []
+        facts: list[tuple[np.ndarray, ...]] = []
         held = 0
 
         def flush() -> pd.DataFrame:
-            by: dict[int, list] = {}
-            gone: list[tuple[int, int, int]] = []
-            for text, (shard, places) in best.items():
-                least = min(places)
-                by.setdefault(shard, []).append((*least, text))
-                gone += [(d, s, len(text)) for d, s in places if d > least[0]]
-                by[shard] += [(d, s, text) for d, s in places if d == least[0] and s != least[1]]
-            out = []
-            for shard, rows in by.items():
-                d, s, x = zip(*rows, strict=True)
-                out.append((shard, np.array(d, dtype=np.int64).tobytes(), np.array(s, dtype=np.int64).tobytes(), np.array(list(map(len, x)), dtype=np.int64).tobytes(), b"".join(x), b"", b"", b""))
-            if gone:
-                d, s, n = (np.array(x, dtype=np.int64).tobytes() for x in zip(*gone, strict=True))
-                out.append((-1, b"", b"", b"", b"", d, s, n))
+            doc, start, size, key = (np.concatenate(x) for x in zip(*facts, strict=True))
+            _, gone = equal_pieces(text, doc)
+            out = packed(doc[gone], start[gone], size[gone], -1 - bucket_of(doc[gone], buckets))
+            shard = ((key >> _U(20)) % _U(shards)).astype(np.int64)
+            order = np.flatnonzero(~gone)
+            order = order[np.argsort(shard[order], kind="stable")]
+            for s, e in zip(*runs(shard[order]), strict=True):
+                at = order[s:e]
+                out.append((int(shard[at[0]]), doc[at].tobytes(), start[at].tobytes(), size[at].tobytes(), key[at].tobytes(), b"".join([text[i] for i in at])))
             return pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
 
         for b in batches:
-            for doc, text, found in zip(b["id"].to_numpy(), b["text"], b["found"], strict=True):
-                raw = raw_bytes(text)
+            for doc, whole_text, found in zip(b["id"].to_numpy(), b["text"], b["found"], strict=True):
+                raw = raw_bytes(whole_text)
                 data = raw.tobytes()
                 keys = window_keys(raw, length)
                 known = np.concatenate([np.frombuffer(f["keys"], dtype=_U) for f in found])
                 many = np.concatenate([np.frombuffer(f["many"], dtype=np.int64) for f in found])
                 order = np.argsort(known)
                 known, many = known[order], many[order]
-                start, stop = key_runs(keys)
+                start, stop = runs(keys)
                 key = keys[start]
                 at = np.minimum(np.searchsorted(known, key), len(known) - 1)
                 ok = known[at] == key
@@ -180,65 +222,58 @@ def pieces(candidates: DataFrame, length: int, shards: int, hot_from: int) -> Da
                     whole = rolling(raw, length)
                     one = np.concatenate([np.arange(s, e) for s, e in zip(start[hot], stop[hot], strict=True)])
                     start, stop, key = np.concatenate([start[~hot], one]), np.concatenate([stop[~hot], one + 1]), np.concatenate([key[~hot], whole[one]])
-                for s, e, k in zip(start.tolist(), (stop + length - 1).tolist(), ((key >> _U(20)) % _U(shards)).tolist(), strict=True):
-                    piece = data[s:e]
-                    if piece in best:
-                        best[piece][1].append((int(doc), s))
-                    else:
-                        best[piece] = [k, [(int(doc), s)]]
-                        held += e - s
-                if held > 24 << 20:
+                size = stop + (length - 1) - start
+                text += [data[s:e] for s, e in zip(start.tolist(), (start + size).tolist(), strict=True)]
+                facts.append((np.full(len(start), doc, dtype=np.int64), start.astype(np.int64), size.astype(np.int64), key))
+                held += int(size.sum()) + 160 * len(size)
+                if held > block_bytes:
                     yield flush()
-                    best, held = {}, 0
-        if best:
+                    text.clear()
+                    facts.clear()
+                    held = 0
+        if facts:
             yield flush()
 
     return written(candidates.select("id", "text", "found").mapInPandas(cut, PIECES), "pieces")
 
 
-def sorted_spans(data: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, length: int, scratch: induced.Scratch) -> tuple[np.ndarray, np.ndarray]:
+def sorted_spans(text: list[bytes], doc: np.ndarray, start: np.ndarray, length: int, scratch: induced.Scratch) -> tuple[np.ndarray, np.ndarray]:
     """Windows (document, start) of the pieces that also start in a smaller document, from the shard's suffix order."""
-    stop = np.cumsum(size + 1)
-    first = stop - size - 1
-    t = np.zeros(int(stop[-1]), dtype=np.uint16)
-    mask = np.ones(len(t), dtype=bool)
-    mask[stop - 1] = False
-    t[mask] = data.astype(np.uint16) + 1
-    piece = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
-    left = stop[piece] - 1 - np.arange(len(t))
-    gone_doc, gone_start = [], []
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def settle(group_doc: np.ndarray, group_at: np.ndarray, cut: np.ndarray) -> None:
-        least = np.repeat(np.minimum.reduceat(group_doc, cut), np.diff(np.append(cut, len(group_doc))))
-        over = group_doc > least
-        gone_doc.append(group_doc[over])
-        gone_start.append(group_at[over])
+    t = np.frombuffer(b"\x00".join(text) + b"\x00", dtype=np.uint8).astype(np.uint16) + np.uint16(1)
+    stop = np.cumsum([len(x) + 1 for x in text])
+    t[stop - 1] = 0
+    first = np.append(0, stop[:-1])
+    gone: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle(pos: np.ndarray, begin: np.ndarray) -> None:
+        """Groups of suffixes with a common prefix of `length`: windows inside their pieces, outside the smallest document."""
+        count = np.diff(np.append(begin, len(pos)))
+        several = np.repeat(count > 1, count)
+        group, pos = np.repeat(np.arange(len(count)), count)[several], pos[several]
+        p = np.searchsorted(stop, pos, side="right")
+        ok = stop[p] - 1 - pos >= length
+        pos, group, p = pos[ok], group[ok], p[ok]
+        if len(pos):
+            cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            d = doc[p]
+            over = d > np.repeat(np.minimum.reduceat(d, cut), np.diff(np.append(cut, len(d))))
+            gone.append((d[over], (start[p] + pos - first[p])[over]))
 
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for pos, lcp in induced.suffixes(t, length, scratch):
-        if held:
-            pos, lcp = np.concatenate([held[0][0], pos]), np.concatenate([held[0][1], lcp])
         begin = np.flatnonzero(lcp < length)
-        if not len(begin) or begin[0] != 0:
-            begin = np.append(0, begin)
+        if not len(begin):
+            held.append((pos, lcp))
+            continue
+        if held or begin[0] > 0:
+            head = np.concatenate([*(x for x, _ in held), pos[: begin[0]]])
+            settle(head, np.zeros(1, dtype=np.int64))
         last = begin[-1]
+        settle(pos[begin[0] : last], begin[:-1] - begin[0])
         held = [(pos[last:], lcp[last:])]
-        _groups(pos[:last], begin[:-1], left, piece, doc, start, first, length, settle)
     if held:
-        _groups(held[0][0], np.zeros(1, dtype=np.int64), left, piece, doc, start, first, length, settle)
-    return (np.concatenate(gone_doc), np.concatenate(gone_start)) if gone_doc else (np.zeros(0, dtype=np.int64),) * 2
-
-
-def _groups(pos, begin, left, piece, doc, start, first, length, settle) -> None:
-    """Settles the groups of more than one suffix whose windows lie within their pieces."""
-    count = np.diff(np.append(begin, len(pos)))
-    several = np.repeat(count > 1, count)
-    group = np.repeat(np.arange(len(count)), count)
-    ok = several & (left[pos] >= length)
-    pos, group = pos[ok], group[ok]
-    if len(pos):
-        p = piece[pos]
-        settle(doc[p], start[p] + pos - first[p], np.flatnonzero(np.append(True, group[1:] != group[:-1])))
+        settle(np.concatenate([x for x, _ in held]), np.zeros(1, dtype=np.int64))
+    return tuple(np.concatenate(x) for x in zip(*gone, strict=True)) if gone else (np.zeros(0, dtype=np.int64),) * 2
 
 
 def runs_of(doc: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,34 +293,55 @@ def runs_of(doc: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> tuple[np
     return doc[cut], at[cut], reach[np.append(cut[1:] - 1, len(doc) - 1)]
 
 
-def shard_spans(blocks: DataFrame, length: int, folder: str, memory: int) -> DataFrame:
-    """(id, spans): for each document the bytes that go, as packed starts and stops."""
+def shard_spans(blocks: DataFrame, length: int, buckets: int, folder: str, memory: int) -> DataFrame:
+    """(id, spans): for each document the bytes that go, as packed starts and stops.
+
+    In a shard, equal pieces are reduced first, like in a block. A key that is then left with one piece has no other
+    windows to meet; the pieces of all other keys are sorted.
+    """
 
     def sort(b: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs
 
         shard = int(b["shard"].iloc[0])
+        doc, start, size = (np.frombuffer(b"".join(b[c]), dtype=np.int64) for c in ("docs", "starts", "sizes"))
         if shard < 0:
-            doc, at, size = (np.frombuffer(b"".join(b[c]), dtype=np.int64) for c in ("gone_doc", "gone_start", "gone_size"))
-            doc, at, stop = runs_of(doc, at, size)
+            doc, start, stop = runs_of(doc, start, size)
         else:
-            data = np.frombuffer(b"".join(b["bytes"]), dtype=np.uint8)
-            doc, start, size = (np.frombuffer(b"".join(b[c]), dtype=np.int64) for c in ("docs", "starts", "sizes"))
-            system, base = fs.FileSystem.from_uri(folder)
-            scratch = induced.Scratch((system, f"{base}/{shard}-{b['turn'].iloc[0]}-{id(b)}"), memory)
-            doc, at = sorted_spans(data, doc, start, size, length, scratch)
-            doc, at, stop = runs_of(doc, at, length)
-        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=np.int64)
-        end = np.append(cut[1:], len(doc)) if len(doc) else cut
-        return pd.DataFrame({"id": doc[cut], "spans": [np.stack([at[s:e], stop[s:e]]).tobytes() for s, e in zip(cut, end, strict=True)]})
-
-    turned = blocks.withColumn("turn", F.when(F.col("shard") < 0, F.pmod(F.xxhash64("gone_doc", "gone_start"), F.lit(4096))).otherwise(F.lit(0)))
-    return written(turned.groupBy("shard", "turn").applyInPandas(sort, "id long, spans binary"), "spans")
-
-
-def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, shard_bytes: int = 6 << 20, memory: int = 192 << 20, with_text: bool = False) -> DataFrame:
-    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes)."""
-    sheltered(documents.columns, key, text)
+            key = np.frombuffer(b"".join(b["keys"]), dtype=_U)
+            data = b"".join(b["bytes"])
+            edge = np.append(0, np.cumsum(size)).tolist()
+            text = [data[s:e] for s, e in zip(edge[:-1], edge[1:], strict=True)]
+            del b, data
+            kind, gone = equal_pieces(text, doc)
+            doc_gone, start_gone, size_gone = doc[gone], start[gone], size[gone]
+            at = np.flatnonzero(~gone)
+            pair = np.unique(np.stack([key[at], kind[at].view(_U)]), axis=1)
+            names, count = np.unique(pair[0], return_counts=True)
+            several = names[count > 1]
+            if len(several):
+                at = at[several[np.minimum(np.searchsorted(several, key[at]), len(several) - 1)] == key[at]]
+                system, base = fs.FileSystem.from_uri(folder)
+                scratch = induced.Scratch((system, f"{base}/{shard}-{TaskContext.get().taskAttemptId()}"), memory)
+                d, s = sorted_spans([text[i] for i in at], doc[at], start[at], length, scratch)
+                doc_gone, start_gone, size_gone = np.append(doc_gone, d), np.append(start_gone, s), np.append(size_gone, np.full(len(d), length))
+            doc, start, stop = runs_of(doc_gone, start_gone, size_gone)
+        rows = packed(doc, start, stop, bucket_of(doc, buckets))
+        return pd.DataFrame([x[:4] for x in rows], columns=["bucket", "docs", "starts", "stops"])
+
+    def merge(b: pd.DataFrame) -> pd.DataFrame:
+        doc, start, stop = (np.frombuffer(b"".join(b[c]), dtype=np.int64) for c in ("docs", "starts", "stops"))
+        doc, start, stop = runs_of(doc, start, stop - start)
+        cut, end = runs(doc)
+        return pd.DataFrame({"id": doc[cut], "spans": [np.stack([start[s:e], stop[s:e]]).tobytes() for s, e in zip(cut, end, strict=True)]})
+
+    spans = blocks.groupBy("shard").applyInPandas(sort, "bucket long, docs binary, starts binary, stops binary")
+    return written(spans.groupBy("bucket").applyInPandas(merge, "id long, spans binary"), "spans")
+
+
+def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, shard_bytes: int = 24 << 20, memory: int = 192 << 20, with_text: bool = False) -> DataFrame:
+    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the remaining bytes of rows that lose some, else null)."""
+    sheltered(documents, key, text)
     spark = documents.sparkSession
     rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     known = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
@@ -293,19 +349,18 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", length:
     size = known.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     buckets = max(shuffles, int((size.bytes or 0) // 13 // 2_000_000) + 1)
 
-    facts = known.select("id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    facts = known.select("id", short_digest(F.col("text")).alias("digest"))
     keys = shared_keys(known, length, buckets)
     reps = facts.groupBy("digest").agg(F.min("id").alias("rep"))
     wanted = keys.join(reps, "digest").select(F.col("rep").alias("id"), "digest", "found")
     maybe = filtered_ids(rows, written(wanted.select("id"), "ids"))
-    texts = maybe.join(wanted.hint("shuffle_hash"), "id").where(F.unhex(F.sha2("text", 256)) == F.col("digest"))
+    texts = maybe.join(wanted.hint("shuffle_hash"), "id").where(short_digest(F.col("text")) == F.col("digest"))
     # where an id stands on several rows with one text, one of them is enough
     candidates = texts.groupBy("id", "digest").agg(F.first("text").alias("text"), F.first("found").alias("found")) if duplicated(known) else texts
     folder = shared_dir(spark)
-    # pieces are at most as long as twice the texts' bytes times the windows' overlap; shards follow the measured bytes
     shards = max(shuffles, int((size.bytes or 0) // shard_bytes) + 1)
-    blocks = pieces(candidates, length, shards, max(3, size.n // HEAVY_SHARE))
-    spans = shard_spans(blocks, length, folder, memory).groupBy("id").agg(F.collect_list("spans").alias("spans"))
+    blocks = pieces(candidates, length, shards, shards, max(3, size.n // HEAVY_SHARE))
+    spans = shard_spans(blocks, length, shards, folder, memory)
     return results(rows, reps, spans, key, length, with_text, documents.schema[key].dataType.simpleString())
 
 
@@ -313,12 +368,17 @@ def duplicated(known: DataFrame) -> bool:
     return known.groupBy("id").count().where("count > 1").limit(1).count() > 0
 
 
-def filtered_ids(rows: DataFrame, ids: DataFrame, words: int = 1 << 17) -> DataFrame:
-    """Rows whose id may be among ids, by a bit table of fixed size: 64 * words bits."""
+def marked_ids(rows: DataFrame, ids: DataFrame, column: str = "id", words: int = 1 << 17) -> DataFrame:
+    """Adds maybe: whether a row's id may be among ids, by a bit table of fixed size (64 * words bits); null ids are not."""
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * words))
-    table = ids.select(spot("id").alias("s")).groupBy((F.col("s") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(s, 64) AS int))")).alias("bits"))
-    named = rows.withColumn("s", spot("id")).withColumn("word", (F.col("s") / 64).cast("long")).join(F.broadcast(table), "word")
-    return named.where("shiftrightunsigned(bits, cast(pmod(s, 64) AS int)) & 1 = 1").select("id", "text")
+    table = ids.select(spot("id").alias("_s")).groupBy((F.col("_s") / 64).cast("long").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(_s, 64) AS int))")).alias("_bits"))
+    named = rows.withColumn("_s", spot(F.col(column).cast("long"))).withColumn("_word", (F.col("_s") / 64).cast("long")).join(F.broadcast(table), "_word", "left")
+    bit = F.expr("coalesce(shiftrightunsigned(_bits, cast(pmod(_s, 64) AS int)) & 1 = 1, FALSE)")
+    return named.withColumn("maybe", bit & F.col(column).isNotNull()).select(*rows.columns, "maybe")
+
+
+def filtered_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    return marked_ids(rows, ids).where("maybe").select("id", "text")
 
 
 def results(rows: DataFrame, reps: DataFrame, spans: DataFrame, key: str, length: int, with_text: bool, kind: str) -> DataFrame:
@@ -330,7 +390,7 @@ def results(rows: DataFrame, reps: DataFrame, spans: DataFrame, key: str, length
             out = []
             for i, text, some in zip(b["id"].to_numpy(), b["text"], b["spans"], strict=True):
                 raw = raw_bytes(text)
-                both = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(2, -1) for x in some], axis=1)
+                both = np.frombuffer(some, dtype=np.int64).reshape(2, -1)
                 ok = both[1] <= len(raw)
                 _, start, stop = runs_of(np.zeros(int(ok.sum()), dtype=np.int64), both[0][ok], (both[1] - both[0])[ok])
                 keep = np.ones(len(raw), dtype=bool)
@@ -342,7 +402,7 @@ def results(rows: DataFrame, reps: DataFrame, spans: DataFrame, key: str, length
 
     changed = spanned.select("id", "text", "spans").mapInPandas(cut, "id long, digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["id", "digest"])
     body = F.coalesce(F.col("text"), F.lit(""))
-    base = rows.select("id", F.octet_length(body).cast("long").alias("n_bytes"), F.unhex(F.sha2(body, 256)).alias("digest"), *([body.alias("text")] if with_text else []))
+    base = rows.select("id", F.octet_length(body).cast("long").alias("n_bytes"), F.unhex(F.sha2(body, 256)).alias("digest"))
     copies = base.where(F.col("id").isNotNull() & (F.col("n_bytes") >= length)).groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("digest", "rep")
     copies = written(copies, "copies")
     able = base.withColumn("on", F.when(F.col("n_bytes") >= length, F.hex("digest")))
@@ -356,7 +416,7 @@ def results(rows: DataFrame, reps: DataFrame, spans: DataFrame, key: str, length
         F.when(copy, F.col("n_bytes")).when(mine, F.col("n_removed")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         F.when(copy, F.lit(1)).when(mine, F.col("n_spans")).otherwise(F.lit(0)).cast("long").alias("n_spans"),
         F.when(copy, F.lit(empty)).when(mine, F.col("kept_sha256")).otherwise(F.lower(F.hex("digest"))).alias("kept_sha256"),
-        *([F.when(copy, F.unhex(F.lit(""))).when(mine, F.col("kept")).otherwise(F.encode("text", "UTF-8")).alias("kept")] if with_text else []),
+        *([F.when(copy, F.unhex(F.lit(""))).when(mine, F.col("kept")).alias("kept")] if with_text else []),
     )
     return out
 
