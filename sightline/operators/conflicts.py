@@ -82,9 +82,11 @@ def pet_crossings(tracks: DataFrame, candidates: DataFrame, crossing_m: float =
     b = rows.select(F.col("track_id").alias("partner_id"), F.col("frame_idx").alias("fb"), F.col("bbox_center_x").alias("bx"), F.col("bbox_center_y").alias("by"))
     met = candidates.join(a, "ego_track_id").join(b, "partner_id")
     d = g.distance(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    best = met.groupBy("ego_track_id", "partner_id").agg(F.min(F.struct(d.alias("d"), "fa", "fb")).alias("m"))
+    # points farther apart cannot be the pair's crossing: they go before anything is grouped
+    near = met.withColumn("d", d).where(F.col("d") <= crossing_m)
+    best = near.groupBy("ego_track_id", "partner_id").agg(F.min(F.struct("d", "fa", "fb")).alias("m"))
     gap = (F.abs(F.col("m.fa") - F.col("m.fb")) * FRAME_S).alias("pet_s")
-    return best.select("ego_track_id", "partner_id", F.col("m.d").alias("crossing_m"), F.col("m.fa").alias("ego_frame"), F.col("m.fb").alias("partner_frame"), gap).where(F.col("crossing_m") <= crossing_m)
+    return best.select("ego_track_id", "partner_id", F.col("m.d").alias("crossing_m"), F.col("m.fa").alias("ego_frame"), F.col("m.fb").alias("partner_frame"), gap)
 
 
 def pet_conflicts(tracks: DataFrame, crossing_m: float = 2.0, pet_s: float = 5.0, gate_m: float = 30.0, first: int = 0, last: int = 0) -> DataFrame:

@@ -61,16 +61,19 @@ def class_map(seen: DataFrame) -> DataFrame:
 def near_miss_counts(seen: DataFrame, near_misses: DataFrame, nearby_m: float = NEARBY_M) -> DataFrame:
     """Per observation, over the frame's near misses whose two parties are both in the scene: NEAR_MISS_COUNTS."""
     keys = keys_of(seen)
-    party = lambda p: seen.select(*keys, F.col("track_id").alias(f"track_id_{p}"), F.col("visible").alias(f"visible_{p}"), (F.col("rng") <= nearby_m).alias(f"near_{p}"))
-    pairs = near_misses.select("frame_idx", "track_id_a", "track_id_b")
-    met = pairs.join(party("a"), ["frame_idx", "track_id_a"]).join(party("b"), [*keys, "track_id_b"])
-    one, relevant = F.col("visible_a") | F.col("visible_b"), F.col("near_a") | F.col("near_b")
+    pairs = near_misses.groupBy("frame_idx", "track_id_a", "track_id_b").agg(F.count("*").alias("events"))
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("track_id_a").alias("track_id")), F.struct(F.lit(1).alias("side"), F.col("track_id_b").alias("track_id"))))
+    parties = pairs.withColumn("p", sides).select("frame_idx", "track_id_a", "track_id_b", "events", "p.side", "p.track_id")
+    party = seen.select(*keys, "track_id", "visible", (F.col("rng") <= nearby_m).alias("near")).join(parties, ["frame_idx", "track_id"])
+    # the two parties of a pair, seen in one pass
+    met = party.groupBy(*keys, "track_id_a", "track_id_b").agg((F.max("side") - F.min("side")).alias("n"), F.first("events").alias("events"), F.bool_and("visible").alias("both"), F.bool_or("visible").alias("one"), F.bool_or("near").alias("relevant")).where("n = 1")
+    total = lambda c: F.sum(F.when(c, F.col("events")).otherwise(0))
     return met.groupBy(*keys).agg(
-        F.count("*").alias("nm_total"),
-        F.count_if(F.col("visible_a") & F.col("visible_b")).alias("nm_both_visible"),
-        F.count_if(one).alias("nm_at_least_one_visible"),
-        F.count_if(relevant).alias("nm_ego_relevant"),
-        F.count_if(relevant & one).alias("nm_ego_relevant_aware"),
+        F.sum("events").alias("nm_total"),
+        total(F.col("both")).alias("nm_both_visible"),
+        total(F.col("one")).alias("nm_at_least_one_visible"),
+        total(F.col("relevant")).alias("nm_ego_relevant"),
+        total(F.col("relevant") & F.col("one")).alias("nm_ego_relevant_aware"),
     )
 
 
