@@ -83,12 +83,12 @@ def visibility(tracks: DataFrame, egos: DataFrame, fovs: Sequence[float] = (120.
     casts = F.col("class_name").isin(*occluders) & F.col("lo").isNotNull()
     grouped = rows.groupBy(*keys).agg(F.collect_list(o).alias("os"), F.collect_list(F.when(casts, c)).alias("cs"))
     repeated = F.size(F.array_distinct(F.transform("os", lambda x: x["track_id"]))) < F.size("os")
-    opened = grouped.select(*keys, "cs", F.when(repeated, F.col("os")).alias("all"), F.explode("os").alias("o"))
-    last = F.col("all").isNull() | ~F.exists("all", lambda x: (x["track_id"] == F.col("o.track_id")) & (x["rng"] > F.col("o.rng")))
+    farthest = F.filter("os", lambda x: ~F.exists("os", lambda y: (y["track_id"] == x["track_id"]) & (y["rng"] > x["rng"])))
+    opened = grouped.select(*keys, "cs", F.explode(F.when(repeated, farthest).otherwise(F.col("os"))).alias("o"))
     before = lambda x: ((x["rng"] < F.col("o.rng")) | ((x["rng"] == F.col("o.rng")) & (x["track_id"] < F.col("o.track_id")))) & covers(x, F.col("o.cbin"))
     order = lambda x: F.struct(x["near"].alias("near"), x["rng"].alias("rng"), x["track_id"].alias("track_id"), x["height"].alias("height"), x["class_name"].alias("class_name"))
     blocker = F.when(F.col("o.in_fov"), F.array_min(F.transform(F.filter("cs", before), order)))
-    found = opened.where(last).select(*keys, "o.*", blocker.alias("b"))
+    found = opened.select(*keys, "o.*", blocker.alias("b"))
     blocked = F.coalesce(F.col("rng") > F.col("b.near") + sensor.margin_m, F.lit(False))
     out = found.withColumn("blocked", blocked)
     seen = {"blocker_id": "track_id", "blocker_near": "near", "blocker_height": "height", "blocker_class": "class_name"}
