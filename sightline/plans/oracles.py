@@ -174,7 +174,6 @@ def vehicle_ctes(heading: str) -> tuple[str, ...]:
 
 OBS_COUNTS = "n_objects_total, n_visible_onboard, n_occluded, n_out_of_fov, n_out_of_range"
 VEH_COLS = f"frame_idx, ego_track_id, {r('ego_x', 'ego_y', 'ego_heading_deg', 'ego_dist_to_center')}, ego_inbound, {OBS_COUNTS}, n_nearby_total, n_nearby_visible, n_conflict_zone_total, n_conflict_zone_visible, {r('visibility_ratio_onboard', 'nearby_visibility_ratio', 'conflict_zone_visibility_ratio')}"
-GEO_T = ("v_p AS (SELECT *, ego_x + 1.5 * cos(ego_h) - 0.0 * sin(ego_h) AS sx, ego_y + 1.5 * sin(ego_h) + 0.0 * cos(ego_h) AS sy FROM egos)",)
 
 
 def row_level(fov: float) -> str:
