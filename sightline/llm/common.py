@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key holding more than 1/HEAVY_SHARE of the rows counts as heavy, so there are fewer than HEAVY_SHARE of them.
 HEAVY_SHARE = 400
+#: Rows and bytes that a Python worker is handed at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,23 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
         else:
             base = "file://" + tempfile.mkdtemp(prefix="sightline-")
             spark.sparkContext.setCheckpointDir(base)
+    if ":" not in base:  # a path of the default file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/sightline-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and a lost executor costs nothing written."""
+def written(df: DataFrame, name: str = "table", small: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there and a lost executor costs nothing written.
+
+    small: rows of a few numbers each; they are written by two waves of tasks, not as one file for each partition.
+    """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def deal(df: DataFrame, *keys: Column | str, parts: int | None = None) -> DataFrame:
-    """Repartitions by keys to the session's number of shuffle partitions."""
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
-
-
 def heavy_keys(df: DataFrame, key: str, share: int = HEAVY_SHARE) -> DataFrame:
     """Keys with more than 1/share of df's rows: fewer than `share` rows whatever the input, so safe to broadcast."""
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))
@@ -46,11 +50,16 @@ def heavy_keys(df: DataFrame, key: str, share: int = HEAVY_SHARE) -> DataFrame:
     return counts.join(F.broadcast(total), F.col("_n") * share > F.col("_all")).select(key, "_n")
 
 
-def sheltered(schema_names: list[str], *used: str) -> None:
-    """Fails early and plainly where a column an operator needs is missing."""
-    missing = [c for c in used if c not in schema_names]
+def sheltered(df: DataFrame, *used: str) -> None:
+    """Fails early and plainly where a column is missing, and bounds what goes to Python at once, by rows and by bytes."""
+    missing = [c for c in used if c not in df.columns]
     if missing:
-        raise ValueError(f"missing columns {missing}; the table has {schema_names}")
+        raise ValueError(f"missing columns {missing}; the table has {df.columns}")
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB"))
+        if not 0 < now <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, key: str, heavy: DataFrame) -> DataFrame:

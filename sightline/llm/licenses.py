@@ -172,7 +172,7 @@ def scan(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
     detections is an array of (start, stop, priority, rule, label, sure); offsets count characters of the normalised
     text, in which every word follows one space.
     """
-    sheltered(documents.columns, text, *keep)
+    sheltered(documents, text, *keep)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = documents.select(*keep, body.alias("_body"), F.lower(body).rlike(GATE).alias("_gate"))
     rows = rows.select(*keep, F.regexp_count("_body", F.lit(CASED_WORD)).cast("long").alias("n_words"), F.when(F.col("_gate"), F.translate("_body", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).alias("_lower"))

@@ -135,7 +135,7 @@ def search(
     replicas: int = 4, slack: float = 0.1, ratio: float = 0.3, probes: int = 64, least_candidates: int = 4000, part: int = 1024,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that the condition `queries` (on the column id) selects, its k nearest."""
-    sheltered(vectors.columns, key, vector)
+    sheltered(vectors, key, vector)
     spark = vectors.sparkSession
     rows = usable(vectors, key, vector)
     schema = "query_id long, rank int, vec_id long, score double"

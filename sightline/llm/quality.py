@@ -111,7 +111,7 @@ def _site() -> Column:
 
 def classify(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality", sample: int = 6000, cut: float = 0.4, weight: float = 0.5, few_sites: int = 50_000) -> DataFrame:
     """The documents' columns, then host_posterior, path_posterior, evidence, quality_posterior and keep (names of the input's own columns win)."""
-    sheltered(documents.columns, key, text, host, path)
+    sheltered(documents, key, text, host, path)
     model = fit(documents, labels, key, text, label, sample)
     own = documents.columns
     held = documents.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)))

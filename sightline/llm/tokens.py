@@ -94,7 +94,7 @@ def _model(path: str) -> tuple[Unigram, dict[str, int]]:
 
 def count_tokens(documents: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), remembered: int = 300_000, slice_chars: int = 1 << 20) -> DataFrame:
     """Per row: the kept columns, n_pretokens and n_tokens. vocabulary: path of a SentencePiece model on every node."""
-    sheltered(documents.columns, text, *keep)
+    sheltered(documents, text, *keep)
     kinds = {c: documents.schema[c].dataType.simpleString() for c in keep}
     named = documents.select(*(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).cast("string").alias("text"))
 

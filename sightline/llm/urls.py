@@ -87,7 +87,7 @@ def fit(rows: DataFrame, sample: int = 20_000, suffixes: int = 4096, prior: floa
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Iterable[tuple[str, str]] = RULES, labels: DataFrame | None = None, sample: int = 20_000, suffixes: int = 4096, cut: float = 0.5) -> DataFrame:
     """Per row: key, url, host, path, rule, verdict, block_probability. labels: (url, label) to learn from, else the rules' verdicts."""
-    sheltered(pages.columns, key, url)
+    sheltered(pages, key, url)
 
     def prepared(df: DataFrame, *keep: Column) -> DataFrame:
         host, path = split_url(F.col(url))

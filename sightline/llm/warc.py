@@ -211,7 +211,7 @@ def planned(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
     The resolution moves only digests and keys. Digests that hold over 1/400 of the rows are resolved by a broadcast of
     their (bounded number of) smallest keys, all others by a join on the digest.
     """
-    sheltered(pages.columns, key, url, payload)
+    sheltered(pages, key, url, payload)
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload")).select(
         "key", "url", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")
