@@ -141,7 +141,12 @@ def frequent_shingles(rows: DataFrame, total: int, sample: int, least: int = 5)
 
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(total, 1))) < sample)
     counted = chosen.mapInPandas(emit, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    return np.sort(np.array([r.h for r in counted.select("h").collect()], dtype=np.int64).view(_U))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"h": [b["h"].to_numpy().tobytes()]})
+
+    return np.sort(np.frombuffer(b"".join(r.h for r in counted.select("h").mapInPandas(pack, "h binary").collect()), dtype=_U))
 
 
 def shared_prefixes(rows: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
@@ -368,7 +373,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
 
 def join(documents: DataFrame, key: str = "doc_id", text: str = "text", order_sample: int = 20_000, part: int = 512, first: int = 256) -> DataFrame:
     """Per id: n_shingles, component_id (the smallest id reachable by links) and links (ids of the component besides itself)."""
-    sheltered(documents.columns, key, text)
+    sheltered(documents, key, text)
     spark = documents.sparkSession
     rows = _ids(documents, key, text)
     signed = signatures(rows)
@@ -382,25 +387,25 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text", order_sa
     near = nodes.select("node", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"key{k}").alias("v")) for k in range(len(SEEDS))))).alias("kv")).select("node", F.xxhash64("kv.k", "kv.v").alias("group"))
     several = near.groupBy("group").count().where("count > 1").select("group")
     members = near.join(several, "group").select("group", "node", F.col("node").alias("comp"))
-    pairs = written(bounded_pairs(members, nodes, 1, True, part), "pairs")
-    links = written(verified(pairs, nodes, rows), "links")
+    pairs = written(bounded_pairs(members, nodes, 1, True, part), "pairs", small=True)
+    links = written(verified(pairs, nodes, rows), "links", small=True)
 
     # posting groups that are not connected yet, until no node and component have pairs left
     frequent = frequent_shingles(rows, signed.count(), order_sample)
     groups = shared_prefixes(rows, frequent, buckets).distinct()
     limit = first
     while True:
-        comps = written(components(links), "components")
+        comps = written(components(links), "components", small=True)
         placed = groups.join(comps, "node", "left").select("group", "node", F.coalesce("component", "node").alias("comp"))
         open_ = placed.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("group")
         members = written(banded(placed.join(open_, "group").join(nodes.select("node", "n"), "node")), "members")
-        pairs = written(bounded_pairs(members, nodes, limit, False, part).join(links, ["a", "b"], "left_anti"), "pairs")
+        pairs = written(bounded_pairs(members, nodes, limit, False, part).join(links, ["a", "b"], "left_anti"), "pairs", small=True)
         if pairs.isEmpty():
             break
-        new = written(verified(pairs, nodes, rows), "links")
-        links = written(links.unionByName(new).distinct(), "links")
+        new = written(verified(pairs, nodes, rows), "links", small=True)
+        links = written(links.unionByName(new).distinct(), "links", small=True)
         if not pairs.where("more").limit(1).count():
-            comps = written(components(links), "components")
+            comps = written(components(links), "components", small=True)
             break
         limit *= 16
     rep = nodes.select("node", "rep").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
