@@ -353,18 +353,20 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", length:
     keys = shared_keys(known, length, buckets)
     reps = facts.groupBy("digest").agg(F.min("id").alias("rep"))
     wanted = keys.join(reps, "digest").select(F.col("rep").alias("id"), "digest", "found")
-    maybe = filtered_ids(rows, written(wanted.select("id"), "ids"))
+    maybe = filtered_ids(rows, written(wanted.select("id"), "ids", small=True))
+    repeated = duplicated(known)
     texts = maybe.join(wanted.hint("shuffle_hash"), "id").where(short_digest(F.col("text")) == F.col("digest"))
     # where an id stands on several rows with one text, one of them is enough
-    candidates = texts.groupBy("id", "digest").agg(F.first("text").alias("text"), F.first("found").alias("found")) if duplicated(known) else texts
+    candidates = texts.groupBy("id", "digest").agg(F.first("text").alias("text"), F.first("found").alias("found")) if repeated else texts
     folder = shared_dir(spark)
     shards = max(shuffles, int((size.bytes or 0) // shard_bytes) + 1)
     blocks = pieces(candidates, length, shards, shards, max(3, size.n // HEAVY_SHARE))
     spans = shard_spans(blocks, length, shards, folder, memory)
-    return results(rows, reps, spans, key, length, with_text, documents.schema[key].dataType.simpleString())
+    return results(rows, reps, spans, key, length, with_text, repeated, documents.schema[key].dataType.simpleString())
 
 
 def duplicated(known: DataFrame) -> bool:
+    """Whether an id stands on several rows."""
     return known.groupBy("id").count().where("count > 1").limit(1).count() > 0
 
 
@@ -381,7 +383,7 @@ def filtered_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return marked_ids(rows, ids).where("maybe").select("id", "text")
 
 
-def results(rows: DataFrame, reps: DataFrame, spans: DataFrame, key: str, length: int, with_text: bool, kind: str) -> DataFrame:
+def results(rows: DataFrame, reps: DataFrame, spans: DataFrame, key: str, length: int, with_text: bool, repeated: bool, kind: str) -> DataFrame:
     """Copies of a text go whole; the first of it loses its spans; all other rows keep everything."""
     spanned = filtered_ids(rows, spans.select("id")).join(spans.hint("shuffle_hash"), "id")
 
@@ -400,11 +402,12 @@ def results(rows: DataFrame, reps: DataFrame, spans: DataFrame, key: str, length
                 out.append((i, digest_of(raw), len(raw) - len(left), len(start), hashlib.sha256(left).hexdigest(), left if with_text else None))
             yield pd.DataFrame(out, columns=["id", "digest", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    changed = spanned.select("id", "text", "spans").mapInPandas(cut, "id long, digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["id", "digest"])
+    changed = spanned.select("id", "text", "spans").mapInPandas(cut, "id long, digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    changed = changed.dropDuplicates(["id", "digest"]) if repeated else changed
     body = F.coalesce(F.col("text"), F.lit(""))
     base = rows.select("id", F.octet_length(body).cast("long").alias("n_bytes"), F.unhex(F.sha2(body, 256)).alias("digest"))
     copies = base.where(F.col("id").isNotNull() & (F.col("n_bytes") >= length)).groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("digest", "rep")
-    copies = written(copies, "copies")
+    copies = written(copies, "copies", small=True)
     able = base.withColumn("on", F.when(F.col("n_bytes") >= length, F.hex("digest")))
     marked = lookup_join(able, copies.select(F.hex("digest").alias("on"), "rep"), "on", heavy_keys(able.where("on IS NOT NULL"), "on")).drop("on")
     met = marked.join(changed.withColumnRenamed("digest", "changed_digest"), "id", "left")
