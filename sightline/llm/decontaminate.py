@@ -14,7 +14,7 @@ are searched whole; extra columns of the input are left as they are. An empty be
 
 from __future__ import annotations
 
-import math
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -105,11 +105,14 @@ class Model:
     def __init__(self, items: list[Item], features: np.ndarray, weight: np.ndarray, basis: np.ndarray, window: int, cosine: float, lcs: float, lcs_answer: float, answer: float) -> None:
         self.items, self.lookup, self.weight, self.window = items, Lookup(features), weight, window
         self.cosine, self.lcs, self.lcs_answer, self.answer = cosine, lcs, lcs_answer, answer
+        self.sets = [frozenset(x.words.tolist()) for x in items]
         self.basis = (basis * weight[:, None]).astype(np.float32)
         z = np.zeros((len(items), basis.shape[1]), dtype=np.float32)
+        self.marks = []
         for n, item in enumerate(items):
             _, f = self.lookup.find(np.unique(item.words))
             z[n] = self.basis[f].sum(0)
+            self.marks.append(frozenset(f.tolist()))
         self.latent = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def search(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
@@ -130,15 +133,23 @@ class Model:
             found = best.get(n)
             if found and found[1] >= 1.0:
                 continue
+            # a passage with few of the item's features lacks most of its words
+            if 4 * len(self.marks[n].intersection(f[lo[w] : hi[w]].tolist())) < len(self.marks[n]):
+                continue
             size = len(item.words)
             a = max(0, start[w] - size)
             region = words[a : start[w] + self.window + size]
-            # a window too poor in the item's words cannot hold enough of it
-            if np.isin(region, item.words).sum() < self.lcs_answer * size:
+            own = self.sets[n]
+            held = [0, *itertools.accumulate(x in own for x in region.tolist())]
+            least = self.lcs_answer * size
+            if held[-1] < least:
                 continue
             span = size + max(4, size // 3)
             step = max(1, size // 4)
             for s in range(0, max(1, len(region) - span + step), step):
+                # words of the item in the place bound the common subsequence
+                if held[min(s + span, len(region))] - held[s] < least:
+                    continue
                 part = region[s : s + span]
                 share = subsequence(item.words, part) / size
                 if share >= self.lcs_answer and (not found or share > found[1]):
@@ -166,7 +177,9 @@ def document_frequency(documents: DataFrame, text: str, known: np.ndarray) -> tu
             for t in b["text"]:
                 n += 1
                 _, f = lookup.find(word_codes(t))
-                total[np.unique(f)] += 1
+                there = np.zeros(len(known), dtype=bool)
+                there[f] = True
+                total += there
         full = np.flatnonzero(total)
         yield pd.DataFrame({"f": np.append(full, -1), "n": np.append(total[full], n)})
 
@@ -210,9 +223,10 @@ def latent_basis(documents: DataFrame, text: str, features: np.ndarray, weight:
                 at, f = lookup.find(words)
                 _, lo, hi = windows(len(words), at, window)
                 if len(lo):
-                    runs = [np.arange(a, e) for a, e in zip(lo, hi, strict=True)]
-                    held.append((f[np.concatenate(runs)], hi - lo))
-                    n += int((hi - lo).sum())
+                    size = hi - lo
+                    inside = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+                    held.append((f[inside], size))
+                    n += len(inside)
                 if n > 20_000:
                     add()
                     n = 0
@@ -240,10 +254,10 @@ def latent_basis(documents: DataFrame, text: str, features: np.ndarray, weight:
     return left[:, : min(rank, left.shape[1])]
 
 
-def models(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rank: int = 256, window: int = 48, block: int = 2000, cosine: float = 0.35, lcs: float = 0.75, lcs_answer: float = 0.6, answer: float = 0.6, common: float = 0.02, fewest: int = 8) -> list[Model]:
+def models(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rank: int = 192, window: int = 48, block: int = 2000, cosine: float = 0.4, lcs: float = 0.75, lcs_answer: float = 0.6, answer: float = 0.6, common: float = 0.02, fewest: int = 8) -> list[Model]:
     """A model for each block of items. Features: an item's words in at most a share `common` of documents, or its `fewest` rarest."""
-    sheltered(documents.columns, text)
-    sheltered(benchmark.columns, item, item_text)
+    sheltered(documents, text)
+    sheltered(benchmark, item, item_text)
     out = []
     last = None
     while True:
@@ -287,7 +301,7 @@ def matches(text: Column, found: list[Model], spark: SparkSession) -> Column:
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """A row for each document and item that it holds: key, item_id, cosine, lcs, answer, at."""
-    sheltered(documents.columns, key, text)
+    sheltered(documents, key, text)
     found = models(documents, benchmark, text, **options)
     rows = documents.select(F.col(key).alias("_key"), matches(F.col(text), found, documents.sparkSession).alias("m"))
     return rows.select("_key", F.explode("m").alias("m")).select(F.col("_key").alias(key), "m.item_id", "m.cosine", "m.lcs", "m.answer", "m.at")
