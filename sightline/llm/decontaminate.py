@@ -3,7 +3,7 @@
 Passages are overlapping windows of words. Their features are the benchmark items' rarer words, weighted by inverse
 document frequency over the whole corpus. A randomised SVD of all passages' TF-IDF rows (one pass: per task a sketch
 AᵀAΩ of features by rank, summed by blocks, then a Nyström decomposition) gives a latent space. Passages whose cosine to
-an item reaches `cosine` there are candidates. Around a candidate, a document matches an item where the longest common
+an item, or to a passage of an item longer than a window, reaches `cosine` there are candidates. Around a candidate, a document matches an item where the longest common
 subsequence of words covers enough of the item, or covers less of it but also enough of the item's answer, its last
 sentence. Exact passages and paraphrases that keep the order of most words are found this way.
 
@@ -14,7 +14,6 @@ are searched whole; extra columns of the input are left as they are. An empty be
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -84,11 +83,25 @@ def items_of(rows: list[tuple[int, str | None]]) -> list[Item]:
     return out
 
 
-def subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, bit-parallel over a."""
+def places_of(a: np.ndarray) -> dict[int, int]:
+    """For each word the bits of its places."""
     where: dict[int, int] = {}
     for i, w in enumerate(a.tolist()):
         where[w] = where.get(w, 0) | (1 << i)
+    return where
+
+
+def passages(words: np.ndarray, window: int) -> list[np.ndarray]:
+    """The whole, and for more words than a window holds also half-overlapping windows of it, the last one at its end."""
+    if len(words) <= window:
+        return [words]
+    starts = [*range(0, len(words) - window, max(1, window // 2)), len(words) - window]
+    return [words, *(words[s : s + window] for s in starts)]
+
+
+def subsequence(a: np.ndarray, b: np.ndarray, where: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, bit-parallel over a."""
+    where = places_of(a) if where is None else where
     full = (1 << len(a)) - 1
     v = full
     for w in b.tolist():
@@ -103,60 +116,97 @@ class Model:
     """A block of items with its features, weights and latent space; searches one text at a time."""
 
     def __init__(self, items: list[Item], features: np.ndarray, weight: np.ndarray, basis: np.ndarray, window: int, cosine: float, lcs: float, lcs_answer: float, answer: float) -> None:
-        self.items, self.lookup, self.weight, self.window = items, Lookup(features), weight, window
+        self.items, self.window = items, window
         self.cosine, self.lcs, self.lcs_answer, self.answer = cosine, lcs, lcs_answer, answer
-        self.sets = [frozenset(x.words.tolist()) for x in items]
         self.basis = (basis * weight[:, None]).astype(np.float32)
-        z = np.zeros((len(items), basis.shape[1]), dtype=np.float32)
-        self.marks = []
+        # an item's words as numbers among all items' words, and how often it has each
+        self.vocabulary = Lookup(np.unique(np.concatenate([x.words for x in items])))
+        known = self.vocabulary.known
+        self.feature = np.full(len(known), -1)
+        self.feature[np.searchsorted(known, features)] = np.arange(len(features))
+        self.owns, self.bits = [], []
+        owner, rows = [], []
         for n, item in enumerate(items):
-            _, f = self.lookup.find(np.unique(item.words))
-            z[n] = self.basis[f].sum(0)
-            self.marks.append(frozenset(f.tolist()))
+            self.owns.append(np.unique(np.searchsorted(known, item.words), return_counts=True))
+            self.bits.append(places_of(item.words))
+            for passage in passages(item.words, window):
+                f = self.feature[np.searchsorted(known, np.unique(passage))]
+                owner.append(n)
+                rows.append(self.basis[f[f >= 0]].sum(0))
+        self.owner, z = np.array(owner), np.array(rows, dtype=np.float32)
         self.latent = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        self.own, self.often = (np.concatenate(x) for x in zip(*self.owns, strict=True))
+        self.edge = np.concatenate([[0], np.cumsum([len(x) for x, _ in self.owns])[:-1]])
+        self.least = lcs_answer * np.array([len(x.words) for x in items])
 
     def search(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
         words = word_codes(text)
-        at, f = self.lookup.find(words)
-        if not len(at):
+        there, v = self.vocabulary.find(words)
+        # the words that text and item have in common, each as often as both have it, bound the common subsequence
+        shared = np.minimum(np.bincount(v, minlength=len(self.feature))[self.own], self.often)
+        possible = np.add.reduceat(shared, self.edge) >= self.least
+        if not possible.any():
             return []
+        f = self.feature[v]
+        at, f = there[f >= 0], f[f >= 0]
         start, lo, hi = windows(len(words), at, self.window)
         if not len(start):
             return []
+        rows = np.flatnonzero(possible[self.owner])
+        owner = self.owner[rows]
         sums = np.zeros((len(at) + 1, self.basis.shape[1]), dtype=np.float32)
         np.cumsum(self.basis[f], axis=0, out=sums[1:])
         z = sums[hi] - sums[lo]
-        cos = z @ self.latent.T / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-        best: dict[int, tuple] = {}
-        for w, n in zip(*np.nonzero(cos >= self.cosine), strict=True):
-            item = self.items[n]
-            found = best.get(n)
-            if found and found[1] >= 1.0:
-                continue
-            # a passage with few of the item's features lacks most of its words
-            if 4 * len(self.marks[n].intersection(f[lo[w] : hi[w]].tolist())) < len(self.marks[n]):
+        cos = z @ self.latent[rows].T / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        near, row = np.nonzero(cos >= self.cosine)
+        if not len(near):
+            return []
+        pairs = np.unique(owner[row] * len(start) + near)
+        first = np.flatnonzero(np.diff(pairs // len(start), prepend=-1))
+        spot = np.full(len(self.vocabulary.known), -1)
+        out = []
+        for chosen in np.split(pairs, first[1:]):
+            n = int(chosen[0]) // len(start)
+            found = self.best(n, chosen % len(start), start, words, there, v, spot)
+            if found:
+                w, *rest = found
+                out.append((self.items[n].item_id, float(cos[w, owner == n].max()), *rest))
+        return out
+
+    def best(self, n: int, near: np.ndarray, start: np.ndarray, words: np.ndarray, there: np.ndarray, v: np.ndarray, spot: np.ndarray) -> tuple[int, float, float, int] | None:
+        """The first of the best places around windows `near`: window, shares of the item and its answer, first word."""
+        item, (own, often) = self.items[n], self.owns[n]
+        size, least = len(item.words), self.least[n]
+        spot[own] = np.arange(len(own))
+        mine = spot[v]
+        spot[own] = -1
+        at, mine = there[mine >= 0], mine[mine >= 0]
+        span, step = size + max(4, size // 3), max(1, size // 4)
+        a, e = np.maximum(0, start[near] - size), np.minimum(len(words), start[near] + self.window + size)
+        enough = np.searchsorted(at, e) - np.searchsorted(at, a) >= least
+        near, a, e = near[enough], a[enough], e[enough]
+        steps = -(-np.maximum(1, e - a - span + step) // step)
+        w = np.repeat(near, steps)
+        begin = np.repeat(a, steps) + step * (np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps))
+        lo, hi = np.searchsorted(at, begin), np.searchsorted(at, np.minimum(begin + span, np.repeat(e, steps)))
+        found, seen = None, set()
+        for k in np.flatnonzero(hi - lo >= least):
+            x, y = int(lo[k]), int(hi[k])
+            if (x, y) in seen:
                 continue
-            size = len(item.words)
-            a = max(0, start[w] - size)
-            region = words[a : start[w] + self.window + size]
-            own = self.sets[n]
-            held = [0, *itertools.accumulate(x in own for x in region.tolist())]
-            least = self.lcs_answer * size
-            if held[-1] < least:
+            seen.add((x, y))
+            bound = np.minimum(np.bincount(mine[x:y], minlength=len(own)), often).sum()
+            if bound < least or (found and bound <= found[1] * size):
                 continue
-            span = size + max(4, size // 3)
-            step = max(1, size // 4)
-            for s in range(0, max(1, len(region) - span + step), step):
-                # words of the item in the place bound the common subsequence
-                if held[min(s + span, len(region))] - held[s] < least:
-                    continue
-                part = region[s : s + span]
-                share = subsequence(item.words, part) / size
-                if share >= self.lcs_answer and (not found or share > found[1]):
-                    good = subsequence(item.answer, part) / len(item.answer)
-                    if share >= self.lcs or good >= self.answer:
-                        found = best[n] = (float(cos[w, n]), share, good, int(a + s))
-        return [(self.items[n].item_id, *found) for n, found in sorted(best.items())]
+            part = words[at[x:y]]
+            share = subsequence(item.words, part, self.bits[n]) / size
+            if share >= self.lcs_answer and (not found or share > found[1]):
+                good = subsequence(item.answer, part) / len(item.answer)
+                if share >= self.lcs or good >= self.answer:
+                    found = (int(w[k]), share, good, int(begin[k]))
+                    if share >= 1.0:
+                        break
+        return found
 
 
 def windows(n: int, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,7 +304,7 @@ def latent_basis(documents: DataFrame, text: str, features: np.ndarray, weight:
     return left[:, : min(rank, left.shape[1])]
 
 
-def models(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rank: int = 192, window: int = 48, block: int = 2000, cosine: float = 0.4, lcs: float = 0.75, lcs_answer: float = 0.6, answer: float = 0.6, common: float = 0.02, fewest: int = 8) -> list[Model]:
+def models(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rank: int = 256, window: int = 48, block: int = 2000, cosine: float = 0.35, lcs: float = 0.75, lcs_answer: float = 0.6, answer: float = 0.6, common: float = 0.02, fewest: int = 8) -> list[Model]:
     """A model for each block of items. Features: an item's words in at most a share `common` of documents, or its `fewest` rarest."""
     sheltered(documents, text)
     sheltered(benchmark, item, item_text)

@@ -73,3 +73,33 @@ def test_exact_passages_of_the_table(spark):
     texts = [(r.doc_id, norm(r.text)) for r in d.collect()]
     want = {(i, r.item_id) for r in b.collect() for i, t in texts if norm(r.text) in t}
     assert {(r.doc_id, r.item_id) for r in dc.contaminated(d, b).collect()} == want
+
+
+def test_recall_of_paraphrases_and_long_items_against_brute_force(spark):
+    r = random.Random(4)
+    rare = ["".join(r.choice("nopqrstuvwxyz") for _ in range(8)) for _ in range(30000)]
+    write = lambda n, share: [r.choice(rare) if r.random() < share else r.choice(COMMON) for _ in range(n)]
+    items = [(n, write(size, 0.5)) for n, size in enumerate([12, 25, 40, 60, 120, 250, 500, 900] * 5)]
+    docs = []
+    for k in range(3):  # copies, copies without a fifth of the words, and without most of the rare words as far as 0.76 stays
+        for n, words in items:
+            at = [i for i, w in enumerate(words) if w in COMMON]
+            odd = [i for i in range(len(words)) if i not in at] if k == 2 else list(range(len(words)))
+            gone = set(r.sample(odd, min(len(odd), int(len(words) * (0, 0.2, 0.24)[k]))))
+            text = [r.choice(rare) if i in gone else w for i, w in enumerate(words)]
+            docs.append((len(docs), " ".join(write(r.randint(0, 300), 0.3) + text + write(r.randint(0, 300), 0.3))))
+    docs += [(len(docs) + i, " ".join(write(200, 0.3))) for i in range(300)]
+    want = set()
+    for i, t in docs[: 3 * len(items)]:
+        words = dc.word_codes(t)
+        for n, w in items:
+            own, span = dc.word_codes(" ".join(w)), len(w) + max(4, len(w) // 3)
+            if np.isin(own, words).mean() >= 0.75:
+                best = max(dc.subsequence(own, words[s : s + span]) for s in range(0, max(1, len(words) - span + 1)))
+                if best >= 0.75 * len(own):
+                    want.add((i, n))
+    assert want >= {(k * len(items) + n, n) for k in range(3) for n, _ in items}
+    got = {(x.doc_id, x.item_id) for x in dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")).collect()}
+    assert got <= want
+    assert {(n, n) for n, _ in items} <= got
+    assert len(got) >= 0.95 * len(want), (len(got), len(want), sorted((i // len(items), len(items[n][1])) for i, n in want - got))
