@@ -7,8 +7,9 @@ an item, or to a passage of an item longer than a window, reaches `cosine` there
 subsequence of words covers enough of the item, or covers less of it but also enough of the item's answer, its last
 sentence. Exact passages and paraphrases that keep the order of most words are found this way.
 
-The benchmark is worked in blocks of `block` items, so what is broadcast is bounded. Null and empty texts, and items
-without words, match nothing; repeated rows get repeated results; ties between places go to the first; very long texts
+The benchmark is worked in blocks of `block` different items, so what is broadcast is bounded. An item is a row's id and
+text: texts may share an id, and items with a null id count like all others. Null and empty texts, and items without
+words, match nothing; repeated rows of either table get repeated results; ties between places go to the first; very long texts
 are searched whole; extra columns of the input are left as they are. An empty benchmark matches nothing.
 """
 
@@ -23,13 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sheltered
+from .common import sheltered, written
 from .jaccard import _MULTIPLIERS, _powers, mix
 
 _U = np.uint64
 _INSIDE = np.zeros(256, dtype=bool)
 _INSIDE[48:58] = _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
-MATCHES = "array<struct<item_id:long,cosine:double,lcs:double,answer:double,at:long>>"
+MATCHES = "array<struct<item_id:long,cosine:double,lcs:double,answer:double,at:long,times:long>>"
 
 
 def word_codes(text: str | None) -> np.ndarray:
@@ -65,21 +66,22 @@ class Lookup:
 
 @dataclass
 class Item:
-    item_id: int
+    item_id: int | None
     words: np.ndarray
     answer: np.ndarray
+    times: int
 
 
-def items_of(rows: list[tuple[int, str | None]]) -> list[Item]:
-    """Items with their answer: the last sentence, or the last quarter where there is only one."""
+def items_of(rows: list[tuple[int | None, str | None, int]]) -> list[Item]:
+    """Items, from (id, text, number of such rows), with their answer: the last sentence, or the last quarter where there is only one."""
     out = []
-    for i, text in rows:
+    for i, text, times in rows:
         words = word_codes(text)
-        if i is None or not len(words):
+        if not len(words):
             continue
         sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n+", text.strip()) if len(word_codes(s))]
         answer = word_codes(sentences[-1]) if len(sentences) > 1 else words[-max(1, len(words) // 4) :]
-        out.append(Item(i, words, answer))
+        out.append(Item(i, words, answer, times))
     return out
 
 
@@ -139,7 +141,7 @@ class Model:
         self.edge = np.concatenate([[0], np.cumsum([len(x) for x, _ in self.owns])[:-1]])
         self.least = lcs_answer * np.array([len(x.words) for x in items])
 
-    def search(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
+    def search(self, text: str | None) -> list[tuple[int | None, float, float, float, int, int]]:
         words = word_codes(text)
         there, v = self.vocabulary.find(words)
         # the words that text and item have in common, each as often as both have it, bound the common subsequence
@@ -170,7 +172,7 @@ class Model:
             found = self.best(n, chosen % len(start), start, words, there, v, spot)
             if found:
                 w, *rest = found
-                out.append((self.items[n].item_id, float(cos[w, owner == n].max()), *rest))
+                out.append((self.items[n].item_id, float(cos[w, owner == n].max()), *rest, self.items[n].times))
         return out
 
     def best(self, n: int, near: np.ndarray, start: np.ndarray, words: np.ndarray, there: np.ndarray, v: np.ndarray, spot: np.ndarray) -> tuple[int, float, float, int] | None:
@@ -309,14 +311,17 @@ def models(documents: DataFrame, benchmark: DataFrame, text: str = "text", item:
     sheltered(documents, text)
     sheltered(benchmark, item, item_text)
     out = []
-    last = None
+    # one row for each id and text; the digest of the text gives those of one id an order
+    every = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t IS NOT NULL")
+    every = written(every.groupBy("i", "t").agg(F.count("*").alias("times")).withColumn("d", F.sha2(F.col("t").cast("binary"), 256)), "items")
+    rest = every
     while True:
-        rest = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i IS NOT NULL")
-        rest = rest if last is None else rest.where(F.col("i") > last)
-        rows = [(r.i, r.t) for r in rest.orderBy("i", "t").limit(block).collect()]
+        rows = rest.orderBy(F.col("i").asc_nulls_first(), "d").limit(block).collect()
         if not rows:
             return out
-        last = rows[-1][0]
+        i, d = rows[-1].i, rows[-1].d
+        rest = every.where(F.col("i").isNotNull() | (F.col("d") > d)) if i is None else every.where((F.col("i") > i) | ((F.col("i") == i) & (F.col("d") > d)))
+        rows = [(r.i, r.t, r.times) for r in rows]
         items = items_of(rows)
         known = np.unique(np.concatenate([np.zeros(0, dtype=_U), *(x.words for x in items)]))
         if not len(known):
@@ -343,7 +348,7 @@ def matches(text: Column, found: list[Model], spark: SparkSession) -> Column:
             out = []
             for t in s:
                 hits = [x for m in shared.value for x in m.search(t)]
-                out.append([dict(zip(("item_id", "cosine", "lcs", "answer", "at"), x, strict=True)) for x in hits])
+                out.append([dict(zip(("item_id", "cosine", "lcs", "answer", "at", "times"), x, strict=True)) for x in hits])
             yield pd.Series(out)
 
     return search(text.cast("string"))
@@ -354,7 +359,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     sheltered(documents, key, text)
     found = models(documents, benchmark, text, **options)
     rows = documents.select(F.col(key).alias("_key"), matches(F.col(text), found, documents.sparkSession).alias("m"))
-    return rows.select("_key", F.explode("m").alias("m")).select(F.col("_key").alias(key), "m.item_id", "m.cosine", "m.lcs", "m.answer", "m.at")
+    rows = rows.select("_key", F.explode("m").alias("m"))
+    rows = rows.select("_key", "m", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m.times"))))
+    return rows.select(F.col("_key").alias(key), "m.item_id", "m.cosine", "m.lcs", "m.answer", "m.at")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -103,3 +103,16 @@ def test_recall_of_paraphrases_and_long_items_against_brute_force(spark):
     assert got <= want
     assert {(n, n) for n, _ in items} <= got
     assert len(got) >= 0.95 * len(want), (len(got), len(want), sorted((i // len(items), len(items[n][1])) for i, n in want - got))
+
+
+def test_repeated_and_missing_item_ids_across_blocks(spark):
+    _, items, _ = corpus()
+    rows = [(7 if n < 30 else None if n < 35 else n, t) for n, t in items] + [(7, items[3][1])]
+    docs = [(n, "so " + t + " and more") for n, t in items]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(rows, "item_id long, text string")
+    want = sorted([(n, -1 if i is None else i) for n, (i, _) in enumerate(rows[:40])] + [(3, 7)])
+    for block in (4, 10, 2000):
+        got = sorted((r.doc_id, -1 if r.item_id is None else r.item_id) for r in dc.contaminated(d, b, block=block).collect())
+        assert got == want
+        assert dc.clean(d, b, block=block).collect() == []
