@@ -20,7 +20,7 @@ SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # a word before A-Z are lower-cased
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: label, SPDX identifier as words, name as a pattern over normalised words, keyword.
+#: label, SPDX identifier as words, name as a pattern over normalised words, keywords parted by |: each alternative of the name has one.
 LICENSES = (
     ("mit", "mit", r"(?:mit|expat) licen[cs]e", "licen"),
     ("mit-0", "mit 0", r"mit (?:no attribution|0) licen[cs]e", "licen"),
@@ -59,14 +59,14 @@ LICENSES = (
     ("osl-3", "osl 3 0", r"open software licen[cs]e(?: (?:version |v)?3(?: 0)?)?", "open software"),
     ("ms-pl", "ms pl", r"microsoft public licen[cs]e", "microsoft"),
     ("ms-rl", "ms rl", r"microsoft reciprocal licen[cs]e", "microsoft"),
-    ("cc0-1", "cc0 1 0", r"(?:creative commons zero|cc0)(?: (?:version )?1 0)?(?: universal)?", "cc0"),
+    ("cc0-1", "cc0 1 0", r"(?:creative commons zero|cc0)(?: (?:version )?1 0)?(?: universal)?", "cc0|commons zero"),
     ("cc-by-4", "cc by 4 0", r"(?:creative commons attribution|cc by)(?: (?:international|licen[cs]e))* 4(?: 0)?", "4"),
     ("cc-by-3", "cc by 3 0", r"(?:creative commons attribution|cc by)(?: (?:unported|licen[cs]e))* 3(?: 0)?", "3"),
-    ("cc-by-sa", "cc by sa \\d 0", r"(?:creative commons attribution share ?alike|cc by sa)(?: \d(?: 0)?)?", "sa"),
-    ("cc-by-nd", "cc by nd \\d 0", r"(?:creative commons attribution no ?deriv\w*|cc by nd)(?: \d(?: 0)?)?", "nd"),
-    ("cc-by-nc-4", "cc by nc 4 0", r"(?:creative commons attribution non ?commercial|cc by nc) 4(?: 0)?", "nc"),
-    ("cc-by-nc-sa", "cc by nc sa \\d 0", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: \d(?: 0)?)?", "nc sa"),
-    ("cc-by-nc-nd", "cc by nc nd \\d 0", r"(?:creative commons attribution non ?commercial no ?deriv\w*|cc by nc nd)(?: \d(?: 0)?)?", "nc nd"),
+    ("cc-by-sa", "cc by sa \\d 0", r"(?:creative commons attribution share ?alike|cc by sa)(?: \d(?: 0)?)?", "by sa|attribution share"),
+    ("cc-by-nd", "cc by nd \\d 0", r"(?:creative commons attribution no ?deriv\w*|cc by nd)(?: \d(?: 0)?)?", "by nd|attribution no"),
+    ("cc-by-nc-4", "cc by nc 4 0", r"(?:creative commons attribution non ?commercial|cc by nc) 4(?: 0)?", "by nc|attribution non"),
+    ("cc-by-nc-sa", "cc by nc sa \\d 0", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: \d(?: 0)?)?", "nc sa|attribution non"),
+    ("cc-by-nc-nd", "cc by nc nd \\d 0", r"(?:creative commons attribution non ?commercial no ?deriv\w*|cc by nc nd)(?: \d(?: 0)?)?", "nc nd|attribution non"),
     ("odbl-1", "odbl 1 0", r"open (?:data commons open )?database licen[cs]e(?: (?:version |v)?1(?: 0)?)?", "database"),
 )
 
@@ -115,7 +115,7 @@ GATE = r"licen[cs]e|creative[^a-z0-9]*commons|apache[^a-z0-9]+org|boost[^a-z0-9]
 
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:
-    """(id, label, keyword, pattern, priority, confidence); the order settles ties."""
+    """(id, label, keywords parted by |, pattern, priority, confidence); the order settles ties."""
     made: list[tuple[str, str, str, int, float]] = []
     for label, spdx, name, keyword in LICENSES:
         for frame, priority, sure in FRAMES:
@@ -126,7 +126,7 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
 
 
 def _rules_literal() -> Column:
-    return F.array(*(F.struct(F.lit(i).alias("id"), F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(n).alias("priority"), F.lit(c).alias("sure")) for i, a, k, p, n, c in rules()))
+    return F.array(*(F.struct(F.lit(i).alias("id"), F.lit(a).alias("label"), F.array(*map(F.lit, k.split("|"))).alias("keywords"), F.lit(p).alias("pattern"), F.lit(n).alias("priority"), F.lit(c).alias("sure")) for i, a, k, p, n, c in rules()))
 
 
 def _spans(norm: Column, rule: Column) -> Column:
@@ -197,7 +197,7 @@ def scan(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
     total = places[0]
     for p in places[1:]:
         total = total + p
-    candidates = F.filter(_rules_literal(), lambda r: F.contains(F.col("_norm"), r["keyword"]))
+    candidates = F.filter(_rules_literal(), lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("_norm"), k)))
     spans = F.flatten(F.transform(candidates, lambda r: _spans(F.col("_norm"), r)))
     rows = rows.select(
         *keep, "n_words",

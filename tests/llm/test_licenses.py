@@ -54,3 +54,64 @@ def test_spans_priority_and_containment(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.scan(df).collect() == []
+
+
+def expansions(pattern):
+    """Strings that a pattern matches: every alternative, every optional part with and without, repeats at both ends."""
+    from re import _parser
+
+    def run(items):
+        out = [""]
+        for op, arg in items:
+            kind = str(op)
+            if kind == "LITERAL":
+                more = [chr(arg)]
+            elif kind == "IN":
+                more = ["7" if "DIGIT" in str(arg) else "x" if "WORD" in str(arg) else chr(v) for k, v in arg if str(k) == "LITERAL"] or ["7" if "DIGIT" in str(arg) else "x"]
+            elif kind == "SUBPATTERN":
+                more = run(arg[3])
+            elif kind == "BRANCH":
+                more = [x for branch in arg[1] for x in run(branch)]
+            elif kind == "MAX_REPEAT":
+                low, high, inner = arg
+                one = run(inner)
+                more = [x * n for x in one for n in {low, max(low, min(int(high), low + 1))}]
+            else:
+                raise AssertionError(kind)
+            out = [a + b for a in out for b in more]
+        return out
+
+    return run(_parser.parse(pattern))
+
+
+def test_every_alternative_passes_gate_and_keywords(spark):
+    texts = [(label, t) for label, spdx, name, _ in licenses.LICENSES for t in [*expansions(name), *("spdx license identifier " + x for x in expansions(spdx))]]
+    texts += [(label, t) for label, pattern, *_ in licenses.TEXTS for t in expansions(pattern)]
+    assert len(texts) > 400
+    missing = []
+    for i, label, keywords, pattern, *_ in licenses.rules():
+        if pattern.startswith(" (?:licensed|released"):
+            continue
+        tried = [t for own, t in texts if own == label and re.search(pattern, f" {t} ")]
+        missing += [(i, t) for t in tried if not re.search(licenses.GATE, t) or not any(k in f" {t} " for k in keywords.split("|"))]
+    assert not missing
+    framed = [(n, label, t if t.startswith("spdx") else f"Licensed under the {t}") for n, (label, t) in enumerate(texts)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(n, t) for n, _, t in framed], "doc_id long, text string")).collect()}
+    every = licenses.rules()
+    for n, label, t in framed:
+        norm = " " + " ".join(WORD.findall(t.translate(UP))) + " "
+        found = [(p, i) for i, _, _, pattern, p, _ in every if re.search(pattern, norm)]
+        assert found and max(p for p, _ in found) in [d.priority for d in got[n].detections], (label, t)
+
+
+def test_creative_commons_names_in_full(spark):
+    cases = [
+        ("Licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by-nc-sa"),
+        ("under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 License", "cc-by-nc-nd"),
+        ("Creative Commons Zero 1.0 Universal", "cc0-1"),
+        ("Creative Commons Attribution Non-Commercial 4.0", "cc-by-nc-4"),
+        ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa"),
+        ("Creative Commons Attribution-NoDerivs 3.0", "cc-by-nd"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(df).collect()} == {i: label for i, (_, label) in enumerate(cases)}
