@@ -299,8 +299,8 @@ def sensor_height_curve(spark, sf_dir):
     return whatif.height_curve(seen(spark, sf_dir, sample=c.SAMPLE_FRAMES))
 
 
-def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whatif.scores_of_views(seen(spark, sf_dir, (120.0, 360.0), c.SAMPLE_FRAMES))
+def _views(spark: SparkSession, sf_dir: str, sample: int = c.SAMPLE_FRAMES) -> DataFrame:
+    return whatif.scores_of_views(seen(spark, sf_dir, (120.0, 360.0), sample))
 
 
 @query
@@ -396,3 +396,19 @@ def following_stats(spark, sf_dir):
 @query
 def object_decomposition(spark, sf_dir):
     return summary.object_decomposition(observe.counts(seen(spark, sf_dir, (120.0, 360.0))))
+
+
+#: The what-ifs above take the reference's even sample of frames; under these names they run on all frames.
+_WHOLE: dict[str, Query] = {
+    "vertical_visibility": lambda spark, sf_dir: whatif.vertical(seen(spark, sf_dir)),
+    "sensor_height_curve": lambda spark, sf_dir: whatif.height_curve(seen(spark, sf_dir)),
+    "confidence_ungated": lambda spark, sf_dir: whatif.ungated(_views(spark, sf_dir, 0)),
+    "confidence_curve": lambda spark, sf_dir: whatif.confidence_curve(_views(spark, sf_dir, 0)),
+    "confidence_grid": lambda spark, sf_dir: whatif.confidence_grid(_views(spark, sf_dir, 0)),
+    "occlusion_shadow": lambda spark, sf_dir: whatif.occlusion_shadow(seen(spark, sf_dir)),
+    "truck_occlusion_share": lambda spark, sf_dir: whatif.truck_share(seen(spark, sf_dir)),
+    "lead_vehicle_benefit": lambda spark, sf_dir: whatif.lead_benefit(whatif.lead_vehicles(seen(spark, sf_dir))),
+}
+for _name, _f in _WHOLE.items():
+    _f.__name__ = f"{_name}_whole"
+    query(_f)

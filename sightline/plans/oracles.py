@@ -247,3 +247,5 @@ for _fov in (120, 360):
         *TTC,
         PAIRS,
     )
+for _name in ("vertical_visibility", "sensor_height_curve", "confidence_ungated", "confidence_curve", "confidence_grid", "occlusion_shadow", "truck_occlusion_share", "lead_vehicle_benefit"):
+    ORACLES[f"{_name}_whole"] = ORACLES[_name].replace(SCENE, "scene AS (SELECT * FROM tracks)")

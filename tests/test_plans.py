@@ -25,3 +25,8 @@ def test_query_against_sql(spark, duck, name):
     assert columns == sorted(theirs.columns)
     a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (mine, theirs))
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=0, atol=1.1e-6)
+
+
+def test_whole_what_ifs_take_every_frame(spark):
+    n = catalogue.QUERIES["confidence_ungated_whole"](spark, SF).first().n
+    assert n == catalogue._views(spark, SF, 0).count() > 10 * catalogue._views(spark, SF, 5).count()
