@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key holding more than 1/HEAVY_SHARE of the rows counts as heavy, so there are fewer than HEAVY_SHARE of them.
-HEAVY_SHARE = 400
+#: A key counts as heavy from HEAVY_ROWS rows on, or from 1/HEAVY_SHARE of all rows where that is less: what a task gathers
+#: of a light key is bounded whatever the input, and of n rows there are at most HEAVY_SHARE + n / HEAVY_ROWS heavy keys.
+HEAVY_SHARE, HEAVY_ROWS = 400, 1_000_000
 #: Rows and bytes that a Python worker is handed at once.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset and all runs in this process, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
+        elif not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="sightline-")
             spark.sparkContext.setCheckpointDir(base)
@@ -43,11 +47,17 @@ def written(df: DataFrame, name: str = "table", small: bool = False) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def heavy_keys(df: DataFrame, key: str, share: int = HEAVY_SHARE) -> DataFrame:
-    """Keys with more than 1/share of df's rows: fewer than `share` rows whatever the input, so safe to broadcast."""
+def heavy_from(total: int | Column) -> Column:
+    """From how many rows on a key of a table with `total` rows is heavy."""
+    total = total if isinstance(total, Column) else F.lit(total)
+    return F.least(F.lit(HEAVY_ROWS), F.floor(total / HEAVY_SHARE) + 1)
+
+
+def heavy_keys(df: DataFrame, key: str) -> DataFrame:
+    """The heavy keys of df with their numbers of rows; few enough to broadcast."""
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))
     total = df.agg(F.count("*").alias("_all"))
-    return counts.join(F.broadcast(total), F.col("_n") * share > F.col("_all")).select(key, "_n")
+    return counts.join(F.broadcast(total), F.col("_n") >= heavy_from(F.col("_all"))).select(key, "_n")
 
 
 def sheltered(df: DataFrame, *used: str) -> None:
@@ -65,7 +75,7 @@ def sheltered(df: DataFrame, *used: str) -> None:
 def lookup_join(rows: DataFrame, table: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
     """Left join of rows to a table with one row per key, without gathering the rows of heavy keys.
 
-    heavy: the column `key`, fewer than HEAVY_SHARE rows. Their entries are broadcast; all other rows meet theirs in a
+    heavy: the column `key`, as few rows as heavy_keys gives. Their entries are broadcast; all other rows meet theirs in a
     join on the key, where rows of heavy keys carry a key of their own each. Null keys find nothing.
     """
     values = [c for c in table.columns if c != key]
@@ -77,3 +87,16 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, heavy: DataFrame) -
     light = table.select(F.concat(F.lit("k"), F.col(key).cast("string")).alias("_light"), *(F.col(c).alias(f"_light_{c}") for c in values))
     joined = spread.join(light, F.col("_on") == F.col("_light"), "left")
     return joined.select(*rows.columns, *(F.coalesce(f"_heavy_{c}", f"_light_{c}").alias(c) for c in values))
+
+
+def marked_ids(rows: DataFrame, ids: DataFrame, column: str = "id", most: int = 1 << 20) -> DataFrame:
+    """Adds maybe: whether a row's id may be among ids, by a table of 16 bits for each id, 64 * most bits at most; null ids are not.
+
+    Beyond some 50 million ids the table fills, and more rows are marked than need be.
+    """
+    words = 1 << min(max(ids.count() // 4, 1024).bit_length(), most.bit_length() - 1)
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * words))
+    table = ids.select(spot("id").alias("_s")).groupBy((F.col("_s") / 64).cast("long").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(_s, 64) AS int))")).alias("_bits"))
+    named = rows.withColumn("_s", spot(F.col(column).cast("long"))).withColumn("_word", (F.col("_s") / 64).cast("long")).join(F.broadcast(table), "_word", "left")
+    bit = F.expr("coalesce(shiftrightunsigned(_bits, cast(pmod(_s, 64) AS int)) & 1 = 1, FALSE)")
+    return named.withColumn("maybe", bit & F.col(column).isNotNull()).select(*rows.columns, "maybe")

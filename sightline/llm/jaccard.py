@@ -1,39 +1,45 @@
 """Operator 8: exact Jaccard join on word 5-shingles by a token-group matrix.
 
-Documents with the same set of shingles are one node. Similar nodes are first put into groups (of a bounded size, by
-minimum hashes), and each node is checked against its likeliest partner there; those links give first components. For
-completeness, every node posts the shingles of its prefix: two sets at the threshold must share one. The nodes that share
-a shingle and are not yet all connected form a posting group. Within it, members of one component, in blocks, store the
-union of their shingles as a bitmap; a node whose bound on the overlap with a union is too low does not open the block,
-else it is bound against the members one by one. Pairs left over are checked on their full sets. A node and a component
-exchange the best few pairs first; further rounds take the rest of them where that did not connect the two.
-
-Shingles are 64-bit hashes. Prefixes order shingles with those frequent in a hash-ordered sample of `order_sample`
-documents last, then by hash; the sample moves work, not results. Posting groups beyond `part` nodes are split in
-blocks that meet pairwise. No group, list of links or component is ever gathered in one task or on the driver.
+Documents with the same set of shingles are one node. Nodes meet in blocks of bounded rows and bytes; a block is a matrix
+of nodes and tokens, in which similar nodes are partitioned into groups that store the union of their tokens. A node's
+overlap with a union bounds its overlap with each member, and only groups whose bound qualifies are opened. That happens
+twice: on bitmaps, which tells the nodes that can have a link in the block at all, then for those on their full sets.
+There links are found and united at once: a block gives each node's least partner in the block's components, never more
+rows than nodes, and no pair leaves it.
+
+The first blocks are nodes with the same minimum hash. They find most links, and their components are merged. The second
+ones make the result complete: every node posts the shingles of its prefix, of which two sets at the threshold must share
+one; the nodes that share a shingle, are not all connected yet and have like sizes form blocks, and where they are too
+many, blocks that meet pairwise.
+
+Shingles are 64-bit hashes, sets are named by 128 bits. Prefixes put shingles last that are frequent in a sample of about
+`order_sample` documents, counted in a table of fixed size; the sample moves work, not results. Shingles that are frequent
+there are posted by node, all others by shingle, so no task gathers a frequent one.
 
 Null and empty texts and texts without words have an empty set, link with nothing and are their own component. Repeated
-rows are one node. Rows without an id are left out. Extra columns of the input are ignored.
+rows are one node; rows that share an id but not a text are separate documents with one id. Rows without an id are left
+out. Very long texts count whole. An empty table gives an empty result. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import heavy_keys, lookup_join, sheltered, written
+from .common import heavy_from, heavy_keys, lookup_join, marked_ids, sheltered, written
 from .graph import components
 
 _U = np.uint64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=_U)
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
-SEEDS = (0x1234567, 0x9ABCDEF1, 0x5BD1E995)
+SEEDS = (0x1234567, 0x9ABCDEF1)
 WORDS = 5
 
 
@@ -89,9 +95,9 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def node_of(hashes: np.ndarray) -> int:
-    """A signed 64-bit digest of the set."""
-    return int((mix(hashes ^ _U(0x51ED270B)).sum(dtype=_U) + _U(len(hashes))).astype(np.int64))
+def digest_of(hashes: np.ndarray) -> bytes:
+    """128 bits that name the set."""
+    return hashlib.blake2b(hashes, digest_size=16).digest()
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -102,56 +108,93 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits)
 
 
-def prefix(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+#: Slots of the table that counts the sampled documents' shingles, and of one row of it on its way to the driver.
+SLOTS, STRIPE = 1 << 22, 1 << 14
+
+
+def prefix(hashes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The shingles of which any set at the threshold must share one: the first in the order of (frequency class, hash)."""
     n = len(hashes)
     length = n + (-4 * n // 5) + 1
-    if len(frequent):
-        late = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
-        hashes = np.concatenate([hashes[~late], hashes[late]])
-    return hashes[:length]
+    level = order[(hashes & _U(SLOTS - 1)).astype(np.int64)]
+    return hashes[np.argsort(level, kind="stable")[:length]]
 
 
-def _ids(documents: DataFrame, key: str, text: str) -> DataFrame:
-    return documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull())
+def shingle_order(rows: DataFrame, total: int, sample: int) -> tuple[np.ndarray, int]:
+    """(frequency class by slot, class from which a shingle is posted by node), from about `sample` documents."""
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.zeros(SLOTS, dtype=np.uint32)
+        for b in batches:
+            for text in b["text"]:
+                slot, n = np.unique((shingles(text) & _U(SLOTS - 1)).astype(np.int64), return_counts=True)
+                table[slot] += n.astype(np.uint32)
+        for i in range(0, SLOTS, STRIPE):
+            if table[i : i + STRIPE].any():
+                yield pd.DataFrame({"stripe": [i], "counts": [np.minimum(table[i : i + STRIPE], 65535).astype(np.uint16).tobytes()]})
 
-def signatures(rows: DataFrame) -> DataFrame:
-    """(id, n, node, key0.., bits) of every row, as a written table."""
+    def add(b: pd.DataFrame) -> pd.DataFrame:
+        counts = np.sum([np.frombuffer(x, dtype=np.uint16).astype(np.uint32) for x in b["counts"]], axis=0)
+        return pd.DataFrame({"stripe": b["stripe"].iloc[:1], "counts": [_level(counts).tobytes()]})
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, text in zip(b["id"].to_numpy(), b["text"], strict=True):
-                h = shingles(text)
-                keys = [int(mix(h ^ _U(s)).min().astype(np.int64)) for s in SEEDS] if len(h) else [0] * len(SEEDS)
-                out.append((i, len(h), node_of(h) if len(h) else 0, *keys, bitmap(h).tobytes() if len(h) else b""))
-            yield pd.DataFrame(out, columns=["id", "n", "node", *(f"key{k}" for k in range(len(SEEDS))), "bits"])
+    chosen = rows.where(F.pmod(F.xxhash64("id", "th"), F.lit(max(total, 1))) < sample).select("text")
+    chosen = chosen.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    order = np.zeros(SLOTS, dtype=np.uint8)
+    for r in chosen.mapInPandas(count, "stripe long, counts binary").groupBy("stripe").applyInPandas(add, "stripe long, counts binary").collect():
+        order[r.stripe : r.stripe + STRIPE] = np.frombuffer(r.counts, dtype=np.uint8)
+    taken = min(total, sample)
+    often = min(max(taken // 400, 16), max(16, 1_000_000 * taken // max(total, 1)))
+    return order, int(_level(np.array([often]))[0])
 
-    return written(rows.mapInPandas(sign, "id long, n long, node long, " + "".join(f"key{k} long, " for k in range(len(SEEDS))) + "bits binary"), "signatures")
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Frequency classes: below 4, then quarters of octaves."""
+    return np.where(counts < 4, 0, np.floor(4 * np.log2(np.maximum(counts, 4) / 4)) + 1).astype(np.uint8)
 
-def frequent_shingles(rows: DataFrame, total: int, sample: int, least: int = 5) -> np.ndarray:
-    """Shingles in at least `least` of about `sample` documents chosen by hash; fewer than sample * length / least."""
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingles(t) for t in b["text"]]
-            found, n = np.unique(np.concatenate([np.zeros(0, dtype=_U), *sets]), return_counts=True)
-            yield pd.DataFrame({"h": found.view(np.int64), "c": n})
+def _ids(documents: DataFrame, key: str, text: str) -> DataFrame:
+    rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull())
+    return rows.withColumn("th", F.xxhash64("text"))
 
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(total, 1))) < sample)
-    counted = chosen.mapInPandas(emit, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def signatures(rows: DataFrame, order: np.ndarray, node_bits: int) -> DataFrame:
+    """(id, th, n, digest, node, key0.., bits, prefix) of every row, as a written table."""
+    shared = rows.sparkSession.sparkContext.broadcast(order)
+    keys = [f"key{k}" for k in range(len(SEEDS))]
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"h": [b["h"].to_numpy().tobytes()]})
+            out = []
+            for i, th, text in zip(b["id"].to_numpy(), b["th"].to_numpy(), b["text"], strict=True):
+                h = shingles(text)
+                if len(h):
+                    name = digest_of(h)
+                    node = int.from_bytes(name[:8], "little", signed=True) >> (64 - node_bits)
+                    least = [int(mix(h ^ _U(s)).min().astype(np.int64)) for s in SEEDS]
+                    out.append((i, th, len(h), name, node, *least, bitmap(h).tobytes(), prefix(h, shared.value).tobytes()))
+                else:
+                    out.append((i, th, 0, b"", 0, *(0 for _ in SEEDS), b"", b""))
+            yield pd.DataFrame(out, columns=["id", "th", "n", "digest", "node", *keys, "bits", "prefix"])
 
-    return np.sort(np.frombuffer(b"".join(r.h for r in counted.select("h").mapInPandas(pack, "h binary").collect()), dtype=_U))
+    schema = "id long, th long, n long, digest binary, node long, " + "".join(f"{k} long, " for k in keys) + "bits binary, prefix binary"
+    return written(rows.select("id", "th", "text").mapInPandas(sign, schema), "signatures")
 
 
-def shared_prefixes(rows: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+def distinct_sets(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signed with a node for each set, nodes): where two sets have one number, all but one of them get another."""
+    while True:
+        columns = [F.first(c).alias(c) for c in ("n", *(f"key{k}" for k in range(len(SEEDS))), "bits")]
+        nodes = written(signed.where("n > 0").groupBy("node").agg(F.min("digest").alias("digest"), F.max("digest").alias("_last"), F.min(F.struct("id", "th")).alias("rep"), *columns), "nodes")
+        twice = nodes.where("digest <> _last").select(F.col("node").alias("_node"), F.col("digest").alias("_digest"))
+        if twice.isEmpty():  # as a rule, up to some 10^9 sets
+            return signed, nodes.drop("_last")
+        moved = F.col("_digest").isNotNull() & (F.col("digest") != F.col("_digest"))
+        signed = written(signed.join(F.broadcast(twice), F.col("node") == F.col("_node"), "left").withColumn("node", F.when(moved, F.xxhash64("node", "digest")).otherwise(F.col("node"))).drop("_node", "_digest"), "signatures")
+
+
+def shared_prefixes(signed: DataFrame, order: np.ndarray, often: int, buckets: int) -> DataFrame:
     """(group, node): the nodes that share a prefix shingle; shingles shared by the same nodes are one group (per bucket)."""
-    order = rows.sparkSession.sparkContext.broadcast(frequent)
+    shared = signed.sparkSession.sparkContext.broadcast(order)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
@@ -159,24 +202,22 @@ def shared_prefixes(rows: DataFrame, frequent: np.ndarray, buckets: int) -> Data
 
         def flush() -> pd.DataFrame:
             nodes = np.repeat(np.array(list(held), dtype=np.int64), [len(v) for v in held.values()])
-            tokens = np.concatenate([np.zeros(0, dtype=_U), *held.values()])
+            tokens = np.concatenate(list(held.values()))
             bucket = ((tokens >> _U(40)) % _U(buckets)).astype(np.int64)
+            hot = shared.value[(tokens & _U(SLOTS - 1)).astype(np.int64)] >= often
+            bucket = np.where(hot, -1 - ((mix(nodes.view(_U)) >> _U(20)) % _U(buckets)).astype(np.int64), bucket)
             at = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[at], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            return pd.DataFrame({"bucket": full, "tokens": [tokens[at[cuts[i] : cuts[i + 1]]].tobytes() for i in full], "nodes": [nodes[at[cuts[i] : cuts[i + 1]]].tobytes() for i in full]})
+            cut, stop = _runs(bucket[at])
+            return pd.DataFrame({"bucket": bucket[at[cut]], "tokens": [tokens[at[s:e]].tobytes() for s, e in zip(cut, stop, strict=True)], "nodes": [nodes[at[s:e]].tobytes() for s, e in zip(cut, stop, strict=True)]})
 
         for b in batches:
-            for text in b["text"]:
-                h = shingles(text)
-                if len(h):
-                    node = node_of(h)
-                    if node not in held:
-                        held[node] = prefix(h, order.value)
-                        size += len(held[node])
-                if size > 1_500_000:
-                    yield flush()
-                    held, size = {}, 0
+            for node, data in zip(b["node"].to_numpy(), b["prefix"], strict=True):
+                if node not in held:
+                    held[node] = np.frombuffer(data, dtype=_U)
+                    size += len(held[node])
+            if size > 1_500_000:
+                yield flush()
+                held, size = {}, 0
         if held:
             yield flush()
 
@@ -187,8 +228,10 @@ def shared_prefixes(rows: DataFrame, frequent: np.ndarray, buckets: int) -> Data
         tokens, nodes = tokens[at], nodes[at]
         new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])])
         tokens, nodes = tokens[new], nodes[new]
-        start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        count = np.diff(np.append(start, len(tokens)))
+        if b["bucket"].iloc[0] < 0:  # a frequent shingle is its own group, of which this is a part
+            return pd.DataFrame({"group": mix(tokens).view(np.int64), "node": nodes})
+        start, stop = _runs(tokens)
+        count = stop - start
         start, count = start[count > 1], count[count > 1]
         if not len(start):
             return pd.DataFrame({"group": [], "node": []}, dtype=np.int64)
@@ -199,19 +242,16 @@ def shared_prefixes(rows: DataFrame, frequent: np.ndarray, buckets: int) -> Data
         inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         return pd.DataFrame({"group": np.repeat(group, count), "node": nodes[np.repeat(start, count) + inner]})
 
-    posted = rows.select("text").mapInPandas(post, "bucket long, tokens binary, nodes binary")
-    return written(posted.groupBy("bucket").applyInPandas(meet, "group long, node long"), "groups")
+    posted = signed.where("n > 0").select("node", "prefix").mapInPandas(post, "bucket long, tokens binary, nodes binary")
+    return posted.groupBy("bucket").applyInPandas(meet, "group long, node long")
 
 
-class Block:
-    """Some nodes with sizes and bitmaps, folded to one width."""
-
-    def __init__(self, nodes: np.ndarray, comps: np.ndarray, n: np.ndarray, bits: list[bytes]) -> None:
-        at = np.lexsort((nodes, comps))
-        self.node, self.comp, self.n = nodes[at], comps[at], n[at].astype(np.int64)
-        bits = [bits[i] for i in at]
-        width = min(map(len, bits))
-        self.bits = np.stack([fold(np.frombuffer(x, dtype=np.uint8), width) for x in bits]).view(_U)
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
+    if not len(x):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return start, np.append(start[1:], len(x))
 
 
 def fold(bits: np.ndarray, width: int) -> np.ndarray:
@@ -233,188 +273,218 @@ def _missing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def open_groups(blk: Block, limit: int, same: bool, block: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (position, earlier position, bound, more) that the bounds leave: of different components, at most `limit` per node and component.
+def may_link(comps: np.ndarray, n: np.ndarray, bits: list[bytes], group: int = 32) -> np.ndarray:
+    """For each node whether the bounds by bitmaps leave a partner of another component; groups are opened only where their union's does."""
+    out = np.zeros(len(n), dtype=bool)
+    order = np.argsort(n, kind="stable")
+    lo = 0
+    # nodes of like size together: bitmaps fold to the narrowest of a run, and sizes beyond 5/4 cannot link
+    for hi in np.append(np.flatnonzero(4 * n[order[1:]] > 5 * n[order[:-1]]) + 1, len(order)).tolist():
+        at, lo = order[lo:hi], hi
+        if len(at) > 1 and (comps[at] != comps[at[0]]).any():
+            out[at] = _may_link(comps[at], n[at], [bits[i] for i in at], group)
+    return out
 
-    same: pairs within components count too, and each node keeps the best `limit` among the nodes before it.
-    """
-    m = len(blk.node)
-    start = np.arange(0, m, block) if same else np.concatenate([np.arange(s, e, block) for s, e in _runs(blk.comp)])
-    stop = np.append(start[1:], m)
-    union = np.bitwise_or.reduceat(blk.bits, start, axis=0)
-    smallest, largest = np.minimum.reduceat(blk.n, start), np.maximum.reduceat(blk.n, start)
-    n = blk.n[:, None]
-    may = (5 * (n - _missing(blk.bits, union)) >= 4 * n) & (5 * largest >= 4 * n) & (4 * smallest <= 5 * n) & (start < np.arange(m)[:, None])
-    if not same:
-        may &= blk.comp[start] != blk.comp[:, None]
-    first, second, bounds = [], [], []
+
+def _may_link(comps: np.ndarray, n: np.ndarray, bits: list[bytes], group: int) -> np.ndarray:
+    width = min(map(len, bits))
+    order = np.argsort(comps, kind="stable")
+    comp, n = comps[order], n[order]
+    maps = np.stack([fold(np.frombuffer(bits[i], dtype=np.uint8), width) for i in order]).view(_U)
+    start = np.concatenate([np.arange(s, e, group) for s, e in zip(*_runs(comp), strict=True)]) if len(np.unique(comp)) * 4 < len(comp) else np.arange(0, len(comp), group)
+    stop = np.append(start[1:], len(comp))
+    union = np.bitwise_or.reduceat(maps, start, axis=0)
+    smallest, largest = np.minimum.reduceat(n, start), np.maximum.reduceat(n, start)
+    one = comp[start] == comp[stop - 1]
+    may = (5 * (n[:, None] - _missing(maps, union)) >= 4 * n[:, None]) & (5 * largest >= 4 * n[:, None]) & (4 * smallest <= 5 * n[:, None])
+    may &= ~(one & (comp[start] == comp[:, None]))
+    out = np.zeros(len(n), dtype=bool)
     for g in np.flatnonzero(may.any(0)):
         rows, theirs = np.flatnonzero(may[:, g]), slice(start[g], stop[g])
-        bound = np.minimum(blk.n[rows, None] - _missing(blk.bits[rows], blk.bits[theirs]), blk.n[theirs] - _missing(blk.bits[theirs], blk.bits[rows]).T)
-        i, j = np.nonzero(enough(bound, blk.n[rows, None], blk.n[theirs]) & (np.arange(start[g], stop[g]) < rows[:, None]))
-        first.append(rows[i])
-        second.append(j + start[g])
-        bounds.append(bound[i, j])
-    if not first:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none.astype(bool)
-    i, j, bound = (np.concatenate(x) for x in (first, second, bounds))
-    comp = np.zeros(len(j), dtype=np.int64) if same else blk.comp[j]
-    order = np.lexsort((j, -bound / (blk.n[i] + blk.n[j] - bound), comp, i))
-    i, j, bound, comp = i[order], j[order], bound[order], comp[order]
-    new = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (comp[1:] != comp[:-1])))
-    size = np.diff(np.append(new, len(i)))
-    keep = np.arange(len(i)) - np.repeat(new, size) < limit
-    return i[keep], j[keep], bound[keep], np.repeat(size > limit, size)[keep]
-
-
-def _runs(comp: np.ndarray) -> list[tuple[int, int]]:
-    start = np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1]]))
-    return list(zip(start.tolist(), np.append(start[1:], len(comp)).tolist(), strict=True))
-
-
-def banded(members: DataFrame) -> DataFrame:
-    """(group, node, comp) of members (group, node, comp, n) whose sizes can link, without groups of one component.
+        bound = np.minimum(n[rows, None] - _missing(maps[rows], maps[theirs]), n[theirs] - _missing(maps[theirs], maps[rows]).T)
+        ok = enough(bound, n[rows, None], n[theirs]) & (comp[rows, None] != comp[theirs])
+        out[rows] |= ok.any(1)
+        out[theirs] |= ok.any(0)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
-    Sizes within 5/4 of each other fall in one band or in neighbouring ones; a node stands in its own band and the next,
-    so that any two such nodes meet. Equal groups that this leaves are one.
+
+def united(comps: np.ndarray, sets: list[np.ndarray], group: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Links (component, smaller component) that unite the components of a block's nodes as their full sets do.
+
+    Nodes are taken in turn. The tokens that a node shares with the union of a group of earlier ones bound the overlap with
+    each; groups that qualify are opened, and members in other components are compared exactly.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("long")
-    rows = members.withColumn("band", F.explode(F.array(band, band + 1)))
-    kept = rows.groupBy("group", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("sign"), F.count("*").alias("m")).where("lo < hi")
-    named = kept.select("group", "band", F.xxhash64("sign", "m").alias("name"))
-    return rows.join(named, ["group", "band"]).select(F.col("name").alias("group"), "node", "comp").distinct()
+    m = len(sets)
+    size = np.array([len(x) for x in sets])
+    least = np.array([x[0] for x in sets], dtype=_U)
+    order = np.argsort(least) if len(np.unique(comps)) == m else np.lexsort((least, comps))
+    comps, size, sets = comps[order], size[order], [sets[i] for i in order]
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    edge = np.append(0, np.cumsum(size))
+    mine = [token[s:e] for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    names, root = np.unique(comps, return_inverse=True)
+    start = np.arange(0, m, group)
+    unions = [np.unique(token[edge[s] : edge[min(s + group, m)]]) for s in start]
+    union_edge = np.append(0, np.cumsum([len(u) for u in unions]))
+    union = np.concatenate(unions)
+    smallest, largest = np.minimum.reduceat(size, start), np.maximum.reduceat(size, start)
+    there = np.zeros(int(token.max()) + 1, dtype=bool)
+    for i in range(1, m):
+        g = i // group + 1  # groups with earlier nodes
+        open_ = (5 * largest[:g] >= 4 * size[i]) & (4 * smallest[:g] <= 5 * size[i])
+        open_ &= np.logical_or.reduceat(root[: min(g * group, m)] != root[i], start[:g])
+        if not open_.any():
+            continue
+        there[mine[i]] = True
+        overlap = np.add.reduceat(there[union[: union_edge[g]]], union_edge[:g], dtype=np.int64)
+        open_ &= enough(overlap, size[i], smallest[:g])
+        near = np.concatenate([np.arange(s, min(s + group, i)) for s in start[:g][open_]]) if open_.any() else np.zeros(0, dtype=np.int64)
+        near = near[(root[near] != root[i]) & (5 * size[near] >= 4 * size[i]) & (4 * size[near] <= 5 * size[i])]
+        if len(near):
+            shared = np.add.reduceat(there[np.concatenate([mine[j] for j in near])], np.append(0, np.cumsum(size[near])[:-1]), dtype=np.int64)
+            for r in np.unique(root[near[enough(shared, size[i], size[near])]]):
+                lo, hi = min(r, root[i]), max(r, root[i])
+                root[root == hi] = lo
+        there[mine[i]] = False
+    # a component's number is the place of its name, so the least number in a root is the least name
+    _, first = np.unique(np.unique(comps, return_inverse=True)[1], return_index=True)
+    least = names[root[first]]
+    moved = least != names
+    return names[moved], least[moved]
+
+
+def _by_key(batches: Iterator[pd.DataFrame], columns: list[str], act: Callable[..., pd.DataFrame | None]) -> Iterator[pd.DataFrame]:
+    """Calls act with the columns of each key's rows. Rows come sorted by key; one that goes on in the next batch waits for it."""
+    held: list[pd.DataFrame] = []
+    for b in itertools.chain(batches, [None]):
+        if b is not None and not len(b):
+            continue
+        if held and (b is None or b["key"].iloc[0] != held[-1]["key"].iloc[-1] or b["key"].iloc[-1] != b["key"].iloc[0]):
+            whole = pd.concat([*held, b]) if b is not None else pd.concat(held)
+            held = []
+        elif b is None:
+            return
+        else:
+            held.append(b)
+            continue
+        start, stop = _runs(whole["key"].to_numpy())
+        if b is not None:
+            held = [whole.iloc[start[-1] :]]
+            start, stop = start[:-1], stop[:-1]
+        key = whole["key"].to_numpy()
+        found = [act(key[s], *(whole[c].to_numpy()[s:e] for c in columns)) for s, e in zip(start.tolist(), stop.tolist(), strict=True) if e - s > 1]
+        found = [x for x in found if x is not None and len(x)]
+        if found:
+            yield pd.concat(found)
+
+
+def linked(blocks: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """blocks (key, node, comp): links (a, b) that unite the components of the nodes that meet in a block."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def bound(key: int, node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
+        ok = may_link(comp, n, list(bits))
+        return pd.DataFrame({"key": key, "node": node[ok], "comp": comp[ok]})
+
+    def unite(key: int, comp: np.ndarray, hashes: np.ndarray) -> pd.DataFrame:
+        a, b = united(comp, [np.frombuffer(x, dtype=_U) for x in hashes])
+        return pd.DataFrame({"a": a, "b": b})
+
+    mapped = blocks.join(nodes.select("node", "n", "bits"), "node").repartition(parts, "key").sortWithinPartitions("key")
+    left = written(mapped.mapInPandas(lambda x: _by_key(x, ["node", "comp", "n", "bits"], bound), "key long, node long, comp long"), "qualified", small=True)
+    sets = left.join(full_sets(left, nodes, rows), "node").select("key", "comp", "hashes").repartition(parts, "key").sortWithinPartitions("key")
+    return written(sets.mapInPandas(lambda x: _by_key(x, ["comp", "hashes"], unite), "a long, b long").distinct(), "links", small=True)
+
+
+def full_sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, hashes) of the wanted nodes, as a written table. One text for each is read again, found by its id and its hash."""
+    at = nodes.select("node", "digest", "rep.id", "rep.th").join(wanted.select("node").distinct(), "node")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingles(t) for t in b["text"]]
+            ok = [digest_of(h) == name for h, name in zip(sets, b["digest"], strict=True)]
+            yield pd.DataFrame({"node": b["node"][ok], "hashes": [h.tobytes() for h, good in zip(sets, ok, strict=True) if good]})
 
+    maybe = marked_ids(rows, at.select("id"), "id").where("maybe").select("id", "th", "text")
+    met = maybe.join(at.hint("shuffle_hash"), ["id", "th"]).groupBy("node", "digest").agg(F.first("text").alias("text"))
+    return written(met.select("node", "digest", "text").mapInPandas(read, "node long, hashes binary"), "sets")
 
-def bounded_pairs(members: DataFrame, nodes: DataFrame, limit: int, same: bool, part: int) -> DataFrame:
-    """members (group, node, comp), nodes (node, n, bits): pairs (a, b, more) left by the bounds in each group.
 
-    Groups beyond `part` members are split: by hash into blocks that meet pairwise, or, where `same` (an accelerator
-    that need not see all pairs), into blocks on their own.
+def dealt(members: DataFrame, facts: DataFrame, part: int, tokens: int, meet: bool) -> DataFrame:
+    """Blocks (key, node, comp) of members (group, node, comp), of which facts (group, name, m, size, lo) tells what they hold.
+
+    A block has about `part` nodes and `tokens` shingles at most. meet: the blocks of a group meet pairwise; else they
+    stand alone, each with the group's node `lo` as well.
     """
-    sizes = members.groupBy("group").agg(F.count("*").alias("m"))
-    split = members.join(sizes, "group").withColumn("parts", F.ceil(F.col("m") / part).cast("long"))
-    split = split.withColumn("p", F.pmod(F.xxhash64("node", "group"), "parts"))
-    if same:
-        split = split.withColumn("q", F.col("p"))
-    else:
+    total = facts.agg(F.sum("m")).first()[0] or 0
+    facts = facts.withColumn("parts", F.greatest(F.ceil(F.col("m") / part), F.ceil(F.col("size") / tokens)).cast("long"))
+    heavy = facts.where(F.col("m") >= heavy_from(total)).select("group")
+    rows = lookup_join(members, facts.select("group", "name", "parts"), "group", heavy).where("parts IS NOT NULL")
+    rows = rows.select("name", "node", "comp", "parts").distinct().withColumn("p", F.pmod(F.xxhash64("node", "name"), "parts"))
+    if meet:
         others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("p", o).alias("p"), F.greatest("p", o).alias("q")))
-        split = split.withColumn("pq", F.explode(others)).withColumns({"p": F.col("pq.p"), "q": F.col("pq.q")}).drop("pq")
-    full = split.select(F.xxhash64("group", "p", "q").alias("key"), "node", "comp").join(nodes.select("node", "n", "bits"), "node")
-
-    def group(key_rows: list[np.ndarray]) -> list[tuple]:
-        node, comp, n, bits = key_rows
-        order = np.argsort(n, kind="stable")
-        out, lo = [], 0
-        # nodes of like size together: bitmaps fold to the narrowest of a run, and sizes beyond 5/4 cannot link
-        for hi in np.append(np.flatnonzero(4 * n[order[1:]] > 5 * n[order[:-1]]) + 1, len(order)).tolist():
-            at, lo = order[lo:hi], hi
-            if len(at) > 1:
-                blk = Block(node[at], comp[at], n[at], [bits[i] for i in at])
-                i, j, _, more = open_groups(blk, limit, same)
-                out.append((np.maximum(blk.node[i], blk.node[j]), np.minimum(blk.node[i], blk.node[j]), more))
-        return out
-
-    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by key; a group that goes on in the next batch waits for it."""
-        held = None
-        for b in itertools.chain(batches, [None]):
-            found: list[tuple] = []
-            if b is not None:
-                now = [b[c].to_numpy() for c in ("key", "node", "comp", "n", "bits")]
-                held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            if held is None:
-                continue
-            key = held[0]
-            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            stop = np.append(start[1:], len(key))
-            if b is not None:
-                rest, start, stop = start[-1], start[:-1], stop[:-1]
-            for s, e in zip(start.tolist(), stop.tolist(), strict=True):
-                if e - s > 1:
-                    found += group([x[s:e] for x in held[1:]])
-            held = [x[rest:] for x in held] if b is not None else None
-            if found:
-                a, c, more = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pd.DataFrame({"a": a, "b": c, "more": more})
-
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = full.repartition(parts, "key").sortWithinPartitions("key")
-    return sorted_rows.mapInPandas(bound, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of nodes, those whose full sets reach the threshold; only sets of nodes in pairs move."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = nodes.join(wanted, "node").select("node", F.col("rep").alias("id"))
+        rows = rows.withColumn("pq", F.explode(others))
+        return rows.select(F.xxhash64("name", "pq.p", "pq.q").alias("key"), "node", "comp")
+    first = facts.where("parts > 1").select("name", F.col("lo").alias("node"), F.col("lo").alias("comp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
+    return rows.select("name", "node", "comp", "p").unionByName(first).select(F.xxhash64("name", "p").alias("key"), "node", "comp").distinct()
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"node": b["node"], "hashes": [shingles(t).tobytes() for t in b["text"]]})
 
-    once = rows.join(ids.hint("shuffle_hash"), "id").select("node", "text").mapInPandas(read, "node long, hashes binary")
-    sets = written(once.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+def first_links(nodes: DataFrame, rows: DataFrame, part: int, tokens: int) -> DataFrame:
+    """Links among the nodes that have a minimum hash in common."""
+    keys = F.array(*(F.xxhash64(F.lit(k), f"key{k}") for k in range(len(SEEDS))))
+    members = nodes.select("node", F.col("node").alias("comp"), "n", F.explode(keys).alias("group"))
+    facts = members.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.min("node").alias("lo")).where("m > 1")
+    facts = written(facts.withColumn("name", F.col("group")), "facts", small=True)
+    return linked(dealt(members.drop("n"), facts, part, tokens, False), nodes, rows)
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["x"], b["y"], strict=True):
-                x, y = np.frombuffer(x, dtype=_U), np.frombuffer(y, dtype=_U)
-                if len(x) > len(y):
-                    x, y = y, x
-                overlap = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(bool(enough(overlap, len(x), len(y))))
-            yield b.loc[keep, ["a", "b"]]
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
+def last_links(groups: DataFrame, comps: DataFrame, nodes: DataFrame, rows: DataFrame, part: int, tokens: int) -> DataFrame:
+    """Links between components, among the nodes that share a prefix shingle.
 
+    Sizes within 5/4 of each other fall in one band or in neighbouring ones; a node stands in its own band and the next,
+    so that any two such nodes meet. Groups of the same nodes are one.
+    """
+    known = nodes.select("node", "n").join(comps, "node", "left").select("node", "n", F.coalesce("component", "node").alias("comp"))
+    placed = written(groups.join(known, "node"), "placed")
+    open_ = written(placed.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi"), "open", small=True)
+    heavy = open_.where(F.col("m") >= heavy_from(open_.agg(F.sum("m")).first()[0] or 0)).select("group")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("long")
+    members = lookup_join(placed, open_.select("group", "m"), "group", heavy).where("m IS NOT NULL").select("group", "node", "n", "comp").distinct()
+    members = written(members.select(F.explode(F.array(F.xxhash64("group", band), F.xxhash64("group", band + 1))).alias("group"), "node", "n", "comp"), "members")
+    facts = members.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("sign")).where("lo < hi")
+    facts = written(facts.withColumn("name", F.xxhash64("sign", "m", "size", "lo", "hi")), "facts", small=True)
+    return linked(dealt(members.drop("n"), facts, part, tokens, True), nodes, rows)
+
+
+def join(documents: DataFrame, key: str = "doc_id", text: str = "text", order_sample: int = 20_000, part: int = 512, tokens: int = 1 << 20, named: bool = False, node_bits: int = 64) -> DataFrame:
+    """Per row: key, n_shingles and component_id, the smallest id reachable by links.
 
-def join(documents: DataFrame, key: str = "doc_id", text: str = "text", order_sample: int = 20_000, part: int = 512, first: int = 256) -> DataFrame:
-    """Per id: n_shingles, component_id (the smallest id reachable by links) and links (ids of the component besides itself)."""
+    named: also digest, the name of the row's set (null for empty sets). node_bits: bits of the numbers that stand for sets.
+    """
     sheltered(documents, key, text)
     spark = documents.sparkSession
     rows = _ids(documents, key, text)
-    signed = signatures(rows)
-    sets = signed.where("n > 0")
-    nodes = written(sets.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), *(F.first(f"key{k}").alias(f"key{k}") for k in range(len(SEEDS))), F.first("bits").alias("bits")), "nodes")
-    total = nodes.agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles")).first()
+    order, often = shingle_order(rows, rows.count(), order_sample)
+    signed, nodes = distinct_sets(signatures(rows, order, node_bits))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(shuffles, int((total.shingles or 0) // 5 // 2_000_000) + 1)
-
-    # groups of similar nodes: a node and its likeliest partner there
-    near = nodes.select("node", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"key{k}").alias("v")) for k in range(len(SEEDS))))).alias("kv")).select("node", F.xxhash64("kv.k", "kv.v").alias("group"))
-    several = near.groupBy("group").count().where("count > 1").select("group")
-    members = near.join(several, "group").select("group", "node", F.col("node").alias("comp"))
-    pairs = written(bounded_pairs(members, nodes, 1, True, part), "pairs", small=True)
-    links = written(verified(pairs, nodes, rows), "links", small=True)
-
-    # posting groups that are not connected yet, until no node and component have pairs left
-    frequent = frequent_shingles(rows, signed.count(), order_sample)
-    groups = shared_prefixes(rows, frequent, buckets).distinct()
-    limit = first
-    while True:
-        comps = written(components(links), "components", small=True)
-        placed = groups.join(comps, "node", "left").select("group", "node", F.coalesce("component", "node").alias("comp"))
-        open_ = placed.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("group")
-        members = written(banded(placed.join(open_, "group").join(nodes.select("node", "n"), "node")), "members")
-        pairs = written(bounded_pairs(members, nodes, limit, False, part).join(links, ["a", "b"], "left_anti"), "pairs", small=True)
-        if pairs.isEmpty():
-            break
-        new = written(verified(pairs, nodes, rows), "links", small=True)
-        links = written(links.unionByName(new).distinct(), "links", small=True)
-        if not pairs.where("more").limit(1).count():
-            comps = written(components(links), "components", small=True)
-            break
-        limit *= 16
-    rep = nodes.select("node", "rep").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = rep.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = rep.join(least, "component").select("node", "component_id")
-    # a node that many documents share must not gather them: its documents meet it by broadcast
-    ids = signed.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    out = lookup_join(ids, named, "node", heavy_keys(sets.select("node"), "node"))
-    return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    buckets = max(shuffles, int((nodes.agg(F.sum("n")).first()[0] or 0) // 5 // 2_000_000) + 1)
+
+    comps = written(components(first_links(nodes, rows, part, tokens)), "components", small=True)
+    late = components(last_links(shared_prefixes(signed, order, often, buckets), comps, nodes, rows, part, tokens)).select(F.col("node").alias("component"), F.col("component").alias("_whole"))
+    placed = nodes.select("node", "digest", "rep.id").join(comps, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component"))
+    placed = placed.join(late, "component", "left").select("digest", "id", F.coalesce("_whole", "component").alias("component")) if not late.isEmpty() else placed
+    placed = written(placed, "placed", small=True)
+    least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    found = lookup_join(placed.select("digest", "component"), least, "component", heavy_keys(placed.select("component"), "component"))
+    found = found.select(F.hex("digest").alias("name"), "component_id")
+    # a set that many documents share must not gather them: its documents meet it by broadcast
+    ids = signed.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.hex("digest")).alias("name"))
+    out = lookup_join(ids, found, "name", heavy_keys(ids.where("n_shingles > 0").select("name"), "name"))
+    extra = [F.unhex("name").alias("digest")] if named else []
+    return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), *extra)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import induced
-from .common import HEAVY_SHARE, heavy_keys, lookup_join, shared_dir, sheltered, written
+from .common import HEAVY_SHARE, heavy_keys, lookup_join, marked_ids, shared_dir, sheltered, written
 from .jaccard import _powers, mix
 
 _U = np.uint64
@@ -370,15 +370,6 @@ def duplicated(known: DataFrame) -> bool:
     return known.groupBy("id").count().where("count > 1").limit(1).count() > 0
 
 
-def marked_ids(rows: DataFrame, ids: DataFrame, column: str = "id", words: int = 1 << 17) -> DataFrame:
-    """Adds maybe: whether a row's id may be among ids, by a bit table of fixed size (64 * words bits); null ids are not."""
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * words))
-    table = ids.select(spot("id").alias("_s")).groupBy((F.col("_s") / 64).cast("long").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(_s, 64) AS int))")).alias("_bits"))
-    named = rows.withColumn("_s", spot(F.col(column).cast("long"))).withColumn("_word", (F.col("_s") / 64).cast("long")).join(F.broadcast(table), "_word", "left")
-    bit = F.expr("coalesce(shiftrightunsigned(_bits, cast(pmod(_s, 64) AS int)) & 1 = 1, FALSE)")
-    return named.withColumn("maybe", bit & F.col(column).isNotNull()).select(*rows.columns, "maybe")
-
-
 def filtered_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return marked_ids(rows, ids).where("maybe").select("id", "text")
 

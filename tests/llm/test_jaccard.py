@@ -70,7 +70,7 @@ def test_planted_groups_and_shared_passages(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     assert got(df) == want
-    assert got(df, part=16, first=1, order_sample=50) == want
+    assert got(df, part=16, tokens=500, order_sample=50) == want
 
 
 def test_odd_texts(spark):
@@ -82,15 +82,77 @@ def test_odd_texts(spark):
     assert jaccard.join(df.limit(0)).collect() == []
 
 
+def by_rows(rows):
+    """Rows are vertices, also where they share an id: (id, size of the set, least id of the component)."""
+    numbered = [(n, t) for n, (_, t) in enumerate(rows)]
+    least = {}
+    for n, _, c in brute(numbered):
+        least[c] = min(least.get(c, 1 << 62), rows[n][0])
+    return sorted((rows[n][0], size, least[c]) for n, size, c in brute(numbered))
+
+
+def test_repeated_ids_and_sets_with_one_number(spark):
+    rng = random.Random(9)
+    text = lambda k: " ".join(f"{k}{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c = text("a"), text("b"), text("c")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, c), (4, c), (4, c + " z"), (5, c + " z"), (4, "alone"), (7, b + " y q"), (2, c)]
+    rows += [(10 + i % 7, text("n")) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == by_rows(rows)
+    assert got(df, node_bits=3) == by_rows(rows)
+
+
+def test_many_near_copies_at_the_threshold(spark):
+    """Some 2,000 near copies, many of them with no link, in blocks that meet pairwise; more links than rows may leave."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(64)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for at in rng.sample(range(8, 64, 5), rng.choice((0, 1, 2, 3))):
+            w[at] = f"{rng.choice('xyz')}{at}" if rng.random() < 0.5 else f"r{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute(rows)
+    assert len({c for *_, c in want}) > 20
+    assert got(df) == want
+    assert got(df, part=64, tokens=2000) == want
+
+
 def test_bounds_never_reject_a_link():
     rng = np.random.default_rng(0)
     for n in (1, 30, 700, 5000):
         pool = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
         a = np.unique(pool[:n])
-        b = np.unique(np.concatenate([a[: int(len(a) * 0.95)], pool[n : n + n // 20]]))
-        blk = jaccard.Block(np.array([1, 2]), np.array([1, 2]), np.array([len(a), len(b)]), [jaccard.bitmap(a).tobytes(), jaccard.bitmap(b).tobytes()])
-        common = len(np.intersect1d(a, b))
-        *_, bound, _ = jaccard.open_groups(blk, 4, False)
-        assert (bound >= common).all()
-        if jaccard.enough(common, len(a), len(b)):
-            assert len(bound) == 1
+        for share in (0.98, 0.9, 0.6):
+            b = np.unique(np.concatenate([a[: max(1, int(n * share))], pool[n : n + n // 20]]))
+            link = bool(jaccard.enough(len(np.intersect1d(a, b)), len(a), len(b)))
+            sizes, maps = np.array([len(a), len(b)]), [jaccard.bitmap(a).tobytes(), jaccard.bitmap(b).tobytes()]
+            assert jaccard.may_link(np.array([1, 2]), sizes, maps).all() or not link
+            assert not jaccard.may_link(np.array([3, 3]), sizes, maps).any()
+            x, y = jaccard.united(np.array([7, 2]), [a, b])
+            assert (x.tolist(), y.tolist()) == (([7], [2]) if link else ([], []))
+
+
+def test_blocks_unite_like_brute_force():
+    rng = np.random.default_rng(5)
+    for group in (1, 4, 32):
+        pool = np.sort(rng.integers(0, 2**63, 60).astype(np.uint64))
+        sets = [np.unique(rng.choice(pool, rng.integers(20, 58), replace=False)) for _ in range(90)]
+        comps = rng.integers(0, 40, 90)
+        parent = {int(c): int(c) for c in comps}
+
+        def find(c, parent=parent):
+            while parent[c] != c:
+                c = parent[c]
+            return c
+
+        for i in range(90):
+            for j in range(i):
+                if jaccard.enough(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
+                    a, b = find(int(comps[i])), find(int(comps[j]))
+                    parent[max(a, b)] = min(a, b)
+        a, b = jaccard.united(comps, sets, group)
+        found = dict(zip(a.tolist(), b.tolist(), strict=True))
+        assert found == {c: find(c) for c in parent if find(c) != c}
+        assert found
