@@ -110,6 +110,8 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 
 #: Slots of the table that counts the sampled documents' shingles, and of one row of it on its way to the driver.
 SLOTS, STRIPE = 1 << 22, 1 << 14
+#: So many of a node's blocks are known where it meets others, to leave out nodes met before; LATER stands for none.
+NAMES, LATER = 8, np.iinfo(np.int64).max
 
 
 def prefix(hashes: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -273,41 +275,55 @@ def _missing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def may_link(comps: np.ndarray, n: np.ndarray, bits: list[bytes], group: int = 32) -> np.ndarray:
-    """For each node whether the bounds by bitmaps leave a partner of another component; groups are opened only where their union's does."""
+def may_link(comps: np.ndarray, n: np.ndarray, bits: list[bytes], part: np.ndarray | None = None, before: np.ndarray | None = None, group: int = 32) -> np.ndarray:
+    """For each node whether the bounds by bitmaps leave a partner of another component; groups are opened only where their union's does.
+
+    part: where a block holds two parts, only nodes of different ones are partners. before: rows of numbers of earlier blocks;
+    nodes that have one in common have met there.
+    """
     out = np.zeros(len(n), dtype=bool)
     order = np.argsort(n, kind="stable")
+    part = np.zeros(len(n), dtype=np.int64) if part is None else part
+    before = np.zeros((len(n), 0), dtype=np.int64) if before is None else before
+    apart = bool((part != part[0]).any())
     lo = 0
     # nodes of like size together: bitmaps fold to the narrowest of a run, and sizes beyond 5/4 cannot link
     for hi in np.append(np.flatnonzero(4 * n[order[1:]] > 5 * n[order[:-1]]) + 1, len(order)).tolist():
         at, lo = order[lo:hi], hi
         if len(at) > 1 and (comps[at] != comps[at[0]]).any():
-            out[at] = _may_link(comps[at], n[at], [bits[i] for i in at], group)
+            at = at[np.argsort(comps[at], kind="stable")]
+            i, j = _may_link(comps[at], n[at], [bits[x] for x in at], group)
+            i, j = at[i], at[j]
+            if apart:
+                ok = part[i] != part[j]
+                i, j = i[ok], j[ok]
+            met = np.zeros(len(i), dtype=bool)
+            for x in range(0, len(i) if before.shape[1] else 0, 1 << 16):
+                a, b = before[i[x : x + (1 << 16)]], before[j[x : x + (1 << 16)]]
+                met[x : x + (1 << 16)] = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] != LATER)).any((1, 2))
+            out[i[~met]] = out[j[~met]] = True
     return out
 
 
-def _may_link(comps: np.ndarray, n: np.ndarray, bits: list[bytes], group: int) -> np.ndarray:
+def _may_link(comp: np.ndarray, n: np.ndarray, bits: list[bytes], group: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that the bounds leave; nodes come sorted by component. A block has few enough for its pairs."""
     width = min(map(len, bits))
-    order = np.argsort(comps, kind="stable")
-    comp, n = comps[order], n[order]
-    maps = np.stack([fold(np.frombuffer(bits[i], dtype=np.uint8), width) for i in order]).view(_U)
+    maps = np.stack([fold(np.frombuffer(b, dtype=np.uint8), width) for b in bits]).view(_U)
     start = np.concatenate([np.arange(s, e, group) for s, e in zip(*_runs(comp), strict=True)]) if len(np.unique(comp)) * 4 < len(comp) else np.arange(0, len(comp), group)
     stop = np.append(start[1:], len(comp))
     union = np.bitwise_or.reduceat(maps, start, axis=0)
     smallest, largest = np.minimum.reduceat(n, start), np.maximum.reduceat(n, start)
     one = comp[start] == comp[stop - 1]
     may = (5 * (n[:, None] - _missing(maps, union)) >= 4 * n[:, None]) & (5 * largest >= 4 * n[:, None]) & (4 * smallest <= 5 * n[:, None])
-    may &= ~(one & (comp[start] == comp[:, None]))
-    out = np.zeros(len(n), dtype=bool)
+    may &= ~(one & (comp[start] == comp[:, None])) & (start < np.arange(len(n))[:, None])
+    first, second = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for g in np.flatnonzero(may.any(0)):
         rows, theirs = np.flatnonzero(may[:, g]), slice(start[g], stop[g])
         bound = np.minimum(n[rows, None] - _missing(maps[rows], maps[theirs]), n[theirs] - _missing(maps[theirs], maps[rows]).T)
-        ok = enough(bound, n[rows, None], n[theirs]) & (comp[rows, None] != comp[theirs])
-        out[rows] |= ok.any(1)
-        out[theirs] |= ok.any(0)
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+        i, j = np.nonzero(enough(bound, n[rows, None], n[theirs]) & (comp[rows, None] != comp[theirs]))
+        first.append(rows[i])
+        second.append(j + start[g])
+    return np.concatenate(first), np.concatenate(second)
 
 
 def united(comps: np.ndarray, sets: list[np.ndarray], group: int = 32) -> tuple[np.ndarray, np.ndarray]:
@@ -381,26 +397,32 @@ def _by_key(batches: Iterator[pd.DataFrame], columns: list[str], act: Callable[.
 
 
 def linked(blocks: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """blocks (key, node, comp): links (a, b) that unite the components of the nodes that meet in a block."""
+    """blocks (key, name, part, names, node, comp): links (a, b) that unite the components of the nodes that meet in a block."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def bound(key: int, node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
-        ok = may_link(comp, n, list(bits))
+    def bound(key: int, name: np.ndarray, part: np.ndarray, names: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
+        before = np.full((len(node), NAMES), LATER)
+        for i, x in enumerate(names):
+            x = np.asarray(x, dtype=np.int64)
+            x = x[x < name[0]]
+            before[i, : len(x)] = x
+        ok = may_link(comp, n, list(bits), part, before)
         return pd.DataFrame({"key": key, "node": node[ok], "comp": comp[ok]})
 
     def unite(key: int, comp: np.ndarray, hashes: np.ndarray) -> pd.DataFrame:
         a, b = united(comp, [np.frombuffer(x, dtype=_U) for x in hashes])
         return pd.DataFrame({"a": a, "b": b})
 
-    mapped = blocks.join(nodes.select("node", "n", "bits"), "node").repartition(parts, "key").sortWithinPartitions("key")
-    left = written(mapped.mapInPandas(lambda x: _by_key(x, ["node", "comp", "n", "bits"], bound), "key long, node long, comp long"), "qualified", small=True)
-    sets = left.join(full_sets(left, nodes, rows), "node").select("key", "comp", "hashes").repartition(parts, "key").sortWithinPartitions("key")
+    columns = ["name", "part", "names", "node", "comp", "n", "bits"]
+    mapped = blocks.join(nodes.select("node", "n", "bits").hint("merge"), "node").select("key", *columns).repartition(parts, "key").sortWithinPartitions("key")
+    left = written(mapped.mapInPandas(lambda x: _by_key(x, columns, bound), "key long, node long, comp long"), "qualified", small=True)
+    sets = left.join(full_sets(left, nodes, rows).hint("merge"), "node").select("key", "comp", "hashes").repartition(parts, "key").sortWithinPartitions("key")
     return written(sets.mapInPandas(lambda x: _by_key(x, ["comp", "hashes"], unite), "a long, b long").distinct(), "links", small=True)
 
 
 def full_sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, hashes) of the wanted nodes, as a written table. One text for each is read again, found by its id and its hash."""
-    at = nodes.select("node", "digest", "rep.id", "rep.th").join(wanted.select("node").distinct(), "node")
+    at = written(nodes.select("node", "digest", "rep.id", "rep.th").join(wanted.select("node").distinct().hint("merge"), "node"), "wanted", small=True)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -414,22 +436,27 @@ def full_sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame
 
 
 def dealt(members: DataFrame, facts: DataFrame, part: int, tokens: int, meet: bool) -> DataFrame:
-    """Blocks (key, node, comp) of members (group, node, comp), of which facts (group, name, m, size, lo) tells what they hold.
+    """Blocks (key, name, part, names, node, comp) of members (group, node, comp), of which facts (group, name, m, size, lo) tells what they hold.
 
-    A block has about `part` nodes and `tokens` shingles at most. meet: the blocks of a group meet pairwise; else they
-    stand alone, each with the group's node `lo` as well.
+    A block has about `part` nodes and `tokens` shingles at most, twice that where two parts meet. meet: the parts of a
+    group meet pairwise; else they stand alone, each with the group's node `lo` as well. names: the least names of the
+    node's groups, in which it meets all others.
     """
     total = facts.agg(F.sum("m")).first()[0] or 0
     facts = facts.withColumn("parts", F.greatest(F.ceil(F.col("m") / part), F.ceil(F.col("size") / tokens)).cast("long"))
     heavy = facts.where(F.col("m") >= heavy_from(total)).select("group")
     rows = lookup_join(members, facts.select("group", "name", "parts"), "group", heavy).where("parts IS NOT NULL")
-    rows = rows.select("name", "node", "comp", "parts").distinct().withColumn("p", F.pmod(F.xxhash64("node", "name"), "parts"))
+    rows = written(rows.select("name", "node", "comp", "parts", F.pmod(F.xxhash64("node", "name"), "parts").alias("part")).distinct(), "dealt", small=True)
+    whole = rows if meet else rows.where("parts = 1")
+    names = whole.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("name")), 1, NAMES).alias("names"))
     if meet:
-        others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("p", o).alias("p"), F.greatest("p", o).alias("q")))
-        rows = rows.withColumn("pq", F.explode(others))
-        return rows.select(F.xxhash64("name", "pq.p", "pq.q").alias("key"), "node", "comp")
-    first = facts.where("parts > 1").select("name", F.col("lo").alias("node"), F.col("lo").alias("comp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
-    return rows.select("name", "node", "comp", "p").unionByName(first).select(F.xxhash64("name", "p").alias("key"), "node", "comp").distinct()
+        others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("p"), F.greatest("part", o).alias("q")))
+        rows = rows.withColumn("pq", F.explode(others)).withColumn("key", F.xxhash64("name", "pq.p", "pq.q"))
+    else:
+        first = facts.where("parts > 1").select("name", F.col("lo").alias("node"), F.col("lo").alias("comp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        rows = rows.select("name", "node", "comp", "part").unionByName(first).distinct().withColumn("key", F.xxhash64("name", "part"))
+        rows = rows.withColumn("part", F.lit(0).cast("long"))
+    return rows.select("key", "name", "part", "node", "comp").join(names.hint("merge"), "node", "left").withColumn("names", F.coalesce("names", F.array().cast("array<long>")))
 
 
 def first_links(nodes: DataFrame, rows: DataFrame, part: int, tokens: int) -> DataFrame:
@@ -447,8 +474,8 @@ def last_links(groups: DataFrame, comps: DataFrame, nodes: DataFrame, rows: Data
     Sizes within 5/4 of each other fall in one band or in neighbouring ones; a node stands in its own band and the next,
     so that any two such nodes meet. Groups of the same nodes are one.
     """
-    known = nodes.select("node", "n").join(comps, "node", "left").select("node", "n", F.coalesce("component", "node").alias("comp"))
-    placed = written(groups.join(known, "node"), "placed")
+    known = nodes.select("node", "n").join(comps.hint("merge"), "node", "left").select("node", "n", F.coalesce("component", "node").alias("comp"))
+    placed = written(groups.join(known.hint("merge"), "node"), "placed")
     open_ = written(placed.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi"), "open", small=True)
     heavy = open_.where(F.col("m") >= heavy_from(open_.agg(F.sum("m")).first()[0] or 0)).select("group")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("long")
@@ -459,10 +486,11 @@ def last_links(groups: DataFrame, comps: DataFrame, nodes: DataFrame, rows: Data
     return linked(dealt(members.drop("n"), facts, part, tokens, True), nodes, rows)
 
 
-def join(documents: DataFrame, key: str = "doc_id", text: str = "text", order_sample: int = 20_000, part: int = 512, tokens: int = 1 << 20, named: bool = False, node_bits: int = 64) -> DataFrame:
+def join(documents: DataFrame, key: str = "doc_id", text: str = "text", order_sample: int = 20_000, part: int = 256, tokens: int = 1 << 20, named: bool = False, node_bits: int = 64) -> DataFrame:
     """Per row: key, n_shingles and component_id, the smallest id reachable by links.
 
-    named: also digest, the name of the row's set (null for empty sets). node_bits: bits of the numbers that stand for sets.
+    named: also digest, the name of the row's set (null for empty sets), and first, whether id and digest are the least of
+    the component. node_bits: bits of the numbers that stand for sets.
     """
     sheltered(documents, key, text)
     spark = documents.sparkSession
@@ -477,13 +505,13 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text", order_sa
     placed = nodes.select("node", "digest", "rep.id").join(comps, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component"))
     placed = placed.join(late, "component", "left").select("digest", "id", F.coalesce("_whole", "component").alias("component")) if not late.isEmpty() else placed
     placed = written(placed, "placed", small=True)
-    least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    least = placed.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("least")).select("component", F.col("least.id").alias("component_id"), F.col("least.digest").alias("least"))
     found = lookup_join(placed.select("digest", "component"), least, "component", heavy_keys(placed.select("component"), "component"))
-    found = found.select(F.hex("digest").alias("name"), "component_id")
+    found = found.select(F.hex("digest").alias("name"), "component_id", (F.col("digest") == F.col("least")).alias("least"))
     # a set that many documents share must not gather them: its documents meet it by broadcast
     ids = signed.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.hex("digest")).alias("name"))
     out = lookup_join(ids, found, "name", heavy_keys(ids.where("n_shingles > 0").select("name"), "name"))
-    extra = [F.unhex("name").alias("digest")] if named else []
+    extra = [F.unhex("name").alias("digest"), F.coalesce(F.col("least") & (F.col("id") == F.col("component_id")), F.lit(True)).alias("first")] if named else []
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), *extra)
 
 
