@@ -8,11 +8,12 @@ meet in one shard, so shards never need each other. A shard is suffix-sorted by
 suffixes and common prefixes through memory and the shared folder; neighbours with a common prefix of `length` or more
 are one group, and its windows outside the smallest document are removed. Equal pieces are reduced to the one in the
 smallest document, before they move and again in the shard, where pieces alone under their key need no sorting. Keys in
-more than 1/400 of the texts are dealt by their windows' full hash.
+more than 1/400 of the texts, or in over 20,000, are dealt by their windows' full hash.
 
 Exact copies of a text share the work of the one with the smallest id: they go as a whole (from `length` bytes on).
 Null and empty texts have no bytes; rows without an id lose nothing and remove nothing; rows that share an id do not
-remove each other's bytes; texts count whole; extra columns of the input are ignored.
+remove each other's bytes, and each loses what its own text holds; texts count whole; an empty table gives an empty
+result; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -150,20 +151,20 @@ def shared_keys(rows: DataFrame, length: int, buckets: int) -> DataFrame:
         return pd.DataFrame({"digest": [names_once[text[s]] for s in cut], "keys": [keys[s:e].tobytes() for s, e in zip(cut, end, strict=True)], "many": [many[s:e].astype(np.int64).tobytes() for s, e in zip(cut, end, strict=True)]})
 
     posted = rows.select("text").mapInPandas(post, "bucket long, keys binary, texts binary, names binary")
-    met = posted.groupBy("bucket").applyInPandas(meet, "digest binary, keys binary, many binary")
+    met = posted.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "digest binary, keys binary, many binary")
     return written(met.groupBy("digest").agg(F.collect_list(F.struct("keys", "many")).alias("found")), "keys")
 
 
-PIECES = "shard long, docs binary, starts binary, sizes binary, keys binary, bytes binary"
+PIECES = "shard long, docs binary, tags binary, starts binary, sizes binary, keys binary, bytes binary"
 
 
-def packed(doc: np.ndarray, start: np.ndarray, size: np.ndarray, shards: np.ndarray) -> list[tuple]:
+def packed(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray, shards: np.ndarray) -> list[tuple]:
     """Rows of PIECES without bytes, for each of the shards given per piece."""
     order = np.argsort(shards, kind="stable")
     out = []
     for s, e in zip(*runs(shards[order]), strict=True):
         at = order[s:e]
-        out.append((int(shards[at[0]]), doc[at].tobytes(), start[at].tobytes(), size[at].tobytes(), b"", b""))
+        out.append((int(shards[at[0]]), doc[at].tobytes(), tag[at].tobytes(), start[at].tobytes(), size[at].tobytes(), b"", b""))
     return out
 
 
@@ -183,7 +184,7 @@ def equal_pieces(text: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.nda
 def pieces(candidates: DataFrame, length: int, shards: int, buckets: int, hot_from: int, block_bytes: int = 12 << 20) -> DataFrame:
     """Pieces of text by shard, in blocks; of equal pieces of a block those in the smallest document.
 
-    What goes in the other documents of the block is known already; it comes as rows of shards below 0, one for each
+    A piece names its document by id, which decides who is smaller, and by a tag of its text, as texts may share an id. What goes in the other documents of the block is known already; it comes as rows of shards below 0, one for each
     bucket of documents.
     """
 
@@ -193,19 +194,19 @@ def pieces(candidates: DataFrame, length: int, shards: int, buckets: int, hot_fr
         held = 0
 
         def flush() -> pd.DataFrame:
-            doc, start, size, key = (np.concatenate(x) for x in zip(*facts, strict=True))
+            doc, tag, start, size, key = (np.concatenate(x) for x in zip(*facts, strict=True))
             _, gone = equal_pieces(text, doc)
-            out = packed(doc[gone], start[gone], size[gone], -1 - bucket_of(doc[gone], buckets))
+            out = packed(doc[gone], tag[gone], start[gone], size[gone], -1 - bucket_of(doc[gone], buckets))
             shard = ((key >> _U(20)) % _U(shards)).astype(np.int64)
             order = np.flatnonzero(~gone)
             order = order[np.argsort(shard[order], kind="stable")]
             for s, e in zip(*runs(shard[order]), strict=True):
                 at = order[s:e]
-                out.append((int(shard[at[0]]), doc[at].tobytes(), start[at].tobytes(), size[at].tobytes(), key[at].tobytes(), b"".join([text[i] for i in at])))
+                out.append((int(shard[at[0]]), doc[at].tobytes(), tag[at].tobytes(), start[at].tobytes(), size[at].tobytes(), key[at].tobytes(), b"".join([text[i] for i in at])))
             return pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
 
         for b in batches:
-            for doc, whole_text, found in zip(b["id"].to_numpy(), b["text"], b["found"], strict=True):
+            for doc, name, whole_text, found in zip(b["id"].to_numpy(), b["digest"], b["text"], b["found"], strict=True):
                 raw = raw_bytes(whole_text)
                 data = raw.tobytes()
                 keys = window_keys(raw, length)
@@ -224,8 +225,8 @@ def pieces(candidates: DataFrame, length: int, shards: int, buckets: int, hot_fr
                     start, stop, key = np.concatenate([start[~hot], one]), np.concatenate([stop[~hot], one + 1]), np.concatenate([key[~hot], whole[one]])
                 size = stop + (length - 1) - start
                 text += [data[s:e] for s, e in zip(start.tolist(), (start + size).tolist(), strict=True)]
-                facts.append((np.full(len(start), doc, dtype=np.int64), start.astype(np.int64), size.astype(np.int64), key))
-                held += int(size.sum()) + 160 * len(size)
+                facts.append((np.full(len(start), doc, dtype=np.int64), np.full(len(start), np.frombuffer(name, dtype=np.int64)[0]), start.astype(np.int64), size.astype(np.int64), key))
+                held += int(size.sum()) + 168 * len(size)
                 if held > block_bytes:
                     yield flush()
                     text.clear()
@@ -234,11 +235,11 @@ def pieces(candidates: DataFrame, length: int, shards: int, buckets: int, hot_fr
         if facts:
             yield flush()
 
-    return written(candidates.select("id", "text", "found").mapInPandas(cut, PIECES), "pieces")
+    return candidates.select("id", "digest", "text", "found").mapInPandas(cut, PIECES)
 
 
 def sorted_spans(text: list[bytes], doc: np.ndarray, start: np.ndarray, length: int, scratch: induced.Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (document, start) of the pieces that also start in a smaller document, from the shard's suffix order."""
+    """Windows (piece, start) that also start in a smaller document, from the shard's suffix order."""
     t = np.frombuffer(b"\x00".join(text) + b"\x00", dtype=np.uint8).astype(np.uint16) + np.uint16(1)
     stop = np.cumsum([len(x) + 1 for x in text])
     t[stop - 1] = 0
@@ -257,7 +258,7 @@ def sorted_spans(text: list[bytes], doc: np.ndarray, start: np.ndarray, length:
             cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             d = doc[p]
             over = d > np.repeat(np.minimum.reduceat(d, cut), np.diff(np.append(cut, len(d))))
-            gone.append((d[over], (start[p] + pos - first[p])[over]))
+            gone.append((p[over], (start[p] + pos - first[p])[over]))
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for pos, lcp in induced.suffixes(t, length, scratch):
@@ -276,6 +277,15 @@ def sorted_spans(text: list[bytes], doc: np.ndarray, start: np.ndarray, length:
     return tuple(np.concatenate(x) for x in zip(*gone, strict=True)) if gone else (np.zeros(0, dtype=np.int64),) * 2
 
 
+def numbered(doc: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each (document, tag), documents and tags by number)."""
+    order = np.lexsort((tag, doc))
+    new = np.append(True, (doc[order][1:] != doc[order][:-1]) | (tag[order][1:] != tag[order][:-1])) if len(doc) else np.zeros(0, dtype=bool)
+    number = np.empty(len(doc), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, doc[order][new], tag[order][new]
+
+
 def runs_of(doc: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs (document, start, stop) of the bytes covered."""
     if not len(doc):
@@ -293,8 +303,8 @@ def runs_of(doc: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> tuple[np
     return doc[cut], at[cut], reach[np.append(cut[1:] - 1, len(doc) - 1)]
 
 
-def shard_spans(blocks: DataFrame, length: int, buckets: int, folder: str, memory: int) -> DataFrame:
-    """(id, spans): for each document the bytes that go, as packed starts and stops.
+def shard_spans(blocks: DataFrame, length: int, shards: int, buckets: int, folder: str, memory: int) -> DataFrame:
+    """(id, tag, spans): for each document the bytes that go, as packed starts and stops.
 
     In a shard, equal pieces are reduced first, like in a block. A key that is then left with one piece has no other
     windows to meet; the pieces of all other keys are sorted.
@@ -304,17 +314,15 @@ def shard_spans(blocks: DataFrame, length: int, buckets: int, folder: str, memor
         from pyarrow import fs
 
         shard = int(b["shard"].iloc[0])
-        doc, start, size = (np.frombuffer(b"".join(b[c]), dtype=np.int64) for c in ("docs", "starts", "sizes"))
-        if shard < 0:
-            doc, start, stop = runs_of(doc, start, size)
-        else:
+        doc, tag, start, size = (np.frombuffer(b"".join(b[c]), dtype=np.int64) for c in ("docs", "tags", "starts", "sizes"))
+        if shard >= 0:
             key = np.frombuffer(b"".join(b["keys"]), dtype=_U)
             data = b"".join(b["bytes"])
             edge = np.append(0, np.cumsum(size)).tolist()
             text = [data[s:e] for s, e in zip(edge[:-1], edge[1:], strict=True)]
             del b, data
             kind, gone = equal_pieces(text, doc)
-            doc_gone, start_gone, size_gone = doc[gone], start[gone], size[gone]
+            gone_parts = [(doc[gone], tag[gone], start[gone], size[gone])]
             at = np.flatnonzero(~gone)
             pair = np.unique(np.stack([key[at], kind[at].view(_U)]), axis=1)
             names, count = np.unique(pair[0], return_counts=True)
@@ -323,24 +331,29 @@ def shard_spans(blocks: DataFrame, length: int, buckets: int, folder: str, memor
                 at = at[several[np.minimum(np.searchsorted(several, key[at]), len(several) - 1)] == key[at]]
                 system, base = fs.FileSystem.from_uri(folder)
                 scratch = induced.Scratch((system, f"{base}/{shard}-{TaskContext.get().taskAttemptId()}"), memory)
-                d, s = sorted_spans([text[i] for i in at], doc[at], start[at], length, scratch)
-                doc_gone, start_gone, size_gone = np.append(doc_gone, d), np.append(start_gone, s), np.append(size_gone, np.full(len(d), length))
-            doc, start, stop = runs_of(doc_gone, start_gone, size_gone)
-        rows = packed(doc, start, stop, bucket_of(doc, buckets))
-        return pd.DataFrame([x[:4] for x in rows], columns=["bucket", "docs", "starts", "stops"])
+                p, s = sorted_spans([text[i] for i in at], doc[at], start[at], length, scratch)
+                gone_parts.append((doc[at[p]], tag[at[p]], s, np.full(len(p), length)))
+            doc, tag, start, size = (np.concatenate(x) for x in zip(*gone_parts, strict=True))
+        number, docs, tags = numbered(doc, tag)
+        number, start, stop = runs_of(number, start, size)
+        doc, tag = docs[number], tags[number]
+        rows = packed(doc, tag, start, stop, bucket_of(doc, buckets))
+        return pd.DataFrame([x[:5] for x in rows], columns=["bucket", "docs", "tags", "starts", "stops"])
 
     def merge(b: pd.DataFrame) -> pd.DataFrame:
-        doc, start, stop = (np.frombuffer(b"".join(b[c]), dtype=np.int64) for c in ("docs", "starts", "stops"))
-        doc, start, stop = runs_of(doc, start, stop - start)
-        cut, end = runs(doc)
-        return pd.DataFrame({"id": doc[cut], "spans": [np.stack([start[s:e], stop[s:e]]).tobytes() for s, e in zip(cut, end, strict=True)]})
+        doc, tag, start, stop = (np.frombuffer(b"".join(b[c]), dtype=np.int64) for c in ("docs", "tags", "starts", "stops"))
+        number, docs, tags = numbered(doc, tag)
+        number, start, stop = runs_of(number, start, stop - start)
+        cut, end = runs(number)
+        return pd.DataFrame({"id": docs, "tag": [t.tobytes() for t in tags], "spans": [np.stack([start[s:e], stop[s:e]]).tobytes() for s, e in zip(cut, end, strict=True)]})
 
-    spans = blocks.groupBy("shard").applyInPandas(sort, "bucket long, docs binary, starts binary, stops binary")
-    return written(spans.groupBy("bucket").applyInPandas(merge, "id long, spans binary"), "spans")
+    # as many tasks as shards, so that what a task reads does not grow with the corpus
+    spans = blocks.repartition(2 * shards, "shard").groupBy("shard").applyInPandas(sort, "bucket long, docs binary, tags binary, starts binary, stops binary")
+    return written(spans.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(merge, "id long, tag binary, spans binary"), "spans")
 
 
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, shard_bytes: int = 24 << 20, memory: int = 192 << 20, with_text: bool = False) -> DataFrame:
-    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the remaining bytes of rows that lose some, else null)."""
+    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256 (with_text: also digest, SHA-256 of the text, and kept, the remaining bytes of rows that lose some, else null)."""
     sheltered(documents, key, text)
     spark = documents.sparkSession
     rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
@@ -352,17 +365,16 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", length:
     facts = known.select("id", short_digest(F.col("text")).alias("digest"))
     keys = shared_keys(known, length, buckets)
     reps = facts.groupBy("digest").agg(F.min("id").alias("rep"))
-    wanted = keys.join(reps, "digest").select(F.col("rep").alias("id"), "digest", "found")
-    maybe = filtered_ids(rows, written(wanted.select("id"), "ids", small=True))
+    wanted = written(keys.join(reps, "digest").select(F.col("rep").alias("id"), "digest", "found"), "wanted")
     repeated = duplicated(known)
-    texts = maybe.join(wanted.hint("shuffle_hash"), "id").where(short_digest(F.col("text")) == F.col("digest"))
+    texts = filtered_ids(known, wanted).join(wanted.hint("shuffle_hash"), ["id", "digest"])
     # where an id stands on several rows with one text, one of them is enough
     candidates = texts.groupBy("id", "digest").agg(F.first("text").alias("text"), F.first("found").alias("found")) if repeated else texts
     folder = shared_dir(spark)
     shards = max(shuffles, int((size.bytes or 0) // shard_bytes) + 1)
-    blocks = pieces(candidates, length, shards, shards, max(3, size.n // HEAVY_SHARE))
-    spans = shard_spans(blocks, length, shards, folder, memory)
-    return results(rows, reps, spans, key, length, with_text, repeated, documents.schema[key].dataType.simpleString())
+    blocks = pieces(candidates, length, shards, shards, min(max(3, size.n // HEAVY_SHARE), 20_000))
+    spans = shard_spans(blocks, length, shards, max(shuffles, int((size.n or 0) // 100_000) + 1), folder, memory)
+    return results(rows, spans, key, length, with_text, repeated, documents.schema[key].dataType.simpleString())
 
 
 def duplicated(known: DataFrame) -> bool:
@@ -371,21 +383,22 @@ def duplicated(known: DataFrame) -> bool:
 
 
 def filtered_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    return marked_ids(rows, ids).where("maybe").select("id", "text")
+    """(id, digest, text) of the rows whose id may be among ids."""
+    return marked_ids(rows, ids).where("maybe").select("id", short_digest(F.col("text")).alias("digest"), "text")
 
 
-def results(rows: DataFrame, reps: DataFrame, spans: DataFrame, key: str, length: int, with_text: bool, repeated: bool, kind: str) -> DataFrame:
+def results(rows: DataFrame, spans: DataFrame, key: str, length: int, with_text: bool, repeated: bool, kind: str) -> DataFrame:
     """Copies of a text go whole; the first of it loses its spans; all other rows keep everything."""
-    spanned = filtered_ids(rows, spans.select("id")).join(spans.hint("shuffle_hash"), "id")
+    texts = filtered_ids(rows, spans).withColumn("tag", F.substring("digest", 1, 8))
+    spanned = texts.join(spans.hint("shuffle_hash"), ["id", "tag"])
+    spanned = spanned.groupBy("id", "digest").agg(F.first("text").alias("text"), F.first("spans").alias("spans")) if repeated else spanned
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i, text, some in zip(b["id"].to_numpy(), b["text"], b["spans"], strict=True):
                 raw = raw_bytes(text)
-                both = np.frombuffer(some, dtype=np.int64).reshape(2, -1)
-                ok = both[1] <= len(raw)
-                _, start, stop = runs_of(np.zeros(int(ok.sum()), dtype=np.int64), both[0][ok], (both[1] - both[0])[ok])
+                start, stop = np.frombuffer(some, dtype=np.int64).reshape(2, -1)
                 keep = np.ones(len(raw), dtype=bool)
                 for s, e in zip(start.tolist(), stop.tolist(), strict=True):
                     keep[s:e] = False
@@ -394,25 +407,23 @@ def results(rows: DataFrame, reps: DataFrame, spans: DataFrame, key: str, length
             yield pd.DataFrame(out, columns=["id", "digest", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     changed = spanned.select("id", "text", "spans").mapInPandas(cut, "id long, digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    changed = changed.dropDuplicates(["id", "digest"]) if repeated else changed
     body = F.coalesce(F.col("text"), F.lit(""))
     base = rows.select("id", F.octet_length(body).cast("long").alias("n_bytes"), F.unhex(F.sha2(body, 256)).alias("digest"))
     copies = base.where(F.col("id").isNotNull() & (F.col("n_bytes") >= length)).groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("digest", "rep")
     copies = written(copies, "copies", small=True)
     able = base.withColumn("on", F.when(F.col("n_bytes") >= length, F.hex("digest")))
     marked = lookup_join(able, copies.select(F.hex("digest").alias("on"), "rep"), "on", heavy_keys(able.where("on IS NOT NULL"), "on")).drop("on")
-    met = marked.join(changed.withColumnRenamed("digest", "changed_digest"), "id", "left")
+    met = marked.join(changed, ["id", "digest"], "left")
     copy = F.coalesce(F.col("rep") < F.col("id"), F.lit(False))
-    mine = F.coalesce(F.col("changed_digest") == F.col("digest"), F.lit(False))
     empty = hashlib.sha256(b"").hexdigest()
-    out = met.select(
+    extra = [F.col("digest"), F.when(copy, F.unhex(F.lit(""))).otherwise(F.col("kept")).alias("kept")] if with_text else []
+    return met.select(
         F.col("id").cast(kind).alias(key), "n_bytes",
-        F.when(copy, F.col("n_bytes")).when(mine, F.col("n_removed")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(1)).when(mine, F.col("n_spans")).otherwise(F.lit(0)).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(empty)).when(mine, F.col("kept_sha256")).otherwise(F.lower(F.hex("digest"))).alias("kept_sha256"),
-        *([F.when(copy, F.unhex(F.lit(""))).when(mine, F.col("kept")).alias("kept")] if with_text else []),
+        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
+        *extra,
     )
-    return out
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,21 @@ def test_planted_overlaps_copies_and_odd_texts(spark):
     assert got(df, memory=5_000) == want
 
 
+def test_repeated_ids_with_equal_and_different_texts(spark):
+    rng = random.Random(3)
+    prose = lambda n: "".join(rng.choice("abcdefg hij") for _ in range(n))
+    shared = prose(180)
+    rows = [(1, shared), (2, shared + prose(30)), (2, prose(250)), (2, prose(250))]
+    rows += [(3, prose(20) + shared[20:] + prose(9)), (3, shared), (3, shared), (4, shared), (4, rows[2][1][:200] + "x"), (4, rows[2][1][:200] + "x")]
+    rows += [(5 + i % 6, prose(40) + shared[i : i + 90] + prose(rng.randint(0, 60))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == brute(rows)
+    whole = {hashlib.sha256(t.encode()).digest(): t.encode() for _, t in rows}
+    for r in suffixes.dedup(df, with_text=True).collect():
+        assert len(whole[bytes(r.digest)]) == r.n_bytes
+        assert hashlib.sha256(whole[bytes(r.digest)] if r.kept is None else r.kept).hexdigest() == r.kept_sha256
+
+
 def test_kept_bytes(spark):
     df = spark.createDataFrame(planted()[:150], "doc_id long, text string")
     for r in suffixes.dedup(df, with_text=True).collect():
