@@ -7,7 +7,8 @@ their host. A document is kept where its evidence, moved by its path's log-odds
 
 The trees are fitted on a hash-ordered sample of at most `sample` labelled documents; sums count every document. Null
 hosts and paths form a site of their own, null texts count as empty ones, repeated rows get equal results and each
-counts, very long texts count whole, extra columns of the input stay out. Without labels every document is kept.
+counts, very long texts count whole, extra columns of the input stay out, an empty table gives an empty result. Without labels
+every document is kept; with labels of one kind each has that kind's smoothed rate as evidence.
 Sites reach the documents by broadcast where they are counted to be at most `few_sites`, else by a join in which the
 rows of heavy sites are not gathered.
 """
@@ -49,8 +50,8 @@ def features(text: str | None) -> list[float]:
 WIDTH = len(features(""))
 
 
-def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int) -> Boosted:
-    """At most `sample` labelled documents, chosen by hash, reach the driver as features."""
+def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int) -> Boosted | None:
+    """At most `sample` labelled ids, and twice as many documents, both chosen by hash, reach the driver as features; None without any."""
     wanted = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
     wanted = wanted.orderBy(F.xxhash64(key), key).limit(sample)
     chosen = documents.select(key, F.col(text).cast("string").alias("_text")).join(F.broadcast(wanted), key)
@@ -59,18 +60,18 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str
         for b in batches:
             yield pd.DataFrame({"label": b["_label"].astype(int), "x": [features(t) for t in b["_text"]]})
 
-    rows = chosen.select("_label", "_text").mapInPandas(measure, "label int, x array<double>").orderBy("label", "x").limit(2 * sample).collect()
+    rows = chosen.select("_label", "_text").mapInPandas(measure, "label int, x array<double>").orderBy(F.xxhash64("x"), "x", "label").limit(2 * sample).collect()
     x = np.array([r.x for r in rows], dtype=float).reshape(-1, WIDTH)
-    return Boosted(rounds=60).fit(x, np.array([r.label for r in rows], dtype=float))
+    return Boosted(rounds=60).fit(x, np.array([r.label for r in rows], dtype=float)) if rows else None
 
 
-def evidence(text: Column, model: Boosted) -> Column:
-    """Log-odds of being good; the trees' score, limited to +-8."""
+def evidence(text: Column, model: Boosted | None) -> Column:
+    """Log-odds of being good; the trees' score, limited to +-8. Labels of one kind give all texts that kind's smoothed rate."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            p = model.probability(np.array([features(t) for t in s], dtype=float).reshape(-1, WIDTH)) if model.trees else np.ones(len(s))
+            p = model.probability(np.array([features(t) for t in s], dtype=float).reshape(-1, WIDTH)) if model else np.ones(len(s))
             p = np.clip(p, 3.4e-4, 1 - 3.4e-4)
             yield pd.Series(np.log(p / (1 - p)))
 
@@ -109,8 +110,8 @@ def _site() -> Column:
     return F.concat(F.length("host").cast("string"), F.lit(":"), F.col("host"), F.col("path")).alias("site")
 
 
-def classify(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality", sample: int = 6000, cut: float = 0.4, weight: float = 0.5, few_sites: int = 50_000) -> DataFrame:
-    """The documents' columns, then host_posterior, path_posterior, evidence, quality_posterior and keep (names of the input's own columns win)."""
+def classify(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality", sample: int = 6000, cut: float = 0.4, weight: float = 0.5, few_sites: int = 50_000, with_text: bool = True) -> DataFrame:
+    """The documents' columns (text only if with_text), then host_posterior, path_posterior, evidence, quality_posterior and keep (names of the input's own columns win)."""
     sheltered(documents, key, text, host, path)
     model = fit(documents, labels, key, text, label, sample)
     own = documents.columns
@@ -118,21 +119,21 @@ def classify(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     at = {c: f"c{own.index(c)}" for c in (text, host, path)}
     named = held.withColumns({"host": F.coalesce(F.concat(F.lit("+"), F.col(at[host]).cast("string")), F.lit("-")), "path": F.coalesce(F.concat(F.lit("+"), F.col(at[path]).cast("string")), F.lit("-"))})
     scored = named.withColumn("evidence", evidence(F.col(at[text]), model))
-    sites = written(site_posteriors(scored.select("host", "path", (1 / (1 + F.exp(-F.col("evidence")))).alias("p"))), "sites")
-    rows = named.withColumn("site", _site())
+    scored = written(scored if with_text else scored.drop(at[text]), "scored")  # texts are read and scored once
+    sites = written(site_posteriors(scored.select("host", "path", (1 / (1 + F.exp(-F.col("evidence")))).alias("p"))), "sites", small=True)
+    rows = scored.withColumn("site", _site())
     if sites.limit(few_sites + 1).count() <= few_sites:
         joined = rows.join(F.broadcast(sites), "site", "left")
     else:
         joined = lookup_join(rows, sites, "site", heavy_keys(rows.select("site"), "site"))
-    joined = joined.withColumn("evidence", evidence(F.col(at[text]), model))
     quality = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(weight) * F.col("shift"))))
     made = {"host_posterior": F.col("host_posterior"), "path_posterior": F.col("path_posterior"), "evidence": F.col("evidence"), "quality_posterior": quality, "keep": quality >= cut}
-    return joined.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)), *(c.alias(n) for n, c in made.items() if n not in own))
+    return joined.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own) if with_text or c != text), *(c.alias(n) for n, c in made.items() if n not in own))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return classify(documents.select("doc_id", "text", "source", "lang"), labels).drop("text")
+    return classify(documents.select("doc_id", "text", "source", "lang"), labels, with_text=False)
 
 
 QUERIES = {"op3_quality": op3_quality}

@@ -28,6 +28,19 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert quality.classify(d.limit(0), labels).collect() == []
 
 
+def test_labels_of_one_kind_and_repeated_ids(spark):
+    rows = [(i, f"words of text {i} here", "s", "en") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for kind in (0, 1):
+        labels = spark.createDataFrame([(i, kind) for i in range(30)], "doc_id long, quality int")
+        assert {r.keep for r in quality.classify(d, labels).collect()} == {bool(kind)}
+    # one id on most rows: the bound on labelled rows must not leave one kind of label out
+    many = spark.createDataFrame([(1, f"GOOD {i} line", "s", "en") for i in range(200)] + [(2, f"bad! {i} ###", "s", "en") for i in range(200)], d.schema)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    got = quality.classify(many, labels, sample=100).collect()
+    assert sum(r.keep == (r.doc_id == 1) for r in got) > 390
+
+
 def test_posteriors_against_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(f"h{i % 7 if i % 3 else 0}", f"p{i % 4}", float(rng.random())) for i in range(500)]
