@@ -1,12 +1,14 @@
 """Operator 5: url filter. Host and path rules decide first; boosted trees on lexical features decide the rest.
 
-The trees learn from labelled urls: here those that a rule decides, or any table of urls and labels. Fitting reads a
-hash-ordered sample of at most `sample` labelled urls; suffix statistics count every url, for the `suffixes` most
-frequent suffixes, while rarer ones share one entry. Both bounds are parameters, so what reaches the driver is bounded.
+The trees learn from labelled urls: any table of urls and labels, or else the urls that a rule decides. Suffix statistics
+count every url and every suffix; they reach the urls by broadcast where they are counted to be at most `few_suffixes`,
+else by a join in which the urls of heavy suffixes are not gathered. Fitting reads a hash-ordered sample of at most
+`sample` labelled urls, of which only the features reach the driver.
 
 Null urls and urls without "://" have an empty host and path, no rule, and are judged by their features like any other.
-Repeated rows give repeated results; an empty table, or one without labelled urls, gives the verdict allow by default.
-Extra columns of the input are ignored.
+Repeated rows give repeated results and each counts, ties between rules go to the rule that sorts first, very long urls
+count whole, extra columns of the input are ignored. An empty table gives an empty result; without any labelled url the
+verdict is allow, with a probability of 0, and with labels of one kind all urls have that kind's smoothed rate.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
-from .common import sheltered
+from .common import heavy_keys, lookup_join, sheltered, written
 
 #: The rules of the registered query.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -54,11 +56,10 @@ def _entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
-def lexical(url: str | None, host: str, path: str, suffixes: dict[str, tuple[float, float]]) -> tuple[float, ...]:
+def lexical(url: str | None, host: str, path: str, share: float, rate: float) -> tuple[float, ...]:
     url = url or ""
     rest = url.partition("://")[2] or url
     query = rest.partition("#")[0].partition("?")[2]
-    share, rate = suffixes.get(host.rpartition(".")[2], suffixes[""])
     count = lambda s: sum(map(str.isdigit, s)) / len(s) if s else 0.0
     return (
         len(url), len(host), len(path), len(query), path.count("/"), host.count(".") + 1 if host else 0, count(url), count(host), _entropy(url), _entropy(host),
@@ -66,26 +67,38 @@ def lexical(url: str | None, host: str, path: str, suffixes: dict[str, tuple[flo
     )
 
 
-def suffix_statistics(rows: DataFrame, suffixes: int, prior: float) -> dict[str, tuple[float, float]]:
-    """Share of all urls and smoothed share of blocked among labelled ones, per suffix; "" stands for all other suffixes."""
+def _features(b: pd.DataFrame) -> np.ndarray:
+    columns = (b[c] for c in ("url", "host", "path", "suffix_share", "suffix_rate"))
+    return np.array([lexical(*x) for x in zip(*columns, strict=True)], dtype=float).reshape(-1, len(FEATURES))
+
+
+def suffix_statistics(rows: DataFrame, prior: float) -> tuple[DataFrame, int]:
+    """(suffix, suffix_share of all urls, suffix_rate, the smoothed share of blocked among labelled ones), and the number of labelled urls."""
     counts = rows.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
+    counts = written(counts, "suffixes", small=True)
     whole = counts.agg(F.sum("n"), F.sum("labelled"), F.sum("blocked")).first()
     n, labelled, blocked = (float(v or 0) for v in whole)
     mean = (blocked + prior) / (labelled + 2 * prior)
-    top = counts.orderBy(F.desc("n"), "suffix").limit(suffixes).collect()
-    found = {r.suffix: (r.n / n, (r.blocked + prior * mean) / (r.labelled + prior)) for r in top if r.suffix}
-    return found | {"": (0.0, mean)}
+    stats = counts.select("suffix", (F.col("n") / max(n, 1.0)).alias("suffix_share"), ((F.col("blocked") + prior * mean) / (F.col("labelled") + prior)).alias("suffix_rate"))
+    return stats, int(labelled)
+
 
+def fit(labelled: DataFrame, n: int, sample: int) -> Boosted | None:
+    """labelled: the columns of features, label (1 block, 0 allow) and order, a hash; `n` rows. None where there are none."""
+    share = 1 << 20
+    few = labelled.where(F.pmod("order", F.lit(share)) < max(1, share * 2 * sample // max(n, 1)))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"order": b["order"], "label": b["label"].astype(int), "x": list(_features(b))})
 
-def fit(rows: DataFrame, sample: int = 20_000, suffixes: int = 4096, prior: float = 50.0) -> tuple[Boosted, dict[str, tuple[float, float]]]:
-    """rows: url, host, path, label (1 block, 0 allow, null unknown)."""
-    stats = suffix_statistics(rows, suffixes, prior)
-    chosen = rows.where("label IS NOT NULL").orderBy(F.xxhash64("url"), "url").limit(sample).collect()
-    x = np.array([lexical(r.url, r.host, r.path, stats) for r in chosen], dtype=float).reshape(-1, len(FEATURES))
-    return Boosted().fit(x, np.array([r.label for r in chosen], dtype=float)), stats
+    columns = ("order", "label", "url", "host", "path", "suffix_share", "suffix_rate")
+    chosen = few.select(*columns).mapInPandas(measure, "order long, label int, x array<double>").orderBy("order", "label", "x").limit(sample).collect()
+    x = np.array([r.x for r in chosen], dtype=float).reshape(-1, len(FEATURES))
+    return Boosted().fit(x, np.array([r.label for r in chosen], dtype=float)) if chosen else None
 
 
-def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Iterable[tuple[str, str]] = RULES, labels: DataFrame | None = None, sample: int = 20_000, suffixes: int = 4096, cut: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Iterable[tuple[str, str]] = RULES, labels: DataFrame | None = None, sample: int = 20_000, prior: float = 50.0, cut: float = 0.5, few_suffixes: int = 50_000) -> DataFrame:
     """Per row: key, url, host, path, rule, verdict, block_probability. labels: (url, label) to learn from, else the rules' verdicts."""
     sheltered(pages, key, url)
 
@@ -95,21 +108,30 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Itera
         rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
         return base.withColumns({"rule": rule, "rule_verdict": verdict})
 
-    rows = prepared(pages, F.col(key).alias("_key"))
+    # the key travels as text: pandas would make long columns with nulls inexact
+    rows = prepared(pages, F.col(key).cast("string").alias("_key"))
     if labels is None:
-        training = rows.select("url", "host", "path", F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0).alias("label"))
+        label = F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0)
+        training = rows.select("url", "host", "path", label.alias("label"), F.xxhash64("url", "_key").alias("order"))
+        stats, n = suffix_statistics(training, prior)
     else:
-        training = prepared(labels, F.col("label").cast("int").alias("label")).select("url", "host", "path", "label")
-    model, stats = fit(training, sample, suffixes)
+        training = prepared(labels, F.col("label").cast("int").alias("label")).select("url", "host", "path", "label", F.xxhash64("url", "label").alias("order"))
+        stats, n = suffix_statistics(training.select("host", "label").unionByName(rows.select("host", F.lit(None).cast("int").alias("label"))), prior)
+    few = stats.limit(few_suffixes + 1).count() <= few_suffixes
+
+    def informed(df: DataFrame) -> DataFrame:
+        named = df.withColumn("suffix", suffix_of(F.col("host")))
+        return named.join(F.broadcast(stats), "suffix", "left") if few else lookup_join(named, stats, "suffix", heavy_keys(named.select("suffix"), "suffix"))
+
+    model = fit(informed(training.where("label IS NOT NULL")), n, sample)
     kind = pages.schema[key].dataType.simpleString()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.array([lexical(u, h, p, stats) for u, h, p in zip(b.url, b.host, b.path, strict=True)], dtype=float).reshape(-1, len(FEATURES))
-            yield b.assign(block_probability=model.probability(x))
+            yield b.assign(block_probability=model.probability(_features(b)) if model else 0.0)
 
-    # the key travels as text: pandas would make long columns with nulls inexact
-    scored = rows.withColumn("_key", F.col("_key").cast("string")).mapInPandas(score, "_key string, url string, host string, path string, rule string, rule_verdict string, block_probability double")
+    columns = "_key string, url string, host string, path string, rule string, rule_verdict string, suffix_share double, suffix_rate double"
+    scored = informed(rows).select(*(c.split()[0] for c in columns.split(", "))).mapInPandas(score, columns + ", block_probability double")
     learned = F.when(F.col("block_probability") >= cut, "block").otherwise("allow")
     return scored.select(F.col("_key").cast(kind).alias(key), "url", "host", "path", "rule", F.coalesce("rule_verdict", learned).alias("verdict"), "block_probability")
 

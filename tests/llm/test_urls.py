@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 
 from sightline.llm import urls
@@ -33,10 +34,44 @@ def test_rules_against_brute_force(spark):
         assert r.verdict == best[0] if best else r.verdict in ("allow", "block")
 
 
+RULES_SQL = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), named AS (
+  SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), rules(verdict, name, start) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fits AS (
+  SELECT page_id, verdict, name || start AS rule, row_number() OVER (PARTITION BY page_id ORDER BY length(name || start) DESC) AS place
+  FROM named JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)
+)
+SELECT page_id, host, path, rule, verdict FROM named LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (page_id)
+"""
+
+
+def test_whole_table_against_sql(spark):
+    want = {r[0]: r[1:] for r in duckdb.sql(RULES_SQL.replace("FROM pages", "FROM '/root/testdata/sf0.1/pages.parquet'")).fetchall()}
+    got = urls.op5_urls(spark, "/root/testdata/sf0.1").collect()
+    assert len(got) == len(want)
+    for r in got:
+        host, path, rule, verdict = want[r.page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == verdict if rule else r.verdict == ("block" if r.block_probability >= 0.5 else "allow")
+
+
 def test_empty_table_and_no_labels(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
     (r,) = urls.judge(spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")).collect()
-    assert r.verdict in ("allow", "block") and r.rule is None
+    assert (r.verdict, r.rule, r.block_probability) == ("allow", None, 0.0)
+
+
+def test_few_and_many_suffixes_give_the_same(spark):
+    rows = [(i, f"http://h{i}.s{i % 40 if i % 3 else 0}/a{i}", i % 2) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, suffix int")
+    labels = pages.select("url", pages.suffix.alias("label"))
+    few, many = (sorted(map(str, urls.judge(pages, labels=labels, few_suffixes=n).collect())) for n in (50_000, 3))
+    assert few == many and len(few) == 300
 
 
 def test_trees_learn_held_out_labels():
