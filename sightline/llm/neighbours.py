@@ -4,13 +4,17 @@ Vectors are lifted by one coordinate, which makes largest inner product the same
 from balanced k-means on a hash-ordered sample of at most `sample` vectors; every vector is then indexed: in the list of
 its nearest centroid and, at a boundary, also in those of further centroids nearly as close that are not behind one
 already chosen. A query finds centroids by best-first search on an in-memory graph of them, keeps the lists whose
-distance is within a ratio of the best, and is scored in double precision against the vectors of those lists. Lists are
+distance is within a ratio of the best, and is scored in double precision against the vectors of those lists.
+
+The ratio follows from `recall`: the true neighbours of `trials` sampled vectors among all rows tell which ratio opens a
+list of the wanted share of them, and how many lists that takes, so pruning adapts to the table at every size. Lists are
 split into parts of bounded size, and so are the queries that meet a list, so a list that holds a third of all vectors
 is many tasks. What is broadcast, centroids and their graph, is bounded by `most_lists`.
 
-Vectors that are null, zero, hold nulls or non-finite numbers, or differ in length from most take no part, nor do rows
-without an id. Rows that share an id count as one candidate, with the largest score. Ties go to the smaller id. Extra
-columns of the input are ignored. An empty table gives an empty result.
+Scores are summed coordinate by coordinate, so that they do not depend on which vectors are scored together. Vectors that
+are null, zero, hold nulls or non-finite numbers, or differ in length from most take no part, nor do rows without an id.
+Rows that share an id count as one candidate, with the largest score. Ties go to the smaller id. Extra columns of the
+input are ignored. An empty table gives an empty result; with fewer than k other vectors a query gets all of them.
 """
 
 from __future__ import annotations
@@ -120,19 +124,59 @@ def lists_of(x: np.ndarray, c: np.ndarray, slack: float, most: int) -> list[list
     return out
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k largest scores, ties to the smaller id; ids ascending."""
-    if len(scores) > k:
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of x with q, each summed from the first coordinate to the last."""
+    total = np.zeros(len(x))
+    for a, b in zip(x.T, q, strict=True):
+        total += a * b
+    return total
+
+
+def _top(scores: np.ndarray, x: np.ndarray, q: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and exact scores of the k largest, ties to the smaller id; `scores` may be off by rounding."""
+    at = np.flatnonzero(scores > -np.inf)
+    if len(at) > k:
         cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= cut)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+        slack = 1e-12 * float(np.abs(q).sum() * np.abs(x).max())
+        at = np.flatnonzero(scores >= cut - slack)
+    exact = products(x[at], q)
+    order = np.lexsort((ids[at], -exact))[:k]
+    return at[order], exact[order]
+
+
+def true_neighbours(rows: DataFrame, trials: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(trial, vector) of the k best of all rows for each trial, its own id left out: trials * k vectors at most."""
+    shared = rows.sparkSession.sparkContext.broadcast((trials, own))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, mine = shared.value
+        ids, x = np.zeros((len(q), 0), dtype=np.int64), np.zeros((len(q), 0, q.shape[1]))
+        score = np.zeros((len(q), 0))
+        for b in batches:
+            if not len(b):
+                continue
+            more = np.stack(b["v"].to_numpy())
+            new = b["id"].to_numpy()
+            s = np.where(new[None, :] == mine[:, None], -np.inf, q @ more.T)
+            at = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k]
+            score = np.concatenate([score, np.take_along_axis(s, at, 1)], 1)
+            ids, x = np.concatenate([ids, new[at]], 1), np.concatenate([x, more[at]], 1)
+            at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            score, ids, x = np.take_along_axis(score, at, 1), np.take_along_axis(ids, at, 1), np.take_along_axis(x, at[:, :, None], 1)
+        t, n = np.nonzero(score > -np.inf)
+        yield pd.DataFrame({"trial": t, "score": score[t, n], "v": [v.tobytes() for v in x[t, n]]})
+
+    def merge(b: pd.DataFrame) -> pd.DataFrame:
+        return b.nlargest(k, "score")[["trial", "v"]]
+
+    found = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism).mapInPandas(best, "trial long, score double, v binary")
+    out = found.groupBy("trial").applyInPandas(merge, "trial long, v binary").collect()
+    return np.array([r.trial for r in out], dtype=np.int64), np.array([np.frombuffer(r.v, dtype=np.float64) for r in out]).reshape(len(out), -1)
 
 
 def search(
     vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, sample: int = 20_000, list_size: int = 128, most_lists: int = 4096,
-    replicas: int = 4, slack: float = 0.1, ratio: float = 0.3, probes: int = 64, least_candidates: int = 4000, part: int = 1024,
+    replicas: int = 4, slack: float = 0.1, recall: float = 0.97, trials: int = 256, part: int = 1024,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that the condition `queries` (on the column id) selects, its k nearest."""
     sheltered(vectors, key, vector)
@@ -143,13 +187,15 @@ def search(
     if not counted.n:
         return spark.createDataFrame([], schema)
     bound = float(counted.m)
+    floor = 1e-4 * bound  # of squared distances: below it a ratio says nothing
     chosen = rows.orderBy(F.xxhash64("id", "v"), "id").limit(sample).collect()
 
     def lifted(x: np.ndarray, query: bool = False) -> np.ndarray:
         extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(bound - (x**2).sum(1), 0))
         return np.column_stack([x, extra])
 
-    centroids = balanced_centroids(lifted(np.array([r.v for r in chosen])), int(min(max(1, counted.n // list_size), most_lists, max(1, len(chosen) // 4))))
+    sampled = np.array([r.v for r in chosen])
+    centroids = balanced_centroids(lifted(sampled), int(min(max(1, counted.n // list_size), most_lists, max(1, len(chosen) // 4))))
     shared = spark.sparkContext.broadcast(Graph(centroids))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,6 +212,17 @@ def search(
     sizes = np.zeros(len(centroids), dtype=np.int64)
     for r in postings.groupBy("list").count().collect():  # at most most_lists rows
         sizes[r["list"]] = r["count"]
+
+    # how far the lists of true neighbours are, as ratios to the nearest list, decides how many are opened
+    tried, found = true_neighbours(rows, sampled[:trials], np.array([r.id for r in chosen[:trials]]), k)
+    ratio, width = 1.0, len(centroids)
+    if len(tried):
+        q = lifted(sampled[:trials], query=True)
+        d = np.maximum((q**2).sum(1)[:, None] - 2 * q @ centroids.T + (centroids**2).sum(1), floor)
+        d = np.sqrt(d / d.min(1, keepdims=True))
+        lists = [x for i in range(0, len(found), 1024) for x in lists_of(lifted(found[i : i + 1024]), centroids, slack, replicas)]
+        ratio = float(np.quantile([d[t, x].min() for t, x in zip(tried, lists, strict=True)], recall, method="higher")) * (1 + 1e-9)
+        width = min(len(centroids), int(1.25 * (d <= ratio).sum(1).max()) + 8)
     held = spark.sparkContext.broadcast(sizes)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,22 +230,20 @@ def search(
         for b in batches:
             out = []
             for i, v in zip(b["id"], b["v"], strict=True):
-                q = lifted(np.array(v)[None, :], query=True)[0]
-                found = graph.search(q, probes)
-                limit = (1 + ratio) ** 2 * max(found[0][0], 1e-12)
-                got = 0
-                for n, (d, j) in enumerate(found):
-                    if n and d > limit and got >= least_candidates:
-                        break
-                    got += size[j]
-                    out.append((j, i, np.array(v).tobytes()))
-                if got < least_candidates and len(found) < len(size):  # few vectors so far: all other lists, nearest first
-                    rest = np.setdiff1d(np.arange(len(size)), [j for _, j in found])
-                    for j in rest[np.argsort(((graph.c[rest] - q) ** 2).sum(1), kind="stable")]:
-                        if got >= least_candidates:
+                v = np.array(v)
+                q = lifted(v[None, :], query=True)[0]
+                found = graph.search(q, width)
+                limit = ratio**2 * max(found[0][0], floor)
+                near = [j for d, j in found if max(d, floor) <= limit]
+                got = int(size[near].sum())
+                if got < replicas * (k + 1):  # so few might hold less than k others: further lists, nearest first
+                    rest = np.setdiff1d(np.arange(len(size)), near)
+                    for j in rest[np.argsort(((graph.c[rest] - q) ** 2).sum(1), kind="stable")].tolist():
+                        if got >= replicas * (k + 1):
                             break
-                        got += size[j]
-                        out.append((int(j), i, np.array(v).tobytes()))
+                        got += int(size[j])
+                        near.append(j)
+                out += [(j, i, v.tobytes()) for j in near]
             yield pd.DataFrame(out, columns=["list", "query_id", "q"])
 
     asked = written(rows.where(queries).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").mapInPandas(probe, "list long, query_id long, q binary"), "probes")
@@ -201,16 +256,17 @@ def search(
     right = asked.join(split, "list").withColumn("b", F.pmod(F.xxhash64("query_id"), "blocks")).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
 
     def score(some: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(some) and len(ask):
             some = some.sort_values("id", kind="stable")
             ids = some["id"].to_numpy()
             x = np.frombuffer(b"".join(some["v"]), dtype=np.float64).reshape(len(ids), -1)
             q = np.frombuffer(b"".join(ask["q"]), dtype=np.float64).reshape(len(ask), -1)
-            for i, s in zip(ask["query_id"].to_numpy(), q @ x.T, strict=True):
-                s = np.where(ids == i, -np.inf, s)
-                out += [(i, ids[n], s[n]) for n in _top(s, ids, k) if ids[n] != i]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            for i, v, s in zip(ask["query_id"].to_numpy(), q, q @ x.T, strict=True):
+                at, exact = _top(np.where(ids == i, -np.inf, s), x, v, ids, k)
+                out.append((np.full(len(at), i), ids[at], exact))
+        found = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
     keys = ("list", "p", "b")
     found = left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q").groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")

@@ -32,8 +32,24 @@ def test_recall_against_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     want = brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
-    got = neighbours.search(df, F.col("id") % 20 == 0, list_size=32, least_candidates=400).collect()
+    got = neighbours.op6_neighbours(spark, "/root/testdata/sf0.1").collect()
     assert recall(got, want) >= 0.9
+    exact = dict(rows)
+    for r in got[:200]:
+        total = 0.0
+        for a, b in zip(exact[r.query_id], exact[r.vec_id]):
+            total += a * b
+        assert r.score == total
+
+
+def test_recall_with_many_lists(spark):
+    """12,000 vectors in 90 lists with the registered parameters: lists are pruned, and recall holds."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(60, 24))
+    x = centre[rng.integers(0, 60, 12_000)] + rng.normal(size=(12_000, 24)) * 0.45
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8), F.col("id") % 40 == 0).collect()
+    assert recall(got, brute(rows, [r for r in rows if r[0] % 40 == 0], 20)) >= 0.9
 
 
 def test_unequal_norms_and_hot_vector(spark):
