@@ -3,7 +3,8 @@
 Null payloads are written as empty ones; null urls and null keys are left out of the headers and come back null. Rows
 whose key is null are always responses. Rows that repeat a key and a payload are all responses when that key is the
 smallest of its group. Carriage returns and line feeds in urls are percent-encoded in headers and restored. Extra
-columns of the input are ignored. An empty table makes no archive and gives an empty result.
+columns of the input are ignored. Very long payloads are one record and one frame each, up to 1 GiB, beyond which reading
+fails. An empty table makes no archive and gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,8 +48,8 @@ def _unquote(url: str) -> str:
     return url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
-def _record(row) -> bytes:
-    """One WARC/1.1 record: header lines, blank line, block, two line ends."""
+def _record(row, number: str) -> bytes:
+    """One WARC/1.1 record: header lines, blank line, block, two line ends. number: its place among all records written."""
     payload = row.payload.encode("utf-8", "surrogatepass") if row.payload is not None else b""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row.payload_bytes
     if row.record_type == "response":
@@ -56,7 +57,7 @@ def _record(row) -> bytes:
     head = [
         "WARC/1.1",
         f"WARC-Type: {row.record_type}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{row.key}/{row.url}')}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{number}/{row.key}/{row.url}')}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         "Content-Type: application/http;msgtype=response",
         f"WARC-Payload-Digest: sha256:{row.payload_digest}",
@@ -148,14 +149,18 @@ def _parsed(record: bytes) -> dict:
     }
 
 
-def iter_records(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """Decoded records of an archive, read in chunks: memory holds a chunk and the record at hand, not the archive."""
+def iter_records(stream, chunk: int = 1 << 16, most: int = 1 << 30) -> Iterator[bytes]:
+    """Decoded records of an archive, read in chunks: memory holds a chunk and the record at hand, not the archive.
+
+    What follows a frame in its chunk is copied once for each frame, so chunks are small. A record beyond `most` bytes fails.
+    """
     data = b""
     dictionary = None
     first = True
     more = True
     unpack = None
     parts: list[bytes] = []
+    held = 0
     while True:
         if len(data) < 8 and more:
             got = stream.read(chunk)
@@ -185,11 +190,14 @@ def iter_records(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
                 raise WarcError("not a frame")
             first = False
             unpack = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
-            parts = []
+            parts, held = [], 0
         try:
             parts.append(unpack.decompress(data))
         except zstandard.ZstdError as e:
             raise WarcError(f"bad frame: {e}") from e
+        held += len(parts[-1])
+        if held > most:
+            raise WarcError(f"a record of more than {most} bytes")
         if unpack.eof:
             data = unpack.unused_data
             unpack = None
@@ -252,7 +260,7 @@ def write_archives(rows: DataFrame, folder: str, roll_bytes: int = 16 << 20, lev
             nonlocal held, size
             path = f"{base}/{name}-{len(made):04d}.warc.zst"
             data = archive_bytes(held, level)
-            with fs.open_output_stream(path) as out:
+            with fs.open_output_stream(path, compression=None) as out:
                 out.write(data)
             made.append((path, len(data), len(held)))
             held, size = [], 0
@@ -260,7 +268,7 @@ def write_archives(rows: DataFrame, folder: str, roll_bytes: int = 16 << 20, lev
         for batch in batches:
             batch = batch.astype(object).where(batch.notna(), None)
             for row in batch.itertuples(index=False):
-                held.append(_record(row))
+                held.append(_record(row, f"{name}/{len(made)}/{len(held)}"))
                 size += len(held[-1])
                 if size >= roll_bytes:
                     roll()
@@ -282,7 +290,7 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -
         for batch in batches:
             for row in batch.itertuples(index=False):
                 out, size, seen = [], 0, 0
-                with fs.open_input_stream(row.archive) as stream:
+                with fs.open_input_stream(row.archive, compression=None) as stream:
                     for record in iter_records(stream):
                         one = _parsed(record)
                         seen += 1
@@ -298,7 +306,7 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -
                 if seen != row.records:
                     raise WarcError(f"{row.archive}: {seen} records, {row.records} expected")
 
-    return manifest.repartition(max(1, min(manifest.count(), 4096)), "archive").mapInPandas(read, RECORD_SCHEMA)
+    return manifest.repartition(max(1, min(manifest.count(), 100_000)), "archive").mapInPandas(read, RECORD_SCHEMA)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", with_payload: bool = True, roll_bytes: int = 16 << 20) -> DataFrame:

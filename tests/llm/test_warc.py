@@ -100,3 +100,18 @@ def test_manifest_count_is_checked(spark):
     assert manifest.agg({"records": "sum"}).first()[0] == 3
     with pytest.raises(Exception, match="expected"):
         warc.read_archives(manifest.selectExpr("archive", "archive_bytes", "records + 1 AS records"), folder).collect()
+
+
+def test_records_of_unbounded_length_fail():
+    data = warc.archive_bytes([b"x" * 5000, b"y"])
+    with pytest.raises(warc.WarcError, match="more than 4000 bytes"):
+        list(warc.iter_records(io.BytesIO(data), most=4000))
+
+
+def test_files_are_archives_and_repeated_rows_have_ids_of_their_own(spark):
+    """Read as plain bytes: a skippable frame with the dictionary, if any, then a frame for each record."""
+    pages = spark.createDataFrame([(1, "http://a.org/", "x" * 200)] * 5, "page_id long, url string, html string")
+    folder = f"{shared_dir(spark)}/warc"
+    manifest = warc.write_archives(warc.planned(pages), folder)
+    ids = [line for r in manifest.collect() for record in warc.iter_records(open(r.archive, "rb")) for line in record.split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(ids) == len(set(ids)) == 5
