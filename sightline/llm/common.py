@@ -100,3 +100,15 @@ def marked_ids(rows: DataFrame, ids: DataFrame, column: str = "id", most: int =
     named = rows.withColumn("_s", spot(F.col(column).cast("long"))).withColumn("_word", (F.col("_s") / 64).cast("long")).join(F.broadcast(table), "_word", "left")
     bit = F.expr("coalesce(shiftrightunsigned(_bits, cast(pmod(_s, 64) AS int)) & 1 = 1, FALSE)")
     return named.withColumn("maybe", bit & F.col(column).isNotNull()).select(*rows.columns, "maybe")
+
+
+def even_keys(spark: SparkSession, n: int, most: int = 200_000) -> list[int]:
+    """n numbers of which hash partitioning into n partitions puts one in each: tasks then hold one group each, not a chance number.
+
+    Beyond `most` the numbers are 0 to n - 1: what reaches the driver stays bounded.
+    """
+    if n > most:
+        return list(range(n))
+    spots = spark.range(32 * n).groupBy(F.expr(f"pmod(hash(id), {n})").alias("at")).agg(F.min("id").alias("id")).collect()
+    keys = {r["at"]: r["id"] for r in spots}
+    return [keys.get(i, 32 * n + i) for i in range(n)]

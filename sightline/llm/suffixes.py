@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import induced
-from .common import HEAVY_SHARE, heavy_keys, lookup_join, marked_ids, shared_dir, sheltered, written
+from .common import HEAVY_SHARE, even_keys, heavy_keys, lookup_join, marked_ids, shared_dir, sheltered, written
 from .jaccard import _powers, mix
 
 _U = np.uint64
@@ -155,7 +155,7 @@ def shared_keys(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     return written(met.groupBy("digest").agg(F.collect_list(F.struct("keys", "many")).alias("found")), "keys")
 
 
-PIECES = "shard long, docs binary, tags binary, starts binary, sizes binary, keys binary, bytes binary"
+PIECES = "deal long, shard long, docs binary, tags binary, starts binary, sizes binary, keys binary, bytes binary"
 
 
 def packed(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray, shards: np.ndarray) -> list[tuple]:
@@ -181,11 +181,11 @@ def equal_pieces(text: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return kind, doc > least[kind]
 
 
-def pieces(candidates: DataFrame, length: int, shards: int, buckets: int, hot_from: int, block_bytes: int = 12 << 20) -> DataFrame:
+def pieces(candidates: DataFrame, length: int, shards: int, buckets: int, hot_from: int, deal: list[int], block_bytes: int = 12 << 20) -> DataFrame:
     """Pieces of text by shard, in blocks; of equal pieces of a block those in the smallest document.
 
     A piece names its document by id, which decides who is smaller, and by a tag of its text, as texts may share an id. What goes in the other documents of the block is known already; it comes as rows of shards below 0, one for each
-    bucket of documents.
+    bucket of documents. deal has a number for each bucket and shard, by which they are dealt to tasks.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,7 +203,7 @@ def pieces(candidates: DataFrame, length: int, shards: int, buckets: int, hot_fr
             for s, e in zip(*runs(shard[order]), strict=True):
                 at = order[s:e]
                 out.append((int(shard[at[0]]), doc[at].tobytes(), tag[at].tobytes(), start[at].tobytes(), size[at].tobytes(), key[at].tobytes(), b"".join([text[i] for i in at])))
-            return pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
+            return pd.DataFrame([(deal[buckets + r[0]], *r) for r in out], columns=[c.split()[0] for c in PIECES.split(", ")])
 
         for b in batches:
             for doc, name, whole_text, found in zip(b["id"].to_numpy(), b["digest"], b["text"], b["found"], strict=True):
@@ -348,7 +348,7 @@ def shard_spans(blocks: DataFrame, length: int, shards: int, buckets: int, folde
         return pd.DataFrame({"id": docs, "tag": [t.tobytes() for t in tags], "spans": [np.stack([start[s:e], stop[s:e]]).tobytes() for s, e in zip(cut, end, strict=True)]})
 
     # as many tasks as shards, so that what a task reads does not grow with the corpus
-    spans = blocks.repartition(2 * shards, "shard").groupBy("shard").applyInPandas(sort, "bucket long, docs binary, tags binary, starts binary, stops binary")
+    spans = blocks.repartition(2 * shards, "deal").groupBy("deal").applyInPandas(sort, "bucket long, docs binary, tags binary, starts binary, stops binary")
     return written(spans.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(merge, "id long, tag binary, spans binary"), "spans")
 
 
@@ -372,7 +372,7 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", length:
     candidates = texts.groupBy("id", "digest").agg(F.first("text").alias("text"), F.first("found").alias("found")) if repeated else texts
     folder = shared_dir(spark)
     shards = max(shuffles, int((size.bytes or 0) // shard_bytes) + 1)
-    blocks = pieces(candidates, length, shards, shards, min(max(3, size.n // HEAVY_SHARE), 20_000))
+    blocks = pieces(candidates, length, shards, shards, min(max(3, size.n // HEAVY_SHARE), 20_000), even_keys(spark, 2 * shards))
     spans = shard_spans(blocks, length, shards, max(shuffles, int((size.n or 0) // 100_000) + 1), folder, memory)
     return results(rows, spans, key, length, with_text, repeated, documents.schema[key].dataType.simpleString())
 
