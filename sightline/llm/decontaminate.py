@@ -5,9 +5,11 @@ document frequency over the whole corpus. A randomised SVD of all passages' TF-I
 AᵀAΩ of features by rank, summed by blocks, then a Nyström decomposition) gives a latent space. Passages whose cosine to
 an item, or to a passage of an item longer than a window, reaches `cosine` there are candidates. Around a candidate, a document matches an item where the longest common
 subsequence of words covers enough of the item, or covers less of it but also enough of the item's answer, its last
-sentence. Exact passages and paraphrases that keep the order of most words are found this way.
+sentence. Exact passages and paraphrases that keep the order of most words are found this way. Items with at most `few`
+features say too little to a cosine: their candidates are the passages that hold one of the features.
 
-The benchmark is worked in blocks of `block` different items, so what is broadcast is bounded. An item is a row's id and
+The benchmark is worked in blocks of `block` different items: each block's model is broadcast on its own, and where there
+are several, the results of each are written before the next one. An item is a row's id and
 text: texts may share an id, and items with a null id count like all others. Null and empty texts, and items without
 words, match nothing; repeated rows of either table get repeated results; ties between places go to the first; very long texts
 are searched whole; extra columns of the input are left as they are. An empty benchmark matches nothing.
@@ -117,7 +119,7 @@ def subsequence(a: np.ndarray, b: np.ndarray, where: dict[int, int] | None = Non
 class Model:
     """A block of items with its features, weights and latent space; searches one text at a time."""
 
-    def __init__(self, items: list[Item], features: np.ndarray, weight: np.ndarray, basis: np.ndarray, window: int, cosine: float, lcs: float, lcs_answer: float, answer: float) -> None:
+    def __init__(self, items: list[Item], features: np.ndarray, weight: np.ndarray, basis: np.ndarray, window: int, cosine: float, lcs: float, lcs_answer: float, answer: float, few: int = 3) -> None:
         self.items, self.window = items, window
         self.cosine, self.lcs, self.lcs_answer, self.answer = cosine, lcs, lcs_answer, answer
         self.basis = (basis * weight[:, None]).astype(np.float32)
@@ -139,6 +141,8 @@ class Model:
         self.latent = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
         self.own, self.often = (np.concatenate(x) for x in zip(*self.owns, strict=True))
         self.edge = np.concatenate([[0], np.cumsum([len(x) for x, _ in self.owns])[:-1]])
+        marks = [self.feature[x] for x, _ in self.owns]
+        self.short = {n: f[f >= 0] for n, f in enumerate(marks) if (f >= 0).sum() <= few}
         self.least = lcs_answer * np.array([len(x.words) for x in items])
 
     def search(self, text: str | None) -> list[tuple[int | None, float, float, float, int, int]]:
@@ -151,7 +155,7 @@ class Model:
             return []
         f = self.feature[v]
         at, f = there[f >= 0], f[f >= 0]
-        start, lo, hi = windows(len(words), at, self.window)
+        start, lo, hi = windows(len(words), at, self.window, 1)
         if not len(start):
             return []
         rows = np.flatnonzero(possible[self.owner])
@@ -161,9 +165,13 @@ class Model:
         z = sums[hi] - sums[lo]
         cos = z @ self.latent[rows].T / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
         near, row = np.nonzero(cos >= self.cosine)
-        if not len(near):
+        pairs = [owner[row] * len(start) + near]
+        for n in self.short.keys() & set(np.flatnonzero(possible).tolist()):
+            places = np.append(0, np.cumsum(np.isin(f, self.short[n])))
+            pairs.append(n * len(start) + np.flatnonzero(places[hi] > places[lo]))
+        pairs = np.unique(np.concatenate(pairs))
+        if not len(pairs):
             return []
-        pairs = np.unique(owner[row] * len(start) + near)
         first = np.flatnonzero(np.diff(pairs // len(start), prepend=-1))
         spot = np.full(len(self.vocabulary.known), -1)
         out = []
@@ -211,11 +219,11 @@ class Model:
         return found
 
 
-def windows(n: int, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the half-overlapping windows with two features or more, and the ranges of features in them."""
+def windows(n: int, at: np.ndarray, window: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the half-overlapping windows with `least` features or more, and the ranges of features in them."""
     start = np.arange(0, max(1, n - window // 2), window // 2)
     lo, hi = np.searchsorted(at, start), np.searchsorted(at, start + window)
-    ok = hi - lo >= 2
+    ok = hi - lo >= least
     return start[ok], lo[ok], hi[ok]
 
 
@@ -306,19 +314,18 @@ def latent_basis(documents: DataFrame, text: str, features: np.ndarray, weight:
     return left[:, : min(rank, left.shape[1])]
 
 
-def models(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rank: int = 256, window: int = 48, block: int = 2000, cosine: float = 0.35, lcs: float = 0.75, lcs_answer: float = 0.6, answer: float = 0.6, common: float = 0.02, fewest: int = 8) -> list[Model]:
-    """A model for each block of items. Features: an item's words in at most a share `common` of documents, or its `fewest` rarest."""
+def models(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rank: int = 256, window: int = 48, block: int = 2000, cosine: float = 0.35, lcs: float = 0.75, lcs_answer: float = 0.6, answer: float = 0.6, common: float = 0.02, fewest: int = 8) -> Iterator[tuple[Model, bool]]:
+    """A model for each block of items in turn, and whether it is the only one. Features: an item's words in at most a share `common` of documents, or its `fewest` rarest."""
     sheltered(documents, text)
     sheltered(benchmark, item, item_text)
-    out = []
     # one row for each id and text; the digest of the text gives those of one id an order
     every = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t IS NOT NULL")
     every = written(every.groupBy("i", "t").agg(F.count("*").alias("times")).withColumn("d", F.sha2(F.col("t").cast("binary"), 256)), "items")
-    rest = every
+    rest, only = every, every.count() <= block
     while True:
         rows = rest.orderBy(F.col("i").asc_nulls_first(), "d").limit(block).collect()
         if not rows:
-            return out
+            return
         i, d = rows[-1].i, rows[-1].d
         rest = every.where(F.col("i").isNotNull() | (F.col("d") > d)) if i is None else every.where((F.col("i") > i) | ((F.col("i") == i) & (F.col("d") > d)))
         rows = [(r.i, r.t, r.times) for r in rows]
@@ -335,20 +342,17 @@ def models(documents: DataFrame, benchmark: DataFrame, text: str = "text", item:
         features, weight = known[keep], np.log((n + 1) / (df[keep] + 0.5)).astype(np.float32)
         weight = np.maximum(weight, 1e-3)
         basis = latent_basis(documents, text, features, weight, rank, window)
-        out.append(Model(items, features, weight, basis, window, cosine, lcs, lcs_answer, answer))
+        yield Model(items, features, weight, basis, window, cosine, lcs, lcs_answer, answer), only
 
 
-def matches(text: Column, found: list[Model], spark: SparkSession) -> Column:
-    """For each text the items that it holds: item_id, cosine, shares of the item and of its answer, first word."""
-    shared = spark.sparkContext.broadcast(found)
+def matches(text: Column, model: Model, spark: SparkSession) -> Column:
+    """For each text the items of a block that it holds: item_id, cosine, shares of the item and of its answer, first word."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(MATCHES)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            out = []
-            for t in s:
-                hits = [x for m in shared.value for x in m.search(t)]
-                out.append([dict(zip(("item_id", "cosine", "lcs", "answer", "at", "times"), x, strict=True)) for x in hits])
+            out = [[dict(zip(("item_id", "cosine", "lcs", "answer", "at", "times"), x, strict=True)) for x in shared.value.search(t)] for t in s]
             yield pd.Series(out)
 
     return search(text.cast("string"))
@@ -357,17 +361,26 @@ def matches(text: Column, found: list[Model], spark: SparkSession) -> Column:
 def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """A row for each document and item that it holds: key, item_id, cosine, lcs, answer, at."""
     sheltered(documents, key, text)
-    found = models(documents, benchmark, text, **options)
-    rows = documents.select(F.col(key).alias("_key"), matches(F.col(text), found, documents.sparkSession).alias("m"))
-    rows = rows.select("_key", F.explode("m").alias("m"))
-    rows = rows.select("_key", "m", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m.times"))))
-    return rows.select(F.col("_key").alias(key), "m.item_id", "m.cosine", "m.lcs", "m.answer", "m.at")
+    kind = documents.schema[key].dataType.simpleString()
+    out = documents.sparkSession.createDataFrame([], f"`{key}` {kind}, item_id long, cosine double, lcs double, answer double, at long")
+    for model, only in models(documents, benchmark, text, **options):
+        rows = documents.select(F.col(key).alias("_key"), matches(F.col(text), model, documents.sparkSession).alias("m"))
+        rows = rows.select("_key", F.explode("m").alias("m"))
+        rows = rows.select("_key", "m", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m.times"))))
+        rows = rows.select(F.col("_key").alias(key), "m.item_id", "m.cosine", "m.lcs", "m.answer", "m.at")
+        if only:
+            return rows
+        out = out.unionByName(written(rows, "matches"))
+    return out
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents, with all their columns, that hold no item."""
-    found = models(documents, benchmark, text, **options)
-    return documents.where(F.size(matches(F.col(text), found, documents.sparkSession)) == 0)
+    left = documents
+    for model, only in models(documents, benchmark, text, **options):
+        left = left.where(F.size(matches(F.col(text), model, documents.sparkSession)) == 0)
+        left = left if only else written(left, "clean")
+    return left
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

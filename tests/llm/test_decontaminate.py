@@ -50,6 +50,18 @@ def test_passages_and_paraphrases_and_clean_documents(spark):
     assert {(r.doc_id, r.item_id) for r in dc.contaminated(d, b, block=15).collect()} >= {(i, n) for i, n in want if i % 16}
 
 
+def test_short_and_long_items_that_stand_there(spark):
+    r = random.Random(12)
+    rare = lambda n: ["".join(r.choice("nopqrstuvwxyz") for _ in range(8)) for _ in range(n)]
+    items = [(n, " ".join(rare(size))) for n, size in enumerate([1, 1, 2, 3, 5, 250, 1000])]
+    crowd = " ".join(rare(200))
+    docs = [(n, " ".join(prose(90, r)) + f" {t} " + " ".join(prose(90, r))) for n, t in items] + [(50, crowd), (51, " ".join(t for _, t in items[:5]))]
+    docs += [(100 + i, " ".join(prose(120, r))) for i in range(100)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (9, crowd)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in dc.contaminated(d, b).collect()}
+    assert got == {(n, n) for n, _ in items} | {(50, 9)} | {(51, n) for n in range(5)}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
