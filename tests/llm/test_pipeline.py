@@ -1,5 +1,8 @@
+import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sightline.llm import quality
 from sightline.llm.common import written
@@ -48,3 +51,67 @@ def test_run_and_empty_input(spark):
         out = written(stage(spark, docs, SF))
         assert out.count() == 0
         docs = out if out.columns == docs.columns else docs
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and long texts, repeated ids with equal and different texts, and columns with clashing names."""
+    r = random.Random(1)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n)).capitalize() + "."
+    a, b, c, passage = prose(80), prose(90), prose(70), prose(60)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, prose(50)), (4, c), (4, c), (4, c + " z"), (5, None), (6, ""), (None, a), (None, None), (7, prose(20_000)), (8, passage + prose(40)), (9, prose(30) + passage), (9, prose(45)), (9, prose(20) + passage + prose(9)), (10, "one two")]
+    full = [(i, t, None if n % 5 == 0 else "en", None if n % 4 == 0 else "s", None if n % 3 == 0 or t is None else len(t), n, f"k{n}", float(n), n % 2 == 0, b"x") for n, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, id long, kept string, evidence double, keep boolean, digest binary"), rows
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark):
+    docs, rows = odd_documents(spark)
+    by = dict(corpus_pipeline.STAGES)
+    names = docs.columns
+    for name in ("quality", "near_duplicates", "repeats", "decontamination"):
+        out = by[name](spark, docs, SF)
+        assert out.columns == names and out.schema == docs.schema
+        kept = out.collect()
+        carried = {r.id: r for r in docs.collect()}
+        assert len({r.id for r in kept}) == len(kept)
+        for r in kept:  # what is carried along is untouched, and so is the text but for repeats
+            assert [r[c] for c in names if c not in ("text", "n_chars")] == [carried[r.id][c] for c in names if c not in ("text", "n_chars")]
+            assert name == "repeats" or (r.text, r.n_chars) == (carried[r.id].text, carried[r.id].n_chars)
+        stayed = {r.id for r in kept}
+        if name == "near_duplicates":
+            numbered = [(n, t) for n, (i, t) in enumerate(rows) if i is not None]
+            groups = {}
+            for n, _, c in components(numbered):
+                groups.setdefault(c, []).append(n)
+            for members in groups.values():
+                least = min(rows[n][0] for n in members)
+                left = [n for n in members if n in stayed]
+                assert len(left) == 1 and rows[left[0]][0] == least, members
+            assert {n for n, (i, _) in enumerate(rows) if i is None} <= stayed
+        elif name == "repeats":
+            gone = {}
+            for n, (i, t) in enumerate(rows):
+                for _, j, size, removed, *_ in repeats([(k, x) for m, (k, x) in enumerate(rows) if m == n or (k is not None and i is not None and k < i)]):
+                    if j == (i or 0) and size == len((t or "").encode()):
+                        gone[n] = removed
+            for n, (_, t) in enumerate(rows):
+                size = len((t or "").encode())
+                assert (n in stayed) == (not gone[n] or gone[n] < size)
+            assert all(len(r.text or "") == len(rows[r.id][1] or "") - gone[r.id] for r in kept)
+        else:
+            assert name != "decontamination" or stayed == set(range(len(rows)))
+    assert by["packing"](spark, docs, SF).groupBy("doc_id").count().count() == 11
+
+
+def test_no_labels_and_no_benchmark(spark, tmp_path):
+    docs, rows = odd_documents(spark)
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{t}.parquet")
+    by = dict(corpus_pipeline.STAGES)
+    for name in ("quality", "decontamination"):
+        assert by[name](spark, docs, f"file://{tmp_path}").count() == len(rows)
+
+
+def test_every_decision_takes_effect(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = corpus_pipeline.run(spark, SF)
+    assert out.select("doc_id").distinct().count() < docs.where(F.col("doc_id").isNotNull()).count()
