@@ -27,46 +27,49 @@ from pyspark.sql import functions as F
 
 from .common import sheltered, written
 
-#: Texts with a character outside this set go to the tokenizer itself.
-PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ſ–-…€]")
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def _byte_of() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, others in order from 256."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+#: Texts with a character outside this set go to the tokenizer as a whole.
+PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\u017f\u2013-\u2026\u20ac]")
+_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Where a byte-level tokenizer cuts texts of plain characters: no id spans a cut.
+CUTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 
 
 class Encoder:
     """Ids of a tokenizer file as little-endian unsigned 32-bit bytes.
 
-    Where the file's merges are in the order of their ids, plain texts take a faster path over the same vocabulary as
-    ranks, which gives the same ids; all other texts go to the tokenizer itself.
+    All ids are the tokenizer's. Where it cuts texts before it looks up ids, as byte-level ones do, plain texts are cut here
+    in the same places, and the tokenizer is asked once for each different piece; `most` pieces are remembered at a time.
     """
 
-    def __init__(self, path: str) -> None:
-        import tiktoken
+    def __init__(self, path: str, most: int = 1 << 18) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocabulary = {k: v for k, v in model["vocab"].items() if k not in self.special}
-        merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
-        self.fast = None
-        if merged == sorted(merged) and len(merged) + 256 == len(vocabulary):
-            byte_of = _byte_of()
-            ranks = {bytes(byte_of[c] for c in k): v for k, v in vocabulary.items()}
-            self.fast = tiktoken.Encoding("ranks", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            made = json.load(f)
+        cutter = made.get("pre_tokenizer") or {}
+        self.cuts = made.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
+        self.most = most
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        if self.fast and not PLAIN.search(text) and not any(s in text for s in self.special):
-            return array.array("I", self.fast(text)).tobytes()
+    def whole(self, text: str) -> bytes:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def encode(self, text: str) -> bytes:
+        if not self.cuts or PLAIN.search(text) or any(s in text for s in self.special):
+            return self.whole(text)
+        known, out = self.known, []
+        for piece in CUTS.findall(text):
+            ids = known.get(piece)
+            if ids is None:
+                if len(known) >= self.most:
+                    known.clear()
+                ids = known[piece] = self.whole(piece)
+            out.append(ids)
+        return b"".join(out)
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -118,21 +121,23 @@ def combinations(window: int, present: np.ndarray, grid: int = 32) -> np.ndarray
     return rows[there[rows].all(1)]
 
 
-def repeat_counts(rows: np.ndarray, histogram: np.ndarray, most: int = 6000) -> np.ndarray:
+def repeat_counts(rows: np.ndarray, histogram: np.ndarray, ease: float = 1e-6) -> np.ndarray:
     """Non-negative least squares of the combinations' lengths against the histogram, by greedy coordinate descent.
 
-    It stops when no single change of a count by one half or more improves the fit: smaller ones vanish in rounding.
+    It stops when no single change of a count by one half or more improves the fit: smaller ones vanish in rounding. Each
+    step lessens the squared error by a quarter or more, so it does stop; `ease` ends it where a step gains next to nothing.
     """
     x = np.zeros(len(rows))
     if not len(rows):
         return x
     left = np.concatenate([[0.0], histogram.astype(float)])
+    total = float(left.sum())
     used = (rows > 0).astype(float)
     norm = np.array([sum(np.bincount(r[r > 0]) ** 2) for r in rows], dtype=float)
-    for _ in range(most):
+    while True:
         step = np.maximum((left[rows] * used).sum(1) / norm, -x)
         j = int(np.argmax(step * step * norm))
-        if abs(step[j]) < 0.5:
+        if abs(step[j]) < max(0.5, ease * total):
             break
         x[j] += step[j]
         np.subtract.at(left, rows[j][rows[j] > 0], step[j])

@@ -57,8 +57,19 @@ def test_plan_uses_up_any_histogram(counts):
     assert (used[1:] == h).all()
 
 
-def test_fast_path_gives_the_tokenizers_ids(spark):
-    own = packing.encoder(packing.tokenizer_path())
-    assert own.fast
-    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
-        assert own.encode(r.text) == np.array(own.tokenizer.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()
+def test_cut_texts_of_the_table_have_the_tokenizers_ids(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    own = packing.Encoder(packing.tokenizer_path(), most=500)
+    assert own.cuts
+    assert all(own.encode(t) == own.whole(t) for t in texts)
+    assert len(own.known) <= 500
+
+
+PLAIN_TEXT = st.text(st.sampled_from("aZé\u017fß09²½ª'sltrevmd.,!\u2013\u2026€ \t\n\r-_<|>") | st.characters(min_codepoint=32, max_codepoint=0x17F), max_size=60)
+
+
+@settings(max_examples=400, deadline=None)
+@given(PLAIN_TEXT)
+def test_cut_texts_have_the_ids_of_whole_ones(text):
+    encoder = packing.encoder(packing.tokenizer_path())
+    assert encoder.encode(text) == encoder.whole(text)
