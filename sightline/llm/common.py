@@ -37,11 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "table", small: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there and a lost executor costs nothing written.
 
-    small: rows of a few numbers each; they are written by two waves of tasks, not as one file for each partition.
+    small: rows of a few numbers each; they are written by one wave of tasks, not as one file for each partition.
     """
     spark = df.sparkSession
     if small:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+        df = df.coalesce(spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

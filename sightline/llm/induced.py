@@ -128,24 +128,46 @@ def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarra
     return out.astype(np.uint8)
 
 
-def order_seeds(t: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray:
-    """The seeds in the order of their suffixes: names of four symbols, then of twice as many, while names are shared."""
-    padded = np.append(t, np.zeros(depth + 8, dtype=t.dtype))
-    order, name = seeds, np.zeros(len(seeds), dtype=np.int64)
-    tied = np.arange(len(seeds))
+def _refined(order: np.ndarray, name: np.ndarray, tied: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Orders the places `tied` of each name by key, gives the parts names of their own, and returns the places still tied."""
+    by = np.lexsort((key, name[tied]))
+    order[tied], key, group = order[tied][by], key[by], name[tied][by]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
+    name[tied] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
+    return tied[~(new & np.append(new[1:], True))]
+
+
+def order_seeds(t: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray:
+    """The seeds in the order of their suffixes.
+
+    The string from a seed to the next one gets a name by its symbols and types. Seeds whose names are shared are told
+    apart by the name one further, then two, then four: named strings double in length until they differ or reach `depth`.
+    """
+    m = len(seeds)
+    stop = np.append(seeds[1:], len(t) - 1) - seeds + 1
+    code = (t.astype(np.uint16) << np.uint16(1)) + is_s + np.uint16(1)
+    order, name, tied = np.arange(m), np.zeros(m, dtype=np.int64), np.arange(m)
     at = 0
     while len(tied) and at < depth:
+        own = order[tied]
         key = np.zeros(len(tied), dtype=np.uint64)
-        for j in range(4):
-            key = (key << np.uint64(16)) | padded[np.minimum(order[tied] + at + j, len(padded) - 1)].astype(np.uint64)
-        by = np.lexsort((key, name[tied]))
-        order[tied], key, group = order[tied][by], key[by], name[tied][by]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
-        name[tied] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
-        shared = ~(new & np.append(new[1:], True))
-        tied = tied[shared]
-        at += 4
-    return order
+        for j in range(6):
+            symbol = code[np.minimum(seeds[own] + (at + j), len(t) - 1)]
+            key = (key << np.uint64(10)) | np.where(at + j < stop[own], symbol, 0).astype(np.uint64)
+        at += 6
+        tied = _refined(order, name, tied, key)
+        tied = tied[stop[order[tied]] > at]  # equal strings that have ended have one name
+    step = 1
+    rank = np.empty(m, dtype=np.int64)
+    rank[order] = name
+    first = np.append(True, name[1:] != name[:-1])
+    tied = np.flatnonzero(~(first & np.append(first[1:], True)))
+    while len(tied) and 2 * step < depth:  # a seed and the next are two symbols apart at least
+        later = order[tied] + step
+        tied = _refined(order, name, tied, np.where(later < m, rank[np.minimum(later, m - 1)], -1))
+        rank[order] = name
+        step *= 2
+    return seeds[order]
 
 
 class _Minima:
@@ -221,7 +243,7 @@ def suffixes(t: np.ndarray, depth: int, scratch: Scratch | None = None) -> Itera
     n, symbols = len(t), int(t.max()) + 1
     is_s = types(t)
     seeds = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    seeds = order_seeds(t, seeds.astype(np.int64), depth)
+    seeds = order_seeds(t, is_s, seeds.astype(np.int64), depth)
     seed_lcp = np.zeros(len(seeds), dtype=np.uint8)
     if len(seeds) > 1:
         seed_lcp[1:] = common(t, seeds[:-1], seeds[1:], depth)

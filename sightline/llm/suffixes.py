@@ -181,7 +181,7 @@ def equal_pieces(text: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return kind, doc > least[kind]
 
 
-def pieces(candidates: DataFrame, length: int, shards: int, buckets: int, hot_from: int, deal: list[int], block_bytes: int = 12 << 20) -> DataFrame:
+def pieces(candidates: DataFrame, length: int, shards: int, buckets: int, hot_from: int, deal: list[int], block_bytes: int = 8 << 20) -> DataFrame:
     """Pieces of text by shard, in blocks; of equal pieces of a block those in the smallest document.
 
     A piece names its document by id, which decides who is smaller, and by a tag of its text, as texts may share an id. What goes in the other documents of the block is known already; it comes as rows of shards below 0, one for each
@@ -352,11 +352,9 @@ def shard_spans(blocks: DataFrame, length: int, shards: int, buckets: int, folde
     return written(spans.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(merge, "id long, tag binary, spans binary"), "spans")
 
 
-def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, shard_bytes: int = 24 << 20, memory: int = 192 << 20, with_text: bool = False) -> DataFrame:
-    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256 (with_text: also digest, SHA-256 of the text, and kept, the remaining bytes of rows that lose some, else null)."""
-    sheltered(documents, key, text)
-    spark = documents.sparkSession
-    rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+def repeated_spans(rows: DataFrame, length: int, shard_bytes: int, memory: int) -> tuple[DataFrame, bool]:
+    """rows (id, text): (id, tag, spans) of the texts that lose bytes, but for copies of a text; and whether an id stands on several rows."""
+    spark = rows.sparkSession
     known = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = known.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
@@ -370,11 +368,49 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", length:
     texts = filtered_ids(known, wanted).join(wanted.hint("shuffle_hash"), ["id", "digest"])
     # where an id stands on several rows with one text, one of them is enough
     candidates = texts.groupBy("id", "digest").agg(F.first("text").alias("text"), F.first("found").alias("found")) if repeated else texts
-    folder = shared_dir(spark)
     shards = max(shuffles, int((size.bytes or 0) // shard_bytes) + 1)
     blocks = pieces(candidates, length, shards, shards, min(max(3, size.n // HEAVY_SHARE), 20_000), even_keys(spark, 2 * shards))
-    spans = shard_spans(blocks, length, shards, max(shuffles, int((size.n or 0) // 100_000) + 1), folder, memory)
-    return results(rows, spans, key, length, with_text, repeated, documents.schema[key].dataType.simpleString())
+    return shard_spans(blocks, length, shards, max(shuffles, int((size.n or 0) // 100_000) + 1), shared_dir(spark), memory), repeated
+
+
+def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, shard_bytes: int = 12 << 20, memory: int = 96 << 20) -> DataFrame:
+    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256."""
+    sheltered(documents, key, text)
+    rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    spans, repeated = repeated_spans(rows, length, shard_bytes, memory)
+    return results(rows, spans, key, length, repeated, documents.schema[key].dataType.simpleString())
+
+
+def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, shard_bytes: int = 12 << 20, memory: int = 96 << 20) -> DataFrame:
+    """The documents with kept: the bytes that remain of a text that loses some, else null. Only texts that may lose some move."""
+    sheltered(documents, key, text)
+    rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    spans, _ = repeated_spans(rows, length, shard_bytes, memory)
+    tag = lambda digest: F.substring(digest, 1, 8)
+    copied = copies_of(rows.select("id", F.octet_length("text").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("digest")), length)
+    whole = copied.where("rep < id").select("id", tag("digest").alias("tag")).distinct()
+    gone = written(spans.unionByName(whole.withColumn("spans", F.lit(None).cast("binary"))).groupBy("id", "tag").agg(F.max("spans").alias("spans"), F.lit(True).alias("some")), "gone")
+    marked = marked_ids(documents, gone.select("id"), key)
+
+    @F.pandas_udf("binary")
+    def left(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([cut_bytes(raw_bytes(t), some)[0] if some is not None else b"" for t, some in zip(texts, spans, strict=True)], dtype=object)
+
+    own = [f"`{c}`" for c in documents.columns]
+    maybe = marked.where("maybe").select(*own, F.col(key).cast("long").alias("_id"), tag(F.unhex(F.sha2(F.col(text).cast("string"), 256))).alias("_tag"))
+    met = maybe.join(gone.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "spans", "some").hint("shuffle_hash"), ["_id", "_tag"], "left")
+    some = met.where("some").select(*own, left(F.col(text).cast("string"), "spans").alias("kept"))
+    rest = lambda df: df.select(*own, F.lit(None).cast("binary").alias("kept"))
+    return rest(marked.where("NOT maybe")).unionByName(rest(met.where("some IS NULL"))).unionByName(some)
+
+
+def cut_bytes(raw: np.ndarray, spans: bytes) -> tuple[bytes, int]:
+    """What is left of a text without its spans, and their number."""
+    start, stop = np.frombuffer(spans, dtype=np.int64).reshape(2, -1)
+    keep = np.ones(len(raw), dtype=bool)
+    for s, e in zip(start.tolist(), stop.tolist(), strict=True):
+        keep[s:e] = False
+    return raw[keep].tobytes(), len(start)
 
 
 def duplicated(known: DataFrame) -> bool:
@@ -387,7 +423,16 @@ def filtered_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return marked_ids(rows, ids).where("maybe").select("id", short_digest(F.col("text")).alias("digest"), "text")
 
 
-def results(rows: DataFrame, spans: DataFrame, key: str, length: int, with_text: bool, repeated: bool, kind: str) -> DataFrame:
+def copies_of(base: DataFrame, length: int) -> DataFrame:
+    """base (id, n_bytes, digest, ...) with rep: the smallest id of the rows with the digest, for texts of `length` bytes that stand on several."""
+    able = F.col("id").isNotNull() & (F.col("n_bytes") >= length)
+    copies = base.where(able).groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("digest", "rep")
+    copies = written(copies, "copies", small=True)
+    keyed = base.withColumn("on", F.when(able, F.hex("digest")))
+    return lookup_join(keyed, copies.select(F.hex("digest").alias("on"), "rep"), "on", heavy_keys(keyed.where("on IS NOT NULL"), "on")).drop("on")
+
+
+def results(rows: DataFrame, spans: DataFrame, key: str, length: int, repeated: bool, kind: str) -> DataFrame:
     """Copies of a text go whole; the first of it loses its spans; all other rows keep everything."""
     texts = filtered_ids(rows, spans).withColumn("tag", F.substring("digest", 1, 8))
     spanned = texts.join(spans.hint("shuffle_hash"), ["id", "tag"])
@@ -398,31 +443,21 @@ def results(rows: DataFrame, spans: DataFrame, key: str, length: int, with_text:
             out = []
             for i, text, some in zip(b["id"].to_numpy(), b["text"], b["spans"], strict=True):
                 raw = raw_bytes(text)
-                start, stop = np.frombuffer(some, dtype=np.int64).reshape(2, -1)
-                keep = np.ones(len(raw), dtype=bool)
-                for s, e in zip(start.tolist(), stop.tolist(), strict=True):
-                    keep[s:e] = False
-                left = raw[keep].tobytes()
-                out.append((i, digest_of(raw), len(raw) - len(left), len(start), hashlib.sha256(left).hexdigest(), left if with_text else None))
-            yield pd.DataFrame(out, columns=["id", "digest", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    changed = spanned.select("id", "text", "spans").mapInPandas(cut, "id long, digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
+                left, n = cut_bytes(raw, some)
+                out.append((i, digest_of(raw), len(raw) - len(left), n, hashlib.sha256(left).hexdigest()))
+            yield pd.DataFrame(out, columns=["id", "digest", "n_removed", "n_spans", "kept_sha256"])
+
+    changed = spanned.select("id", "text", "spans").mapInPandas(cut, "id long, digest binary, n_removed long, n_spans long, kept_sha256 string")
     body = F.coalesce(F.col("text"), F.lit(""))
     base = rows.select("id", F.octet_length(body).cast("long").alias("n_bytes"), F.unhex(F.sha2(body, 256)).alias("digest"))
-    copies = base.where(F.col("id").isNotNull() & (F.col("n_bytes") >= length)).groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("digest", "rep")
-    copies = written(copies, "copies", small=True)
-    able = base.withColumn("on", F.when(F.col("n_bytes") >= length, F.hex("digest")))
-    marked = lookup_join(able, copies.select(F.hex("digest").alias("on"), "rep"), "on", heavy_keys(able.where("on IS NOT NULL"), "on")).drop("on")
-    met = marked.join(changed, ["id", "digest"], "left")
+    met = copies_of(base, length).join(changed, ["id", "digest"], "left")
     copy = F.coalesce(F.col("rep") < F.col("id"), F.lit(False))
     empty = hashlib.sha256(b"").hexdigest()
-    extra = [F.col("digest"), F.when(copy, F.unhex(F.lit(""))).otherwise(F.col("kept")).alias("kept")] if with_text else []
     return met.select(
         F.col("id").cast(kind).alias(key), "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
-        *extra,
     )
 
 

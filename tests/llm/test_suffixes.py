@@ -73,18 +73,29 @@ def test_repeated_ids_with_equal_and_different_texts(spark):
     rows += [(5 + i % 6, prose(40) + shared[i : i + 90] + prose(rng.randint(0, 60))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(df) == brute(rows)
-    whole = {hashlib.sha256(t.encode()).digest(): t.encode() for _, t in rows}
-    for r in suffixes.dedup(df, with_text=True).collect():
-        assert len(whole[bytes(r.digest)]) == r.n_bytes
-        assert hashlib.sha256(whole[bytes(r.digest)] if r.kept is None else r.kept).hexdigest() == r.kept_sha256
+    expected = {(i, t, None if n == 0 else sha) for i, t in rows for _, j, _, n, _, sha in brute([(k, x) for k, x in rows if k < i] + [(i, t)]) if j == i}
+    left = suffixes.without_repeats(df).collect()
+    assert len(left) == len(rows)
+    assert {(r.doc_id, r.text, None if r.kept is None else hashlib.sha256(r.kept).hexdigest()) for r in left} == expected
 
 
 def test_kept_bytes(spark):
-    df = spark.createDataFrame(planted()[:150], "doc_id long, text string")
-    for r in suffixes.dedup(df, with_text=True).collect():
-        assert (r.kept is None) == (r.n_removed == 0)
-        assert r.kept is None or (hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed)
+    rows = [(i, t, f"x{n}") for n, (i, t) in enumerate(planted()[:150])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    want = {}
+    for n, i, size, removed, spans, sha in brute([(i, t) for i, t, _ in rows]):
+        want.setdefault((n, i), []).append((size, removed, sha))
+    left = suffixes.without_repeats(df)
+    assert left.columns == ["doc_id", "text", "id", "kept"]
+    got = {}
+    for r in left.collect():
+        raw = (r.text or "").encode()
+        kept = raw if r.kept is None else r.kept
+        assert r.kept is None or len(kept) < len(raw)
+        got.setdefault((r.doc_id is None, r.doc_id or 0), []).append((len(raw), len(raw) - len(kept), hashlib.sha256(kept).hexdigest()))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
 def test_empty_table(spark):
-    assert suffixes.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert suffixes.dedup(empty).collect() == [] and suffixes.without_repeats(empty).collect() == []
