@@ -102,6 +102,18 @@ def marked_ids(rows: DataFrame, ids: DataFrame, column: str = "id", most: int =
     return named.withColumn("maybe", bit & F.col(column).isNotNull()).select(*rows.columns, "maybe")
 
 
+def release() -> None:
+    """Gives memory that this Python worker has freed back to the system: idle workers live on beside those of later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def even_keys(spark: SparkSession, n: int, most: int = 200_000) -> list[int]:
     """n numbers of which hash partitioning into n partitions puts one in each: tasks then hold one group each, not a chance number.
 

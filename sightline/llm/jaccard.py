@@ -471,16 +471,20 @@ def first_links(nodes: DataFrame, rows: DataFrame, part: int, tokens: int) -> Da
 def last_links(groups: DataFrame, comps: DataFrame, nodes: DataFrame, rows: DataFrame, part: int, tokens: int) -> DataFrame:
     """Links between components, among the nodes that share a prefix shingle.
 
-    Sizes within 5/4 of each other fall in one band or in neighbouring ones; a node stands in its own band and the next,
-    so that any two such nodes meet. Groups of the same nodes are one.
+    Sizes within 5/4 of each other fall in one band or in neighbouring ones. In a group with the next band a node stands
+    there; in its own band it stands where there is no next one, or a band before whose nodes come up to it. So any two such
+    nodes meet, in one place if there are no more than two bands. Groups of the same nodes are one.
     """
     known = nodes.select("node", "n").join(comps.hint("merge"), "node", "left").select("node", "n", F.coalesce("component", "node").alias("comp"))
     placed = written(groups.join(known.hint("merge"), "node"), "placed")
-    open_ = written(placed.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi"), "open", small=True)
-    heavy = open_.where(F.col("m") >= heavy_from(open_.agg(F.sum("m")).first()[0] or 0)).select("group")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("long")
-    members = lookup_join(placed, open_.select("group", "m"), "group", heavy).where("m IS NOT NULL").select("group", "node", "n", "comp").distinct()
-    members = written(members.select(F.explode(F.array(F.xxhash64("group", band), F.xxhash64("group", band + 1))).alias("group"), "node", "n", "comp"), "members")
+    open_ = placed.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.collect_set(band).alias("bands")).where("lo < hi")
+    open_ = written(open_, "open", small=True)
+    heavy = open_.where(F.col("m") >= heavy_from(open_.agg(F.sum("m")).first()[0] or 0)).select("group")
+    members = lookup_join(placed, open_.select("group", "bands"), "group", heavy).where("bands IS NOT NULL").distinct()
+    after, before = F.array_contains("bands", band + 1), F.array_contains("bands", band - 1)
+    stands = F.array_compact(F.array(F.when(after, F.xxhash64("group", band + 1)), F.when(~after | before, F.xxhash64("group", band))))
+    members = written(members.select(F.explode(stands).alias("group"), "node", "n", "comp"), "members")
     facts = members.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("sign")).where("lo < hi")
     facts = written(facts.withColumn("name", F.xxhash64("sign", "m", "size", "lo", "hi")), "facts", small=True)
     return linked(dealt(members.drop("n"), facts, part, tokens, True), nodes, rows)

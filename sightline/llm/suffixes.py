@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import induced
-from .common import HEAVY_SHARE, even_keys, heavy_keys, lookup_join, marked_ids, shared_dir, sheltered, written
+from .common import HEAVY_SHARE, even_keys, heavy_keys, lookup_join, marked_ids, release, shared_dir, sheltered, written
 from .jaccard import _powers, mix
 
 _U = np.uint64
@@ -338,6 +338,7 @@ def shard_spans(blocks: DataFrame, length: int, shards: int, buckets: int, folde
         number, start, stop = runs_of(number, start, size)
         doc, tag = docs[number], tags[number]
         rows = packed(doc, tag, start, stop, bucket_of(doc, buckets))
+        release()
         return pd.DataFrame([x[:5] for x in rows], columns=["bucket", "docs", "tags", "starts", "stops"])
 
     def merge(b: pd.DataFrame) -> pd.DataFrame:
@@ -349,7 +350,7 @@ def shard_spans(blocks: DataFrame, length: int, shards: int, buckets: int, folde
 
     # as many tasks as shards, so that what a task reads does not grow with the corpus
     spans = blocks.repartition(2 * shards, "deal").groupBy("deal").applyInPandas(sort, "bucket long, docs binary, tags binary, starts binary, stops binary")
-    return written(spans.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(merge, "id long, tag binary, spans binary"), "spans")
+    return written(spans.groupBy("bucket").applyInPandas(merge, "id long, tag binary, spans binary"), "spans")
 
 
 def repeated_spans(rows: DataFrame, length: int, shard_bytes: int, memory: int) -> tuple[DataFrame, bool]:
@@ -363,9 +364,9 @@ def repeated_spans(rows: DataFrame, length: int, shard_bytes: int, memory: int)
     facts = known.select("id", short_digest(F.col("text")).alias("digest"))
     keys = shared_keys(known, length, buckets)
     reps = facts.groupBy("digest").agg(F.min("id").alias("rep"))
-    wanted = written(keys.join(reps, "digest").select(F.col("rep").alias("id"), "digest", "found"), "wanted")
+    wanted = keys.join(reps, "digest").select(F.col("rep").alias("id"), "digest", "found")
     repeated = duplicated(known)
-    texts = filtered_ids(known, wanted).join(wanted.hint("shuffle_hash"), ["id", "digest"])
+    texts = filtered_ids(known, written(wanted.select("id"), "ids", small=True)).join(wanted.hint("shuffle_hash"), ["id", "digest"])
     # where an id stands on several rows with one text, one of them is enough
     candidates = texts.groupBy("id", "digest").agg(F.first("text").alias("text"), F.first("found").alias("found")) if repeated else texts
     shards = max(shuffles, int((size.bytes or 0) // shard_bytes) + 1)
@@ -388,8 +389,9 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
     spans, _ = repeated_spans(rows, length, shard_bytes, memory)
     tag = lambda digest: F.substring(digest, 1, 8)
     copied = copies_of(rows.select("id", F.octet_length("text").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("digest")), length)
-    whole = copied.where("rep < id").select("id", tag("digest").alias("tag")).distinct()
-    gone = written(spans.unionByName(whole.withColumn("spans", F.lit(None).cast("binary"))).groupBy("id", "tag").agg(F.max("spans").alias("spans"), F.lit(True).alias("some")), "gone")
+    whole = written(copied.where("rep < id").select("id", tag("digest").alias("tag")).distinct(), "whole", small=True)
+    # a text is the first of its copies and has spans, or goes as a whole
+    gone = spans.unionByName(whole.withColumn("spans", F.lit(None).cast("binary"))).withColumn("some", F.lit(True))
     marked = marked_ids(documents, gone.select("id"), key)
 
     @F.pandas_udf("binary")
