@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .config import EGO_CLASSES, FRAME_S, REASONS, Sensor
+from .config import EGO_CLASSES, FRAME_S, REASONS, sensor_with
 from .egos import vehicles
 from .frames import in_window
+from .quantiles import with_quantiles
 from .visibility import classified, visibility
 
 
@@ -23,16 +24,16 @@ def perspectives(near_misses: DataFrame, classes: Sequence[str] = EGO_CLASSES) -
     return near_misses.select("frame_idx", F.explode(F.array_compact(sides)).alias("p")).select("frame_idx", F.col("p.ego").alias("ego_track_id"), F.col("p.partner").alias("partner_id"))
 
 
-def partner_status(tracks: DataFrame, wanted: DataFrame, fovs: Sequence[float] = (120.0,), heading: str = "yaw", sensor: Sensor | None = None) -> DataFrame:
+def partner_status(tracks: DataFrame, wanted: DataFrame, fovs: Sequence[float] = (120.0,), heading: str = "yaw", sensor: dict[str, float] | None = None) -> DataFrame:
     """wanted: (frame_idx, ego_track_id, partner_id, ...). Each row that has both in its frame, with the partner's visibility.
 
     Only frames and egos that are wanted are worked on. The ego may be of any class here; it is left out of its scene.
     """
-    sensor = sensor or Sensor()
+    sensor = sensor_with(sensor)
     egos = wanted.select("frame_idx", "ego_track_id").distinct()
     poses = vehicles(tracks.join(egos, (tracks.frame_idx == egos.frame_idx) & (tracks.track_id == egos.ego_track_id), "left_semi"), heading, classes=None)
     scene = tracks.join(egos.select("frame_idx").distinct(), "frame_idx", "left_semi")
-    seen = classified(visibility(scene, poses.select("frame_idx", "ego_track_id", "ego_x", "ego_y", "ego_h"), fovs, sensor, self_exclude=True), sensor.range_m, sensor.near_blind_m)
+    seen = classified(visibility(scene, poses.select("frame_idx", "ego_track_id", "ego_x", "ego_y", "ego_h"), fovs, sensor, self_exclude=True), sensor["range_m"], sensor["near_blind_m"])
     partner = seen.select("frame_idx", "ego_track_id", F.col("track_id").alias("partner_id"), "fov_deg", "visible", "reason", F.col("rng").alias("partner_range"), F.abs(F.degrees("rel")).alias("partner_bearing_abs_deg"))
     return wanted.join(partner, ["frame_idx", "ego_track_id", "partner_id"])
 
@@ -53,10 +54,10 @@ def ttc_summary(rows: DataFrame) -> DataFrame:
     """One row per field of view: rates over event frames, and over pairs at their closest frame and at any frame."""
     frames = rows.groupBy("fov_deg").agg(
         F.count("*").alias("n_event_frames"), F.count_distinct("pair").alias("n_unique_pairs"), F.avg(F.col("visible").cast("double")).alias("partner_visible_rate"), *_shares(),
-        F.median("partner_range").alias("median_partner_range_m"), F.median("partner_bearing_abs_deg").alias("median_partner_bearing_deg"),
         F.avg((F.col("partner_bearing_abs_deg") > 60).cast("double")).alias("frac_partner_outside_120fov"),
         F.avg((F.col("partner_bearing_abs_deg") > 120).cast("double")).alias("frac_partner_behind_ego"),
     )
+    frames = with_quantiles(frames, rows, ["fov_deg"], {"partner_range": {"median_partner_range_m": 0.5}, "partner_bearing_abs_deg": {"median_partner_bearing_deg": 0.5}})
     pairs = per_pair(rows).groupBy("fov_deg").agg(F.avg(F.col("closest").cast("double")).alias("partner_visible_at_closest_frame"), F.avg(F.col("ever").cast("double")).alias("partner_visible_ever_in_event"))
     return frames.join(pairs, "fov_deg")
 
@@ -76,11 +77,21 @@ def pet_candidates(tracks: DataFrame, gate_m: float = 30.0, classes: Sequence[st
 
 
 def pet_crossings(tracks: DataFrame, candidates: DataFrame, crossing_m: float = 2.0, first: int = 0, last: int = 0) -> DataFrame:
-    """Where the paths of a pair come closest, whenever each was there: frames of both, distance, time gap."""
+    """Where the paths of a pair come closest, whenever each was there: frames of both, distance, time gap.
+
+    Points meet by cells as wide as the limit, a cell and its neighbours: points farther apart never do. Of a track's points
+    at one place, only its first frame counts: it is the one that ties prefer, so parked objects are one point.
+    """
     rows = in_window(tracks, first, last)
     a = rows.select(F.col("track_id").alias("ego_track_id"), F.col("frame_idx").alias("fa"), F.col("bbox_center_x").alias("ax"), F.col("bbox_center_y").alias("ay"))
     b = rows.select(F.col("track_id").alias("partner_id"), F.col("frame_idx").alias("fb"), F.col("bbox_center_x").alias("bx"), F.col("bbox_center_y").alias("by"))
-    met = candidates.join(a, "ego_track_id").join(b, "partner_id")
+    a = a.groupBy("ego_track_id", "ax", "ay").agg(F.min("fa").alias("fa"))
+    b = b.groupBy("partner_id", "bx", "by").agg(F.min("fb").alias("fb"))
+    cell = lambda c: F.floor(F.col(c) / crossing_m).cast("long")
+    around = lambda c: F.explode(F.array(*(cell(c) + k for k in (-1, 0, 1))))
+    a = candidates.join(a, "ego_track_id").withColumns({"cx": cell("ax"), "cy": cell("ay")})
+    b = b.withColumn("cx", around("bx")).withColumn("cy", around("by"))
+    met = a.join(b, ["partner_id", "cx", "cy"])
     d = g.distance(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
     # points farther apart cannot be the pair's crossing: they go before anything is grouped
     near = met.withColumn("d", d).where(F.col("d") <= crossing_m)
@@ -108,4 +119,5 @@ def pet_rows(tracks: DataFrame, conflicts: DataFrame, fovs: Sequence[float] = (1
 
 
 def pet_summary(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("fov_deg").agg(F.count("*").alias("n_conflict_pairs"), F.avg(F.col("visible").cast("double")).alias("partner_visible_rate"), *_shares(), F.median("pet_s").alias("median_pet_s"), F.median("min_sep_m").alias("median_min_sep_m"))
+    per = rows.groupBy("fov_deg").agg(F.count("*").alias("n_conflict_pairs"), F.avg(F.col("visible").cast("double")).alias("partner_visible_rate"), *_shares())
+    return with_quantiles(per, rows, ["fov_deg"], {"pet_s": {"median_pet_s": 0.5}, "min_sep_m": {"median_min_sep_m": 0.5}})

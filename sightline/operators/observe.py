@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .config import CENTRE, CONFLICT_M, NEARBY_M, Sensor
+from .config import CENTRE, CONFLICT_M, NEARBY_M, sensor_with
+from .egos import few, vehicles
 from .visibility import classified, visibility
 
 COUNTS = ("n_objects_total", "n_visible_onboard", "n_occluded", "n_out_of_fov", "n_out_of_range", "n_nearby_total", "n_nearby_visible", "n_conflict_zone_total", "n_conflict_zone_visible")
@@ -53,11 +54,16 @@ def by_class(seen: DataFrame) -> DataFrame:
 
 
 def class_map(seen: DataFrame) -> DataFrame:
-    """(observation, class_visibility): a map of class to visible and total; `to_json` of it has sorted classes."""
+    """(observation, class_visibility): a map of class to visible and total, classes sorted."""
     pairs = by_class(seen).groupBy(*keys_of(seen)).agg(F.array_sort(F.collect_list(F.struct("class_name", F.struct(F.col("n_visible").alias("visible"), F.col("n_total").alias("total")).alias("v")))).alias("m"))
     return pairs.select(*keys_of(seen), F.map_from_entries("m").alias("class_visibility"))
 
 
+def class_json(class_visibility: Column) -> Column:
+    """The map as a JSON object, like {"car":{"visible":3,"total":7}}."""
+    return F.to_json(class_visibility)
+
+
 def near_miss_counts(seen: DataFrame, near_misses: DataFrame, nearby_m: float = NEARBY_M) -> DataFrame:
     """Per observation, over the frame's near misses whose two parties are both in the scene: NEAR_MISS_COUNTS."""
     keys = keys_of(seen)
@@ -77,33 +83,75 @@ def near_miss_counts(seen: DataFrame, near_misses: DataFrame, nearby_m: float =
     )
 
 
-def sweep(tracks: DataFrame, near_misses: DataFrame, egos: DataFrame, fovs: Sequence[float] = (120.0,), ranges: Sequence[float] | None = None, sensor: Sensor | None = None) -> DataFrame:
-    """The full record of every observation from a grid of egos, in the order frame, approach, position when sorted by them."""
-    sensor = sensor or Sensor()
-    seen = visibility(tracks, egos, fovs, sensor)
-    if ranges is None:
-        seen = classified(seen, sensor.range_m, sensor.near_blind_m).withColumn("range_m", F.lit(sensor.range_m))
-    else:
-        from .visibility import in_ranges
+def sweep(tracks: DataFrame, near_misses: DataFrame, egos: DataFrame, fovs: Sequence[float] = (120.0,), ranges: Sequence[float] | None = None, sensor: dict[str, float] | None = None, classes: bool = True) -> DataFrame:
+    """The full record of every observation from a grid of egos (see `ordered`); classes: with class_visibility.
 
-        seen = in_ranges(seen, ranges, sensor.near_blind_m)
+    Counts of all ranges, near misses and classes come from one grouping of the objects: blockers do not depend on the
+    range, a frame's near misses meet the observation's objects as an array, and ranges are unfolded afterwards.
+    """
+    sensor = sensor_with(sensor)
+    limits = [float(r) for r in (ranges if ranges is not None else [sensor["range_m"]])]
+    seen = visibility(tracks, egos, fovs, sensor)
     keys = keys_of(seen)
-    joined = counts(seen).join(near_miss_counts(seen, near_misses), keys, "left").join(class_map(seen), keys, "left")
-    filled = ratios(joined.na.fill(0, list(NEAR_MISS_COUNTS))).join(F.broadcast(egos), "ego_id")
+    rng = F.col("rng")
+    nearby = rng <= NEARBY_M
+    zone = g.distance(F.col("x") - CENTRE[0], F.col("y") - CENTRE[1]) <= CONFLICT_M
+    in_range = [(rng > sensor["near_blind_m"]) & (rng <= r) for r in limits]
+    whole = {"n_objects_total": F.count("*"), "n_out_of_fov": F.count_if(~F.col("in_fov")), "n_nearby_total": F.count_if(nearby), "n_conflict_zone_total": F.count_if(zone)}
+    per_range = {}
+    for i, inside in enumerate(in_range):
+        visible = F.col("in_fov") & inside & ~F.col("blocked")
+        per_range |= {
+            f"n_visible_onboard_{i}": F.count_if(visible), f"n_occluded_{i}": F.count_if(F.col("in_fov") & inside & F.col("blocked")), f"n_out_of_range_{i}": F.count_if(F.col("in_fov") & ~inside),
+            f"n_nearby_visible_{i}": F.count_if(nearby & visible), f"n_conflict_zone_visible_{i}": F.count_if(zone & visible),
+        }
+    reach = F.when(F.col("in_fov") & ~F.col("blocked") & (rng > sensor["near_blind_m"]), rng)  # the range from which on it is visible
+    o = F.struct("track_id", nearby.alias("near"), reach.alias("reach"), *(["class_name"] if classes else []))
+    grouped = seen.groupBy(*keys).agg(*(c.alias(n) for n, c in (whole | per_range).items()), F.collect_list(o).alias("os"))
+    events = near_misses.groupBy("frame_idx", "track_id_a", "track_id_b").agg(F.count("*").alias("events"))
+    events = events.groupBy("frame_idx").agg(F.collect_list(F.struct("track_id_a", "track_id_b", "events")).alias("pairs"))
+    met = grouped.join(events, "frame_idx", "left")
+    party = lambda track: F.try_element_at(F.filter("os", lambda x: x["track_id"] == track), F.lit(1))
+    both = F.filter(F.transform("pairs", lambda p: F.struct(p["events"].alias("events"), party(p["track_id_a"]).alias("a"), party(p["track_id_b"]).alias("b"))), lambda q: q["a"].isNotNull() & q["b"].isNotNull())
+    met = met.withColumn("both", F.coalesce(both, F.array().cast(met.select(both.alias("x")).schema["x"].dataType)))
+    names = [n.removesuffix("_0") for n in per_range if n.endswith("_0")]
+    views = F.explode(F.array(*(F.struct(F.lit(r).alias("range_m"), *(F.col(f"{n}_{i}").alias(n) for n in names)) for i, r in enumerate(limits))))
+    flat = met.select(*keys, *whole, "os", "both", views.alias("view")).select(*keys, *whole, "os", "both", "view.*")
+
+    seen_at = lambda x: F.coalesce(x["reach"] <= F.col("range_m"), F.lit(False))
+
+    def total(condition) -> Column:
+        return F.aggregate("both", F.lit(0).cast("long"), lambda acc, q: acc + F.when(condition(q), q["events"]).otherwise(F.lit(0).cast("long")))
+
+    one = lambda q: seen_at(q["a"]) | seen_at(q["b"])
+    relevant = lambda q: q["a"]["near"] | q["b"]["near"]
+    flat = flat.withColumns({
+        "nm_total": total(lambda q: F.lit(True)), "nm_both_visible": total(lambda q: seen_at(q["a"]) & seen_at(q["b"])), "nm_at_least_one_visible": total(one),
+        "nm_ego_relevant": total(relevant), "nm_ego_relevant_aware": total(lambda q: relevant(q) & one(q)),
+    })
+    if classes:
+        of = lambda k: F.filter("os", lambda x: x["class_name"] == k)
+        count = lambda k: F.struct(F.size(F.filter(of(k), seen_at)).cast("long").alias("visible"), F.size(of(k)).cast("long").alias("total"))
+        kinds = F.array_sort(F.array_distinct(F.transform("os", lambda x: x["class_name"])))
+        flat = flat.withColumn("class_visibility", F.map_from_entries(F.transform(kinds, lambda k: F.struct(k.alias("key"), count(k).alias("value")))))
+    filled = ratios(flat).join(few(egos), "ego_id")
     return filled.select(
         "frame_idx", "approach", "pos", "fov_deg", "range_m", "ego_x", "ego_y", F.degrees("ego_h").alias("ego_heading_deg"), *COUNTS[:5],
         "visibility_ratio_onboard", F.lit(1.0).alias("visibility_ratio_cooperative"), "n_nearby_total", "n_nearby_visible", "nearby_visibility_ratio",
         "n_conflict_zone_total", "n_conflict_zone_visible", "conflict_zone_visibility_ratio", *NEAR_MISS_COUNTS,
-        F.col("nm_both_visible").alias("nm_detectable_onboard"), F.col("nm_total").alias("nm_detectable_cooperative"), "class_visibility",
+        F.col("nm_both_visible").alias("nm_detectable_onboard"), F.col("nm_total").alias("nm_detectable_cooperative"), *(["class_visibility"] if classes else []),
     )
 
 
-def vehicle_sweep(tracks: DataFrame, heading: str = "yaw", fov_deg: float = 120.0, range_m: float = 35.0, sensor: Sensor | None = None) -> DataFrame:
-    """Every detected vehicle as the ego, itself left out of its scene; egos alone in their frame keep a row of zeros."""
-    from .egos import vehicles
+def ordered(record: DataFrame) -> DataFrame:
+    """The record in its order: frames, approaches by name, places on the approach, configurations."""
+    return record.orderBy("frame_idx", "approach", "pos", "fov_deg", "range_m")
 
+
+def vehicle_sweep(tracks: DataFrame, heading: str = "yaw", fov_deg: float = 120.0, range_m: float = 35.0, sensor: dict[str, float] | None = None) -> DataFrame:
+    """Every detected vehicle as the ego, itself left out of its scene; egos alone in their frame keep a row of zeros."""
     poses = vehicles(tracks, heading)
-    sensor = sensor or Sensor()
-    seen = classified(visibility(tracks, poses, (fov_deg,), sensor, self_exclude=True), float(range_m), sensor.near_blind_m)
+    sensor = sensor_with(sensor)
+    seen = classified(visibility(tracks, poses, (fov_deg,), sensor, self_exclude=True), float(range_m), sensor["near_blind_m"])
     observed = counts(seen).drop("fov_deg")
     return ratios(poses.join(observed, ["frame_idx", "ego_track_id"], "left").na.fill(0, list(COUNTS))).withColumn("ego_heading_deg", F.degrees("ego_h")).drop("ego_h")

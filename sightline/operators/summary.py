@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .config import LANES, REGION_M
+from .config import APPROACHES, REASONS, REGION_M
 from .observe import ratio
 
 MEANS = {
@@ -39,7 +39,7 @@ def detectability(observed: DataFrame, *keys: str) -> DataFrame:
     })
 
 
-def sensitivity(observed: DataFrame, approaches: Sequence[str] = tuple(lane.approach for lane in LANES)) -> DataFrame:
+def sensitivity(observed: DataFrame, approaches: Sequence[str] = APPROACHES) -> DataFrame:
     """Per field of view and range: mean, median, benefit of cooperation, detectability, and a column per approach."""
     v = F.col("visibility_ratio_onboard")
     rate = F.coalesce(F.try_divide(F.sum("nm_detectable_onboard").cast("double"), F.sum("nm_total").cast("double")), F.lit(0.0))
@@ -89,3 +89,22 @@ def fov_slice(sensitivities: DataFrame, ranges: DataFrame, range_m: float = 35.0
 
 def range_series(ranges: DataFrame, fov_deg: float, key: str) -> DataFrame:
     return ranges.where(F.col("fov_deg") == fov_deg).select("range_m", F.col(key).alias("value")).orderBy("range_m")
+
+
+def near_miss_figure(ttc: DataFrame) -> DataFrame:
+    """The near-miss figure's bars from the summary per field of view: (panel, bar, part, bottom, height).
+
+    Panel a has a bar of the partner's visible rate for each field of view and one of 1 for cooperation; panel b stacks the
+    four reasons for each field of view, each part on the ones before it.
+    """
+    bar = F.concat(F.lit("fov_"), F.col("fov_deg").cast("int").cast("string"))
+    part = lambda panel, name, text, bottom, height: F.struct(F.lit(panel).alias("panel"), name.alias("bar"), F.lit(text).alias("part"), bottom.alias("bottom"), height.alias("height"))
+    zero, stacked = F.lit(0.0), []
+    bottom = zero
+    for reason in REASONS:
+        height = F.coalesce(F.col(f"share_{reason}"), zero)
+        stacked.append(part("b", bar, reason, bottom, height))
+        bottom = bottom + height
+    parts = ttc.select(F.explode(F.array(part("a", bar, "visible", zero, F.col("partner_visible_rate")), *stacked)).alias("p")).select("p.*")
+    together = ttc.sparkSession.range(1).select(part("a", F.lit("cooperative"), "visible", zero, F.lit(1.0)).alias("p")).select("p.*")
+    return parts.unionByName(together)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from .config import FRAME_S
+from .quantiles import with_quantiles
 
 
 def speeds(tracks: DataFrame, dt: float = FRAME_S) -> DataFrame:
@@ -19,12 +20,14 @@ def speeds(tracks: DataFrame, dt: float = FRAME_S) -> DataFrame:
 def speed_summary(with_speeds: DataFrame) -> DataFrame:
     """Per class with any speed: mean, median, sample deviation, 5th and 95th percentiles (interpolated)."""
     s = F.col("speed_mps")
-    return with_speeds.where(s.isNotNull()).groupBy("class_name").agg(F.avg(s).alias("mean"), F.median(s).alias("median"), F.stddev_samp(s).alias("std"), F.percentile(s, F.lit(0.05)).alias("p05"), F.percentile(s, F.lit(0.95)).alias("p95"))
+    per = with_speeds.where(s.isNotNull()).groupBy("class_name").agg(F.avg(s).alias("mean"), F.stddev_samp(s).alias("std"))
+    return with_quantiles(per, with_speeds, ["class_name"], {"speed_mps": {"median": 0.5, "p05": 0.05, "p95": 0.95}})
 
 
 def dimension_summary(tracks: DataFrame) -> DataFrame:
     long = tracks.unpivot(["class_name"], ["bbox_dx", "bbox_dy", "bbox_dz"], "dimension", "value")
-    return long.groupBy("class_name", "dimension").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_samp("value").alias("std"))
+    per = long.groupBy("class_name", "dimension").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    return with_quantiles(per, long, ["class_name", "dimension"], {"value": {"median": 0.5}})
 
 
 def class_summary(tracks: DataFrame) -> DataFrame:
@@ -35,7 +38,9 @@ def class_summary(tracks: DataFrame) -> DataFrame:
 def track_lengths(tracks: DataFrame) -> DataFrame:
     """Per class: statistics of frames per track."""
     n = F.col("n").cast("double")
-    return tracks.groupBy("class_name", "track_id").agg(F.count("*").alias("n")).groupBy("class_name").agg(F.avg(n).alias("mean"), F.median(n).alias("median"), F.stddev_samp(n).alias("std"), F.min("n").alias("min"), F.max("n").alias("max"))
+    lengths = tracks.groupBy("class_name", "track_id").agg(F.count("*").alias("n"))
+    per = lengths.groupBy("class_name").agg(F.avg(n).alias("mean"), F.stddev_samp(n).alias("std"), F.min("n").alias("min"), F.max("n").alias("max"))
+    return with_quantiles(per, lengths, ["class_name"], {"n": {"median": 0.5}})
 
 
 def arrival_rates(tracks: DataFrame, dt: float = FRAME_S) -> DataFrame:
@@ -53,19 +58,21 @@ def frame_bounds(df: DataFrame) -> DataFrame:
 
 
 def pair_types(near_misses: DataFrame) -> DataFrame:
-    """Near misses (with normalised classes) per unordered pair of classes."""
+    """Near misses (with normalised classes) per unordered pair of classes, most frequent first."""
     pair = F.concat_ws("-", F.least("class_a", "class_b"), F.greatest("class_a", "class_b"))
-    return near_misses.groupBy(pair.alias("pair_type")).agg(F.count("*").alias("n"))
+    return near_misses.groupBy(pair.alias("pair_type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pair_type")
 
 
 def ttc_stats(near_misses: DataFrame) -> DataFrame:
     c = F.col("ttc")
-    return near_misses.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.percentile(c, F.lit(0.05)).alias("p05"), F.percentile(c, F.lit(0.95)).alias("p95"))
+    whole = near_misses.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"))
+    return with_quantiles(whole, near_misses, [], {"ttc": {"median": 0.5, "p05": 0.05, "p95": 0.95}})
 
 
 def separation_stats(near_misses: DataFrame) -> DataFrame:
     c = F.col("min_separation")
-    return near_misses.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"))
+    whole = near_misses.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"))
+    return with_quantiles(whole, near_misses, [], {"min_separation": {"median": 0.5}})
 
 
 def following(tracks: DataFrame, range_m: float = 15.0, cone_deg: float = 30.0, least_m: float = 0.5, follower: str = "car", leader: str = "truck") -> DataFrame:
@@ -92,4 +99,5 @@ def episodes(rows: DataFrame, dt: float = FRAME_S) -> DataFrame:
 
 def episode_stats(runs: DataFrame) -> DataFrame:
     s = F.col("seconds")
-    return runs.agg(F.count("*").alias("n"), F.avg(s).alias("mean"), F.median(s).alias("median"), F.percentile(s, F.lit(0.9)).alias("p90"), F.max(s).alias("max"), F.avg((F.col("n_frames") >= 20).cast("double")).alias("share_2s"), F.avg((F.col("n_frames") >= 50).cast("double")).alias("share_5s"))
+    whole = runs.agg(F.count("*").alias("n"), F.avg(s).alias("mean"), F.max(s).alias("max"), F.avg((F.col("n_frames") >= 20).cast("double")).alias("share_2s"), F.avg((F.col("n_frames") >= 50).cast("double")).alias("share_5s"))
+    return with_quantiles(whole, runs, [], {"seconds": {"median": 0.5, "p90": 0.9}})

@@ -11,13 +11,15 @@ tracks are dealt by frame once and nothing moves again, whatever the number of e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .config import OCCLUDERS, Sensor
+from .config import OCCLUDERS, sensor_with
+from .egos import few
 
 
 def prepared(tracks: DataFrame) -> DataFrame:
@@ -26,9 +28,9 @@ def prepared(tracks: DataFrame) -> DataFrame:
     return tracks.withColumns({f"_{axis}{i}": c[axis == "y"] for i, c in enumerate(corners) for axis in "xy"})
 
 
-def with_egos(tracks: DataFrame, egos: DataFrame, sensor: Sensor, self_exclude: bool) -> DataFrame:
+def with_egos(tracks: DataFrame, egos: DataFrame, sensor: dict[str, float], self_exclude: bool) -> DataFrame:
     """Objects and egos of a frame, with ranges and relative bearings."""
-    sx, sy = g.sensor_position(F.col("ego_x"), F.col("ego_y"), F.col("ego_h"), sensor.forward_m, sensor.left_m)
+    sx, sy = g.sensor_position(F.col("ego_x"), F.col("ego_y"), F.col("ego_h"), sensor["forward_m"], sensor["left_m"])
     poses = egos.withColumns({"_sx": sx, "_sy": sy})
     if "frame_idx" in egos.columns:
         keys = [c for c in ("ego_track_id", "ego_id") if c in egos.columns]
@@ -36,9 +38,9 @@ def with_egos(tracks: DataFrame, egos: DataFrame, sensor: Sensor, self_exclude:
         if self_exclude:
             met = met.where(F.col("track_id") != F.col("ego_track_id"))
     else:
-        # a grid is a fixed table of poses
+        # a grid is a small table of poses that every frame meets
         keys = ["ego_id"]
-        met = tracks.repartition("frame_idx").crossJoin(F.broadcast(poses.select(*keys, "_sx", "_sy", "ego_h")))
+        met = tracks.repartition("frame_idx").crossJoin(few(poses.select(*keys, "_sx", "_sy", "ego_h")))
     dx, dy = F.col("bbox_center_x") - F.col("_sx"), F.col("bbox_center_y") - F.col("_sy")
     corner = [(F.col(f"_x{i}") - F.col("_sx"), F.col(f"_y{i}") - F.col("_sy")) for i in range(4)]
     return met.select(
@@ -52,7 +54,7 @@ def with_egos(tracks: DataFrame, egos: DataFrame, sensor: Sensor, self_exclude:
 def with_bins(objects: DataFrame, fovs: Sequence[float], bins: int) -> DataFrame:
     """Each object per field of view: centre bin, corner bins (null outside), and the outermost of those."""
     half = F.col("half_fov")
-    views = F.explode(F.array(*(F.struct(F.lit(float(f)).alias("fov_deg"), F.lit(Sensor(fov_deg=f).half_fov).alias("half_fov")) for f in fovs))).alias("view")
+    views = F.explode(F.array(*(F.struct(F.lit(float(f)).alias("fov_deg"), F.lit(math.radians(f) / 2.0).alias("half_fov")) for f in fovs))).alias("view")
     rows = objects.withColumn("view", views).select("*", "view.fov_deg", "view.half_fov").drop("view")
     in_fov = F.abs(F.col("rel")) <= half
     ks = {f"k{i}": F.when((F.col(f"rel{i}") >= -half) & (F.col(f"rel{i}") <= half), g.fov_bin(F.col(f"rel{i}"), half, bins)) for i in range(4)}
@@ -68,15 +70,15 @@ def covers(c: Column, b: Column) -> Column:
     return F.when(c["back"], (b >= c["hi"]) | (b <= c["lo"]) | corner).otherwise((b >= c["lo"]) & (b <= c["hi"]))
 
 
-def visibility(tracks: DataFrame, egos: DataFrame, fovs: Sequence[float] = (120.0,), sensor: Sensor | None = None, self_exclude: bool = False, occluders: Sequence[str] = OCCLUDERS) -> DataFrame:
+def visibility(tracks: DataFrame, egos: DataFrame, fovs: Sequence[float] = (120.0,), sensor: dict[str, float] | None = None, self_exclude: bool = False, occluders: Sequence[str] = OCCLUDERS, repeats: bool = False) -> DataFrame:
     """Rows per frame, ego, field of view and object, without a limit of range (see `classified`).
 
     Columns: frame_idx, ego keys, fov_deg, track_id, class_name, x, y, height, score, rng, rel, in_fov, blocked,
-    blocker_id, blocker_near, blocker_height, blocker_class. Of rows that share a track in a frame the farthest counts.
-    Equal ranges are ordered by track.
+    blocker_id, blocker_near, blocker_height, blocker_class. Of rows that share a track in a frame the farthest counts, or, with
+    repeats, each one. Equal ranges are ordered by track.
     """
-    sensor = sensor or Sensor()
-    rows = with_bins(with_egos(prepared(tracks), egos, sensor, self_exclude), fovs, sensor.bins)
+    sensor = sensor_with(sensor)
+    rows = with_bins(with_egos(prepared(tracks), egos, sensor, self_exclude), fovs, sensor["bins"])
     keys = [c for c in ("frame_idx", "ego_id", "ego_track_id", "fov_deg") if c in rows.columns]
     o = F.struct("track_id", "class_name", F.col("bbox_center_x").alias("x"), F.col("bbox_center_y").alias("y"), F.col("bbox_dz").alias("height"), "score", "rng", "rel", "in_fov", "cbin")
     c = F.struct("rng", "track_id", "near", "lo", "hi", "k0", "k1", "k2", "k3", "back", F.col("bbox_dz").alias("height"), "class_name")
@@ -84,12 +86,12 @@ def visibility(tracks: DataFrame, egos: DataFrame, fovs: Sequence[float] = (120.
     grouped = rows.groupBy(*keys).agg(F.collect_list(o).alias("os"), F.collect_list(F.when(casts, c)).alias("cs"))
     repeated = F.size(F.array_distinct(F.transform("os", lambda x: x["track_id"]))) < F.size("os")
     farthest = F.filter("os", lambda x: ~F.exists("os", lambda y: (y["track_id"] == x["track_id"]) & (y["rng"] > x["rng"])))
-    opened = grouped.select(*keys, "cs", F.explode(F.when(repeated, farthest).otherwise(F.col("os"))).alias("o"))
+    opened = grouped.select(*keys, "cs", F.explode(F.col("os") if repeats else F.when(repeated, farthest).otherwise(F.col("os"))).alias("o"))
     before = lambda x: ((x["rng"] < F.col("o.rng")) | ((x["rng"] == F.col("o.rng")) & (x["track_id"] < F.col("o.track_id")))) & covers(x, F.col("o.cbin"))
     order = lambda x: F.struct(x["near"].alias("near"), x["rng"].alias("rng"), x["track_id"].alias("track_id"), x["height"].alias("height"), x["class_name"].alias("class_name"))
     blocker = F.when(F.col("o.in_fov"), F.array_min(F.transform(F.filter("cs", before), order)))
     found = opened.select(*keys, "o.*", blocker.alias("b"))
-    blocked = F.coalesce(F.col("rng") > F.col("b.near") + sensor.margin_m, F.lit(False))
+    blocked = F.coalesce(F.col("rng") > F.col("b.near") + sensor["margin_m"], F.lit(False))
     out = found.withColumn("blocked", blocked)
     seen = {"blocker_id": "track_id", "blocker_near": "near", "blocker_height": "height", "blocker_class": "class_name"}
     return out.select(*keys, "track_id", "class_name", "x", "y", "height", "score", "rng", "rel", "in_fov", "blocked", *(F.when(F.col("blocked"), F.col(f"b.{c}")).alias(n) for n, c in seen.items()))

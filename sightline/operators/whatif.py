@@ -1,13 +1,14 @@
-"""What-ifs on sampled frames: height of the line of sight, detection confidence, and what a lead vehicle hides."""
+"""What-ifs, on all frames or on a sample: height of the line of sight, detection confidence, and what a lead vehicle hides."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .config import CLASSES, CONFIDENCES, LEAD_BEARING_DEG, LEAD_RANGE_M, OCCLUDERS, SENSOR_HEIGHT_M, SENSOR_HEIGHTS
+from .egos import few
 from .observe import keys_of
 
 
@@ -37,7 +38,7 @@ def height_curve(seen: DataFrame, heights: Sequence[float] = SENSOR_HEIGHTS, cla
 def both_views(narrow: DataFrame, wide: DataFrame, tracks: DataFrame, egos: DataFrame) -> DataFrame:
     """(frame_idx, ego_id, track_id, score, v120, v360) for every object and ego; unseen where a view has no row."""
     v = lambda s, name: s.select("frame_idx", "ego_id", "track_id", F.col("visible").alias(name))
-    scene = tracks.select("frame_idx", "track_id", "score").crossJoin(F.broadcast(egos.select("ego_id")))
+    scene = tracks.select("frame_idx", "track_id", "score").crossJoin(few(egos.select("ego_id")))
     met = scene.join(v(narrow, "v120"), ["frame_idx", "ego_id", "track_id"], "left").join(v(wide, "v360"), ["frame_idx", "ego_id", "track_id"], "left")
     return met.na.fill(False, ["v120", "v360"])
 
@@ -101,8 +102,8 @@ def lead_vehicles(seen: DataFrame, range_m: float = LEAD_RANGE_M, bearing_deg: f
 
 def lead_benefit(leads: DataFrame) -> DataFrame:
     """Per lead class: share of observations, mean visibility, and mean objects seen, behind trucks, otherwise hidden."""
-    whole = leads.agg(F.count("*").alias("all"))
-    per = leads.where("lead_class IS NOT NULL").groupBy("lead_class").agg(
+    per = leads.groupBy("lead_class").agg(
         F.count("*").alias("n"), F.avg(F.col("seen") / F.col("total")).alias("visibility"), F.avg("seen").alias("mean_visible"), F.avg("hidden_by_trucks").alias("mean_hidden_by_trucks"), F.avg("total").alias("mean_total")
     )
-    return per.crossJoin(F.broadcast(whole)).withColumns({"probability": F.col("n") / F.col("all"), "mean_other_hidden": F.greatest(F.col("mean_total") - F.col("mean_visible") - F.col("mean_hidden_by_trucks"), F.lit(0.0))}).drop("all")
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))  # over the few classes, none included
+    return per.withColumns({"probability": share, "mean_other_hidden": F.greatest(F.col("mean_total") - F.col("mean_visible") - F.col("mean_hidden_by_trucks"), F.lit(0.0))}).where("lead_class IS NOT NULL")

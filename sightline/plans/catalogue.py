@@ -31,12 +31,9 @@ def query(f: Query) -> Query:
     return f
 
 
-def seen(spark: SparkSession, sf_dir: str, fovs: Sequence[float] = (120.0,), sample: int = 0) -> DataFrame:
-    """Classified objects from the grid of egos, of all frames or of an even sample."""
-    tracks = fixture.tracks(spark, sf_dir)
-    if sample:
-        tracks = frames.of_frames(tracks, frames.evenly(tracks, sample))
-    return vis.classified(vis.visibility(tracks, egos.grid(spark), fovs))
+def seen(spark: SparkSession, sf_dir: str, fovs: Sequence[float] = (120.0,)) -> DataFrame:
+    """Classified objects from the grid of egos, of all frames."""
+    return vis.classified(vis.visibility(fixture.tracks(spark, sf_dir), egos.grid(spark), fovs))
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +46,10 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observed(spark, sf_dir).join(F.broadcast(poses), "ego_id")
 
 
-def swept(spark: SparkSession, sf_dir: str, preset: str, fovs: Sequence[float], ranges: Sequence[float], positions: int | None = None) -> DataFrame:
-    """A preset's sweep over its configurations: geometry once, blockers once per field of view."""
+def swept(spark: SparkSession, sf_dir: str, fovs: Sequence[float] = (120.0,), ranges: Sequence[float] | None = None, positions: int | None = None, classes: bool = False) -> DataFrame:
+    """A sweep over configurations on all frames: geometry once, blockers once per field of view."""
     tracks = fixture.tracks(spark, sf_dir)
-    near = fixture.near_misses(spark, tracks)
-    return observe.sweep(frames.of_frames(tracks, frames.strided(tracks, c.FRAME_STEP[preset])), near, egos.grid(spark, positions=positions), fovs, ranges)
+    return observe.sweep(tracks, fixture.near_misses(spark, tracks), egos.grid(spark, positions=positions), fovs, ranges, classes=classes)
 
 
 @query
@@ -78,7 +74,7 @@ def frame_linspace_sample(spark, sf_dir):
 
 @query
 def range_bearing(spark, sf_dir):
-    return vis.with_egos(vis.prepared(fixture.tracks(spark, sf_dir)), egos.grid(spark), c.Sensor(), False).select("frame_idx", "ego_id", "track_id", "rng", "rel", "near")
+    return vis.with_egos(vis.prepared(fixture.tracks(spark, sf_dir)), egos.grid(spark), c.SENSOR, False).select("frame_idx", "ego_id", "track_id", "rng", "rel", "near")
 
 
 @query
@@ -89,7 +85,7 @@ def box_corners(spark, sf_dir):
 
 @query
 def corner_bins(spark, sf_dir):
-    rows = vis.with_egos(vis.prepared(fixture.tracks(spark, sf_dir)), egos.grid(spark), c.Sensor(), False)
+    rows = vis.with_egos(vis.prepared(fixture.tracks(spark, sf_dir)), egos.grid(spark), c.SENSOR, False)
     return vis.with_bins(rows, (120.0,), 360).select("frame_idx", "ego_id", "track_id", "cbin", "k0", "k1", "k2", "k3", "lo", "hi")
 
 
@@ -132,6 +128,18 @@ def near_miss_observations(spark, sf_dir):
     return _near_miss(spark, sf_dir).drop("fov_deg")
 
 
+@query
+def class_visibility_json(spark, sf_dir):
+    seen_ = seen(spark, sf_dir)
+    return observe.class_map(seen_).select("frame_idx", "ego_id", observe.class_json(F.col("class_visibility")).alias("class_visibility"))
+
+
+@query
+def sweep_record(spark, sf_dir):
+    record = observe.ordered(swept(spark, sf_dir, classes=True))
+    return record.withColumn("class_visibility", observe.class_json(F.col("class_visibility")))
+
+
 @query
 def near_miss_detectability(spark, sf_dir):
     return summary.detectability(_near_miss(spark, sf_dir))
@@ -148,11 +156,11 @@ def sweep_by_approach(spark, sf_dir):
 
 
 def _sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.sensitivity(swept(spark, sf_dir, "sensitivity", c.SENSITIVITY_FOVS, c.SENSITIVITY_RANGES, c.SENSITIVITY_POSITIONS))
+    return summary.sensitivity(swept(spark, sf_dir, c.SENSITIVITY_FOVS, c.SENSITIVITY_RANGES, c.SENSITIVITY_POSITIONS))
 
 
 def _ranges(spark: SparkSession, sf_dir: str, fovs: Sequence[float] = c.RANGE_FOVS) -> DataFrame:
-    return summary.range_sensitivity(swept(spark, sf_dir, "range", fovs, c.RANGES))
+    return summary.range_sensitivity(swept(spark, sf_dir, fovs, c.RANGES))
 
 
 @query
@@ -248,6 +256,11 @@ def reason_breakdown(spark, sf_dir):
     return conflicts.ttc_summary(_ttc(spark, sf_dir)).select("fov_deg", *(f"share_{x}" for x in c.REASONS))
 
 
+@query
+def near_miss_figure(spark, sf_dir):
+    return summary.near_miss_figure(conflicts.ttc_summary(_ttc(spark, sf_dir)))
+
+
 @query
 def pet_candidates(spark, sf_dir):
     return conflicts.pet_candidates(fixture.tracks(spark, sf_dir))
@@ -291,16 +304,24 @@ def clearance_correction(spark, sf_dir):
 
 @query
 def vertical_visibility(spark, sf_dir):
-    return whatif.vertical(seen(spark, sf_dir, sample=c.SAMPLE_FRAMES))
+    return whatif.vertical(seen(spark, sf_dir))
+
+
+@query
+def vertical_list(spark, sf_dir):
+    """The list form: rows that repeat a track in a frame are judged one by one."""
+    tracks = fixture.repeated(fixture.tracks(spark, sf_dir))
+    listed = vis.classified(vis.visibility(tracks, egos.grid(spark), repeats=True))
+    return listed.select("frame_idx", "ego_id", "track_id", "x", "y", "rng", "reason", "blocker_near", "blocker_height")
 
 
 @query
 def sensor_height_curve(spark, sf_dir):
-    return whatif.height_curve(seen(spark, sf_dir, sample=c.SAMPLE_FRAMES))
+    return whatif.height_curve(seen(spark, sf_dir))
 
 
-def _views(spark: SparkSession, sf_dir: str, sample: int = c.SAMPLE_FRAMES) -> DataFrame:
-    return whatif.scores_of_views(seen(spark, sf_dir, (120.0, 360.0), sample))
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whatif.scores_of_views(seen(spark, sf_dir, (120.0, 360.0)))
 
 
 @query
@@ -318,19 +339,26 @@ def confidence_grid(spark, sf_dir):
     return whatif.confidence_grid(_views(spark, sf_dir))
 
 
+@query
+def confidence_joined(spark, sf_dir):
+    tracks, grid = fixture.tracks(spark, sf_dir), egos.grid(spark)
+    narrow, wide = (seen(spark, sf_dir, (fov,)).where("visible") for fov in (120.0, 360.0))
+    return whatif.both_views(narrow, wide, tracks, grid)
+
+
 @query
 def occlusion_shadow(spark, sf_dir):
-    return whatif.occlusion_shadow(seen(spark, sf_dir, sample=c.SAMPLE_FRAMES))
+    return whatif.occlusion_shadow(seen(spark, sf_dir))
 
 
 @query
 def truck_occlusion_share(spark, sf_dir):
-    return whatif.truck_share(seen(spark, sf_dir, sample=c.SAMPLE_FRAMES))
+    return whatif.truck_share(seen(spark, sf_dir))
 
 
 @query
 def lead_vehicle_benefit(spark, sf_dir):
-    return whatif.lead_benefit(whatif.lead_vehicles(seen(spark, sf_dir, sample=c.SAMPLE_FRAMES)))
+    return whatif.lead_benefit(whatif.lead_vehicles(seen(spark, sf_dir)))
 
 
 @query
@@ -396,19 +424,3 @@ def following_stats(spark, sf_dir):
 @query
 def object_decomposition(spark, sf_dir):
     return summary.object_decomposition(observe.counts(seen(spark, sf_dir, (120.0, 360.0))))
-
-
-#: The what-ifs above take the reference's even sample of frames; under these names they run on all frames.
-_WHOLE: dict[str, Query] = {
-    "vertical_visibility": lambda spark, sf_dir: whatif.vertical(seen(spark, sf_dir)),
-    "sensor_height_curve": lambda spark, sf_dir: whatif.height_curve(seen(spark, sf_dir)),
-    "confidence_ungated": lambda spark, sf_dir: whatif.ungated(_views(spark, sf_dir, 0)),
-    "confidence_curve": lambda spark, sf_dir: whatif.confidence_curve(_views(spark, sf_dir, 0)),
-    "confidence_grid": lambda spark, sf_dir: whatif.confidence_grid(_views(spark, sf_dir, 0)),
-    "occlusion_shadow": lambda spark, sf_dir: whatif.occlusion_shadow(seen(spark, sf_dir)),
-    "truck_occlusion_share": lambda spark, sf_dir: whatif.truck_share(seen(spark, sf_dir)),
-    "lead_vehicle_benefit": lambda spark, sf_dir: whatif.lead_benefit(whatif.lead_vehicles(seen(spark, sf_dir))),
-}
-for _name, _f in _WHOLE.items():
-    _f.__name__ = f"{_name}_whole"
-    query(_f)

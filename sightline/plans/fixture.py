@@ -46,6 +46,16 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usable(_sql(spark, _TRACKS, helpers=helpers))
 
 
+#: Every track with a number divisible by 7 stands in its frame a second time, 6 m and 3 m off.
+_REPEATED = "SELECT * FROM tracks UNION ALL SELECT * REPLACE (bbox_center_x + 6e0 AS bbox_center_x, bbox_center_y + 3e0 AS bbox_center_y) FROM tracks WHERE track_id % 7 = 0"
+
+
+def repeated(scene: DataFrame) -> DataFrame:
+    """The scene with some tracks twice in a frame."""
+    twice = scene.where("track_id % 7 = 0").withColumns({"bbox_center_x": F.col("bbox_center_x") + 6.0, "bbox_center_y": F.col("bbox_center_y") + 3.0})
+    return scene.unionByName(twice)
+
+
 def near_misses(spark: SparkSession, scene: DataFrame) -> DataFrame:
     from ..sources.tables import near_misses as usable
 

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 from ..operators import config as c
+from .fixture import _REPEATED as REPEATED
 from .fixture import duck_ctes
 
 PI = repr(math.pi)
@@ -17,11 +18,10 @@ def wrap(x: str) -> str:
 
 
 def egos_cte(positions: int = 15, name: str = "egos") -> str:
-    rows = []
-    for lane in c.LANES:
-        lane = c.Lane(lane.approach, lane.start, lane.end, lane.heading_deg, positions)
-        rows += [f"({len(rows) + i}::BIGINT, '{lane.approach}', {i}::BIGINT, {x!r}::DOUBLE, {y!r}::DOUBLE, {h!r}::DOUBLE)" for i, (x, y, h) in enumerate(lane.sample())]
-    return f"{name} AS (SELECT * FROM (VALUES {', '.join(rows)}) AS v(ego_id, approach, pos, ego_x, ego_y, ego_h))"
+    """The poses, written out: lane by lane, evenly spaced from one end to the other."""
+    return f"""{name} AS (SELECT lane * {positions} + i AS ego_id, approach, i AS pos, x0 + i / {max(positions - 1, 1)}::DOUBLE * (x1 - x0) AS ego_x, y0 + i / {max(positions - 1, 1)}::DOUBLE * (y1 - y0) AS ego_y, ego_h FROM (VALUES
+        (0, 'north', 7e0, 35e0, 7e0, 8e0, -15707963267948966e-16::DOUBLE), (1, 'south', 8e0, -15e0, 8e0, 8e0, 15707963267948966e-16::DOUBLE),
+        (2, 'east', 35e0, 8e0, 8e0, 8e0, 3141592653589793e-15::DOUBLE), (3, 'west', -20e0, 8e0, 8e0, 8e0, 0e0)) AS l(lane, approach, x0, y0, x1, y1, ego_h) CROSS JOIN range({positions}) AS r(i))"""
 
 
 def vehicles_cte(heading: str, name: str = "vegos", where: str = "class_name IN ('car', 'truck')") -> str:
@@ -33,7 +33,7 @@ def vehicles_cte(heading: str, name: str = "vegos", where: str = "class_name IN
 
 def vis_ctes(fov: float, name: str, egos: str = "egos", scene: str = "tracks", key: str = "ego_id", by_frame: bool = False) -> str:
     """CTEs ending in {name}: every object from every ego at one field of view, with its blocker."""
-    half, bins = c.Sensor(fov_deg=fov).half_fov, 360
+    half, bins = math.radians(fov) / 2.0, 360
     corner = []
     for a, b in ((1, 1), (1, -1), (-1, -1), (-1, 1)):
         u, v = f"(t.bbox_dx / 2.0 * {a})", f"(t.bbox_dy / 2.0 * {b})"
@@ -135,9 +135,7 @@ NEAREST = f"""near AS (SELECT o.frame_idx, o.ego_id, o.visibility_ratio_onboard,
     min(sqrt((e.ego_x - t.bbox_center_x) * (e.ego_x - t.bbox_center_x) + (e.ego_y - t.bbox_center_y) * (e.ego_y - t.bbox_center_y))) AS d_center
     FROM o JOIN v_p AS e ON e.ego_id = o.ego_id LEFT JOIN (SELECT * FROM tracks WHERE class_name IN ('car', 'truck')) AS t ON t.frame_idx = o.frame_idx GROUP BY ALL)"""
 BIN = " ".join(f"WHEN d_sensor >= {lo} {'' if math.isinf(hi) else f'AND d_sensor < {hi}'} THEN '[{lo:g},{hi:g})'" for lo, hi in zip(c.PROXIMITY_EDGES, c.PROXIMITY_EDGES[1:], strict=False))
-SCENE = "scene AS (SELECT * FROM tracks WHERE frame_idx IN (SELECT frame_idx FROM sampled))"
-SAMPLE = (evenly_cte(c.SAMPLE_FRAMES), SCENE, egos_cte(), vis_ctes(120.0, "v", scene="scene"), seen_cte("v", "s"))
-VIEWS = (evenly_cte(c.SAMPLE_FRAMES), SCENE, egos_cte(), vis_ctes(120.0, "v1", scene="scene"), vis_ctes(360.0, "v2", scene="scene"), "v AS (SELECT * FROM v1 UNION ALL SELECT * FROM v2)", seen_cte("v", "s"),
+VIEWS = (egos_cte(), vis_ctes(120.0, "v1"), vis_ctes(360.0, "v2"), "v AS (SELECT * FROM v1 UNION ALL SELECT * FROM v2)", seen_cte("v", "s"),
     "views AS (SELECT frame_idx, ego_id, track_id, first(score) AS score, bool_or(visible AND fov_deg = 120) AS v120, bool_or(visible AND fov_deg = 360) AS v360 FROM s GROUP BY 1, 2, 3)")
 CLEARS = "coalesce(reason = 'occluded' AND {h} + (height - {h}) * (bnear / rng) >= ch, FALSE)"
 TAUS = ", ".join(f"({t!r}::DOUBLE)" for t in c.CONFIDENCES)
@@ -149,18 +147,18 @@ LEADS = """leads AS (SELECT frame_idx, ego_id, count(*) AS total, count(*) FILTE
     first(class_name ORDER BY rng, track_id) FILTER (class_name IN ('car', 'truck') AND visible AND abs(degrees(rel)) < 25 AND rng < 25) AS lead_class FROM s GROUP BY 1, 2)"""
 
 
-def sweep_ctes(fovs: Sequence[float], ranges: Sequence[float], step: int, positions: int) -> tuple[str, ...]:
-    vis = [vis_ctes(f, f"v{i}", scene="scene") for i, f in enumerate(fovs)]
+def sweep_ctes(fovs: Sequence[float], ranges: Sequence[float], positions: int) -> tuple[str, ...]:
+    vis = [vis_ctes(f, f"v{i}") for i, f in enumerate(fovs)]
     union = " UNION ALL ".join(f"SELECT * FROM v{i}" for i in range(len(fovs)))
-    return (strided_cte(step), egos_cte(positions), *vis, f"v AS ({union})", seen_cte("v", "s", ranges), obs_cte("s", "o"), nm_cte("s", "m"),
+    return (egos_cte(positions), *vis, f"v AS ({union})", seen_cte("v", "s", ranges), obs_cte("s", "o"), nm_cte("s", "m"),
         "full_obs AS (SELECT o.*, e.approach, coalesce(m.nm_total, 0) AS nm_total, coalesce(m.nm_both_visible, 0) AS nm_both_visible FROM o JOIN egos AS e USING (ego_id) LEFT JOIN m USING (frame_idx, ego_id, fov_deg, range_m))")
 
 
-SENS = sweep_ctes(c.SENSITIVITY_FOVS, c.SENSITIVITY_RANGES, c.FRAME_STEP["sensitivity"], c.SENSITIVITY_POSITIONS)
+SENS = sweep_ctes(c.SENSITIVITY_FOVS, c.SENSITIVITY_RANGES, c.SENSITIVITY_POSITIONS)
 SENS_TABLE = f"""sens AS (SELECT fov_deg, range_m, avg(visibility_ratio_onboard) AS visibility_mean, median(visibility_ratio_onboard) AS visibility_median, 1.0 - avg(visibility_ratio_onboard) AS cooperative_benefit,
     coalesce(sum(nm_both_visible) / nullif(sum(nm_total), 0)::DOUBLE, 0.0) AS nm_detectability_onboard, 1.0::DOUBLE AS nm_detectability_cooperative,
-    {", ".join(f"avg(visibility_ratio_onboard) FILTER (approach = '{a.approach}') AS vis_{a.approach}" for a in c.LANES)} FROM full_obs GROUP BY 1, 2)"""
-RANGE = sweep_ctes(c.RANGE_FOVS, c.RANGES, c.FRAME_STEP["range"], 15)
+    {", ".join(f"avg(visibility_ratio_onboard) FILTER (approach = '{a}') AS vis_{a}" for a in c.APPROACHES)} FROM full_obs GROUP BY 1, 2)"""
+RANGE = sweep_ctes(c.RANGE_FOVS, c.RANGES, 15)
 RANGE_TABLE = "ranges AS (SELECT fov_deg, range_m, avg(visibility_ratio_onboard) AS int_wide, avg(nearby_visibility_ratio) AS nearby, avg(conflict_zone_visibility_ratio) AS conflict, avg(n_objects_total) AS total FROM full_obs GROUP BY 1, 2)"
 
 
@@ -197,11 +195,11 @@ ORACLES: dict[str, str] = {
     "near_miss_detectability": query("SELECT *, round(nm_both_visible / nm_total::DOUBLE, 6) AS both_visible_rate, round(nm_at_least_one_visible / nm_total::DOUBLE, 6) AS at_least_one_visible_rate, round(nm_ego_relevant_aware / nm_ego_relevant::DOUBLE, 6) AS ego_relevant_awareness_rate, 1.0::DOUBLE AS cooperative_rate FROM (SELECT sum(nm_total)::BIGINT AS nm_total, sum(nm_both_visible)::BIGINT AS nm_both_visible, sum(nm_at_least_one_visible)::BIGINT AS nm_at_least_one_visible, sum(nm_ego_relevant)::BIGINT AS nm_ego_relevant, sum(nm_ego_relevant_aware)::BIGINT AS nm_ego_relevant_aware FROM m) AS q", *GRID120, nm_cte("s", "m")),
     "sweep_summary": query(f"SELECT frames, n_obs, {r(*MEAN_NAMES, 'nearby_total', 'nearby_visible')} FROM (SELECT count(DISTINCT frame_idx) AS frames, count(*) AS n_obs, {MEANS}, avg(n_nearby_total) AS nearby_total, avg(n_nearby_visible) AS nearby_visible FROM o) AS q", *OBS),
     "sweep_by_approach": query(f"SELECT approach, n_obs, {r('mean_visibility', 'median_visibility', 'std_visibility', 'mean_nearby_visibility')} FROM (SELECT approach, count(*) AS n_obs, avg(visibility_ratio_onboard) AS mean_visibility, median(visibility_ratio_onboard) AS median_visibility, stddev_samp(visibility_ratio_onboard) AS std_visibility, avg(nearby_visibility_ratio) AS mean_nearby_visibility FROM o JOIN egos USING (ego_id) GROUP BY 1) AS q", *OBS),
-    "fov_range_sensitivity": query(f"SELECT fov_deg, range_m, {r('visibility_mean', 'visibility_median', 'cooperative_benefit', 'nm_detectability_onboard', 'nm_detectability_cooperative', *(f'vis_{a.approach}' for a in c.LANES))} FROM sens", *SENS, SENS_TABLE),
+    "fov_range_sensitivity": query(f"SELECT fov_deg, range_m, {r('visibility_mean', 'visibility_median', 'cooperative_benefit', 'nm_detectability_onboard', 'nm_detectability_cooperative', *(f'vis_{a}' for a in c.APPROACHES))} FROM sens", *SENS, SENS_TABLE),
     "fov_range_pivot": query("SELECT fov_deg, " + ", ".join(f"round(max(visibility_mean) FILTER (range_m = {x}), 6) AS r{x:g}" for x in c.SENSITIVITY_RANGES) + " FROM sens GROUP BY 1", *SENS, SENS_TABLE),
     "range_sensitivity": query(f"SELECT fov_deg, range_m, {r('int_wide', 'nearby', 'conflict', 'total')} FROM ranges", *RANGE, RANGE_TABLE),
     "range_series": query("SELECT range_m, round(int_wide, 6) AS value FROM ranges WHERE fov_deg = 360", *RANGE, RANGE_TABLE),
-    "fov_slice": query("SELECT fov_deg, round(visibility_mean, 6) AS visibility FROM sens WHERE range_m = 35 UNION ALL SELECT 360.0::DOUBLE, (SELECT round(avg(visibility_ratio_onboard), 6) FROM wide)", *SENS, SENS_TABLE, strided_cte(10, "scene2"), egos_cte(15, "egos2"), vis_ctes(360.0, "w", "egos2", "scene2"), seen_cte("w", "ws"), obs_cte("ws", "wide")),
+    "fov_slice": query("SELECT fov_deg, round(visibility_mean, 6) AS visibility FROM sens WHERE range_m = 35 UNION ALL SELECT 360.0::DOUBLE, (SELECT round(avg(visibility_ratio_onboard), 6) FROM wide)", *SENS, SENS_TABLE, egos_cte(15, "egos2"), vis_ctes(360.0, "w", "egos2"), seen_cte("w", "ws"), obs_cte("ws", "wide")),
     "vehicle_ego_yaw": query(f"SELECT {VEH_COLS} FROM veh", *vehicle_ctes("yaw")),
     "vehicle_ego_inward": query(f"SELECT {VEH_COLS} FROM veh", *vehicle_ctes("inward")),
     "vehicle_ego_region_summary": query(f"SELECT subset, n_obs, frames, {r(*MEAN_NAMES)}, round(n_obs / greatest(frames, 1)::DOUBLE, 6) AS mean_ego_per_frame FROM vsum", *vehicle_ctes("yaw")),
@@ -219,14 +217,14 @@ ORACLES: dict[str, str] = {
     "nearest_vehicle": query(f"SELECT frame_idx, ego_id::BIGINT AS ego_id, {r('d_sensor', 'd_center')} FROM near", *OBS, NEAREST),
     "proximity_bins": query(f"SELECT bin_m, count(*) AS n_obs, round(100.0 * count(*) / (SELECT count(*) FROM near), 6) AS pct_obs, round(avg(visibility_ratio_onboard), 6) AS mean_visibility, round(avg(n_occluded), 6) AS mean_occluded, round(avg(n_out_of_fov), 6) AS mean_out_of_fov, round(avg(n_objects_total), 6) AS mean_total_obj FROM (SELECT *, CASE {BIN} END AS bin_m FROM near) AS q WHERE bin_m IS NOT NULL GROUP BY 1", *OBS, NEAREST),
     "clearance_correction": query("SELECT clearance_m, n_kept, round(pct_dropped, 6) AS pct_dropped, round(v, 6) AS int_wide_visibility, round(v - max(v) FILTER (clearance_m = 0) OVER (), 6) AS delta FROM (SELECT clearance_m, count(*) FILTER (d_center >= clearance_m OR d_center IS NULL) AS n_kept, 100.0 * (1 - count(*) FILTER (d_center >= clearance_m OR d_center IS NULL) / count(*)::DOUBLE) AS pct_dropped, avg(visibility_ratio_onboard) FILTER (d_center >= clearance_m OR d_center IS NULL) AS v FROM near CROSS JOIN (VALUES (0.0::DOUBLE), " + ", ".join(f"({x}::DOUBLE)" for x in c.CLEARANCES) + ") AS k(clearance_m) GROUP BY 1) AS q", *OBS, NEAREST),
-    "vertical_visibility": query(f"SELECT coalesce(upper(substr(class_name, 1, 1)) || substr(class_name, 2), 'Overall') AS scope, count(*) AS n, round(avg(visible::INT), 6) AS planar, round(avg((visible OR {CLEARS.format(h=1.8)})::INT), 6) AS vertical FROM s GROUP BY ROLLUP (class_name)", *SAMPLE),
-    "sensor_height_curve": query(f"SELECT hs AS sensor_height_m, round(avg((visible OR {CLEARS.format(h='hs')})::INT), 6) AS visibility FROM s CROSS JOIN (VALUES {', '.join(f'({x}::DOUBLE)' for x in c.SENSOR_HEIGHTS)}) AS k(hs) GROUP BY 1", *SAMPLE),
+    "vertical_visibility": query(f"SELECT coalesce(upper(substr(class_name, 1, 1)) || substr(class_name, 2), 'Overall') AS scope, count(*) AS n, round(avg(visible::INT), 6) AS planar, round(avg((visible OR {CLEARS.format(h=1.8)})::INT), 6) AS vertical FROM s GROUP BY ROLLUP (class_name)", *GRID120),
+    "sensor_height_curve": query(f"SELECT hs AS sensor_height_m, round(avg((visible OR {CLEARS.format(h='hs')})::INT), 6) AS visibility FROM s CROSS JOIN (VALUES {', '.join(f'({x}::DOUBLE)' for x in c.SENSOR_HEIGHTS)}) AS k(hs) GROUP BY 1", *GRID120),
     "confidence_ungated": query("SELECT count(*) AS n, round(avg(v120::INT), 6) AS fov_120, round(avg(v360::INT), 6) AS fov_360 FROM views", *VIEWS),
     "confidence_curve": query(f"SELECT tau, round(avg((v120 AND score >= tau)::INT), 6) AS fov_120, round(avg((v360 AND score >= tau)::INT), 6) AS fov_360, round(avg((score >= tau)::INT), 6) AS v2i FROM views CROSS JOIN (VALUES {TAUS}) AS k(tau) GROUP BY 1", *VIEWS),
     "confidence_grid": query(f"SELECT tau_av, tau_rsu, round(avg(((v360 AND score >= tau_av) OR score >= tau_rsu)::INT), 6) AS cooperative FROM views CROSS JOIN (VALUES {TAUS}) AS k(tau_av) CROSS JOIN (VALUES {TAUS}) AS l(tau_rsu) GROUP BY 1, 2", *VIEWS),
-    "occlusion_shadow": query("SELECT blocker_class AS occluder_class, count(*) AS n_occluders, sum(hidden)::BIGINT AS n_hidden, round(avg(hidden), 6) AS shadow FROM (SELECT frame_idx, ego_id, occluded_by, blocker_class, count(*) AS hidden FROM s WHERE reason = 'occluded' GROUP BY 1, 2, 3, 4) AS q GROUP BY 1", *SAMPLE),
-    "truck_occlusion_share": query("SELECT count(*) FILTER (blocker_class = 'truck') AS by_truck, count(*) FILTER (blocker_class IN ('car', 'truck')) AS by_all, round(count(*) FILTER (blocker_class = 'truck') / count(*) FILTER (blocker_class IN ('car', 'truck'))::DOUBLE, 6) AS truck_share FROM s", *SAMPLE),
-    "lead_vehicle_benefit": query("SELECT lead_class, n, round(visibility, 6) AS visibility, round(mv, 6) AS mean_visible, round(mh, 6) AS mean_hidden_by_trucks, round(mt, 6) AS mean_total, round(n / (SELECT count(*) FROM leads)::DOUBLE, 6) AS probability, round(greatest(mt - mv - mh, 0.0), 6) AS mean_other_hidden FROM (SELECT lead_class, count(*) AS n, avg(seen / total::DOUBLE) AS visibility, avg(seen) AS mv, avg(hidden) AS mh, avg(total) AS mt FROM leads WHERE lead_class IS NOT NULL GROUP BY 1) AS q", *SAMPLE, LEADS),
+    "occlusion_shadow": query("SELECT blocker_class AS occluder_class, count(*) AS n_occluders, sum(hidden)::BIGINT AS n_hidden, round(avg(hidden), 6) AS shadow FROM (SELECT frame_idx, ego_id, occluded_by, blocker_class, count(*) AS hidden FROM s WHERE reason = 'occluded' GROUP BY 1, 2, 3, 4) AS q GROUP BY 1", *GRID120),
+    "truck_occlusion_share": query("SELECT count(*) FILTER (blocker_class = 'truck') AS by_truck, count(*) FILTER (blocker_class IN ('car', 'truck')) AS by_all, round(count(*) FILTER (blocker_class = 'truck') / count(*) FILTER (blocker_class IN ('car', 'truck'))::DOUBLE, 6) AS truck_share FROM s", *GRID120),
+    "lead_vehicle_benefit": query("SELECT lead_class, n, round(visibility, 6) AS visibility, round(mv, 6) AS mean_visible, round(mh, 6) AS mean_hidden_by_trucks, round(mt, 6) AS mean_total, round(n / (SELECT count(*) FROM leads)::DOUBLE, 6) AS probability, round(greatest(mt - mv - mh, 0.0), 6) AS mean_other_hidden FROM (SELECT lead_class, count(*) AS n, avg(seen / total::DOUBLE) AS visibility, avg(seen) AS mv, avg(hidden) AS mh, avg(total) AS mt FROM leads WHERE lead_class IS NOT NULL GROUP BY 1) AS q", *GRID120, LEADS),
     "track_speeds": query(f"SELECT track_id, frame_idx, {r('speed_mps')} FROM speeds", SPEEDS),
     "speed_summary": query("SELECT class_name, round(avg(speed_mps), 6) AS mean, round(median(speed_mps), 6) AS median, round(stddev_samp(speed_mps), 6) AS std, round(quantile_cont(speed_mps, 0.05), 6) AS p05, round(quantile_cont(speed_mps, 0.95), 6) AS p95 FROM speeds WHERE speed_mps IS NOT NULL GROUP BY 1", SPEEDS),
     "dimension_summary": query("SELECT class_name, dimension, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS std FROM (SELECT class_name, 'bbox_dx' AS dimension, bbox_dx AS value FROM tracks UNION ALL SELECT class_name, 'bbox_dy', bbox_dy FROM tracks UNION ALL SELECT class_name, 'bbox_dz', bbox_dz FROM tracks) AS q GROUP BY 1, 2"),
@@ -247,5 +245,32 @@ for _fov in (120, 360):
         *TTC,
         PAIRS,
     )
-for _name in ("vertical_visibility", "sensor_height_curve", "confidence_ungated", "confidence_curve", "confidence_grid", "occlusion_shadow", "truck_occlusion_share", "lead_vehicle_benefit"):
-    ORACLES[f"{_name}_whole"] = ORACLES[_name].replace(SCENE, "scene AS (SELECT * FROM tracks)")
+CLASS_JSON = "json AS (SELECT frame_idx, ego_id, '{' || string_agg('\"' || class_name || '\":{\"visible\":' || n_visible || ',\"total\":' || n_total || '}', ',' ORDER BY class_name) || '}' AS class_visibility FROM (SELECT frame_idx, ego_id, class_name, count(*) FILTER (visible) AS n_visible, count(*) AS n_total FROM s GROUP BY 1, 2, 3) AS q GROUP BY 1, 2)"
+ORACLES["class_visibility_json"] = query("SELECT frame_idx, ego_id::BIGINT AS ego_id, class_visibility FROM json", *GRID120, CLASS_JSON)
+_RECORD_COUNTS = "n_nearby_total, n_nearby_visible, n_conflict_zone_total, n_conflict_zone_visible"
+_RECORD_NM = ", ".join(f"coalesce(m.{n}, 0) AS {n}" for n in ("nm_total", "nm_both_visible", "nm_at_least_one_visible", "nm_ego_relevant", "nm_ego_relevant_aware"))
+ORACLES["sweep_record"] = query(
+    f"""SELECT o.frame_idx, e.approach, e.pos::BIGINT AS pos, o.fov_deg, o.range_m, {r('ego_x', 'ego_y')}, round(degrees(ego_h), 6) AS ego_heading_deg, {OBS_COUNTS}, {_RECORD_COUNTS},
+        {r('visibility_ratio_onboard', 'nearby_visibility_ratio', 'conflict_zone_visibility_ratio')}, 1.0::DOUBLE AS visibility_ratio_cooperative, {_RECORD_NM},
+        coalesce(m.nm_both_visible, 0) AS nm_detectable_onboard, coalesce(m.nm_total, 0) AS nm_detectable_cooperative, json.class_visibility
+        FROM o JOIN egos AS e USING (ego_id) JOIN json USING (frame_idx, ego_id) LEFT JOIN m USING (frame_idx, ego_id) ORDER BY o.frame_idx, e.approach, e.pos""",
+    *OBS, nm_cte("s", "m"), CLASS_JSON,
+)
+ORACLES["confidence_joined"] = query(
+    "SELECT t.frame_idx, e.ego_id::BIGINT AS ego_id, t.track_id, round(t.score, 6) AS score, coalesce(a.visible, FALSE) AS v120, coalesce(b.visible, FALSE) AS v360 FROM tracks AS t CROSS JOIN egos AS e LEFT JOIN (SELECT * FROM s WHERE fov_deg = 120) AS a USING (frame_idx, ego_id, track_id) LEFT JOIN (SELECT * FROM s WHERE fov_deg = 360) AS b USING (frame_idx, ego_id, track_id)",
+    *BOTH,
+)
+ORACLES["near_miss_figure"] = query(
+    f"""SELECT 'a' AS panel, 'fov_' || fov_deg::INT AS bar, 'visible' AS part, 0.0::DOUBLE AS bottom, round(avg(visible::INT), 6) AS height FROM rows GROUP BY fov_deg
+        UNION ALL SELECT 'a', 'cooperative', 'visible', 0.0, 1.0
+        UNION ALL SELECT 'b', bar, part, round(bottom, 6), round(height, 6) FROM (
+            SELECT 'fov_' || fov_deg::INT AS bar, part, height, coalesce(sum(height) OVER (PARTITION BY fov_deg ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS bottom FROM (
+                SELECT fov_deg, place, part, avg(CASE WHEN reason = part THEN 1.0 ELSE 0.0 END) AS height FROM rows CROSS JOIN (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(c.REASONS))}) AS p(place, part) GROUP BY 1, 2, 3) AS q) AS z""",
+    *TTC,
+)
+ORACLES["vertical_list"] = query(
+    f"SELECT frame_idx, ego_id::BIGINT AS ego_id, track_id // 2 AS track_id, {r('x', 'y', 'rng')}, reason, CASE WHEN blocked THEN round(bnear, 6) END AS blocker_near, CASE WHEN blocked THEN round(ch, 6) END AS blocker_height FROM s",
+    # rows get numbers of their own, in the order of tracks, and rows of one track at one range do not meet in this scene
+    f"listed AS ({REPEATED}), numbered AS (SELECT * REPLACE (track_id * 2 + row_number() OVER (PARTITION BY frame_idx, track_id ORDER BY bbox_center_x) - 1 AS track_id) FROM listed)",
+    egos_cte(), vis_ctes(120.0, "v", scene="numbered"), seen_cte("v", "s"),
+)

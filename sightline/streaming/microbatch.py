@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import observe
-from ..operators.config import Sensor
+from ..operators.config import sensor_with
 from ..operators.visibility import classified, visibility
 from ..sources.tables import TRACKS, tracks
 
@@ -19,12 +19,12 @@ def read_tracks_stream(spark: SparkSession, folder: str, files_per_batch: int =
     return spark.readStream.schema(TRACKS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def observe_stream(stream: DataFrame, egos: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, fovs: Sequence[float] = (120.0,), sensor: Sensor | None = None) -> StreamingQuery:
+def observe_stream(stream: DataFrame, egos: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, fovs: Sequence[float] = (120.0,), sensor: dict[str, float] | None = None) -> StreamingQuery:
     """Observation counts of every batch, handed to the sink with the batch's number: write them by it to stay exactly once."""
-    sensor = sensor or Sensor()
+    sensor = sensor_with(sensor)
 
     def batch(df: DataFrame, number: int) -> None:
-        seen = classified(visibility(tracks(df), egos, fovs, sensor), sensor.range_m, sensor.near_blind_m)
+        seen = classified(visibility(tracks(df), egos, fovs, sensor), sensor["range_m"], sensor["near_blind_m"])
         sink(observe.ratios(observe.counts(seen)).withColumn("batch", F.lit(number)), number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,9 +1,11 @@
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import conflicts, frames, proximity, trajectory, whatif
+from sightline.operators import config, conflicts, egos, frames, proximity, quantiles, trajectory, visibility, whatif
 from sightline.sources import sinks, tables
 from sightline.streaming import microbatch
 
@@ -102,3 +104,56 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(out).select("frame_idx", "ego_id", "n_visible_onboard", "n_objects_total")
     want = observe.counts(classified(visibility(scene, grid))).select(*got.columns)
     assert got.exceptAll(want).count() == 0 and got.count() == want.count() == 720
+
+
+def test_quantiles_against_numpy(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(("a", "b", None)), rng.choice((rng.random(), float(rng.randint(0, 3)), None))) for _ in range(3000)] + [("one", 5.0), ("none", None), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double").withColumn("w", -F.col("v"))
+    shares = {"q0": 0.0, "q5": 0.05, "q50": 0.5, "q95": 0.95, "q100": 1.0}
+    per = df.groupBy("k").agg(F.count("v").alias("n"))
+    for slices in (4, 256):
+        got = quantiles.with_quantiles(per, df, ["k"], {"v": shares, "w": {"w10": 0.1}}, slices).collect()
+        assert len(got) == 6
+        for r in got:
+            v = [x for k, x in rows if k == r.k and x is not None]
+            assert r.n == len(v)
+            for name, q in shares.items():
+                assert r[name] == (pytest.approx(np.quantile(v, q), abs=1e-12) if v else None)
+            assert r.w10 == (pytest.approx(-np.quantile(v, 0.9), abs=1e-12) if v else None)
+    (r,) = quantiles.with_quantiles(df.agg(F.count("*").alias("n")), df, [], {"v": {"m": 0.5}}).collect()
+    assert r.m == pytest.approx(np.median([v for _, v in rows if v is not None]))
+
+
+def test_crossings_of_parked_and_moving_objects(spark):
+    rng = random.Random(3)
+    tracks = {t: [(f, rng.uniform(-9, 9), rng.uniform(-9, 9)) for f in range(30)] for t in range(5)}
+    tracks |= {10: [(f, 1.0, 1.0) for f in range(4000)], 11: [(f + 7, 2.0, 1.0) for f in range(4000)], 12: [(f, -4.0, 3.99) for f in range(50)], 13: [(f, -4.0, 2.0) for f in range(50)]}
+    df = spark.createDataFrame([(t, f, x, y) for t, rows in tracks.items() for f, x, y in rows], "track_id long, frame_idx long, bbox_center_x double, bbox_center_y double")
+    pairs = [(a, b) for a in tracks for b in tracks if a != b]
+    got = {(r.ego_track_id, r.partner_id): (r.crossing_m, r.ego_frame, r.partner_frame) for r in conflicts.pet_crossings(df, spark.createDataFrame(pairs, "ego_track_id long, partner_id long")).collect()}
+    want = {}
+    for a, b in pairs:
+        u, v = (sorted({(x, y): f for f, x, y in reversed(tracks[t])}.items(), key=lambda p: p[1]) for t in (a, b))
+        best = min((((x - z) ** 2 + (y - w) ** 2) ** 0.5, f, g) for (x, y), f in u for (z, w), g in v)
+        if best[0] <= 2.0:
+            want[a, b] = best
+    assert got.keys() == want.keys() and got[10, 11] == (1.0, 0, 7)
+    assert all(got[k] == (pytest.approx(want[k][0]), *want[k][1:]) for k in want)
+
+
+def test_list_form_judges_each_repeated_row(spark):
+    rows = [(0, 1, "car", 10.0, 0.0, 4.5, 2.0, 1.6, 0.0, 1.0), (0, 1, "car", 30.0, 0.0, 4.5, 2.0, 1.6, 0.0, 1.0), (0, 2, "truck", 20.0, 0.0, 8.0, 2.5, 3.0, 0.0, 1.0)]
+    t = tables.tracks(spark.createDataFrame(rows, tables.TRACKS))
+    pose = spark.createDataFrame([(0, "a", 0, 0.0, 0.0, 0.0)], "ego_id int, approach string, pos int, ego_x double, ego_y double, ego_h double")
+    seen = lambda **k: sorted((r.track_id, r.x, r.reason) for r in visibility.classified(visibility.visibility(t, pose, **k)).collect())
+    assert seen() == [(1, 30.0, "occluded"), (2, 20.0, "occluded")]
+    assert seen(repeats=True) == [(1, 10.0, "visible"), (1, 30.0, "occluded"), (2, 20.0, "occluded")]
+
+
+def test_parameters_and_sizes_are_checked(spark):
+    with pytest.raises(ValueError, match="unknown sensor"):
+        config.sensor_with({"fov": 1.0})
+    many = spark.range(egos.MOST_POSES + 1).select(F.col("id").alias("ego_id"))
+    with pytest.raises(ValueError, match="more than"):
+        egos.few(many)

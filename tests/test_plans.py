@@ -27,6 +27,8 @@ def test_query_against_sql(spark, duck, name):
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=0, atol=1.1e-6)
 
 
-def test_whole_what_ifs_take_every_frame(spark):
-    n = catalogue.QUERIES["confidence_ungated_whole"](spark, SF).first().n
-    assert n == catalogue._views(spark, SF, 0).count() > 10 * catalogue._views(spark, SF, 5).count()
+def test_record_is_in_order(spark):
+    rows = [(r.frame_idx, r.approach, r.pos) for r in catalogue.QUERIES["sweep_record"](spark, SF).select("frame_idx", "approach", "pos").collect()]
+    assert rows == sorted(rows) and len(rows) == len(set(rows))
+    pairs = [r.n for r in catalogue.QUERIES["near_miss_pair_types"](spark, SF).collect()]
+    assert pairs == sorted(pairs, reverse=True)

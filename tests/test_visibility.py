@@ -20,9 +20,9 @@ def scene(spark, rows, frame=0):
 
 
 def look(spark, rows, pose=(0.0, 0.0, 0.0), fov=120.0, sensor=None):
-    sensor = sensor or c.Sensor()
+    sensor = sensor or c.SENSOR
     ego = spark.createDataFrame([(0, "a", 0, *map(float, pose))], EGO)
-    seen = vis.classified(vis.visibility(scene(spark, rows), ego, (fov,), sensor), sensor.range_m, sensor.near_blind_m)
+    seen = vis.classified(vis.visibility(scene(spark, rows), ego, (fov,), sensor), sensor["range_m"], sensor["near_blind_m"])
     return {r.track_id: (r.reason, r.occluded_by) for r in seen.collect()}
 
 
@@ -39,9 +39,11 @@ def test_range_and_near_blind(spark):
     assert look(spark, [(1, 2.5, 0), (2, 3.0, 0), (3, 36.5, 0.0)])[1] == ("out_of_range", None)
 
 
-def test_lane_samples_have_both_ends():
-    assert c.Lane("a", (0.0, 0.0), (10.0, 0.0), 90.0, 3).sample() == [(0.0, 0.0, math.pi / 2), (5.0, 0.0, math.pi / 2), (10.0, 0.0, math.pi / 2)]
-    assert c.Lane("a", (1.0, 2.0), (10.0, 0.0), 90.0, 1).sample() == [(1.0, 2.0, math.pi / 2)]
+def test_lane_samples_have_both_ends(spark):
+    lanes = [("a", 0.0, 0.0, 10.0, 0.0, 90.0, 3), ("b", 1.0, 2.0, 10.0, 0.0, 90.0, 1)]
+    got = [tuple(r) for r in egos.grid(spark, lanes).orderBy("ego_id").collect()]
+    half = math.pi / 2
+    assert got == [(0, "a", 0, 0.0, 0.0, half), (1, "a", 1, 5.0, 0.0, half), (2, "a", 2, 10.0, 0.0, half), (3, "b", 0, 1.0, 2.0, half)]
 
 
 def wrapped(a):
@@ -50,20 +52,20 @@ def wrapped(a):
 
 def painted(rows, pose, fov, sensor):
     """Bins painted by occluders in order of range: an independent way to the same result."""
-    h, half, n = pose[2], math.radians(fov) / 2, sensor.bins
-    sx = pose[0] + sensor.forward_m * math.cos(h) - sensor.left_m * math.sin(h)
-    sy = pose[1] + sensor.forward_m * math.sin(h) + sensor.left_m * math.cos(h)
+    h, half, n = pose[2], math.radians(fov) / 2, sensor["bins"]
+    sx = pose[0] + sensor["forward_m"] * math.cos(h) - sensor["left_m"] * math.sin(h)
+    sy = pose[1] + sensor["forward_m"] * math.sin(h) + sensor["left_m"] * math.cos(h)
     at = lambda b: min(n - 1, max(0, int((b + half) / (2 * half / n))))
     paint, out = {}, {}
     for i, kind, x, y, dx, dy, yaw in sorted(rows, key=lambda r: (math.hypot(r[2] - sx, r[3] - sy), r[0])):
         rng, rel = math.hypot(x - sx, y - sy), wrapped(math.atan2(y - sy, x - sx) - h)
         if abs(rel) > half:
             out[i] = ("out_of_fov", None)
-        elif not sensor.near_blind_m < rng <= sensor.range_m:
+        elif not sensor["near_blind_m"] < rng <= sensor["range_m"]:
             out[i] = ("out_of_range", None)
         else:
             near, who = paint.get(at(rel), (math.inf, None))
-            out[i] = ("occluded", who) if rng > near + sensor.margin_m else ("visible", None)
+            out[i] = ("occluded", who) if rng > near + sensor["margin_m"] else ("visible", None)
         if kind not in c.OCCLUDERS:
             continue
         corners = [(x + a * dx / 2 * math.cos(yaw) - b * dy / 2 * math.sin(yaw), y + a * dx / 2 * math.sin(yaw) + b * dy / 2 * math.cos(yaw)) for a in (1, -1) for b in (1, -1)]
@@ -84,11 +86,11 @@ def painted(rows, pose, fov, sensor):
 @pytest.mark.parametrize("fov,left", [(60.0, 0.0), (120.0, 0.4), (200.0, 0.0), (360.0, -0.3)])
 def test_random_scenes_against_painted_bins(spark, fov, left):
     rng = random.Random(int(fov))
-    sensor = c.Sensor(fov_deg=fov, left_m=left)
+    sensor = c.sensor_with({"fov_deg": fov, "left_m": left})
     poses = [(i, "a", 0, rng.uniform(-5, 5), rng.uniform(-5, 5), rng.uniform(-4, 4)) for i in range(6)]
     frames = {f: [(i, rng.choice(c.CLASSES), rng.uniform(-40, 40), rng.uniform(-40, 40), rng.uniform(0.5, 9), rng.uniform(0.5, 3), rng.uniform(-4, 4)) for i in range(14)] for f in range(25)}
     df = tracks(spark.createDataFrame([(f, *r) for f, rows in frames.items() for r in rows], COLUMNS))
-    seen = vis.classified(vis.visibility(df, spark.createDataFrame(poses, EGO), (fov,), sensor), sensor.range_m, sensor.near_blind_m)
+    seen = vis.classified(vis.visibility(df, spark.createDataFrame(poses, EGO), (fov,), sensor), sensor["range_m"], sensor["near_blind_m"])
     got = {(r.frame_idx, r.ego_id, r.track_id): (r.reason, r.occluded_by) for r in seen.collect()}
     want = {(f, p[0], i): v for f, rows in frames.items() for p in poses for i, v in painted(rows, p[3:], fov, sensor).items()}
     assert got == want
