@@ -1,11 +1,11 @@
-"""Writing results: Parquet folders or single files, and pretty JSON documents."""
+"""Writing results: Parquet folders or single files, pretty JSON documents and tables for a console."""
 
 from __future__ import annotations
 
 import json
-from pathlib import Path
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_parquet(df: DataFrame, path: str, single: bool = False) -> None:
@@ -21,8 +21,26 @@ def document(df: DataFrame, most: int = 10_000) -> list[dict]:
 
 
 def write_json(value: dict | list | DataFrame, path: str) -> None:
-    """A summary as indented JSON with a final line end."""
+    """A summary as indented JSON with a final line end, on any file system that Spark can write."""
     value = document(value) if isinstance(value, DataFrame) else value
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(json.dumps(value, indent=2) + "\n")
+    data = (json.dumps(value, indent=2) + "\n").encode()
+    spark = SparkSession.getActiveSession()
+    target = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def table_text(rows: DataFrame | Sequence[dict], title: str = "", places: int = 3) -> str:
+    """A short aggregate as lines of aligned columns: numbers to the right, missing values as a dash."""
+    rows = document(rows) if isinstance(rows, DataFrame) else list(rows)
+    names = list(rows[0]) if rows else []
+    show = lambda v: "-" if v is None else f"{v:.{places}f}" if isinstance(v, float) else str(v)
+    cells = [[show(r[c]) for c in names] for r in rows]
+    wide = [max(map(len, column)) for column in zip(names, *cells, strict=True)]
+    right = [all(r[c] is None or isinstance(r[c], int | float) for r in rows) for c in names]
+    line = lambda values: "  ".join(v.rjust(w) if r else v.ljust(w) for v, w, r in zip(values, wide, right, strict=True)).rstrip()
+    body = [line(x) for x in [names, *cells]] if rows else ["(no rows)"]
+    return "\n".join([*([f"--- {title} ---"] if title else []), *body])
