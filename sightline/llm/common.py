@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sightline-{uuid.uuid4().hex}"
 
 
+def in_waves(df: DataFrame, waves: int = 8) -> DataFrame:
+    """df in at most so many partitions for each core of the cluster."""
+    return df.coalesce(waves * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def written(df: DataFrame, name: str = "table", small: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there and a lost executor costs nothing written.
 
-    small: rows of a few numbers each; they are written by one wave of tasks, not as one file for each partition.
+    Eight waves of tasks write at most, or one where rows are small, a few numbers each: not a file for each partition.
     """
     spark = df.sparkSession
-    if small:
-        df = df.coalesce(spark.sparkContext.defaultParallelism)
+    df = in_waves(df, 1 if small else 8)
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -103,15 +109,31 @@ def marked_ids(rows: DataFrame, ids: DataFrame, column: str = "id", most: int =
 
 
 def release() -> None:
-    """Gives memory that this Python worker has freed back to the system: idle workers live on beside those of later stages."""
+    """Gives memory that this Python worker has freed back to the system: idle workers live on beside those of later stages.
+
+    Large blocks are mapped one by one from then on, so that they go back as soon as they are freed.
+    """
     import ctypes
 
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-    if trim:
-        trim(0)
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc alone has it
+        libc.mallopt(-3, 1 << 20)  # the threshold of mapped blocks; it would grow with the blocks freed
+        libc.malloc_trim(0)
+
+
+def releasing(act: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """act, for mapInPandas, with `release` before and after."""
+
+    @functools.wraps(act)
+    def run(batches: Iterator) -> Iterator:
+        release()
+        yield from act(batches)
+        release()
+
+    return run
 
 
 def even_keys(spark: SparkSession, n: int, most: int = 200_000) -> list[int]:

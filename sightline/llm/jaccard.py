@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import heavy_from, heavy_keys, lookup_join, marked_ids, sheltered, written
+from .common import heavy_from, heavy_keys, lookup_join, marked_ids, release, releasing, sheltered, written
 from .graph import components
 
 _U = np.uint64
@@ -179,7 +179,7 @@ def signatures(rows: DataFrame, order: np.ndarray, node_bits: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["id", "th", "n", "digest", "node", *keys, "bits", "prefix"])
 
     schema = "id long, th long, n long, digest binary, node long, " + "".join(f"{k} long, " for k in keys) + "bits binary, prefix binary"
-    return written(rows.select("id", "th", "text").mapInPandas(sign, schema), "signatures")
+    return written(rows.select("id", "th", "text").mapInPandas(releasing(sign), schema), "signatures")
 
 
 def distinct_sets(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -217,13 +217,14 @@ def shared_prefixes(signed: DataFrame, order: np.ndarray, often: int, buckets: i
                 if node not in held:
                     held[node] = np.frombuffer(data, dtype=_U)
                     size += len(held[node])
-            if size > 1_500_000:
+            if size > 750_000:
                 yield flush()
                 held, size = {}, 0
         if held:
             yield flush()
 
     def meet(b: pd.DataFrame) -> pd.DataFrame:
+        release()
         tokens = np.frombuffer(b"".join(b["tokens"]), dtype=_U)
         nodes = np.frombuffer(b"".join(b["nodes"]), dtype=np.int64)
         at = np.lexsort((nodes, tokens))
@@ -244,7 +245,7 @@ def shared_prefixes(signed: DataFrame, order: np.ndarray, often: int, buckets: i
         inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         return pd.DataFrame({"group": np.repeat(group, count), "node": nodes[np.repeat(start, count) + inner]})
 
-    posted = signed.where("n > 0").select("node", "prefix").mapInPandas(post, "bucket long, tokens binary, nodes binary")
+    posted = signed.where("n > 0").select("node", "prefix").mapInPandas(releasing(post), "bucket long, tokens binary, nodes binary")
     return posted.groupBy("bucket").applyInPandas(meet, "group long, node long")
 
 
@@ -415,9 +416,9 @@ def linked(blocks: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
 
     columns = ["name", "part", "names", "node", "comp", "n", "bits"]
     mapped = blocks.join(nodes.select("node", "n", "bits").hint("merge"), "node").select("key", *columns).repartition(parts, "key").sortWithinPartitions("key")
-    left = written(mapped.mapInPandas(lambda x: _by_key(x, columns, bound), "key long, node long, comp long"), "qualified", small=True)
+    left = written(mapped.mapInPandas(releasing(lambda x: _by_key(x, columns, bound)), "key long, node long, comp long"), "qualified", small=True)
     sets = left.join(full_sets(left, nodes, rows).hint("merge"), "node").select("key", "comp", "hashes").repartition(parts, "key").sortWithinPartitions("key")
-    return written(sets.mapInPandas(lambda x: _by_key(x, ["comp", "hashes"], unite), "a long, b long").distinct(), "links", small=True)
+    return written(sets.mapInPandas(releasing(lambda x: _by_key(x, ["comp", "hashes"], unite)), "a long, b long").distinct(), "links", small=True)
 
 
 def full_sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -502,7 +503,7 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text", order_sa
     order, often = shingle_order(rows, rows.count(), order_sample)
     signed, nodes = distinct_sets(signatures(rows, order, node_bits))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(shuffles, int((nodes.agg(F.sum("n")).first()[0] or 0) // 5 // 2_000_000) + 1)
+    buckets = max(shuffles, int((nodes.agg(F.sum("n")).first()[0] or 0) // 5 // 1_000_000) + 1)
 
     comps = written(components(first_links(nodes, rows, part, tokens)), "components", small=True)
     late = components(last_links(shared_prefixes(signed, order, often, buckets), comps, nodes, rows, part, tokens)).select(F.col("node").alias("component"), F.col("component").alias("_whole"))

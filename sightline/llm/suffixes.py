@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import induced
-from .common import HEAVY_SHARE, even_keys, heavy_keys, lookup_join, marked_ids, release, shared_dir, sheltered, written
+from .common import HEAVY_SHARE, even_keys, heavy_keys, lookup_join, marked_ids, release, releasing, shared_dir, sheltered, written
 from .jaccard import _powers, mix
 
 _U = np.uint64
@@ -123,13 +123,14 @@ def shared_keys(rows: DataFrame, length: int, buckets: int) -> DataFrame:
                         keys = window_keys(raw, length)
                         held[name] = np.unique(keys[runs(keys)[0]])
                         size += len(held[name])
-                if size > 1_000_000 or len(held) == 1 << 16:
+                if size > 500_000 or len(held) == 1 << 16:
                     yield flush()
                     held, size = {}, 0
         if held:
             yield flush()
 
     def meet(b: pd.DataFrame) -> pd.DataFrame:
+        release()
         keys = np.concatenate([from_planes(x) for x in b["keys"]])
         names = [x[i : i + DIGEST] for x in b["names"] for i in range(0, len(x), DIGEST)]
         base = np.cumsum([0, *(len(x) // DIGEST for x in b["names"])])
@@ -150,7 +151,7 @@ def shared_keys(rows: DataFrame, length: int, buckets: int) -> DataFrame:
         cut, end = runs(text)
         return pd.DataFrame({"digest": [names_once[text[s]] for s in cut], "keys": [keys[s:e].tobytes() for s, e in zip(cut, end, strict=True)], "many": [many[s:e].astype(np.int64).tobytes() for s, e in zip(cut, end, strict=True)]})
 
-    posted = rows.select("text").mapInPandas(post, "bucket long, keys binary, texts binary, names binary")
+    posted = rows.select("text").mapInPandas(releasing(post), "bucket long, keys binary, texts binary, names binary")
     met = posted.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "digest binary, keys binary, many binary")
     return written(met.groupBy("digest").agg(F.collect_list(F.struct("keys", "many")).alias("found")), "keys")
 
@@ -235,7 +236,7 @@ def pieces(candidates: DataFrame, length: int, shards: int, buckets: int, hot_fr
         if facts:
             yield flush()
 
-    return candidates.select("id", "digest", "text", "found").mapInPandas(cut, PIECES)
+    return candidates.select("id", "digest", "text", "found").mapInPandas(releasing(cut), PIECES)
 
 
 def sorted_spans(text: list[bytes], doc: np.ndarray, start: np.ndarray, length: int, scratch: induced.Scratch) -> tuple[np.ndarray, np.ndarray]:
@@ -346,6 +347,7 @@ def shard_spans(blocks: DataFrame, length: int, shards: int, buckets: int, folde
         number, docs, tags = numbered(doc, tag)
         number, start, stop = runs_of(number, start, stop - start)
         cut, end = runs(number)
+        release()
         return pd.DataFrame({"id": docs, "tag": [t.tobytes() for t in tags], "spans": [np.stack([start[s:e], stop[s:e]]).tobytes() for s, e in zip(cut, end, strict=True)]})
 
     # as many tasks as shards, so that what a task reads does not grow with the corpus
@@ -359,7 +361,7 @@ def repeated_spans(rows: DataFrame, length: int, shard_bytes: int, memory: int)
     known = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = known.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    buckets = max(shuffles, int((size.bytes or 0) // 13 // 2_000_000) + 1)
+    buckets = max(shuffles, int((size.bytes or 0) // 13 // 1_000_000) + 1)
 
     facts = known.select("id", short_digest(F.col("text")).alias("digest"))
     keys = shared_keys(known, length, buckets)
