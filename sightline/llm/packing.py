@@ -34,6 +34,8 @@ _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Where a byte-level tokenizer cuts texts of plain characters: no id spans a cut.
 CUTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 
+WORD, SPACED = re.compile(f"[{_LETTER}]+"), re.compile(f" [{_LETTER}]+")
+
 
 class Encoder:
     """Ids of a tokenizer file as little-endian unsigned 32-bit bytes.
@@ -58,17 +60,38 @@ class Encoder:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self.cuts or PLAIN.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        known, out = self.known, []
-        for piece in CUTS.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) >= self.most:
-                    known.clear()
-                ids = known[piece] = self.whole(piece)
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_some([text])[0]
+
+    def _joined(self, words: list[str], joint: str) -> dict[str, bytes]:
+        """The ids of each word from those of one text; nothing where the tokenizer cuts that otherwise."""
+        found = self.tokenizer.encode(joint.join(words), add_special_tokens=False)
+        ids, number = np.array(found.ids, dtype="<u4"), np.array(found.word_ids, dtype=np.int64)
+        step = 2 if joint else 1
+        if not len(number) or number[-1] != step * (len(words) - 1):
+            return {}
+        first = np.searchsorted(number, np.arange(0, step * len(words), step))
+        stop = np.searchsorted(number, np.arange(0, step * len(words), step), side="right")
+        return {w: ids[a:b].tobytes() for w, a, b in zip(words, first.tolist(), stop.tolist(), strict=True)}
+
+    def encode_some(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; pieces not known yet go to the tokenizer together."""
+        cut = [None if not self.cuts or PLAIN.search(t) or any(s in t for s in self.special) else CUTS.findall(t) for t in texts]
+        known = self.known
+        there = set().union(*(pieces for pieces in cut if pieces))
+        new = there.difference(known)
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = there
+        # words are asked for in one text, in which it cuts between them: those with a space before follow each other,
+        # those without stand between tabulators
+        spaced, plain = ([p for p in new if f.fullmatch(p)] for f in (SPACED, WORD))
+        for words, joint in ((spaced, ""), (plain, "\t")):
+            for i in range(0, len(words), 10_000):
+                known.update(self._joined(words[i : i + 10_000], joint))
+        rest = [p for p in new if p not in known]
+        for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[piece] = array.array("I", found.ids).tobytes()
+        return [self.whole(t) if pieces is None else b"".join(map(known.__getitem__, pieces)) for t, pieces in zip(texts, cut, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -90,13 +113,22 @@ def pieces(documents: DataFrame, tokenizer: str, key: str, text: str, window: in
     step = 4 * window
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def encoded(keys: list, texts: list[str]) -> Iterator[tuple]:
+            """Keys and ids, of about a million characters at a time."""
+            first, size = 0, 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size >= 1 << 20 or i + 1 == len(texts):
+                    yield from zip(keys[first : i + 1], encode_some(texts[first : i + 1]), strict=True)
+                    first, size = i + 1, 0
+
         block = TaskContext.get().partitionId()
-        encode = encoder(tokenizer).encode
+        encode_some = encoder(tokenizer).encode_some
         seen: dict[int, int] = {}
         for batch in batches:
             out = []
-            for k, text in zip(batch["key"], batch["text"], strict=True):
-                ids = encode(text) + end
+            for k, found in encoded(batch["key"].tolist(), batch["text"].tolist()):
+                ids = found + end
                 n = len(ids) // 4
                 for i in range(0, len(ids), step):
                     part = ids[i : i + step]
