@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: A key counts as heavy from HEAVY_ROWS rows on, or from 1/HEAVY_SHARE of all rows where that is less: what a task gathers
 #: of a light key is bounded whatever the input, and of n rows there are at most HEAVY_SHARE + n / HEAVY_ROWS heavy keys.
 HEAVY_SHARE, HEAVY_ROWS = 400, 1_000_000
+#: Spark's own setting for shuffle files of finished queries.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes that a Python worker is handed at once.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -44,12 +46,17 @@ def in_waves(df: DataFrame, waves: int = 8) -> DataFrame:
 def written(df: DataFrame, name: str = "table", small: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there and a lost executor costs nothing written.
 
-    Eight waves of tasks write at most, or one where rows are small, a few numbers each: not a file for each partition.
+    Its shuffle files go when it is written, not when the driver happens to collect garbage. Eight waves of tasks write at most, or one where rows are small, a few numbers each: not a file for each partition.
     """
     spark = df.sparkSession
     df = in_waves(df, 1 if small else 8)
     path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
