@@ -32,10 +32,7 @@ PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\u017f\u2013-\u2026\u20ac]")
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Where a byte-level tokenizer cuts texts of plain characters: no id spans a cut.
-CUTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
-
-WORD, SPACED = re.compile(f"[{_LETTER}]+"), re.compile(f" [{_LETTER}]+")
-
+CUTS = re.compile(rf" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_LETTER}{_NUMBER}]+| ?[{_NUMBER}]+|\s+(?!\S)|\s+")
 
 class Encoder:
     """Ids of a tokenizer file as little-endian unsigned 32-bit bytes.
@@ -53,6 +50,13 @@ class Encoder:
             made = json.load(f)
         cutter = made.get("pre_tokenizer") or {}
         self.cuts = made.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)  # a character of a byte-level token is a byte
+        self.sizes[list(vocabulary.values())] = [len(k) for k in vocabulary]
+        # new words gain nothing from the tokenizer's own memory of words
+        self.fresh = Tokenizer.from_file(path) if self.cuts else self.tokenizer
+        if self.cuts and hasattr(self.fresh.model, "_resize_cache"):
+            self.fresh.model._resize_cache(0)
         self.most = most
         self.known: dict[str, bytes] = {}
 
@@ -63,15 +67,17 @@ class Encoder:
         return self.encode_some([text])[0]
 
     def _joined(self, words: list[str], joint: str) -> dict[str, bytes]:
-        """The ids of each word from those of one text; nothing where the tokenizer cuts that otherwise."""
-        found = self.tokenizer.encode(joint.join(words), add_special_tokens=False)
-        ids, number = np.array(found.ids, dtype="<u4"), np.array(found.word_ids, dtype=np.int64)
-        step = 2 if joint else 1
-        if not len(number) or number[-1] != step * (len(words) - 1):
+        """The ids of each word from those of one text, told apart by bytes; nothing where the tokenizer cuts that otherwise."""
+        (found,) = self.fresh.encode_batch_fast([joint.join(words)], add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4")
+        reach = np.append(0, np.cumsum(self.sizes[ids]))
+        sizes = np.array([len(w.encode()) for w in words])
+        stop = np.cumsum(sizes + len(joint)) - len(joint)
+        a, b = np.searchsorted(reach, stop - sizes), np.searchsorted(reach, stop)
+        if reach[-1] != stop[-1] or (reach[a] != stop - sizes).any() or (reach[b] != stop).any():
             return {}
-        first = np.searchsorted(number, np.arange(0, step * len(words), step))
-        stop = np.searchsorted(number, np.arange(0, step * len(words), step), side="right")
-        return {w: ids[a:b].tobytes() for w, a, b in zip(words, first.tolist(), stop.tolist(), strict=True)}
+        data = ids.tobytes()
+        return {w: data[x:y] for w, x, y in zip(words, (4 * a).tolist(), (4 * b).tolist(), strict=True)}
 
     def encode_some(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; pieces not known yet go to the tokenizer together."""
@@ -79,12 +85,11 @@ class Encoder:
         known = self.known
         there = set().union(*(pieces for pieces in cut if pieces))
         new = there.difference(known)
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = there
-        # words are asked for in one text, in which it cuts between them: those with a space before follow each other,
-        # those without stand between tabulators
-        spaced, plain = ([p for p in new if f.fullmatch(p)] for f in (SPACED, WORD))
+        if len(known) + len(new) > self.most:  # the words of these texts stay, and with them the frequent ones
+            self.known = known = {p: known[p] for p in there if p in known}
+        # pieces are asked for in one text, in which it cuts between them: those with a space before follow each other,
+        # those without stand between tabulators; white space alone is asked for by itself
+        spaced, plain = [p for p in new if p[0] == " " and p[1:2].strip()], [p for p in new if p[0] not in " \n\t\r"]
         for words, joint in ((spaced, ""), (plain, "\t")):
             for i in range(0, len(words), 10_000):
                 known.update(self._joined(words[i : i + 10_000], joint))
