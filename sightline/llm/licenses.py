@@ -22,7 +22,7 @@ from .common import sheltered
 
 #: Characters that separate words, the base phrases and their labels.
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
-CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # a word before A-Z are lower-cased
+CASED_SEPARATORS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # what separates words before A-Z are lower-cased
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 #: label, SPDX identifier as words, name as a pattern over normalised words, keywords parted by |: each alternative of the name has one.
@@ -351,7 +351,8 @@ def _rules_literal() -> Column:
 
 def _spans(norm: Column, rule: Column) -> Column:
     """Every match of one rule as a struct; starts follow from the lengths of the pieces between the matches."""
-    found, gaps = F.regexp_extract_all(norm, rule["pattern"], F.lit(0)), F.split(norm, rule["pattern"], -1)
+    found = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
+    gaps = F.when(F.size(found) > 0, F.split(norm, rule["pattern"], -1)).otherwise(F.array().cast("array<string>"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
@@ -400,10 +401,15 @@ def scan(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
     """
     sheltered(documents, text, *keep)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = documents.select(*keep, body.alias("_body"), _may_match(F.lower(body)).alias("_gate"))
-    rows = rows.select(*keep, F.regexp_count("_body", F.lit(CASED_WORD)).cast("long").alias("n_words"), F.when(F.col("_gate"), F.translate("_body", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).alias("_lower"))
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace("_lower", f"[{SEPARATORS}]+", " "), "^ | $", ""), F.lit(" "))
-    rows = rows.select(*keep, "n_words", spaced.alias("_norm"))
+    # a column of its own: within the conditions it would be computed again for every word
+    rows = documents.select(*keep, body.alias("_body"), F.lower(body).alias("_low"))
+    rows = rows.select(*keep, "_body", _may_match(F.col("_low")).alias("_gate"))
+    # every run of separators becomes one space; then spaces count words
+    rows = rows.select(*keep, "_gate", F.trim(F.regexp_replace("_body", f"[{CASED_SEPARATORS}]+", " ")).alias("_words"))
+    n_words = F.when(F.col("_words") == "", F.lit(0)).otherwise(F.length("_words") - F.length(F.replace("_words", F.lit(" "), F.lit(""))) + 1)
+    norm = F.concat(F.lit(" "), F.translate("_words", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" "))
+    norm = F.when(F.col("_words") == "", F.lit("  ")).otherwise(norm)
+    rows = rows.select(*keep, n_words.cast("long").alias("n_words"), F.when(F.col("_gate"), norm).alias("_norm"))
     # words doubly spaced: each owns a space on either side, so that neighbouring places never share a character
     rows = rows.withColumn("_wide", F.concat(F.lit(" "), F.replace(F.substring("_norm", 2, 2147483647), F.lit(" "), F.lit("  "))))
     rows = rows.withColumn("_wide", F.expr("substring(_wide, 1, length(_wide) - 1)"))
@@ -423,7 +429,10 @@ def scan(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
     total = places[0]
     for p in places[1:]:
         total = total + p
-    candidates = F.filter(_rules_literal(), lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("_norm"), k)))
+    # each keyword is looked for once, whatever the number of its rules
+    there = F.filter(F.array(*map(F.lit, sorted({f" {k}" for _, _, some, *_ in rules() for k in some.split("|")}))), lambda k: F.contains(F.col("_norm"), k))
+    rows = rows.withColumn("_there", F.when(F.col("_norm").isNotNull(), there))
+    candidates = F.filter(_rules_literal(), lambda r: F.arrays_overlap(r["keywords"], F.col("_there")))
     spans = F.flatten(F.transform(candidates, lambda r: _spans(F.col("_norm"), r)))
     rows = rows.select(
         *keep, "n_words",
