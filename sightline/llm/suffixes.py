@@ -368,7 +368,9 @@ def repeated_spans(rows: DataFrame, length: int, shard_bytes: int, memory: int)
     reps = facts.groupBy("digest").agg(F.min("id").alias("rep"))
     wanted = keys.join(reps, "digest").select(F.col("rep").alias("id"), "digest", "found")
     repeated = duplicated(known)
-    texts = filtered_ids(known, written(wanted.select("id"), "ids", small=True)).join(wanted.hint("shuffle_hash"), ["id", "digest"])
+    # they meet by the digest alone, by which the keys are dealt already; the ids are compared then
+    named = wanted.withColumnRenamed("id", "_rep").hint("shuffle_hash")
+    texts = filtered_ids(known, written(wanted.select("id"), "ids", small=True)).join(named, "digest").where("id <= _rep AND id >= _rep").drop("_rep")
     # where an id stands on several rows with one text, one of them is enough
     candidates = texts.groupBy("id", "digest").agg(F.first("text").alias("text"), F.first("found").alias("found")) if repeated else texts
     shards = max(shuffles, int((size.bytes or 0) // shard_bytes) + 1)
