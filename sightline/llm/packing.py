@@ -171,13 +171,22 @@ def repeat_counts(rows: np.ndarray, histogram: np.ndarray, ease: float = 1e-6) -
     total = float(left.sum())
     used = (rows > 0).astype(float)
     norm = np.array([sum(np.bincount(r[r > 0]) ** 2) for r in rows], dtype=float)
+    # the rows that hold each length: a step changes the gains of those alone
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")
+    holder, cut = order // rows.shape[1], np.searchsorted(flat[order], np.arange(len(left) + 1))
+    step = np.maximum((left[rows] * used).sum(1) / norm, -x)
+    gain = step * step * norm
     while True:
-        step = np.maximum((left[rows] * used).sum(1) / norm, -x)
-        j = int(np.argmax(step * step * norm))
+        j = int(np.argmax(gain))
         if abs(step[j]) < max(0.5, ease * total):
             break
         x[j] += step[j]
-        np.subtract.at(left, rows[j][rows[j] > 0], step[j])
+        lengths = rows[j][rows[j] > 0]
+        np.subtract.at(left, lengths, step[j])
+        at = np.concatenate([holder[cut[n] : cut[n + 1]] for n in set(lengths.tolist())])
+        step[at] = np.maximum((left[rows[at]] * used[at]).sum(1) / norm[at], -x[at])
+        gain[at] = step[at] * step[at] * norm[at]
     return x
 
 
