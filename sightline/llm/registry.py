@@ -6,7 +6,7 @@ import importlib
 
 import corpus_pipeline
 
-_MODULES = ("warc", "suffixes", "quality", "packing", "urls", "neighbours", "decontaminate", "jaccard", "licenses", "tokens")
+_MODULES = ("warc", "suffixes", "quality", "packing", "urls", "neighbours", "decontaminate", "jaccard", "licenses", "tokens", "resampling", "mixing")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
