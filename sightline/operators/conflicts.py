@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..sources.shared import written
 from .config import EGO_CLASSES, FRAME_S, REASONS, sensor_with
 from .egos import vehicles
 from .frames import in_window
-from .quantiles import with_quantiles
+from .quantiles import summarised
 from .visibility import classified, visibility
 
 
@@ -40,7 +41,7 @@ def partner_status(tracks: DataFrame, wanted: DataFrame, fovs: Sequence[float] =
 
 def ttc_rows(tracks: DataFrame, near_misses: DataFrame, fovs: Sequence[float] = (120.0,), heading: str = "yaw") -> DataFrame:
     """What the ego sees of its partner in every event frame, from both sides where both are vehicles."""
-    rows = partner_status(tracks, perspectives(near_misses), fovs, heading)
+    rows = partner_status(tracks, written(perspectives(near_misses), "perspectives"), fovs, heading)
     pair = F.struct(F.least("ego_track_id", "partner_id").alias("a"), F.greatest("ego_track_id", "partner_id").alias("b"))
     return rows.withColumn("pair", pair)
 
@@ -52,13 +53,14 @@ def _shares(reason: str = "reason") -> list[Column]:
 
 def ttc_summary(rows: DataFrame) -> DataFrame:
     """One row per field of view: rates over event frames, and over pairs at their closest frame and at any frame."""
-    frames = rows.groupBy("fov_deg").agg(
-        F.count("*").alias("n_event_frames"), F.count_distinct("pair").alias("n_unique_pairs"), F.avg(F.col("visible").cast("double")).alias("partner_visible_rate"), *_shares(),
-        F.avg((F.col("partner_bearing_abs_deg") > 60).cast("double")).alias("frac_partner_outside_120fov"),
-        F.avg((F.col("partner_bearing_abs_deg") > 120).cast("double")).alias("frac_partner_behind_ego"),
-    )
-    frames = with_quantiles(frames, rows, ["fov_deg"], {"partner_range": {"median_partner_range_m": 0.5}, "partner_bearing_abs_deg": {"median_partner_bearing_deg": 0.5}})
-    pairs = per_pair(rows).groupBy("fov_deg").agg(F.avg(F.col("closest").cast("double")).alias("partner_visible_at_closest_frame"), F.avg(F.col("ever").cast("double")).alias("partner_visible_ever_in_event"))
+    rows = written(rows.select("fov_deg", "pair", "visible", "reason", "partner_range", "partner_bearing_abs_deg", "frame_idx", "ego_track_id"), "partners")
+    bearing = F.col("partner_bearing_abs_deg")
+    rates = [
+        F.count("*").alias("n_event_frames"), F.avg(F.col("visible").cast("double")).alias("partner_visible_rate"), *_shares(),
+        F.avg((bearing > 60).cast("double")).alias("frac_partner_outside_120fov"), F.avg((bearing > 120).cast("double")).alias("frac_partner_behind_ego"),
+    ]
+    frames = summarised(rows, ["fov_deg"], rates, {"partner_range": {"median_partner_range_m": 0.5}, "partner_bearing_abs_deg": {"median_partner_bearing_deg": 0.5}})
+    pairs = per_pair(rows).groupBy("fov_deg").agg(F.count("*").alias("n_unique_pairs"), F.avg(F.col("closest").cast("double")).alias("partner_visible_at_closest_frame"), F.avg(F.col("ever").cast("double")).alias("partner_visible_ever_in_event"))
     return frames.join(pairs, "fov_deg")
 
 
@@ -115,9 +117,10 @@ def pet_conflicts(tracks: DataFrame, crossing_m: float = 2.0, pet_s: float = 5.0
 
 def pet_rows(tracks: DataFrame, conflicts: DataFrame, fovs: Sequence[float] = (120.0,), heading: str = "yaw") -> DataFrame:
     """What the ego sees of its partner at the instant of each conflict; mined once, seen at every field of view."""
-    return partner_status(tracks, conflicts, fovs, heading)
+    return partner_status(tracks, written(conflicts, "conflicts", small=True), fovs, heading)
 
 
 def pet_summary(rows: DataFrame) -> DataFrame:
-    per = rows.groupBy("fov_deg").agg(F.count("*").alias("n_conflict_pairs"), F.avg(F.col("visible").cast("double")).alias("partner_visible_rate"), *_shares())
-    return with_quantiles(per, rows, ["fov_deg"], {"pet_s": {"median_pet_s": 0.5}, "min_sep_m": {"median_min_sep_m": 0.5}})
+    rows = written(rows.select("fov_deg", "visible", "reason", "pet_s", "min_sep_m"), "partners", small=True)
+    rates = [F.count("*").alias("n_conflict_pairs"), F.avg(F.col("visible").cast("double")).alias("partner_visible_rate"), *_shares()]
+    return summarised(rows, ["fov_deg"], rates, {"pet_s": {"median_pet_s": 0.5}, "min_sep_m": {"median_min_sep_m": 0.5}})

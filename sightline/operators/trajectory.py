@@ -2,32 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..sources.shared import written
 from .config import FRAME_S
-from .quantiles import with_quantiles
+from .quantiles import summarised
 
+#: Frames of a slab: a task sorts a track's rows of one slab, and borders of slabs carry over. An hour at 10 Hz.
+SLAB = 36_000
 
-def speeds(tracks: DataFrame, dt: float = FRAME_S) -> DataFrame:
-    """Adds speed_mps from each row's previous frame of its track; null for the first and for repeated frames."""
-    w = Window.partitionBy("track_id").orderBy("frame_idx")
-    step = lambda c: F.col(c) - F.lag(c).over(w)
-    return tracks.withColumn("speed_mps", F.try_divide(g.distance(step("bbox_center_x"), step("bbox_center_y")), step("frame_idx") * dt))
+
+def slab_of(frame: Column, slab: int = SLAB) -> Column:
+    return F.floor(frame / slab)
+
+
+def speeds(tracks: DataFrame, dt: float = FRAME_S, slab: int = SLAB) -> DataFrame:
+    """Adds speed_mps from each row's previous frame of its track; null for the first and for repeated frames.
+
+    Rows are put in order by track and slab; each slab's first row takes the last one of the slab before from a table with one row
+    for each track and slab. Rows of one frame of a track are ordered by place.
+    """
+    place = F.struct("frame_idx", "bbox_center_x", "bbox_center_y")
+    rows = tracks.withColumn("_slab", slab_of(F.col("frame_idx"), slab))
+    ends = rows.groupBy("track_id", "_slab").agg(F.max(place).alias("_end"))
+    carried = ends.select("track_id", "_slab", F.lag("_end").over(Window.partitionBy("track_id").orderBy("_slab")).alias("_carried"))
+    w = Window.partitionBy("track_id", "_slab").orderBy("frame_idx", "bbox_center_x", "bbox_center_y")
+    met = rows.join(carried, ["track_id", "_slab"], "left").withColumn("_before", F.coalesce(F.lag(place).over(w), F.col("_carried")))
+    step = lambda c: F.col(c) - F.col("_before")[c]
+    speed = F.try_divide(g.distance(step("bbox_center_x"), step("bbox_center_y")), step("frame_idx") * dt)
+    return met.select(*tracks.columns, speed.alias("speed_mps"))
 
 
 def speed_summary(with_speeds: DataFrame) -> DataFrame:
     """Per class with any speed: mean, median, sample deviation, 5th and 95th percentiles (interpolated)."""
     s = F.col("speed_mps")
-    per = with_speeds.where(s.isNotNull()).groupBy("class_name").agg(F.avg(s).alias("mean"), F.stddev_samp(s).alias("std"))
-    return with_quantiles(per, with_speeds, ["class_name"], {"speed_mps": {"median": 0.5, "p05": 0.05, "p95": 0.95}})
+    rows = written(with_speeds.where(s.isNotNull()).select("class_name", s), "speeds")
+    return summarised(rows, ["class_name"], [F.avg(s).alias("mean"), F.stddev_samp(s).alias("std")], {"speed_mps": {"median": 0.5, "p05": 0.05, "p95": 0.95}})
 
 
 def dimension_summary(tracks: DataFrame) -> DataFrame:
-    long = tracks.unpivot(["class_name"], ["bbox_dx", "bbox_dy", "bbox_dz"], "dimension", "value")
-    per = long.groupBy("class_name", "dimension").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    return with_quantiles(per, long, ["class_name", "dimension"], {"value": {"median": 0.5}})
+    long = written(tracks.unpivot(["class_name"], ["bbox_dx", "bbox_dy", "bbox_dz"], "dimension", "value"), "dimensions")
+    return summarised(long, ["class_name", "dimension"], [F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")], {"value": {"median": 0.5}})
 
 
 def class_summary(tracks: DataFrame) -> DataFrame:
@@ -38,9 +55,8 @@ def class_summary(tracks: DataFrame) -> DataFrame:
 def track_lengths(tracks: DataFrame) -> DataFrame:
     """Per class: statistics of frames per track."""
     n = F.col("n").cast("double")
-    lengths = tracks.groupBy("class_name", "track_id").agg(F.count("*").alias("n"))
-    per = lengths.groupBy("class_name").agg(F.avg(n).alias("mean"), F.stddev_samp(n).alias("std"), F.min("n").alias("min"), F.max("n").alias("max"))
-    return with_quantiles(per, lengths, ["class_name"], {"n": {"median": 0.5}})
+    lengths = written(tracks.groupBy("class_name", "track_id").agg(F.count("*").alias("n")).select("class_name", "n"), "lengths")
+    return summarised(lengths, ["class_name"], [F.avg(n).alias("mean"), F.stddev_samp(n).alias("std"), F.min("n").alias("min"), F.max("n").alias("max")], {"n": {"median": 0.5}})
 
 
 def arrival_rates(tracks: DataFrame, dt: float = FRAME_S) -> DataFrame:
@@ -65,14 +81,12 @@ def pair_types(near_misses: DataFrame) -> DataFrame:
 
 def ttc_stats(near_misses: DataFrame) -> DataFrame:
     c = F.col("ttc")
-    whole = near_misses.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"))
-    return with_quantiles(whole, near_misses, [], {"ttc": {"median": 0.5, "p05": 0.05, "p95": 0.95}})
+    return summarised(written(near_misses.select(c), "ttc"), [], [F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min")], {"ttc": {"median": 0.5, "p05": 0.05, "p95": 0.95}})
 
 
 def separation_stats(near_misses: DataFrame) -> DataFrame:
     c = F.col("min_separation")
-    whole = near_misses.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"))
-    return with_quantiles(whole, near_misses, [], {"min_separation": {"median": 0.5}})
+    return summarised(written(near_misses.select(c), "separation"), [], [F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min")], {"min_separation": {"median": 0.5}})
 
 
 def following(tracks: DataFrame, range_m: float = 15.0, cone_deg: float = 30.0, least_m: float = 0.5, follower: str = "car", leader: str = "truck") -> DataFrame:
@@ -90,14 +104,26 @@ def following(tracks: DataFrame, range_m: float = 15.0, cone_deg: float = 30.0,
     return tracks.where(F.col("class_name") == follower).join(leaders, "frame_idx").where(F.exists("_l", ahead)).drop("_l")
 
 
-def episodes(rows: DataFrame, dt: float = FRAME_S) -> DataFrame:
-    """Runs of consecutive frames per track: (track_id, first_frame, n_frames, seconds)."""
-    w = Window.partitionBy("track_id").orderBy("frame_idx")
-    island = rows.select("track_id", "frame_idx").distinct().withColumn("island", F.col("frame_idx") - F.row_number().over(w))
-    return island.groupBy("track_id", "island").agg(F.min("frame_idx").alias("first_frame"), F.count("*").alias("n_frames")).withColumn("seconds", F.col("n_frames") * dt).drop("island")
+def episodes(rows: DataFrame, dt: float = FRAME_S, slab: int = SLAB) -> DataFrame:
+    """Runs of consecutive frames per track: (track_id, first_frame, n_frames, seconds). Repeated frames count once.
+
+    Runs are found within slabs; only those that reach a border of their slab, two for each track and slab at most, meet those
+    of the next one.
+    """
+    w = Window.partitionBy("track_id", "_slab").orderBy("frame_idx")
+    island = rows.select("track_id", "frame_idx", slab_of(F.col("frame_idx"), slab).alias("_slab")).withColumn("_island", F.col("frame_idx") - F.dense_rank().over(w))
+    runs = island.groupBy("track_id", "_slab", "_island").agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("_last")).withColumn("_from", F.col("_slab") * slab)
+    at_border = (F.col("first_frame") == F.col("_from")) | (F.col("_last") == F.col("_from") + slab - 1)
+    w = Window.partitionBy("track_id").orderBy("first_frame")
+    starts = F.coalesce(F.col("first_frame") != F.lag("_last").over(w) + 1, F.lit(True))
+    joined = runs.where(at_border).withColumn("_run", starts).withColumn("_run", F.sum(F.col("_run").cast("int")).over(w)).groupBy("track_id", "_run").agg(F.min("first_frame").alias("first_frame"), F.max("_last").alias("_last"))
+    whole = runs.where(~at_border).select("track_id", "first_frame", "_last").unionByName(joined.drop("_run"))
+    n = F.col("_last") - F.col("first_frame") + 1
+    return whole.select("track_id", "first_frame", n.alias("n_frames"), (n * dt).alias("seconds"))
 
 
 def episode_stats(runs: DataFrame) -> DataFrame:
-    s = F.col("seconds")
-    whole = runs.agg(F.count("*").alias("n"), F.avg(s).alias("mean"), F.max(s).alias("max"), F.avg((F.col("n_frames") >= 20).cast("double")).alias("share_2s"), F.avg((F.col("n_frames") >= 50).cast("double")).alias("share_5s"))
-    return with_quantiles(whole, runs, [], {"seconds": {"median": 0.5, "p90": 0.9}})
+    s, n = F.col("seconds"), F.col("n_frames")
+    rows = written(runs.select("seconds", "n_frames"), "episodes")
+    totals = [F.count("*").alias("n"), F.avg(s).alias("mean"), F.max(s).alias("max"), F.avg((n >= 20).cast("double")).alias("share_2s"), F.avg((n >= 50).cast("double")).alias("share_5s")]
+    return summarised(rows, [], totals, {"seconds": {"median": 0.5, "p90": 0.9}})

@@ -35,12 +35,14 @@ def height_curve(seen: DataFrame, heights: Sequence[float] = SENSOR_HEIGHTS, cla
     return rows.groupBy("sensor_height_m").agg(F.avg((F.col("visible") | again).cast("double")).alias("visibility"))
 
 
-def both_views(narrow: DataFrame, wide: DataFrame, tracks: DataFrame, egos: DataFrame) -> DataFrame:
-    """(frame_idx, ego_id, track_id, score, v120, v360) for every object and ego; unseen where a view has no row."""
-    v = lambda s, name: s.select("frame_idx", "ego_id", "track_id", F.col("visible").alias(name))
+def both_views(seen: DataFrame, tracks: DataFrame, egos: DataFrame, fovs: tuple[float, float] = (120.0, 360.0)) -> DataFrame:
+    """(frame_idx, ego_id, track_id, score, v120, v360) for every object and ego; unseen where a view has no row.
+
+    seen holds both fields of view, all rows or the visible ones alone; it is grouped and joined once.
+    """
+    views = scores_of_views(seen.where("visible"), fovs).drop("score")
     scene = tracks.select("frame_idx", "track_id", "score").crossJoin(few(egos.select("ego_id")))
-    met = scene.join(v(narrow, "v120"), ["frame_idx", "ego_id", "track_id"], "left").join(v(wide, "v360"), ["frame_idx", "ego_id", "track_id"], "left")
-    return met.na.fill(False, ["v120", "v360"])
+    return scene.join(views, ["frame_idx", "ego_id", "track_id"], "left").na.fill(False, ["v120", "v360"])
 
 
 def scores_of_views(seen: DataFrame, fovs: tuple[float, float] = (120.0, 360.0)) -> DataFrame:

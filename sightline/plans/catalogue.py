@@ -341,9 +341,7 @@ def confidence_grid(spark, sf_dir):
 
 @query
 def confidence_joined(spark, sf_dir):
-    tracks, grid = fixture.tracks(spark, sf_dir), egos.grid(spark)
-    narrow, wide = (seen(spark, sf_dir, (fov,)).where("visible") for fov in (120.0, 360.0))
-    return whatif.both_views(narrow, wide, tracks, grid)
+    return whatif.both_views(seen(spark, sf_dir, (120.0, 360.0)), fixture.tracks(spark, sf_dir), egos.grid(spark))
 
 
 @query

@@ -257,7 +257,7 @@ ORACLES["sweep_record"] = query(
     *OBS, nm_cte("s", "m"), CLASS_JSON,
 )
 ORACLES["confidence_joined"] = query(
-    "SELECT t.frame_idx, e.ego_id::BIGINT AS ego_id, t.track_id, round(t.score, 6) AS score, coalesce(a.visible, FALSE) AS v120, coalesce(b.visible, FALSE) AS v360 FROM tracks AS t CROSS JOIN egos AS e LEFT JOIN (SELECT * FROM s WHERE fov_deg = 120) AS a USING (frame_idx, ego_id, track_id) LEFT JOIN (SELECT * FROM s WHERE fov_deg = 360) AS b USING (frame_idx, ego_id, track_id)",
+    "SELECT t.frame_idx, e.ego_id::BIGINT AS ego_id, t.track_id, round(t.score, 6) AS score, coalesce(v.v120, FALSE) AS v120, coalesce(v.v360, FALSE) AS v360 FROM tracks AS t CROSS JOIN egos AS e LEFT JOIN (SELECT frame_idx, ego_id, track_id, bool_or(fov_deg = 120) AS v120, bool_or(fov_deg = 360) AS v360 FROM s WHERE visible GROUP BY 1, 2, 3) AS v USING (frame_idx, ego_id, track_id)",
     *BOTH,
 )
 ORACLES["near_miss_figure"] = query(

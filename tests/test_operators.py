@@ -111,9 +111,8 @@ def test_quantiles_against_numpy(spark):
     rows = [(rng.choice(("a", "b", None)), rng.choice((rng.random(), float(rng.randint(0, 3)), None))) for _ in range(3000)] + [("one", 5.0), ("none", None), ("two", 1.0), ("two", 2.0)]
     df = spark.createDataFrame(rows, "k string, v double").withColumn("w", -F.col("v"))
     shares = {"q0": 0.0, "q5": 0.05, "q50": 0.5, "q95": 0.95, "q100": 1.0}
-    per = df.groupBy("k").agg(F.count("v").alias("n"))
-    for slices in (4, 256):
-        got = quantiles.with_quantiles(per, df, ["k"], {"v": shares, "w": {"w10": 0.1}}, slices).collect()
+    for direct in (0, 10_000):
+        got = quantiles.summarised(df, ["k"], [F.count("v").alias("n")], {"v": shares, "w": {"w10": 0.1}}, direct).collect()
         assert len(got) == 6
         for r in got:
             v = [x for k, x in rows if k == r.k and x is not None]
@@ -121,8 +120,21 @@ def test_quantiles_against_numpy(spark):
             for name, q in shares.items():
                 assert r[name] == (pytest.approx(np.quantile(v, q), abs=1e-12) if v else None)
             assert r.w10 == (pytest.approx(-np.quantile(v, 0.9), abs=1e-12) if v else None)
-    (r,) = quantiles.with_quantiles(df.agg(F.count("*").alias("n")), df, [], {"v": {"m": 0.5}}).collect()
-    assert r.m == pytest.approx(np.median([v for _, v in rows if v is not None]))
+        (r,) = quantiles.summarised(df, [], [F.count("*").alias("n")], {"v": {"m": 0.5}}, direct).collect()
+        assert r.m == pytest.approx(np.median([v for _, v in rows if v is not None]))
+
+
+def test_long_tracks_by_slabs(spark):
+    """Speeds and episodes do not depend on the slabs, whatever stands at their borders."""
+    rng = random.Random(11)
+    rows = [(t, f, rng.random(), rng.random()) for t in range(4) for f in range(-70, 3000) if t == 0 or rng.random() > (0.02, 0.3, 0.9)[t - 1]]
+    rows += [r[:2] + (0.5, 0.5) for r in rows[::17]]
+    df = spark.createDataFrame(rows, "track_id long, frame_idx long, bbox_center_x double, bbox_center_y double")
+    whole, runs = (sorted(map(tuple, x.collect()), key=str) for x in (trajectory.speeds(df), trajectory.episodes(df)))
+    assert (0, -70, 3070, pytest.approx(307.0)) in runs and sum(r[2] for r in runs) == len({r[:2] for r in rows})
+    for slab in (1, 7, 100, 1024):
+        assert sorted(map(tuple, trajectory.speeds(df, slab=slab).collect()), key=str) == whole
+        assert sorted(map(tuple, trajectory.episodes(df, slab=slab).collect()), key=str) == runs
 
 
 def test_crossings_of_parked_and_moving_objects(spark):
