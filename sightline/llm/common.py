@@ -1,65 +1,22 @@
-"""Shared plumbing: the shared folder, written intermediate tables, and heavy keys."""
+"""Shared plumbing: heavy keys, marked ids and what Python workers are handed; written tables come from sources.shared."""
 
 from __future__ import annotations
 
 import functools
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import in_waves, shared_dir, written  # noqa: F401
+
 #: A key counts as heavy from HEAVY_ROWS rows on, or from 1/HEAVY_SHARE of all rows where that is less: what a task gathers
 #: of a light key is bounded whatever the input, and of n rows there are at most HEAVY_SHARE + n / HEAVY_ROWS heavy keys.
 HEAVY_SHARE, HEAVY_ROWS = 400, 1_000_000
-#: Spark's own setting for shuffle files of finished queries.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes that a Python worker is handed at once.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where that is unset and all runs in this process, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            base = current.get()
-        elif not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="sightline-")
-            spark.sparkContext.setCheckpointDir(base)
-    if ":" not in base:  # a path of the default file system
-        path = spark._jvm.org.apache.hadoop.fs.Path(base)
-        base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return f"{base.rstrip('/')}/sightline-{uuid.uuid4().hex}"
-
-
-def in_waves(df: DataFrame, waves: int = 8) -> DataFrame:
-    """df in at most so many partitions for each core of the cluster."""
-    return df.coalesce(waves * df.sparkSession.sparkContext.defaultParallelism)
-
-
-def written(df: DataFrame, name: str = "table", small: bool = False) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and a lost executor costs nothing written.
-
-    Its shuffle files go when it is written, not when the driver happens to collect garbage. Eight waves of tasks write at most, or one where rows are small, a few numbers each: not a file for each partition.
-    """
-    spark = df.sparkSession
-    df = in_waves(df, 1 if small else 8)
-    path = f"{shared_dir(spark)}/{name}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def heavy_from(total: int | Column) -> Column:
     """From how many rows on a key of a table with `total` rows is heavy."""
     total = total if isinstance(total, Column) else F.lit(total)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sheltered, written
+from .common import in_waves, sheltered, written
 from .jaccard import _MULTIPLIERS, _powers, mix
 
 _U = np.uint64
@@ -300,7 +300,7 @@ def latent_basis(documents: DataFrame, text: str, features: np.ndarray, weight:
         return pd.DataFrame({"stripe": b["stripe"].iloc[:1], "z": [z.astype(np.float32).tobytes()]})
 
     # as many partial sketches as two waves of tasks, whatever the number of input splits
-    texts = documents.select(F.col(text).cast("string").alias("text")).coalesce(2 * documents.sparkSession.sparkContext.defaultParallelism)
+    texts = in_waves(documents.select(F.col(text).cast("string").alias("text")), 2)
     parts = texts.mapInPandas(sketch, "stripe long, z binary").groupBy("stripe").applyInPandas(total, "stripe long, z binary").collect()
     z = np.zeros((len(features), k))
     for r in parts:

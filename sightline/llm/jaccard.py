@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import heavy_from, heavy_keys, lookup_join, marked_ids, release, releasing, sheltered, written
+from .common import heavy_from, heavy_keys, in_waves, lookup_join, marked_ids, release, releasing, sheltered, written
 from .graph import components
 
 _U = np.uint64
@@ -140,7 +140,7 @@ def shingle_order(rows: DataFrame, total: int, sample: int) -> tuple[np.ndarray,
         return pd.DataFrame({"stripe": b["stripe"].iloc[:1], "counts": [_level(counts).tobytes()]})
 
     chosen = rows.where(F.pmod(F.xxhash64("id", "th"), F.lit(max(total, 1))) < sample).select("text")
-    chosen = chosen.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    chosen = in_waves(chosen, 2)
     order = np.zeros(SLOTS, dtype=np.uint8)
     for r in chosen.mapInPandas(count, "stripe long, counts binary").groupBy("stripe").applyInPandas(add, "stripe long, counts binary").collect():
         order[r.stripe : r.stripe + STRIPE] = np.frombuffer(r.counts, dtype=np.uint8)

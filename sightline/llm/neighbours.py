@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import sheltered, written
+from .common import in_waves, sheltered, written
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -169,7 +169,7 @@ def true_neighbours(rows: DataFrame, trials: np.ndarray, own: np.ndarray, k: int
     def merge(b: pd.DataFrame) -> pd.DataFrame:
         return b.nlargest(k, "score")[["trial", "v"]]
 
-    found = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism).mapInPandas(best, "trial long, score double, v binary")
+    found = in_waves(rows, 2).mapInPandas(best, "trial long, score double, v binary")
     out = found.groupBy("trial").applyInPandas(merge, "trial long, v binary").collect()
     return np.array([r.trial for r in out], dtype=np.int64), np.array([np.frombuffer(r.v, dtype=np.float64) for r in out]).reshape(len(out), -1)
 
