@@ -38,11 +38,18 @@ def duck_ctes() -> str:
     return f"helpers AS ({_HELPERS.format(div='//')}), tracks AS ({_TRACKS}), nm_raw AS ({_NEAR_MISSES}), nm AS (SELECT * REPLACE (replace(lower(class_a), 'bike', 'bicycle') AS class_a, replace(lower(class_b), 'bike', 'bicycle') AS class_b) FROM nm_raw)"
 
 
+#: Events are dealt to frames in order.
+OBJECTS_PER_FRAME = 12
+
+
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks_of(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def tracks_of(spark: SparkSession, events: DataFrame) -> DataFrame:
     from ..sources.tables import tracks as usable
 
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
-    helpers = _sql(spark, _HELPERS.format(div="div"), events=events)
+    helpers = _sql(spark, _HELPERS.format(div="div"), events=events.select("event_id"))
     return usable(_sql(spark, _TRACKS, helpers=helpers))
 
 

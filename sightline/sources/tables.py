@@ -79,7 +79,12 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.md5("content").alias("md5"))
 
 
+def verified(here: DataFrame, manifest: DataFrame) -> DataFrame:
+    """here and manifest (name, md5): per name of the manifest whether it is here and its digest agrees."""
+    found = here.select("name", F.lower("md5").alias("actual"))
+    return manifest.join(found, "name", "left").select("name", F.col("actual").isNotNull().alias("present"), F.coalesce(F.lower("md5") == F.col("actual"), F.lit(False)).alias("verified"))
+
+
 def verify_files(digests: DataFrame, manifest: DataFrame) -> DataFrame:
-    """manifest (name, md5): per name whether the file is there and its digest agrees."""
-    here = digests.select(F.substring_index("path", "/", -1).alias("name"), F.col("md5").alias("actual"))
-    return manifest.join(here, "name", "left").select("name", F.col("actual").isNotNull().alias("present"), F.coalesce(F.lower("md5") == F.col("actual"), F.lit(False)).alias("verified"))
+    """digests (path, md5) of files and manifest (name, md5): per name whether the file is there and its digest agrees."""
+    return verified(digests.select(F.substring_index("path", "/", -1).alias("name"), "md5"), manifest)
