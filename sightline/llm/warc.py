@@ -10,7 +10,6 @@ fails. An empty table makes no archive and gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -244,15 +243,15 @@ def planned(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
 def write_archives(rows: DataFrame, folder: str, roll_bytes: int = 16 << 20, level: int = 3) -> DataFrame:
     """Writes the planned rows as archives of about roll_bytes of raw records; returns the manifest as a written table.
 
-    Every attempt of a task writes files of its own name, and the manifest names those of the attempts that succeeded,
+    Every partition and attempt writes files of its own name, and the manifest names those of the attempts that succeeded,
     so lost executors and speculative copies leave at most unlisted files.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _file_system(folder)
         fs.create_dir(base, recursive=True)
-        task = TaskContext.get()
-        name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{os.getpid()}"
+        # a task may run this for several partitions, in one process: only a name of its own keeps their files apart
+        name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         held: list[bytes] = []
         size, made = 0, []
 

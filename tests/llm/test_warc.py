@@ -115,3 +115,11 @@ def test_files_are_archives_and_repeated_rows_have_ids_of_their_own(spark):
     manifest = warc.write_archives(warc.planned(pages), folder)
     ids = [line for r in manifest.collect() for record in warc.iter_records(open(r.archive, "rb")) for line in record.split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
     assert len(ids) == len(set(ids)) == 5
+
+
+def test_more_partitions_than_tasks(spark):
+    """A task that runs through several partitions writes files of their own for each."""
+    rows = spark.range(700).selectExpr("id AS key", "'http://a.org/' AS url", "repeat('x', 150) AS payload", "150L AS payload_bytes", "sha2(repeat('x', 150), 256) AS payload_digest", "'response' AS record_type", "CAST(NULL AS LONG) AS refers_to").repartition(100)
+    folder = f"{shared_dir(spark)}/warc"
+    back = warc.read_archives(warc.write_archives(rows, folder), folder)
+    assert sorted(r.page_id for r in back.collect()) == list(range(700))
