@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,8 +111,11 @@ PIECES = "key string, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def pieces(documents: DataFrame, tokenizer: str, key: str, text: str, window: int, end_id: int) -> DataFrame:
-    """A written table of pieces: each with the number of its task and its rank there among pieces of its length."""
-    named = documents.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    """A written table of pieces: each with the number of its partition and its rank there among pieces of its length.
+
+    The number is the partition's own, not its task's: a task may run through several partitions.
+    """
+    named = documents.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.spark_partition_id().alias("block"))
     end = array.array("I", [end_id]).tobytes()
     step = 4 * window
 
@@ -127,11 +129,11 @@ def pieces(documents: DataFrame, tokenizer: str, key: str, text: str, window: in
                     yield from zip(keys[first : i + 1], encode_some(texts[first : i + 1]), strict=True)
                     first, size = i + 1, 0
 
-        block = TaskContext.get().partitionId()
         encode_some = encoder(tokenizer).encode_some
         seen: dict[int, int] = {}
         for batch in batches:
             out = []
+            block = batch["block"].iloc[0] if len(batch) else 0
             for k, found in encoded(batch["key"].tolist(), batch["text"].tolist()):
                 ids = found + end
                 n = len(ids) // 4

@@ -75,3 +75,16 @@ def test_cut_texts_have_the_ids_of_whole_ones(texts):
     encoder = packing.encoder(packing.tokenizer_path())
     encoder.known.clear()
     assert encoder.encode_some(texts) == [encoder.whole(t) for t in texts]
+
+
+def test_more_partitions_than_tasks(spark):
+    """A task that runs through several partitions keeps their pieces apart."""
+    docs = spark.createDataFrame([(i, "a b c d e f g h"[: i % 14]) for i in range(700)], "doc_id long, text string").repartition(100)
+    got = packing.pack(docs, packing.tokenizer_path(), window=16).collect()
+    places = [(r.sequence_id, r.offset) for r in got]
+    assert len(got) == 700 == len(set(places))
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 16
