@@ -164,7 +164,8 @@ def repeat_counts(rows: np.ndarray, histogram: np.ndarray, ease: float = 1e-6) -
     """Non-negative least squares of the combinations' lengths against the histogram, by greedy coordinate descent.
 
     It stops when no single change of a count by one half or more improves the fit: smaller ones vanish in rounding. Each
-    step lessens the squared error by a quarter or more, so it does stop; `ease` ends it where a step gains next to nothing.
+    step lessens the squared error by a quarter or more, so it does stop. Of a large total, changes below its share `ease`
+    are left to the next solution, see `plan`, which looks at the rest alone.
     """
     x = np.zeros(len(rows))
     if not len(rows):
@@ -204,15 +205,19 @@ def plan(histogram: np.ndarray, window: int, grid: int = 32) -> list[tuple[dict[
 
     if left[window]:
         take({window: 1}, int(left[window]))
-    rows = combinations(window, left[1:] > 0, grid)
-    x = repeat_counts(rows, left[1:])
-    for j in np.argsort(-x, kind="stable"):
-        if x[j] < 0.5:
-            break
-        lengths, k = np.unique(rows[j][rows[j] > 0], return_counts=True)
-        times = int(min(round(x[j]), *(left[lengths] // k)))
-        if times > 0:
-            take(dict(zip(lengths.tolist(), k.tolist(), strict=True)), times)
+    # what a solution leaves is solved again, at its own scale, as long as that uses up half of it
+    before = 2 * int(left.sum()) + 1
+    while 0 < int(left.sum()) <= before // 2:
+        before = int(left.sum())
+        rows = combinations(window, left[1:] > 0, grid)
+        x = repeat_counts(rows, left[1:])
+        for j in np.argsort(-x, kind="stable"):
+            if x[j] < 0.5:
+                break
+            lengths, k = np.unique(rows[j][rows[j] > 0], return_counts=True)
+            times = int(min(round(x[j]), *(left[lengths] // k)))
+            if times > 0:
+                take(dict(zip(lengths.tolist(), k.tolist(), strict=True)), times)
     while True:
         there = np.flatnonzero(left)
         if not len(there):
