@@ -1,4 +1,4 @@
-"""What both jobs need: their config, their log, a session for the command line, and reads of what an earlier run left."""
+"""What both jobs need: their config, their log, and a session for the command line."""
 
 from __future__ import annotations
 
@@ -8,9 +8,7 @@ import logging
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import SparkSession
 
 
 def config_of(job: str, path: str | None = None) -> dict:
@@ -22,16 +20,6 @@ def log_of(job: str) -> logging.Logger:
     return logging.getLogger(f"jobs.{job}")
 
 
-def left_by(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """What an earlier run wrote to path; an empty table where there is nothing yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing.getCondition()):
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def started(parser: argparse.ArgumentParser, job: str, act: Callable[[SparkSession, argparse.Namespace, dict], dict], arguments: list[str] | None = None) -> dict:
     """The command line: reads the config, makes a session, runs the job, and stops the session."""
     parser.add_argument("--config", help="JSON of settings; without, the file beside the job")

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from sightline.operators.quantiles import summarised
 from sightline.sources import tables
 
-from .common import config_of, left_by, log_of, started
+from .common import config_of, log_of, started
 
 RECORDS = T.StructType(
     [T.StructField("source", T.StringType()), T.StructField("id", T.LongType()), T.StructField("missing", T.BooleanType())]
@@ -85,13 +85,13 @@ def run(spark: SparkSession, texts: str, out: str, checkpoint: str, config: dict
         rows.hint("rebalance", "part").select(*RECORDS.names).write.partitionBy("batch", "part").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(kept)
         LOG.info("batch %s: taken", number)
 
-    before = left_by(spark, kept, RECORDS).count()
+    before = tables.left_by(spark, kept, RECORDS).count()
     arriving = spark.readStream.schema(spark.read.parquet(texts).schema).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(as_glob(texts))
     arriving = arriving.select(config["key"], config["text"], config["group"])
     arriving.writeStream.foreachBatch(take).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start().awaitTermination()
-    records = left_by(spark, kept, RECORDS)
+    records = tables.left_by(spark, kept, RECORDS)
     counts = records.groupBy("part").agg(F.count("*").alias("n"))
-    done = left_by(spark, out, MANIFEST).groupBy("part").agg(F.sum("n_records").alias("done"))
+    done = tables.left_by(spark, out, MANIFEST).groupBy("part").agg(F.sum("n_records").alias("done"))
     parts = [r["part"] for r in counts.join(done, "part", "left").where("done IS NULL OR done <> n").select("part").collect()]
     total = records.count()
     LOG.info("read %s new records of %s, %s in all; parts that have grown: %s of %s", total - before, texts, total, len(parts), config["parts"])
@@ -108,7 +108,7 @@ def run(spark: SparkSession, texts: str, out: str, checkpoint: str, config: dict
 
 def manifest(spark: SparkSession, out: str) -> DataFrame:
     """The whole manifest as it stands."""
-    return left_by(spark, out, MANIFEST)
+    return tables.left_by(spark, out, MANIFEST)
 
 
 def compared(here: DataFrame, expected: DataFrame) -> DataFrame:

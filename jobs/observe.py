@@ -22,7 +22,7 @@ from sightline.operators import egos, observe
 from sightline.plans import fixture
 from sightline.sources import tables
 
-from .common import config_of, left_by, log_of, started
+from .common import config_of, log_of, started
 
 MARK = StructType([StructField(c, LongType()) for c in ("open_slab", "last_frame", "n_rows")])
 LOG = log_of("observe")
@@ -44,7 +44,7 @@ def run(spark: SparkSession, out: str, tracks: str | None = None, near_misses: s
     """One run; returns what it read and wrote. since: the slab to make anew from, in place of the mark's."""
     config = config or config_of("observe")
     frames = config["slab_frames"]
-    mark = left_by(spark, f"{out}/mark", MARK).orderBy(F.desc("open_slab"), F.desc("n_rows")).first()
+    mark = tables.left_by(spark, f"{out}/mark", MARK).orderBy(F.desc("open_slab"), F.desc("n_rows")).first()
     first = since if since is not None else mark["open_slab"] if mark else 0
     scene, near = scene_from(spark, first * frames, tracks, near_misses, events)
     seen = scene.agg(F.count("*").alias("n_rows"), F.max("frame_idx").alias("last_frame")).first()

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .operators import config as c
 from .operators import conflicts, egos, frames, observe, proximity, summary, trajectory, whatif
 from .operators import visibility as vis
-from .sources import results, sinks, tables
+from .sources import digests, results, sinks, tables
+from .sources.shared import written
 
 
 def parser() -> argparse.ArgumentParser:
@@ -61,6 +62,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--sensor-h", type=float, default=c.SENSOR_HEIGHT_M)
     add("confidence", "what a limit of detection confidence costs").add_argument("--n-frames", type=int, default=c.SAMPLE_FRAMES)
     add("passing", "what a lead vehicle hides").add_argument("--n-frames", type=int, default=c.SAMPLE_FRAMES)
+    p = add("verify", "files of a folder held against a manifest of digests", tracks=False)
+    p.add_argument("--folder", required=True)
+    p.add_argument("--manifest", required=True, help="JSON array of name and md5")
+    p.add_argument("--ledger", help="folder that remembers verified files, which are not read again")
+    p.add_argument("--force", action="store_true", help="read them all the same")
+    p.add_argument("--remove", action="store_true", help="delete files whose digest differs")
     p = add("following", "episodes of cars behind trucks")
     p.add_argument("--lead-range", type=float, default=15.0)
     p.add_argument("--cone-deg", type=float, default=30.0)
@@ -169,9 +176,22 @@ def following(spark: SparkSession, a: argparse.Namespace) -> dict:
     return {"episodes": sinks.document(trajectory.episode_stats(trajectory.episodes(rows, 1.0 / a.hz)))}
 
 
+def verify(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """How many files have which status; the report of each file is a table. Differences and missing files end in an error."""
+    manifest = tables.read_rows_json(spark, a.manifest, "name string, md5 string")
+    report = written(digests.verify(spark, a.folder, manifest, a.ledger, a.force), "report")
+    sinks.write_parquet(report, f"{a.out}/verified_files.parquet")
+    if a.ledger:
+        digests.remember(report, a.ledger)
+    if a.remove:
+        digests.drop_mismatches(report).count()
+    bad = sinks.document(report.where("status IN ('mismatch', 'missing')").orderBy("name").limit(20).select("name", "status"))
+    return {"files": _by(report.groupBy("status").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "status"), "wrong": bad}
+
+
 ANALYSES = {
     "sweep": sweep, "sensitivity": sensitivity, "ranges": ranges, "near-misses": near_misses, "vehicles": vehicles, "proximity": proximity_bias,
-    "traffic": traffic, "occlusion": occlusion, "confidence": confidence, "passing": passing, "following": following,
+    "traffic": traffic, "occlusion": occlusion, "confidence": confidence, "passing": passing, "following": following, "verify": verify,
 }
 
 
@@ -190,4 +210,6 @@ def main(arguments: Sequence[str] | None = None) -> dict:
     made = ANALYSES[a.analysis](spark, a)
     sinks.write_json(made, f"{a.out}/{a.analysis}_summary.json")
     print("\n".join(told("", made)))
+    if made.get("wrong"):
+        raise SystemExit(f"wrong or missing: {', '.join(r['name'] for r in made['wrong'])}")
     return made

@@ -11,6 +11,8 @@ from ..functions import geometry
 from ..operators import config as c
 from ..operators import conflicts, egos, frames, observe, proximity, summary, trajectory, whatif
 from ..operators import visibility as vis
+from ..sources import digests
+from ..sources.shared import shared_dir
 from . import fixture
 from .oracles import ORACLES  # noqa: F401
 
@@ -422,3 +424,15 @@ def following_stats(spark, sf_dir):
 @query
 def object_decomposition(spark, sf_dir):
     return summary.object_decomposition(observe.counts(seen(spark, sf_dir, (120.0, 360.0))))
+
+
+@query
+def verified_export(spark, sf_dir):
+    """Texts written as files, a thousand ids of a language to a file, read back in chunks and held against their rows' digests."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.coalesce("lang", F.lit("-")).alias("lang"), F.floor(F.col("doc_id") / 1000).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    folder = f"{shared_dir(spark)}/export"
+    rows.repartition("lang", "part").sortWithinPartitions("lang", "part", "doc_id").select("text", "lang", "part").write.partitionBy("lang", "part").text(folder)
+    made = digests.digests(digests.files(spark, folder, "part-*")).select(F.regexp_extract("name", "lang=([^/]*)/", 1).alias("lang"), F.regexp_extract("name", "part=([^/]*)/", 1).cast("long").alias("part"), "size", "md5")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda r: F.concat(r["text"], F.lit("\n"))), "")
+    wanted = rows.groupBy("lang", "part").agg(F.md5(texts.cast("binary")).alias("expected"))
+    return made.join(wanted, ["lang", "part"], "full").select("lang", "part", "size", "md5", F.coalesce(F.col("md5") == F.col("expected"), F.lit(False)).alias("verified"))

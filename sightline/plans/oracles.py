@@ -274,3 +274,6 @@ ORACLES["vertical_list"] = query(
     f"listed AS ({REPEATED}), numbered AS (SELECT * REPLACE (track_id * 2 + row_number() OVER (PARTITION BY frame_idx, track_id ORDER BY bbox_center_x) - 1 AS track_id) FROM listed)",
     egos_cte(), vis_ctes(120.0, "v", scene="numbered"), seen_cte("v", "s"),
 )
+ORACLES["verified_export"] = """
+SELECT lang, part, strlen(body)::BIGINT AS size, md5(body) AS md5, TRUE AS verified
+FROM (SELECT coalesce(lang, '-') AS lang, doc_id // 1000 AS part, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1, 2) AS files"""

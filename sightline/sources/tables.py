@@ -1,9 +1,10 @@
-"""Typed reads of the input tables, class names, derived results and file checks."""
+"""Typed reads of the input tables, class names and derived results."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,17 +75,17 @@ def read_document_json(spark: SparkSession, path: str, *keys: str, schema: T.Str
     return whole.select(*(F.get_json_object("doc", "$." + k).alias(k.replace(".", "_")) for k in keys)) if keys else df
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, md5) of files, to hold against a manifest."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.md5("content").alias("md5"))
+def left_by(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What an earlier run wrote to path; an empty table where there is nothing yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing.getCondition()):
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def verified(here: DataFrame, manifest: DataFrame) -> DataFrame:
     """here and manifest (name, md5): per name of the manifest whether it is here and its digest agrees."""
     found = here.select("name", F.lower("md5").alias("actual"))
     return manifest.join(found, "name", "left").select("name", F.col("actual").isNotNull().alias("present"), F.coalesce(F.lower("md5") == F.col("actual"), F.lit(False)).alias("verified"))
-
-
-def verify_files(digests: DataFrame, manifest: DataFrame) -> DataFrame:
-    """digests (path, md5) of files and manifest (name, md5): per name whether the file is there and its digest agrees."""
-    return verified(digests.select(F.substring_index("path", "/", -1).alias("name"), "md5"), manifest)
