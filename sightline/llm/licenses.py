@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -349,19 +350,41 @@ def _rules_literal() -> Column:
     return F.array(*(F.struct(F.lit(i).alias("id"), F.lit(a).alias("label"), F.array(*(F.lit(f" {w}") for w in k.split("|"))).alias("keywords"), F.lit(p).alias("pattern"), F.lit(n).alias("priority"), F.lit(c).alias("sure")) for i, a, k, p, n, c in rules()))
 
 
+#: Items that a fold appends to one array. Appending copies an array, so what is appended to stays as short as that.
+CHUNK = 128
+
+
+def _folded(items: Column, state: dict[str, Column], emitted: str, step: Callable[[Column, Column], Column]) -> Column:
+    """The array that a fold emits, in time that grows with the number of items, not with its square.
+
+    step(acc, item) gives the struct of the state and `out`, the chunk's own array of type `emitted`; chunks are put together once.
+    """
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))
+    own = lambda acc: [acc[n].alias(n) for n in state]
+    empty = F.array().cast(emitted).alias("out")
+    start = F.struct(*(c.alias(n) for n, c in state.items()), F.array().cast(f"array<{emitted}>").alias("outs"))
+
+    def chunk(acc: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(*own(acc), empty), step)
+        return F.transform(F.array(done), lambda d: F.struct(*own(d), F.concat(acc["outs"], F.array(d["out"])).alias("outs")))[0]
+
+    return F.when(F.size(items) > 0, F.aggregate(chunks, start, chunk, lambda acc: F.flatten(acc["outs"]))).otherwise(F.array().cast(emitted))
+
+
 def _spans(norm: Column, rule: Column) -> Column:
     """Every match of one rule as a struct; starts follow from the lengths of the pieces between the matches."""
     found = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
     gaps = F.when(F.size(found) > 0, F.split(norm, rule["pattern"], -1)).otherwise(F.array().cast("array<string>"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
+        begin = acc["at"] + pair["gap"]
+        end = begin + pair["hit"]
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("stop")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    lengths = lambda texts: F.transform(texts, lambda t: F.length(t))
+    pairs = F.zip_with(lengths(F.slice(gaps, 1, F.size(found))), lengths(found), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    # pairs are used three times: held as the one element of an array, they are made once
+    spans = F.transform(F.array(pairs), lambda held: _folded(held, {"at": F.lit(0)}, "array<struct<start:int,stop:int>>", step))[0]
     return F.transform(
         spans,
         lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("negative_stop"), (-rule["priority"]).alias("negative_priority"), rule["id"].alias("rule"), rule["label"].alias("label"), rule["sure"].alias("sure")),
@@ -375,15 +398,15 @@ def _swept(spans: Column) -> Column:
     of at least their priority. There are no more of them than priorities.
     """
     kept_type = "array<struct<start:int,negative_stop:int,negative_priority:int,rule:int,label:string,sure:double>>"
-    start = F.struct(F.array().cast("array<struct<negative_stop:int,negative_priority:int>>").alias("live"), F.array().cast(kept_type).alias("kept"))
 
     def step(acc: Column, s: Column) -> Column:
         over = lambda a, b: (a["negative_stop"] <= b["negative_stop"]) & (a["negative_priority"] <= b["negative_priority"])
         still = F.filter(acc["live"], lambda k: (-k["negative_stop"] > s["start"]) & ~over(s, k))
         own = F.array(F.struct(s["negative_stop"].alias("negative_stop"), s["negative_priority"].alias("negative_priority")))
-        return F.when(F.exists(acc["live"], lambda k: over(k, s)), acc).otherwise(F.struct(F.concat(still, own).alias("live"), F.concat(acc["kept"], F.array(s)).alias("kept")))
+        return F.when(F.exists(acc["live"], lambda k: over(k, s)), acc).otherwise(F.struct(F.concat(still, own).alias("live"), F.concat(acc["out"], F.array(s)).alias("out")))
 
-    return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["kept"])
+    live = {"live": F.array().cast("array<struct<negative_stop:int,negative_priority:int>>")}
+    return F.transform(F.array(F.array_sort(spans)), lambda held: _folded(held, live, kept_type, step))[0]
 
 
 def _may_match(lower: Column) -> Column:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -44,6 +45,9 @@ def test_whole_table_against_brute_force(spark):
     for r in got:
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(texts[r.doc_id])
         assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+        want = all_spans(texts[r.doc_id])
+        assert [(d.start, d.stop, d.priority, d.rule, d.label) for d in r.detections] == want
+        assert set(filter(None, r.labels.split(","))) == {s[4] for s in want} | set(filter(None, r.base_labels.split(",")))
 
 
 def test_spans_priority_and_containment(spark):
@@ -152,3 +156,18 @@ def test_creative_commons_names_in_full(spark):
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     assert {r.doc_id: r.labels for r in licenses.scan(df).collect()} == {i: label for i, (_, label) in enumerate(cases)}
+
+
+def test_many_matches_in_one_text(spark):
+    """Chunks of the folds join without a seam; a text with 60,000 matches is scanned in some seconds."""
+    unit = "the licence of x: Licensed under the Apache License, Version 2.0. GNU GPL v3; cc by nc 4.0, see the MIT license and more words "
+    sizes = [1, 31, 32, 33, 127, 128, 129, 400]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(n, unit * n) for n in sizes], "doc_id long, text string")).collect()}
+    one = all_spans(unit)
+    long = len(" " + " ".join(WORD.findall(unit.translate(UP))))
+    for n in sizes:
+        want = [(a + i * long, b + i * long, p, rule, label) for i in range(n) for a, b, p, rule, label in one]
+        assert len(one) >= 4 and [(d.start, d.stop, d.priority, d.rule, d.label) for d in got[n].detections] == want
+    began = time.monotonic()
+    (r,) = licenses.scan(spark.createDataFrame([(1, "under the mit license x " * 60_000)], "doc_id long, text string")).selectExpr("n_base", "size(detections) AS n").collect()
+    assert (r.n_base, r.n) == (60_000, 60_000) and time.monotonic() - began < 60
