@@ -40,7 +40,7 @@ class Encoder:
     in the same places, and the tokenizer is asked once for each different piece; `most` pieces are remembered at a time.
     """
 
-    def __init__(self, path: str, most: int = 1 << 18) -> None:
+    def __init__(self, path: str, most: int = 1 << 19) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -121,11 +121,11 @@ def pieces(documents: DataFrame, tokenizer: str, key: str, text: str, window: in
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def encoded(keys: list, texts: list[str]) -> Iterator[tuple]:
-            """Keys and ids, of about a million characters at a time."""
+            """Keys and ids, of about four million characters at a time."""
             first, size = 0, 0
             for i, t in enumerate(texts):
                 size += len(t)
-                if size >= 1 << 20 or i + 1 == len(texts):
+                if size >= 1 << 22 or i + 1 == len(texts):
                     yield from zip(keys[first : i + 1], encode_some(texts[first : i + 1]), strict=True)
                     first, size = i + 1, 0
 
