@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,13 +100,13 @@ def releasing(act: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
     return run
 
 
-def even_keys(spark: SparkSession, n: int, most: int = 200_000) -> list[int]:
+def even_keys(spark: SparkSession, n: int, most: int = 200_000) -> Sequence[int]:
     """n numbers of which hash partitioning into n partitions puts one in each: tasks then hold one group each, not a chance number.
 
-    Beyond `most` the numbers are 0 to n - 1: what reaches the driver stays bounded.
+    Beyond `most` the numbers are 0 to n - 1, a range: what reaches the driver and goes to tasks stays bounded.
     """
     if n > most:
-        return list(range(n))
+        return range(n)
     spots = spark.range(32 * n).groupBy(F.expr(f"pmod(hash(id), {n})").alias("at")).agg(F.min("id").alias("id")).collect()
     keys = {r["at"]: r["id"] for r in spots}
     return [keys.get(i, 32 * n + i) for i in range(n)]

@@ -19,7 +19,7 @@ result; extra columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -182,7 +182,7 @@ def equal_pieces(text: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return kind, doc > least[kind]
 
 
-def pieces(candidates: DataFrame, length: int, shards: int, buckets: int, hot_from: int, deal: list[int], block_bytes: int = 8 << 20) -> DataFrame:
+def pieces(candidates: DataFrame, length: int, shards: int, buckets: int, hot_from: int, deal: Sequence[int], block_bytes: int = 8 << 20) -> DataFrame:
     """Pieces of text by shard, in blocks; of equal pieces of a block those in the smallest document.
 
     A piece names its document by id, which decides who is smaller, and by a tag of its text, as texts may share an id. What goes in the other documents of the block is known already; it comes as rows of shards below 0, one for each

@@ -14,6 +14,7 @@ verdict is allow, with a probability of 0, and with labels of one kind all urls
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -83,23 +84,38 @@ def suffix_statistics(rows: DataFrame, prior: float) -> tuple[DataFrame, int]:
     return stats, int(labelled)
 
 
-def fit(labelled: DataFrame, n: int, sample: int) -> Boosted | None:
-    """labelled: the columns of features, label (1 block, 0 allow) and order, a hash; `n` rows. None where there are none."""
+def fit(labelled: DataFrame, n: int, sample: int, held_out: int = 5) -> tuple[Boosted | None, float | None]:
+    """labelled: the columns of features, label (1 block, 0 allow) and order, a hash; `n` rows. None where there are none.
+
+    Also the share of right verdicts on every `held_out`-th of the sampled urls, by trees that have not seen them: trees of all
+    of them follow. Null where that leaves nothing to learn from or to judge.
+    """
     share = 1 << 20
     few = labelled.where(F.pmod("order", F.lit(share)) < max(1, share * 2 * sample // max(n, 1)))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"order": b["order"], "label": b["label"].astype(int), "x": list(_features(b))})
+            yield pd.DataFrame({"order": b["order"], "label": b["label"].astype(int), "x": list(_features(b)), "x_url": b["url"].fillna("")})
 
     columns = ("order", "label", "url", "host", "path", "suffix_share", "suffix_rate")
-    chosen = few.select(*columns).mapInPandas(measure, "order long, label int, x array<double>").orderBy("order", "label", "x").limit(sample).collect()
-    x = np.array([r.x for r in chosen], dtype=float).reshape(-1, len(FEATURES))
-    return Boosted().fit(x, np.array([r.label for r in chosen], dtype=float)) if chosen else None
+    chosen = few.select(*columns).mapInPandas(measure, "order long, label int, x array<double>, x_url string").orderBy("order", "label", "x", "x_url").limit(sample).collect()
+    x, y = np.array([r.x for r in chosen], dtype=float).reshape(-1, len(FEATURES)), np.array([r.label for r in chosen], dtype=float)
+    # equal urls fall on one side: the order is a hash of the row, so it is the url that decides here
+    apart = np.array([zlib.crc32(r.x_url.encode()) % held_out == 0 for r in chosen], dtype=bool)
+    right = None
+    if apart.any() and not apart.all():
+        right = float(((Boosted().fit(x[~apart], y[~apart]).probability(x[apart]) >= 0.5) == (y[apart] > 0)).mean())
+    return (Boosted().fit(x, y) if chosen else None), right
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Iterable[tuple[str, str]] = RULES, labels: DataFrame | None = None, sample: int = 20_000, prior: float = 50.0, cut: float = 0.5, few_suffixes: int = 50_000) -> DataFrame:
-    """Per row: key, url, host, path, rule, verdict, block_probability. labels: (url, label) to learn from, else the rules' verdicts."""
+    """Per row: key, url, host, path, rule, verdict, block_probability, held_out_accuracy.
+
+    labels: (url, label 1 block or 0 allow) to learn from, else the rules' own verdicts. held_out_accuracy is the same for all rows:
+    how many of the sampled labelled urls trees judge rightly that have not seen them. It says what the verdicts without
+    a rule are worth only for urls like the labelled ones; with the rules' verdicts as labels that is how well the trees
+    repeat the rules.
+    """
     sheltered(pages, key, url)
 
     def prepared(df: DataFrame, *keep: Column) -> DataFrame:
@@ -123,7 +139,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Itera
         named = df.withColumn("suffix", suffix_of(F.col("host")))
         return named.join(F.broadcast(stats), "suffix", "left") if few else lookup_join(named, stats, "suffix", heavy_keys(named.select("suffix"), "suffix"))
 
-    model = fit(informed(training.where("label IS NOT NULL")), n, sample)
+    model, right = fit(informed(training.where("label IS NOT NULL")), n, sample)
     kind = pages.schema[key].dataType.simpleString()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,11 +149,11 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Itera
     columns = "_key string, url string, host string, path string, rule string, rule_verdict string, suffix_share double, suffix_rate double"
     scored = informed(rows).select(*(c.split()[0] for c in columns.split(", "))).mapInPandas(score, columns + ", block_probability double")
     learned = F.when(F.col("block_probability") >= cut, "block").otherwise("allow")
-    return scored.select(F.col("_key").cast(kind).alias(key), "url", "host", "path", "rule", F.coalesce("rule_verdict", learned).alias("verdict"), "block_probability")
+    return scored.select(F.col("_key").cast(kind).alias(key), "url", "host", "path", "rule", F.coalesce("rule_verdict", learned).alias("verdict"), "block_probability", F.lit(right).cast("double").alias("held_out_accuracy"))
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict", "block_probability")
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url")
 
 
 QUERIES = {"op5_urls": op5_urls}
