@@ -21,6 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,10 @@ from .common import sheltered, written
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\u017f\u2013-\u2026\u20ac]")
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: Where a byte-level tokenizer cuts texts of plain characters: no id spans a cut.
-CUTS = re.compile(rf" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_LETTER}{_NUMBER}]+| ?[{_NUMBER}]+|\s+(?!\S)|\s+")
+#: Where a byte-level tokenizer cuts texts of plain characters: no id spans a cut. A run of white space before something else
+#: is parted before its last character first; then each piece gets a zero byte, which plain texts do not hold, in front.
+SPACES = (r"(\s+)(\s\S)", "\\1\x00\\2")
+CUTS = (rf" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\x00{_LETTER}{_NUMBER}]+| ?[{_NUMBER}]+|\s+", "\x00\\0")
 
 class Encoder:
     """Ids of a tokenizer file as little-endian unsigned 32-bit bytes.
@@ -40,7 +44,7 @@ class Encoder:
     in the same places, and the tokenizer is asked once for each different piece; `most` pieces are remembered at a time.
     """
 
-    def __init__(self, path: str, most: int = 1 << 19) -> None:
+    def __init__(self, path: str, most: int = 1 << 20) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -57,7 +61,7 @@ class Encoder:
         if self.cuts and hasattr(self.fresh.model, "_resize_cache"):
             self.fresh.model._resize_cache(0)
         self.most = most
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -79,23 +83,40 @@ class Encoder:
         return {w: data[x:y] for w, x, y in zip(words, (4 * a).tolist(), (4 * b).tolist(), strict=True)}
 
     def encode_some(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; pieces not known yet go to the tokenizer together."""
-        cut = [None if not self.cuts or PLAIN.search(t) or any(s in t for s in self.special) else CUTS.findall(t) for t in texts]
+        """The ids of each text; pieces are cut and counted together, and those not known yet go to the tokenizer together."""
+        plain = [i for i, t in enumerate(texts) if self.cuts and not PLAIN.search(t) and not any(s in t for s in self.special)]
+        marked = pa.array([texts[i] for i in plain], pa.large_string())
+        for pattern, mark in (SPACES, CUTS):
+            marked = pc.replace_substring_regex(marked, pattern, mark)
+        pieces = pc.split_pattern(marked, "\x00")
+        number = pieces.flatten().dictionary_encode()
+        words = number.dictionary.to_pylist()
+        self._learn([w for w in words if w not in self.known], words)
+        found = [self.known[w] for w in words]
+        ids, size = np.frombuffer(b"".join(found), dtype="<u4"), np.array([len(x) // 4 for x in found], dtype=np.int64)
+        at = number.indices.to_numpy()
+        n = size[at]
+        reach = np.append(0, np.cumsum(n))
+        first = (np.cumsum(size) - size)[at] - reach[:-1]
+        data = ids[np.repeat(first, n) + np.arange(reach[-1])].tobytes()
+        edge = (4 * reach[pieces.offsets.to_numpy()]).tolist()
+        made = {i: data[a:b] for i, a, b in zip(plain, edge[:-1], edge[1:], strict=True)}
+        return [made[i] if i in made else self.whole(t) for i, t in enumerate(texts)]
+
+    def _learn(self, new: list[str], there: list[str]) -> None:
+        """Asks the tokenizer for the ids of new pieces; there are all pieces of the texts at hand, which stay known."""
         known = self.known
-        there = set().union(*(pieces for pieces in cut if pieces))
-        new = there.difference(known)
         if len(known) + len(new) > self.most:  # the words of these texts stay, and with them the frequent ones
-            self.known = known = {p: known[p] for p in there if p in known}
+            self.known = known = {p: known[p] for p in ["", *there] if p in known}
         # pieces are asked for in one text, in which it cuts between them: those with a space before follow each other,
         # those without stand between tabulators; white space alone is asked for by itself
-        spaced, plain = [p for p in new if p[0] == " " and p[1:2].strip()], [p for p in new if p[0] not in " \n\t\r"]
-        for words, joint in ((spaced, ""), (plain, "\t")):
+        spaced, bare = [p for p in new if p[0] == " " and p[1:2].strip()], [p for p in new if p[0] not in " \n\t\r"]
+        for words, joint in ((spaced, ""), (bare, "\t")):
             for i in range(0, len(words), 10_000):
                 known.update(self._joined(words[i : i + 10_000], joint))
         rest = [p for p in new if p not in known]
         for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[piece] = array.array("I", found.ids).tobytes()
-        return [self.whole(t) if pieces is None else b"".join(map(known.__getitem__, pieces)) for t, pieces in zip(texts, cut, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
