@@ -40,23 +40,52 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.join(F.broadcast(width), F.size("v") == F.col("width")).select("id", "v")
 
 
-def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12, pull: float = 0.15) -> np.ndarray:
-    """k-means in which full clusters look farther: distances grow with a cluster's share of the sample."""
+def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12, pull: float = 0.15, repairs: int = 10) -> np.ndarray:
+    """About k centroids with lists of like length: k-means in which full clusters look farther, then repairs.
+
+    Lifted vectors lie on one sphere, and centroids are put on it too: one nearer to the middle would be near to all. A repair
+    splits clusters of over twice the mean along their longest direction and drops those of under a quarter.
+    """
     x = np.unique(x, axis=0)
     k = min(k, len(x))
     rng = np.random.default_rng(7)
+    radius = np.sqrt((x**2).sum(1).max())
     c = x[rng.choice(len(x), k, replace=False)]
-    weight = np.ones(k)
-    for _ in range(rounds):
+
+    def nearest(weight: np.ndarray) -> np.ndarray:
         near = np.empty(len(x), dtype=np.int64)
         for i in range(0, len(x), 4096):
             d = np.maximum((x[i : i + 4096] ** 2).sum(1)[:, None] - 2 * x[i : i + 4096] @ c.T + (c**2).sum(1), 0)
             near[i : i + 4096] = (d * weight).argmin(1)
-        n = np.bincount(near, minlength=k)
+        return near
+
+    def means(near: np.ndarray) -> np.ndarray:
+        n = np.bincount(near, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, near, x)
-        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], x[rng.choice(len(x), k)])
-        weight = 1 + pull * np.clip(n * k / len(x) - 1, -1, 4)
+        made = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], x[rng.choice(len(x), len(c))])
+        length = np.sqrt((made**2).sum(1))[:, None]
+        return np.where(length > 0, made * radius / np.maximum(length, 1e-300), made)
+
+    weight = np.ones(k)
+    for _ in range(rounds):
+        near = nearest(weight)
+        c = means(near)
+        weight = 1 + pull * np.clip(np.bincount(near, minlength=len(c)) * len(c) / len(x) - 1, -1, 4)
+    for _ in range(repairs):
+        near = nearest(np.ones(len(c)))
+        n = np.bincount(near, minlength=len(c))
+        mean = len(x) / len(c)
+        large, small = np.flatnonzero(n > 2 * mean), np.flatnonzero(n < mean / 4)
+        if not len(large) and not len(small):
+            break
+        halves = []
+        for j in large:
+            own = x[near == j]
+            side = (own - own.mean(0)) @ np.linalg.svd(own - own.mean(0), full_matrices=False)[2][0]
+            halves += [own[side <= np.median(side)].mean(0), own[side > np.median(side)].mean(0)] if (side > np.median(side)).any() else [own.mean(0)]
+        c = np.concatenate([c[np.setdiff1d(np.arange(len(c)), np.union1d(large, small))], *([np.array(halves)] if halves else [])])
+        c = means(nearest(np.ones(len(c))))
     return c
 
 
@@ -124,6 +153,21 @@ def lists_of(x: np.ndarray, c: np.ndarray, slack: float, most: int) -> list[list
     return out
 
 
+def shelves(c: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """The number of each list's shelf. Lists follow each other from one centroid to the nearest that is left, and fill a shelf up to `most` vectors."""
+    place, left = np.zeros(len(c), dtype=np.int64), np.ones(len(c), dtype=bool)
+    at, number, held = 0, 0, 0
+    for _ in range(len(c)):
+        if held and held + sizes[at] > most:
+            number, held = number + 1, 0
+        place[at], left[at] = number, False
+        held += int(sizes[at])
+        if left.any():
+            rest = np.flatnonzero(left)
+            at = rest[((c[rest] - c[at]) ** 2).sum(1).argmin()]
+    return place
+
+
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products of the rows of x with q, each summed from the first coordinate to the last."""
     total = np.zeros(len(x))
@@ -176,7 +220,7 @@ def true_neighbours(rows: DataFrame, trials: np.ndarray, own: np.ndarray, k: int
 
 def search(
     vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, sample: int = 20_000, list_size: int = 128, most_lists: int = 4096,
-    replicas: int = 4, slack: float = 0.1, recall: float = 0.97, trials: int = 256, part: int = 1024,
+    replicas: int = 4, slack: float = 0.1, recall: float = 0.97, trials: int = 256, shelf: int = 8192, block: int = 1024,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that the condition `queries` (on the column id) selects, its k nearest."""
     sheltered(vectors, key, vector)
@@ -208,6 +252,7 @@ def search(
                     out += [(j, ids[n], x[n].tobytes()) for j in found]
             yield pd.DataFrame(out, columns=["list", "id", "v"])
 
+    # near lists stand on a shelf together: a query meets the shelves of its lists once each, whatever the number of lists
     postings = written(rows.mapInPandas(index, "list long, id long, v binary"), "postings")
     sizes = np.zeros(len(centroids), dtype=np.int64)
     for r in postings.groupBy("list").count().collect():  # at most most_lists rows
@@ -223,10 +268,11 @@ def search(
         lists = [x for i in range(0, len(found), 1024) for x in lists_of(lifted(found[i : i + 1024]), centroids, slack, replicas)]
         ratio = float(np.quantile([d[t, x].min() for t, x in zip(tried, lists, strict=True)], recall, method="higher")) * (1 + 1e-9)
         width = min(len(centroids), int(1.25 * (d <= ratio).sum(1).max()) + 8)
-    held = spark.sparkContext.broadcast(sizes)
+    place = shelves(centroids, sizes, shelf)
+    held = spark.sparkContext.broadcast((sizes, place))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph, size = shared.value, held.value
+        graph, (size, at) = shared.value, held.value
         for b in batches:
             out = []
             for i, v in zip(b["id"], b["v"], strict=True):
@@ -243,32 +289,36 @@ def search(
                             break
                         got += int(size[j])
                         near.append(j)
-                out += [(j, i, v.tobytes()) for j in near]
-            yield pd.DataFrame(out, columns=["list", "query_id", "q"])
-
-    asked = written(rows.where(queries).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").mapInPandas(probe, "list long, query_id long, q binary"), "probes")
-    met = np.zeros(len(centroids), dtype=np.int64)
-    for r in asked.groupBy("list").count().collect():
-        met[r["list"]] = r["count"]
-    parts = [(j, int(-(-sizes[j] // part)), int(-(-met[j] // part))) for j in range(len(centroids)) if sizes[j] and met[j]]
-    split = F.broadcast(spark.createDataFrame(parts, "list long, parts long, blocks long"))  # at most most_lists rows
-    left = postings.join(split, "list").withColumn("p", F.pmod(F.xxhash64("id"), "parts")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    right = asked.join(split, "list").withColumn("b", F.pmod(F.xxhash64("query_id"), "blocks")).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+                out += [(j, i, v.tobytes()) for j in np.unique(at[near]).tolist()]
+            yield pd.DataFrame(out, columns=["shelf", "query_id", "q"])
+
+    asked = written(rows.where(queries).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").mapInPandas(probe, "shelf long, query_id long, q binary"), "probes")
+    there, met = np.bincount(place, sizes).astype(np.int64), np.zeros(int(place.max()) + 1, dtype=np.int64)
+    for r in asked.groupBy("shelf").count().collect():
+        met[r["shelf"]] = r["count"]
+    # at most most_lists rows each: a long shelf is split, and so are the queries that meet it
+    split = [(j, int(-(-there[j] // shelf)), int(-(-met[j] // block))) for j in range(len(met)) if there[j] and met[j]]
+    split = spark.createDataFrame(split, "shelf long, parts long, blocks long")
+    standing = spark.createDataFrame(list(enumerate(place.tolist())), "list long, shelf long")
+    left = postings.join(F.broadcast(standing), "list").join(F.broadcast(split), "shelf").withColumn("p", F.pmod(F.xxhash64("id"), "parts")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    right = asked.join(F.broadcast(split), "shelf").withColumn("b", F.pmod(F.xxhash64("query_id"), "blocks")).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
 
     def score(some: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(some) and len(ask):
-            some = some.sort_values("id", kind="stable")
+            some = some.drop_duplicates(["id", "v"]).sort_values("id", kind="stable")  # copies of a boundary vector
             ids = some["id"].to_numpy()
             x = np.frombuffer(b"".join(some["v"]), dtype=np.float64).reshape(len(ids), -1)
             q = np.frombuffer(b"".join(ask["q"]), dtype=np.float64).reshape(len(ask), -1)
-            for i, v, s in zip(ask["query_id"].to_numpy(), q, q @ x.T, strict=True):
-                at, exact = _top(np.where(ids == i, -np.inf, s), x, v, ids, k)
-                out.append((np.full(len(at), i), ids[at], exact))
+            names = ask["query_id"].to_numpy()
+            for n in range(0, len(q), 128):
+                for i, v, s in zip(names[n : n + 128], q[n : n + 128], q[n : n + 128] @ x.T, strict=True):
+                    at, exact = _top(np.where(ids == i, -np.inf, s), x, v, ids, k)
+                    out.append((np.full(len(at), i), ids[at], exact))
         found = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
-    keys = ("list", "p", "b")
+    keys = ("shelf", "p", "b")
     found = left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q").groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

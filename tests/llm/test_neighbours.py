@@ -57,7 +57,7 @@ def test_unequal_norms_and_hot_vector(spark):
     x = rng.normal(size=(1500, 8)) * rng.uniform(0.2, 3, size=(1500, 1))
     x[200:900] = x[200]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, list_size=32, part=64).collect()
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, list_size=32, shelf=64, block=16).collect()
     assert recall(got, brute(rows, [r for r in rows if r[0] % 50 == 0], 20)) >= 0.9
 
 
@@ -67,3 +67,14 @@ def test_odd_vectors(spark):
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(df, F.col("id") % 20 == 0).collect())
     assert got == [(0, 1, 20, 4.0), (20, 1, 0, 4.0)]
     assert neighbours.search(df.limit(0), F.col("id") % 20 == 0).collect() == []
+
+
+def test_lists_are_balanced():
+    """On isotropic, clustered and skewed vectors no list holds over four times the mean."""
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(40, 16))
+    for x in (rng.normal(size=(6000, 32)), centre[rng.integers(0, 40, 6000)] + 0.3 * rng.normal(size=(6000, 16)), centre[rng.zipf(1.6, 6000) % 40] + 0.2 * rng.normal(size=(6000, 16))):
+        x = x / np.sqrt((x**2).sum(1))[:, None]
+        c = neighbours.balanced_centroids(x[:3000], 60)
+        n = np.bincount(((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)).argmin(1), minlength=len(c))
+        assert 30 <= len(c) <= 120 and n.max() <= 4 * n.mean(), (len(c), n.max(), n.mean())
