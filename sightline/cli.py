@@ -96,7 +96,7 @@ def _by(df: DataFrame, key: str) -> dict:
 
 def sweep(spark: SparkSession, a: argparse.Namespace) -> dict:
     record = _records(spark, a, [a.fov_deg], [a.range_m], classes=True).withColumn("class_visibility", observe.class_json(F.col("class_visibility")))
-    sinks.write_parquet(observe.ordered(record).select(*(f.name for f in results.RECORD)), f"{a.out}/ego_sweep_results.parquet")
+    sinks.write_ordered(record.select(*(f.name for f in results.RECORD)), f"{a.out}/ego_sweep_results.parquet", ["frame_idx", "approach", "pos"])
     made = spark.read.parquet(f"{a.out}/ego_sweep_results.parquet")
     (whole,), (near,) = sinks.document(summary.sweep_summary(made)), sinks.document(summary.detectability(made))
     rates = {n: near[n] for n in ("both_visible_rate", "at_least_one_visible_rate", "ego_relevant_awareness_rate")} if near["nm_total"] else {}

@@ -70,12 +70,19 @@ def per_pair(rows: DataFrame) -> DataFrame:
 
 
 def pet_candidates(tracks: DataFrame, gate_m: float = 30.0, classes: Sequence[str] = EGO_CLASSES, first: int = 0, last: int = 0) -> DataFrame:
-    """(ego_track_id, partner_id): ordered pairs, ego a vehicle, ever within the gate in one frame."""
+    """(ego_track_id, partner_id): ordered pairs, ego a vehicle, ever within the gate in one frame.
+
+    Objects of a frame meet by cells as wide as the gate, a vehicle's and those around it: crowded frames are spread over
+    their cells, and objects farther apart never meet.
+    """
     rows = in_window(tracks, first, last)
+    cell = lambda c: F.floor(F.col(c) / gate_m).cast("long")
+    around = lambda c: F.explode(F.array(*(cell(c) + k for k in (-1, 0, 1))))
     a = rows.where(F.col("class_name").isin(*classes)).select("frame_idx", F.col("track_id").alias("ego_track_id"), F.col("bbox_center_x").alias("ax"), F.col("bbox_center_y").alias("ay"))
-    b = rows.select("frame_idx", F.col("track_id").alias("partner_id"), F.col("bbox_center_x").alias("bx"), F.col("bbox_center_y").alias("by"))
+    a = a.withColumn("cx", around("ax")).withColumn("cy", around("ay"))
+    b = rows.select("frame_idx", F.col("track_id").alias("partner_id"), F.col("bbox_center_x").alias("bx"), F.col("bbox_center_y").alias("by"), cell("bbox_center_x").alias("cx"), cell("bbox_center_y").alias("cy"))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    return a.join(b, "frame_idx").where((F.col("ego_track_id") != F.col("partner_id")) & (dx * dx + dy * dy <= gate_m * gate_m)).select("ego_track_id", "partner_id").distinct()
+    return a.join(b, ["frame_idx", "cx", "cy"]).where((F.col("ego_track_id") != F.col("partner_id")) & (dx * dx + dy * dy <= gate_m * gate_m)).select("ego_track_id", "partner_id").distinct()
 
 
 def pet_crossings(tracks: DataFrame, candidates: DataFrame, crossing_m: float = 2.0, first: int = 0, last: int = 0) -> DataFrame:

@@ -5,8 +5,10 @@ than the nearest corner of the nearest such occluder by more than a margin. An o
 inside the field of view and those between the outermost ones; at a full circle, corners more than half the bins apart
 cover the bins outside them instead. Every occluder counts, also one out of view or range itself.
 
-Objects of a frame and ego become two arrays in one grouping, and the blocker is found with higher-order functions: the
-tracks are dealt by frame once and nothing moves again, whatever the number of egos and fields of view.
+Objects of a frame and ego become two arrays in one grouping, and the blocker is found with higher-order functions before
+the objects are unfolded: the tracks are dealt by frame once and nothing moves again, whatever the number of egos and fields
+of view. Where a frame has many occluders, each object looks only at those of its bin that can be its blocker: in order of
+range, those nearer by corner than all before them. They are few, so crowded frames take time in proportion to their objects.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ def prepared(tracks: DataFrame) -> DataFrame:
     return tracks.withColumns({f"_{axis}{i}": c[axis == "y"] for i, c in enumerate(corners) for axis in "xy"})
 
 
-def with_egos(tracks: DataFrame, egos: DataFrame, sensor: dict[str, float], self_exclude: bool) -> DataFrame:
-    """Objects and egos of a frame, with ranges and relative bearings."""
+def with_egos(tracks: DataFrame, egos: DataFrame, sensor: dict[str, float], self_exclude: bool, by_frame: bool = False) -> DataFrame:
+    """Objects and egos of a frame, with ranges and relative bearings. by_frame: the tracks are stored in buckets of frames."""
     sx, sy = g.sensor_position(F.col("ego_x"), F.col("ego_y"), F.col("ego_h"), sensor["forward_m"], sensor["left_m"])
     poses = egos.withColumns({"_sx": sx, "_sy": sy})
     if "frame_idx" in egos.columns:
@@ -38,9 +40,9 @@ def with_egos(tracks: DataFrame, egos: DataFrame, sensor: dict[str, float], self
         if self_exclude:
             met = met.where(F.col("track_id") != F.col("ego_track_id"))
     else:
-        # a grid is a small table of poses that every frame meets
+        # a grid is a small table of poses that every frame meets; tracks are dealt by frame before they are multiplied
         keys = ["ego_id"]
-        met = tracks.repartition("frame_idx").crossJoin(few(poses.select(*keys, "_sx", "_sy", "ego_h")))
+        met = (tracks if by_frame else tracks.repartition("frame_idx")).crossJoin(few(poses.select(*keys, "_sx", "_sy", "ego_h")))
     dx, dy = F.col("bbox_center_x") - F.col("_sx"), F.col("bbox_center_y") - F.col("_sy")
     corner = [(F.col(f"_x{i}") - F.col("_sx"), F.col(f"_y{i}") - F.col("_sy")) for i in range(4)]
     return met.select(
@@ -70,15 +72,49 @@ def covers(c: Column, b: Column) -> Column:
     return F.when(c["back"], (b >= c["hi"]) | (b <= c["lo"]) | corner).otherwise((b >= c["lo"]) & (b <= c["hi"]))
 
 
-def visibility(tracks: DataFrame, egos: DataFrame, fovs: Sequence[float] = (120.0,), sensor: dict[str, float] | None = None, self_exclude: bool = False, occluders: Sequence[str] = OCCLUDERS, repeats: bool = False) -> DataFrame:
+def before(c: Column, o: Column) -> Column:
+    """Whether an occluder is nearer than an object by centre; equal ranges are ordered by track."""
+    return (c["rng"] < o["rng"]) | ((c["rng"] == o["rng"]) & (c["track_id"] < o["track_id"]))
+
+
+def staircases(occluders: Column, bins: int, sectors: int = 18) -> Column:
+    """For each bin the occluders that cover it, in order of range, that are nearer by corner than all before them.
+
+    The last of them that stands before an object is the object's blocker. Bins are taken by sectors, so that an occluder
+    is tested against the sectors and the bins of those it reaches, not against all bins.
+    """
+    wide = -(-bins // sectors)
+    within = lambda k, low: F.coalesce((k >= low) & (k < low + wide), F.lit(False))
+
+    def reaches(c: Column, low: Column) -> Column:
+        corner = within(c["k0"], low) | within(c["k1"], low) | within(c["k2"], low) | within(c["k3"], low)
+        return F.when(c["back"], (low + wide > c["hi"]) | (low <= c["lo"]) | corner).otherwise((c["lo"] < low + wide) & (c["hi"] >= low))
+
+    def steps(covering: Column, kind: Column) -> Column:
+        return F.aggregate(covering, kind, lambda acc, c: F.when((F.size(acc) == 0) | (c["near"] < F.element_at(acc, -1)["near"]), F.concat(acc, F.array(c))).otherwise(acc))
+
+    def of_sectors(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: steps(F.filter(F.get(parts, F.floor(b / wide).cast("int")), lambda c: covers(c, b)), F.slice(occluders, 1, 0)))
+
+    parts = lambda ordered: F.transform(F.sequence(F.lit(0), F.lit(sectors - 1)), lambda s: F.filter(ordered, lambda c: reaches(c, s * wide)))
+    held = F.transform(F.array(F.array_sort(occluders)), parts)
+    return F.get(F.transform(held, of_sectors), F.lit(0))
+
+
+#: Occluders of a frame from which on bins are prepared.
+CROWD = 96
+
+
+def visibility(tracks: DataFrame, egos: DataFrame, fovs: Sequence[float] = (120.0,), sensor: dict[str, float] | None = None, self_exclude: bool = False, occluders: Sequence[str] = OCCLUDERS, repeats: bool = False, crowd: int = CROWD, by_frame: bool = False) -> DataFrame:
     """Rows per frame, ego, field of view and object, without a limit of range (see `classified`).
 
     Columns: frame_idx, ego keys, fov_deg, track_id, class_name, x, y, height, score, rng, rel, in_fov, blocked,
     blocker_id, blocker_near, blocker_height, blocker_class. Of rows that share a track in a frame the farthest counts, or, with
-    repeats, each one. Equal ranges are ordered by track.
+    repeats, each one. Equal ranges are ordered by track. crowd: occluders of an observation from which on bins are prepared;
+    by_frame: the tracks are stored in buckets of frames (see `sources.layout`), so that nothing is dealt.
     """
     sensor = sensor_with(sensor)
-    rows = with_bins(with_egos(prepared(tracks), egos, sensor, self_exclude), fovs, sensor["bins"])
+    rows = with_bins(with_egos(prepared(tracks), egos, sensor, self_exclude, by_frame), fovs, sensor["bins"])
     keys = [c for c in ("frame_idx", "ego_id", "ego_track_id", "fov_deg") if c in rows.columns]
     o = F.struct("track_id", "class_name", F.col("bbox_center_x").alias("x"), F.col("bbox_center_y").alias("y"), F.col("bbox_dz").alias("height"), "score", "rng", "rel", "in_fov", "cbin")
     c = F.struct("rng", "track_id", "near", "lo", "hi", "k0", "k1", "k2", "k3", "back", F.col("bbox_dz").alias("height"), "class_name")
@@ -86,11 +122,22 @@ def visibility(tracks: DataFrame, egos: DataFrame, fovs: Sequence[float] = (120.
     grouped = rows.groupBy(*keys).agg(F.collect_list(o).alias("os"), F.collect_list(F.when(casts, c)).alias("cs"))
     repeated = F.size(F.array_distinct(F.transform("os", lambda x: x["track_id"]))) < F.size("os")
     farthest = F.filter("os", lambda x: ~F.exists("os", lambda y: (y["track_id"] == x["track_id"]) & (y["rng"] > x["rng"])))
-    opened = grouped.select(*keys, "cs", F.explode(F.col("os") if repeats else F.when(repeated, farthest).otherwise(F.col("os"))).alias("o"))
-    before = lambda x: ((x["rng"] < F.col("o.rng")) | ((x["rng"] == F.col("o.rng")) & (x["track_id"] < F.col("o.track_id")))) & covers(x, F.col("o.cbin"))
+    objects = F.col("os") if repeats else F.when(repeated, farthest).otherwise(F.col("os"))
     order = lambda x: F.struct(x["near"].alias("near"), x["rng"].alias("rng"), x["track_id"].alias("track_id"), x["height"].alias("height"), x["class_name"].alias("class_name"))
-    blocker = F.when(F.col("o.in_fov"), F.array_min(F.transform(F.filter("cs", before), order)))
-    found = opened.select(*keys, "o.*", blocker.alias("b"))
+
+    def with_blocker(blocker_of) -> Column:
+        """Objects with their blockers, for a function from an object to its blocker."""
+        return F.transform(objects, lambda x: F.struct(x.alias("o"), F.when(x["in_fov"], blocker_of(x)).alias("b")))
+
+    def of_all(x: Column) -> Column:
+        return F.array_min(F.transform(F.filter("cs", lambda c: before(c, x) & covers(c, x["cbin"])), order))
+
+    def of_bin(steps: Column) -> Column:
+        return with_blocker(lambda x: F.get(F.transform(F.slice(F.reverse(F.filter(F.get(steps, x["cbin"]), lambda c: before(c, x))), 1, 1), order), F.lit(0)))
+
+    # the steps of all bins are held as the one element of an array, so that they are made once for all objects
+    many = F.get(F.transform(F.array(staircases(F.col("cs"), sensor["bins"])), of_bin), F.lit(0))
+    found = grouped.select(*keys, F.explode(F.when(F.size("cs") > crowd, many).otherwise(with_blocker(of_all))).alias("f")).select(*keys, "f.o.*", "f.b")
     blocked = F.coalesce(F.col("rng") > F.col("b.near") + sensor["margin_m"], F.lit(False))
     out = found.withColumn("blocked", blocked)
     seen = {"blocker_id": "track_id", "blocker_near": "near", "blocker_height": "height", "blocker_class": "class_name"}

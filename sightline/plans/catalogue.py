@@ -11,7 +11,7 @@ from ..functions import geometry
 from ..operators import config as c
 from ..operators import conflicts, egos, frames, observe, proximity, summary, trajectory, whatif
 from ..operators import visibility as vis
-from ..sources import digests
+from ..sources import digests, layout, sinks
 from ..sources.shared import shared_dir
 from . import fixture
 from .oracles import ORACLES  # noqa: F401
@@ -436,3 +436,22 @@ def verified_export(spark, sf_dir):
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda r: F.concat(r["text"], F.lit("\n"))), "")
     wanted = rows.groupBy("lang", "part").agg(F.md5(texts.cast("binary")).alias("expected"))
     return made.join(wanted, ["lang", "part"], "full").select("lang", "part", "size", "md5", F.coalesce(F.col("md5") == F.col("expected"), F.lit(False)).alias("verified"))
+
+
+@query
+def stored_frames(spark, sf_dir):
+    """Observation counts from tracks stored in buckets of frames: no exchange between the scan and the grouping."""
+    path = f"{shared_dir(spark)}/frames"
+    layout.store_frames(fixture.tracks(spark, sf_dir), path, 16)
+    seen_ = vis.classified(vis.visibility(layout.stored_frames(spark, path, 16), egos.grid(spark), by_frame=True))
+    return observe.ratios(observe.counts(seen_)).select("frame_idx", "ego_id", *observe.COUNTS[:5], "visibility_ratio_onboard")
+
+
+@query
+def ordered_record(spark, sf_dir):
+    """The record written in its order and read back: rows by approach, and whether the files' ranges follow one another."""
+    path = f"{shared_dir(spark)}/record"
+    sinks.write_ordered(swept(spark, sf_dir), path, ["frame_idx", "approach", "pos"])
+    back = spark.read.parquet(path)
+    order = sinks.file_ranges(back, ["frame_idx", "approach", "pos"]).agg(F.bool_and("after_the_one_before").alias("in_order"))
+    return back.groupBy("approach").agg(F.count("*").alias("n_obs"), F.sum("n_visible_onboard").alias("n_visible")).crossJoin(F.broadcast(order))

@@ -277,3 +277,5 @@ ORACLES["vertical_list"] = query(
 ORACLES["verified_export"] = """
 SELECT lang, part, strlen(body)::BIGINT AS size, md5(body) AS md5, TRUE AS verified
 FROM (SELECT coalesce(lang, '-') AS lang, doc_id // 1000 AS part, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1, 2) AS files"""
+ORACLES["stored_frames"] = ORACLES["observation_counts"]
+ORACLES["ordered_record"] = query("SELECT approach, count(*) AS n_obs, sum(n_visible_onboard)::BIGINT AS n_visible, TRUE AS in_order FROM o JOIN egos USING (ego_id) GROUP BY 1", *OBS)

@@ -5,13 +5,30 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def write_parquet(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").parquet(path)
 
 
+def write_ordered(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Writes rows in order of the keys: files hold ranges that follow one another, and so do row groups within.
+
+    No task sorts more than its range, and nothing is gathered into one file.
+    """
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def file_ranges(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(file, n, first, last, after_the_one_before) for each file of a stored table, by its rows' keys; one row for each file."""
+    key = F.struct(*keys)
+    per = stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last"))
+    before = F.lag("last").over(Window.orderBy("first", "last"))
+    return per.withColumn("after_the_one_before", F.coalesce(before <= F.col("first"), F.lit(True)))
+
+
 def document(df: DataFrame, most: int = 10_000) -> list[dict]:
     """The rows of a short aggregate as plain values."""
     rows = df.limit(most + 1).collect()

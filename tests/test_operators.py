@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -164,3 +165,90 @@ def test_parameters_and_sizes_are_checked(spark):
     many = spark.range(egos.MOST_POSES + 1).select(F.col("id").alias("ego_id"))
     with pytest.raises(ValueError, match="more than"):
         egos.few(many)
+
+
+def test_frames_split_between_batches(spark, tmp_path):
+    """Rows of a frame come in several files, some too late; what is judged is what a batch over the rows in time gives."""
+    from sightline.operators import observe
+    from sightline.plans import fixture
+
+    rng = random.Random(8)
+    rows = fixture.tracks(spark, "/root/testdata/sf0.001").where("frame_idx < 14").collect()
+    parts = {n: [] for n in range(6)}
+    for r in rows:
+        parts[min(5, r.frame_idx // 3 + rng.randint(0, 1))].append(r)
+    late = [r for r in rows if r.frame_idx == 0 and r.track_id % 4 == 0]
+    parts = {n: [r for r in p if r not in late] + (late if n == 4 else []) for n, p in parts.items()}
+    for n, p in parts.items():
+        spark.createDataFrame(p, tables.TRACKS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    grid, out, kept = egos.grid(spark, positions=2), str(tmp_path / "out"), str(tmp_path / "ck")
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/b={n}")
+    for _ in range(2):  # the second run finds nothing new
+        microbatch.observe_stream(microbatch.read_tracks_stream(spark, str(tmp_path / "in")), grid, write, kept, lateness=4).awaitTermination(120)
+    columns = ["frame_idx", "ego_id", *observe.COUNTS]
+    judged, rest = spark.read.parquet(out).select(*columns), microbatch.flush(spark, grid, kept).select(*columns)
+    in_time = spark.createDataFrame([r for r in rows if r not in late], tables.TRACKS)
+    want = observe.counts(visibility.classified(visibility.visibility(in_time, grid))).select(*columns)
+    got = judged.unionByName(rest)
+    assert got.count() == want.count() == 14 * 8 and got.exceptAll(want).count() == 0 and 0 < rest.count() < 14 * 8
+    assert microbatch.late_rows(spark, kept) == len(late)
+
+
+def test_crowded_frames(spark):
+    """Bins prepared or not, the blockers are the same; 4,000 objects in a frame are judged in some seconds."""
+    rng = random.Random(12)
+    kinds = (("car", 4.5, 1.9, 1.6), ("truck", 8.7, 2.6, 3.3), ("pedestrian", 0.7, 0.7, 1.7))
+
+    def crowd(frame, n, wide):
+        return [(frame, i, k, rng.choice((rng.uniform(-wide, wide), float(rng.randint(-9, 9)))), rng.uniform(-wide, wide), dx, dy, dz, rng.uniform(-3, 3), 1.0) for i in range(n) for k, dx, dy, dz in (rng.choice(kinds),)]
+
+    grid = egos.grid(spark, positions=1)
+    some = tables.tracks(spark.createDataFrame([r for f in range(6) for r in crowd(f, 150, 50)] + crowd(6, 3, 9) + [r for r in crowd(7, 90, 30) for _ in (0, 1)], tables.TRACKS))
+    for k in ({"fovs": (60.0, 120.0, 360.0)}, {"fovs": (360.0,), "repeats": True}):
+        one, other = (visibility.visibility(some, grid, crowd=n, **k) for n in (0, 10**6))
+        assert one.count() == other.count() > 900 and one.exceptAll(other).count() == 0
+        assert one.where("blocked").count() > 300
+    many = tables.tracks(spark.createDataFrame(crowd(0, 4000, 400), tables.TRACKS))
+    began = time.monotonic()
+    assert visibility.visibility(many, grid, (360.0,)).where("blocked").count() > 1000
+    assert time.monotonic() - began < 60
+
+
+def test_pairs_within_the_gate_by_cells(spark):
+    rng = random.Random(9)
+    rows = [(f, t, rng.choice(("car", "truck", "pedestrian")), rng.choice((rng.uniform(-90, 90), 30.0 * rng.randint(-3, 3))), 30.0 * rng.randint(-3, 3), 4.5, 2.0, 1.6, 0.0, 1.0) for f in range(4) for t in range(60)]
+    got = sorted(map(tuple, conflicts.pet_candidates(tables.tracks(spark.createDataFrame(rows, tables.TRACKS))).collect()))
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and a[2] != "pedestrian" and (a[3] - b[3]) ** 2 + (a[4] - b[4]) ** 2 <= 900}
+    assert got == sorted(want) and len(got) > 100
+
+
+def test_stored_frames_are_not_dealt_again(spark, tmp_path):
+    from sightline.operators import observe
+    from sightline.plans import fixture
+    from sightline.sources import layout
+
+    scene, grid = fixture.tracks(spark, "/root/testdata/sf0.001"), egos.grid(spark, positions=2)
+    layout.store_frames(scene, str(tmp_path / "frames"), 3)
+    assert len(list((tmp_path / "frames").glob("part-*"))) == 3
+    stored = layout.stored_frames(spark, str(tmp_path / "frames"), 3)
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    got = observe.counts(visibility.classified(visibility.visibility(stored, grid, by_frame=True)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SelectedBucketsCount: 3 out of 3" in plan
+    want = observe.counts(visibility.classified(visibility.visibility(scene, grid)))
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
+    # one frame is one bucket's
+    assert "SelectedBucketsCount: 1 out of 3" in stored.where("frame_idx = 5").groupBy("frame_idx").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ordered_files_follow_one_another(spark, tmp_path):
+    rng = random.Random(1)
+    df = spark.createDataFrame([(rng.randint(0, 50), rng.choice("abc"), i) for i in range(5000)], "f int, a string, v int").repartition(7)
+    sinks.write_ordered(df, str(tmp_path / "o"), ["f", "a"])
+    back = spark.read.parquet(str(tmp_path / "o"))
+    ranges = sinks.file_ranges(back, ["f", "a"]).collect()
+    assert sum(r.n for r in ranges) == 5000 and all(r.after_the_one_before for r in ranges)
+    df.write.parquet(str(tmp_path / "mixed"))
+    assert not all(r.after_the_one_before for r in sinks.file_ranges(spark.read.parquet(str(tmp_path / "mixed")), ["f", "a"]).collect())

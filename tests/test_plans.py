@@ -2,25 +2,28 @@ import duckdb
 import pandas as pd
 import pytest
 
+from jobs import queries as jobs
 from sightline.plans import catalogue
 
+QUERIES, ORACLES = catalogue.QUERIES | jobs.QUERIES, catalogue.ORACLES | jobs.ORACLES
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF}/events.parquet')")
+    for table in ("events", "documents"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     return con
 
 
 def test_every_query_has_sql():
-    assert catalogue.QUERIES.keys() == catalogue.ORACLES.keys() and len(catalogue.QUERIES) > 60
+    assert QUERIES.keys() == ORACLES.keys() and len(QUERIES) > 60
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_against_sql(spark, duck, name):
-    mine, theirs = catalogue.QUERIES[name](spark, SF).toPandas(), duck.sql(catalogue.ORACLES[name]).df()
+    mine, theirs = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLES[name]).df()
     columns = sorted(mine.columns)
     assert columns == sorted(theirs.columns)
     a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (mine, theirs))
