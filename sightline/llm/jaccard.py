@@ -520,6 +520,69 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text", order_sa
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), *extra)
 
 
+def pairs_of(part: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of a block whose full sets link; where the block holds two parts, one of each."""
+    size = np.array([len(x) for x in sets])
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    edge = np.append(0, np.cumsum(size))
+    apart = bool((part != part[0]).any())
+    there = np.zeros(int(token.max()) + 1, dtype=bool)
+    first, second = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for i in range(len(sets) - 1):
+        there[token[edge[i] : edge[i + 1]]] = True
+        shared = np.add.reduceat(there[token[edge[i + 1] :]], edge[i + 1 : -1] - edge[i + 1], dtype=np.int64)
+        there[token[edge[i] : edge[i + 1]]] = False
+        ok = enough(shared, size[i], size[i + 1 :])
+        if apart:
+            ok &= part[i + 1 :] != part[i]
+        (j,) = np.nonzero(ok)
+        first.append(np.full(len(j), i))
+        second.append(j + i + 1)
+    return np.concatenate(first), np.concatenate(second)
+
+
+def links(documents: DataFrame, key: str = "doc_id", text: str = "text", order_sample: int = 20_000, part: int = 256, tokens: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """All links, between classes of documents with equal sets: (a, b) and (key, class, n_copies, n_links).
+
+    A class is named by its smallest id; a < b are classes whose sets link. A document's n_links counts all other documents that
+    link with it, those of its own class included. Links lie within components, so the nodes of each component meet in blocks,
+    part by part: the work follows the pairs within components, which near copies fill with links. Documents without words or id
+    have no class and no links.
+    """
+    sheltered(documents, key, text)
+    joined = written(join(documents, key, text, order_sample, part, tokens, named=True).where("n_shingles > 0").select(F.col(key).alias("id"), "component_id", "digest"), "joined")
+    rows = _ids(documents, key, text)
+    order, _ = shingle_order(rows, rows.count(), order_sample)
+    _, nodes = distinct_sets(signatures(rows, order, 64))
+    classes = joined.groupBy("digest", "component_id").agg(F.min("id").alias("class"), F.count("*").alias("n_copies"))
+    classes = written(nodes.select("node", "digest", "n").join(classes, "digest"), "classes")
+    facts = classes.groupBy(F.col("component_id").alias("group")).agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.min("node").alias("lo")).where("m > 1")
+    facts = written(facts.withColumn("name", F.xxhash64("group")), "facts", small=True)
+    blocks = dealt(classes.select(F.col("component_id").alias("group"), "node", F.col("node").alias("comp")), facts, part, tokens, True)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def bound(key: int, part: np.ndarray, node: np.ndarray, n: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
+        ok = may_link(node, n, list(bits), part)
+        return pd.DataFrame({"key": key, "part": part[ok], "node": node[ok]})
+
+    def pairs(key: int, part: np.ndarray, node: np.ndarray, hashes: np.ndarray) -> pd.DataFrame:
+        i, j = pairs_of(part, [np.frombuffer(x, dtype=_U) for x in hashes])
+        return pd.DataFrame({"x": node[i], "y": node[j]})
+
+    columns = ["part", "node", "n", "bits"]
+    mapped = blocks.select("key", "part", "node").join(nodes.select("node", "n", "bits").hint("merge"), "node").select("key", *columns).repartition(parts, "key").sortWithinPartitions("key")
+    left = written(mapped.mapInPandas(releasing(lambda x: _by_key(x, columns, bound)), "key long, part long, node long"), "qualified", small=True)
+    sets = left.join(full_sets(left, nodes, rows).hint("merge"), "node").select("key", "part", "node", "hashes").repartition(parts, "key").sortWithinPartitions("key")
+    found = sets.mapInPandas(releasing(lambda x: _by_key(x, ["part", "node", "hashes"], pairs)), "x long, y long")
+    of = lambda end, name: classes.select(F.col("node").alias(end), F.col("class").alias(name), F.col("n_copies").alias(f"n_{name}"))
+    both = written(found.join(of("x", "p"), "x").join(of("y", "q"), "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.when(F.col("p") < F.col("q"), F.col("n_p")).otherwise(F.col("n_q")).alias("n_a"), F.when(F.col("p") < F.col("q"), F.col("n_q")).otherwise(F.col("n_p")).alias("n_b")), "links")
+    sides = both.select(F.col("a").alias("class"), F.col("n_b").alias("n")).unionByName(both.select(F.col("b").alias("class"), F.col("n_a").alias("n")))
+    counts = classes.select(F.hex("digest").alias("name"), "class", "n_copies").join(sides.groupBy("class").agg(F.sum("n").alias("n")), "class", "left")
+    counts = counts.select("name", "class", "n_copies", (F.col("n_copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    named = joined.select("id", F.hex("digest").alias("name"))
+    return both.select("a", "b"), lookup_join(named, counts, "name", heavy_keys(named, "name")).select(F.col("id").alias(key), "class", "n_copies", "n_links")
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -156,3 +156,59 @@ def test_blocks_unite_like_brute_force():
         found = dict(zip(a.tolist(), b.tolist(), strict=True))
         assert found == {c: find(c) for c in parent if find(c) != c}
         assert found
+
+
+def brute_links(rows):
+    """Pairs of rows that link, from all pairs that share a shingle; numbers of links by row."""
+    sets = [(i, s) for i, s in ((i, sets_of([(i, t)])[i]) for i, t in rows) if s]
+    where, pairs = {}, set()
+    for n, (_, s) in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(n)
+    for m in where.values():
+        pairs |= {(a, b) for a in m for b in m if a < b}
+    linked = [(a, b) for a, b in pairs if enough_shared(sets[a][1], sets[b][1])]
+    count = [0] * len(sets)
+    for a, b in linked:
+        count[a] += 1
+        count[b] += 1
+    least = {}
+    for i, s in sets:
+        least[frozenset(s)] = min(i, least.get(frozenset(s), i))
+    between = {tuple(sorted((least[frozenset(sets[a][1])], least[frozenset(sets[b][1])]))) for a, b in linked if sets[a][1] != sets[b][1]}
+    return sorted(between), sorted((i, least[frozenset(s)], count[n]) for n, (i, s) in enumerate(sets))
+
+
+def enough_shared(a, b):
+    return 100 * len(a & b) >= 80 * len(a | b)
+
+
+def test_links_against_brute_force(spark):
+    """Near copies of several texts, at and around the threshold, copies, and a group larger than a part."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows, n = [], 0
+    for size, copies in ((60, 45), (12, 20), (4, 3), (200, 10)):
+        base = [word() for _ in range(size)]
+        for _ in range(copies):
+            text = list(base)
+            last = rng.randint(0, size // 8)
+            text[size - last :] = [word() for _ in range(last)]
+            rows += [(n + k, " ".join(text)) for k in range(rng.choice((1, 1, 3)))]
+            n += 5
+    rows += [(5000, None), (5001, ""), (5002, "one two"), (5003, "ONE two"), (5003, "one two"), (None, "one two"), (5004, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (256, 16):
+        pairs, docs = jaccard.links(df, part=part)
+        want_pairs, want_docs = brute_links([r for r in rows if r[0] is not None])
+        assert sorted(map(tuple, pairs.collect())) == want_pairs and len(want_pairs) > 200
+        assert sorted((r.doc_id, r["class"], r.n_links) for r in docs.collect()) == want_docs
+    pairs, docs = jaccard.links(df.limit(0))
+    assert pairs.count() == docs.count() == 0
+
+
+def test_links_of_the_whole_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pairs, docs = jaccard.links(df)
+    want_pairs, want_docs = brute_links([(r.doc_id, r.text) for r in df.collect()])
+    assert sorted(map(tuple, pairs.collect())) == want_pairs and sorted((r.doc_id, r["class"], r.n_links) for r in docs.collect()) == want_docs
