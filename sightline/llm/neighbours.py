@@ -269,10 +269,13 @@ def search(
         ratio = float(np.quantile([d[t, x].min() for t, x in zip(tried, lists, strict=True)], recall, method="higher")) * (1 + 1e-9)
         width = min(len(centroids), int(1.25 * (d <= ratio).sum(1).max()) + 8)
     place = shelves(centroids, sizes, shelf)
-    held = spark.sparkContext.broadcast((sizes, place))
+    # the sample's k best bound what any other list may add: they are candidates, and lists return what is not worse
+    own = np.array([r.id for r in chosen], dtype=np.int64)
+    once_each = np.unique(own, return_index=True)[1]
+    held = spark.sparkContext.broadcast((sizes, place, own[once_each], sampled[once_each]))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph, (size, at) = shared.value, held.value
+        graph, (size, at, sample_ids, sample_x) = shared.value, held.value
         for b in batches:
             out = []
             for i, v in zip(b["id"], b["v"], strict=True):
@@ -289,10 +292,13 @@ def search(
                             break
                         got += int(size[j])
                         near.append(j)
-                out += [(j, i, v.tobytes()) for j in np.unique(at[near]).tolist()]
-            yield pd.DataFrame(out, columns=["shelf", "query_id", "q"])
+                best, exact = _top(np.where(sample_ids == i, -np.inf, sample_x @ v), sample_x, v, sample_ids, k)
+                least = exact[-1] - 1e-12 * (np.abs(v).sum() * bound**0.5) if len(exact) == k else -np.inf
+                there = np.unique(at[near]).tolist()
+                out += [(j, i, v.tobytes(), least, sample_ids[best] if j == there[0] else [], exact if j == there[0] else []) for j in there]
+            yield pd.DataFrame(out, columns=["shelf", "query_id", "q", "least", "ids", "scores"])
 
-    asked = written(rows.where(queries).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").mapInPandas(probe, "shelf long, query_id long, q binary"), "probes")
+    asked = written(rows.where(queries).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").mapInPandas(probe, "shelf long, query_id long, q binary, least double, ids array<long>, scores array<double>"), "probes")
     there, met = np.bincount(place, sizes).astype(np.int64), np.zeros(int(place.max()) + 1, dtype=np.int64)
     for r in asked.groupBy("shelf").count().collect():
         met[r["shelf"]] = r["count"]
@@ -310,17 +316,18 @@ def search(
             ids = some["id"].to_numpy()
             x = np.frombuffer(b"".join(some["v"]), dtype=np.float64).reshape(len(ids), -1)
             q = np.frombuffer(b"".join(ask["q"]), dtype=np.float64).reshape(len(ask), -1)
-            names = ask["query_id"].to_numpy()
+            names, least = ask["query_id"].to_numpy(), ask["least"].to_numpy()
             for n in range(0, len(q), 128):
-                for i, v, s in zip(names[n : n + 128], q[n : n + 128], q[n : n + 128] @ x.T, strict=True):
-                    at, exact = _top(np.where(ids == i, -np.inf, s), x, v, ids, k)
+                for i, v, s, low in zip(names[n : n + 128], q[n : n + 128], q[n : n + 128] @ x.T, least[n : n + 128], strict=True):
+                    at, exact = _top(np.where((ids == i) | (s < low), -np.inf, s), x, v, ids, k)
                     out.append((np.full(len(at), i), ids[at], exact))
         found = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
     keys = ("shelf", "p", "b")
-    found = left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q").groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q", "least").groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
+    known = asked.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("z")).select("query_id", F.col("z.ids").alias("vec_id"), F.col("z.scores").alias("score"))
+    once = found.unionByName(known).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
