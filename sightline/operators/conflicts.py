@@ -85,22 +85,26 @@ def pet_candidates(tracks: DataFrame, gate_m: float = 30.0, classes: Sequence[st
     return a.join(b, ["frame_idx", "cx", "cy"]).where((F.col("ego_track_id") != F.col("partner_id")) & (dx * dx + dy * dy <= gate_m * gate_m)).select("ego_track_id", "partner_id").distinct()
 
 
-def pet_crossings(tracks: DataFrame, candidates: DataFrame, crossing_m: float = 2.0, first: int = 0, last: int = 0) -> DataFrame:
+#: Points of a track in one cell, and point pairs of two cells, up to which they are paired in full.
+FEW_POINTS, FEW_PAIRS = 64, 4096
+
+
+def pet_crossings(tracks: DataFrame, candidates: DataFrame, crossing_m: float = 2.0, first: int = 0, last: int = 0, few_points: int = FEW_POINTS) -> DataFrame:
     """Where the paths of a pair come closest, whenever each was there: frames of both, distance, time gap.
 
     Points meet by cells as wide as the limit, a cell and its neighbours: points farther apart never do. Of a track's points
-    at one place, only its first frame counts: it is the one that ties prefer, so parked objects are one point.
+    at one place, only its first frame counts: it is the one that ties prefer, so parked objects are one point. Where some
+    cell holds many points of a track, cells are pruned by a running best distance first.
     """
     rows = in_window(tracks, first, last)
-    a = rows.select(F.col("track_id").alias("ego_track_id"), F.col("frame_idx").alias("fa"), F.col("bbox_center_x").alias("ax"), F.col("bbox_center_y").alias("ay"))
-    b = rows.select(F.col("track_id").alias("partner_id"), F.col("frame_idx").alias("fb"), F.col("bbox_center_x").alias("bx"), F.col("bbox_center_y").alias("by"))
-    a = a.groupBy("ego_track_id", "ax", "ay").agg(F.min("fa").alias("fa"))
-    b = b.groupBy("partner_id", "bx", "by").agg(F.min("fb").alias("fb"))
-    cell = lambda c: F.floor(F.col(c) / crossing_m).cast("long")
-    around = lambda c: F.explode(F.array(*(cell(c) + k for k in (-1, 0, 1))))
-    a = candidates.join(a, "ego_track_id").withColumns({"cx": cell("ax"), "cy": cell("ay")})
-    b = b.withColumn("cx", around("bx")).withColumn("cy", around("by"))
-    met = a.join(b, ["partner_id", "cx", "cy"])
+    a = rows.groupBy(F.col("track_id").alias("ego_track_id"), F.col("bbox_center_x").alias("ax"), F.col("bbox_center_y").alias("ay")).agg(F.min("frame_idx").alias("fa"))
+    b = rows.groupBy(F.col("track_id").alias("partner_id"), F.col("bbox_center_x").alias("bx"), F.col("bbox_center_y").alias("by")).agg(F.min("frame_idx").alias("fb"))
+    spots = rows.groupBy("track_id", F.floor(F.col("bbox_center_x") / crossing_m), F.floor(F.col("bbox_center_y") / crossing_m))
+    if spots.agg(F.count("*").alias("n")).where(F.col("n") > few_points).isEmpty():
+        a, b = _in_cells(a, "a", crossing_m), _around(_in_cells(b, "b", crossing_m))
+        met = candidates.join(a, "ego_track_id").join(b, ["partner_id", "cax", "cay"])
+    else:
+        met = _closing_in(a, b, candidates, crossing_m)
     d = g.distance(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
     # points farther apart cannot be the pair's crossing: they go before anything is grouped
     near = met.withColumn("d", d).where(F.col("d") <= crossing_m)
@@ -109,6 +113,52 @@ def pet_crossings(tracks: DataFrame, candidates: DataFrame, crossing_m: float =
     return best.select("ego_track_id", "partner_id", F.col("m.d").alias("crossing_m"), F.col("m.fa").alias("ego_frame"), F.col("m.fb").alias("partner_frame"), gap)
 
 
+def _in_cells(points: DataFrame, p: str, size: float) -> DataFrame:
+    cell = lambda c: F.floor(F.col(c) / size).cast("long")
+    return points.withColumns({f"c{p}x": cell(f"{p}x"), f"c{p}y": cell(f"{p}y")})
+
+
+def _around(cells: DataFrame) -> DataFrame:
+    """Partners' cells, once for each cell of an ego that they touch."""
+    near = lambda c: F.explode(F.array(*(F.col(c) + k for k in (-1, 0, 1))))
+    return cells.withColumn("cax", near("cbx")).withColumn("cay", near("cby"))
+
+
+def _closing_in(a: DataFrame, b: DataFrame, candidates: DataFrame, crossing_m: float, shrink: int = 8, levels: int = 6) -> DataFrame:
+    """Points of both tracks of each pair that may be its closest ones.
+
+    Cells of both tracks meet, each with its number of points and one of them. The least distance between such points bounds the
+    pair's; cells farther apart than that go. What then holds few pairs of points is paired, the rest is cut into cells of an
+    eighth the width, which meet in turn.
+    """
+    size, state, paired = crossing_m, None, []
+    both = ["ego_track_id", "partner_id"]
+    for level in range(levels):
+        cells_a = _in_cells(a, "a", size).groupBy("ego_track_id", "cax", "cay").agg(F.count("*").alias("na"), F.min(F.struct("ax", "ay")).alias("ra"))
+        cells_b = _in_cells(b, "b", size).groupBy("partner_id", "cbx", "cby").agg(F.count("*").alias("nb"), F.min(F.struct("bx", "by")).alias("rb"))
+        if state is None:
+            met = candidates.join(cells_a, "ego_track_id").join(_around(cells_b), ["partner_id", "cax", "cay"])
+        else:
+            up = lambda df, p: df.withColumns({f"u{p}{c}": F.floor(F.col(f"c{p}{c}") / shrink) for c in "xy"})
+            met = state.join(up(cells_a, "a"), ["ego_track_id", "uax", "uay"]).join(up(cells_b, "b"), ["partner_id", "ubx", "uby"])
+        met = written(met.select(*both, "cax", "cay", "cbx", "cby", "na", "nb", g.distance(F.col("ra.ax") - F.col("rb.bx"), F.col("ra.ay") - F.col("rb.by")).alias("d")), "cells")
+        bound = met.groupBy(*both).agg(F.min("d").alias("best"))
+        apart = lambda c: F.greatest(F.abs(F.col(f"ca{c}") - F.col(f"cb{c}")) - 1, F.lit(0)) * size
+        left = met.join(bound, both).where(g.distance(apart("x"), apart("y")) <= F.least("best", F.lit(crossing_m)) * (1 + 1e-9))
+        few = F.col("na") * F.col("nb") <= FEW_PAIRS
+        some = left.where(few) if level < levels - 1 else left
+        points_a, points_b = _in_cells(a, "a", size), _in_cells(b, "b", size)
+        paired.append(some.select(*both, "cax", "cay", "cbx", "cby").join(points_a, ["ego_track_id", "cax", "cay"]).join(points_b, ["partner_id", "cbx", "cby"]).select(*both, "ax", "ay", "fa", "bx", "by", "fb"))
+        state = left.where(~few).select(*both, *(F.col(f"c{p}{c}").alias(f"u{p}{c}") for p in "ab" for c in "xy"))
+        if level == levels - 1 or state.isEmpty():
+            break
+        size /= shrink
+    out = paired[0]
+    for p in paired[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def pet_conflicts(tracks: DataFrame, crossing_m: float = 2.0, pet_s: float = 5.0, gate_m: float = 30.0, first: int = 0, last: int = 0) -> DataFrame:
     """Crossing pairs with a short gap, and the frame with both present and closest: the instant to judge what the ego sees."""
     crossings = pet_crossings(tracks, pet_candidates(tracks, gate_m, first=first, last=last), crossing_m, first, last).where(F.col("pet_s") <= pet_s)

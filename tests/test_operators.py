@@ -1,5 +1,6 @@
 import json
 import random
+import tempfile
 import time
 
 import numpy as np
@@ -252,3 +253,27 @@ def test_ordered_files_follow_one_another(spark, tmp_path):
     assert sum(r.n for r in ranges) == 5000 and all(r.after_the_one_before for r in ranges)
     df.write.parquet(str(tmp_path / "mixed"))
     assert not all(r.after_the_one_before for r in sinks.file_ranges(spark.read.parquet(str(tmp_path / "mixed")), ["f", "a"]).collect())
+
+
+def test_crossings_in_a_crowded_cell(spark):
+    """Objects that jitter about one place: every pair against all distances, and 200,000 points each in some seconds."""
+    rng = np.random.default_rng(6)
+    places = {1: (0.0, 0.0), 2: (0.3, 0.1), 3: (1.9, 0.0), 4: (30.0, 0.0), 5: (-1.2, 1.1)}
+    points = {t: np.array(p) + rng.normal(scale=0.15, size=(900 if t < 5 else 5, 2)) for t, p in places.items()}
+    make = lambda points: spark.createDataFrame([(t, f, float(x), float(y)) for t, xy in points.items() for f, (x, y) in enumerate(xy)], "track_id long, frame_idx long, bbox_center_x double, bbox_center_y double")
+    pairs = spark.createDataFrame([(a, b) for a in places for b in places if a != b], "ego_track_id long, partner_id long")
+    for few in (64, 10**9):
+        got = {(r.ego_track_id, r.partner_id): (r.crossing_m, r.ego_frame, r.partner_frame) for r in conflicts.pet_crossings(make(points), pairs, few_points=few).collect()}
+        for a in places:
+            for b in places:
+                d = np.hypot(*(points[a][:, None] - points[b][None]).transpose(2, 0, 1))
+                i, j = np.unravel_index(d.argmin(), d.shape)
+                if a != b and d[i, j] <= 2:
+                    assert got.pop((a, b)) == (pytest.approx(d[i, j]), i, j)
+        assert not got
+    n = 200_000
+    many = spark.range(2 * n).selectExpr("id % 2 AS track_id", "id AS frame_idx", "randn(1) * 0.2 + (id % 2) * 0.1 AS bbox_center_x", "randn(2) * 0.2 AS bbox_center_y")
+    many.write.parquet(path := tempfile.mkdtemp(prefix="spark-crowd-") + "/p")
+    began = time.monotonic()
+    (r,) = conflicts.pet_crossings(spark.read.parquet(path), spark.createDataFrame([(0, 1)], "ego_track_id long, partner_id long")).collect()
+    assert r.crossing_m < 1e-4 and time.monotonic() - began < 90
