@@ -48,6 +48,13 @@ def ratios(observed: DataFrame) -> DataFrame:
     })
 
 
+def objects_near(tracks: DataFrame, egos: DataFrame, nearby_m: float = NEARBY_M) -> DataFrame:
+    """Adds n_near to the poses of a grid: rows of tracks, of all frames, within a distance of the pose."""
+    there = tracks.select("bbox_center_x", "bbox_center_y").crossJoin(few(egos.select("ego_id", "ego_x", "ego_y")))
+    near = there.where(g.distance(F.col("bbox_center_x") - F.col("ego_x"), F.col("bbox_center_y") - F.col("ego_y")) <= nearby_m).groupBy("ego_id").agg(F.count("*").alias("n_near"))
+    return egos.join(near, "ego_id", "left").na.fill(0, ["n_near"])
+
+
 def by_class(seen: DataFrame) -> DataFrame:
     """(observation, class_name, n_visible, n_total)."""
     return seen.groupBy(*keys_of(seen), "class_name").agg(F.count_if(F.col("visible")).alias("n_visible"), F.count("*").alias("n_total"))

@@ -56,7 +56,7 @@ def swept(spark: SparkSession, sf_dir: str, fovs: Sequence[float] = (120.0,), ra
 
 @query
 def ego_grid(spark, sf_dir):
-    return egos.grid(spark)
+    return observe.objects_near(fixture.tracks(spark, sf_dir), egos.grid(spark))
 
 
 @query

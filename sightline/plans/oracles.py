@@ -179,7 +179,7 @@ def row_level(fov: float) -> str:
 
 
 ORACLES: dict[str, str] = {
-    "ego_grid": f"WITH {egos_cte()} SELECT ego_id::BIGINT AS ego_id, approach, pos::BIGINT AS pos, {r('ego_x', 'ego_y', 'ego_h')} FROM egos",
+    "ego_grid": query(f"SELECT ego_id::BIGINT AS ego_id, approach, pos::BIGINT AS pos, {r('ego_x', 'ego_y', 'ego_h')}, (SELECT count(*) FROM tracks AS t WHERE sqrt((t.bbox_center_x - e.ego_x) * (t.bbox_center_x - e.ego_x) + (t.bbox_center_y - e.ego_y) * (t.bbox_center_y - e.ego_y)) <= 15.0) AS n_near FROM egos AS e", egos_cte()),
     "frame_stride": query("SELECT DISTINCT frame_idx FROM scene", strided_cte(10)),
     "frame_window": query("SELECT frame_idx, count(*) AS n FROM tracks WHERE frame_idx BETWEEN 20 AND 60 GROUP BY 1"),
     "frame_linspace_sample": query("SELECT frame_idx FROM sampled", evenly_cte(50)),
