@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import sheltered, written
+from .common import releasing, sheltered, written
 
 #: Texts with a character outside this set go to the tokenizer as a whole.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\u017f\u2013-\u2026\u20ac]")
@@ -44,7 +44,7 @@ class Encoder:
     in the same places, and the tokenizer is asked once for each different piece; `most` pieces are remembered at a time.
     """
 
-    def __init__(self, path: str, most: int = 1 << 20) -> None:
+    def __init__(self, path: str, most: int = 1 << 19) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -90,6 +90,8 @@ class Encoder:
             marked = pc.replace_substring_regex(marked, pattern, mark)
         pieces = pc.split_pattern(marked, "\x00")
         number = pieces.flatten().dictionary_encode()
+        offsets = pieces.offsets.to_numpy()
+        del marked, pieces
         words = number.dictionary.to_pylist()
         self._learn([w for w in words if w not in self.known], words)
         found = [self.known[w] for w in words]
@@ -98,8 +100,10 @@ class Encoder:
         n = size[at]
         reach = np.append(0, np.cumsum(n))
         first = (np.cumsum(size) - size)[at] - reach[:-1]
-        data = ids[np.repeat(first, n) + np.arange(reach[-1])].tobytes()
-        edge = (4 * reach[pieces.offsets.to_numpy()]).tolist()
+        place = np.repeat(first.astype(np.int32), n)  # fits: ids at hand are fewer than characters
+        place += np.arange(reach[-1], dtype=np.int32)
+        data = ids[place].tobytes()
+        edge = (4 * reach[offsets]).tolist()
         made = {i: data[a:b] for i, a, b in zip(plain, edge[:-1], edge[1:], strict=True)}
         return [made[i] if i in made else self.whole(t) for i, t in enumerate(texts)]
 
@@ -142,11 +146,11 @@ def pieces(documents: DataFrame, tokenizer: str, key: str, text: str, window: in
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def encoded(keys: list, texts: list[str]) -> Iterator[tuple]:
-            """Keys and ids, of about four million characters at a time."""
+            """Keys and ids, of about two million characters at a time."""
             first, size = 0, 0
             for i, t in enumerate(texts):
                 size += len(t)
-                if size >= 1 << 22 or i + 1 == len(texts):
+                if size >= 1 << 21 or i + 1 == len(texts):
                     yield from zip(keys[first : i + 1], encode_some(texts[first : i + 1]), strict=True)
                     first, size = i + 1, 0
 
@@ -166,7 +170,7 @@ def pieces(documents: DataFrame, tokenizer: str, key: str, text: str, window: in
                     out.append((k, i // 4, length, zlib.crc32(part), n, block, rank))
             yield pd.DataFrame(out, columns=["key", "start", "length", "ids_crc32", "doc_tokens", "block", "local_rank"])
 
-    return written(named.mapInPandas(cut, PIECES), "pieces")
+    return written(named.mapInPandas(releasing(cut), PIECES), "pieces")
 
 
 def combinations(window: int, present: np.ndarray, grid: int = 32) -> np.ndarray:
