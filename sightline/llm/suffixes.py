@@ -146,14 +146,32 @@ def shared_keys(rows: DataFrame, length: int, buckets: int) -> DataFrame:
         count = np.diff(np.append(start, len(keys)))
         many = np.repeat(count, count)
         keys, text, many = keys[many > 1], text[many > 1], many[many > 1]
-        order = np.argsort(text, kind="stable")
+        # texts go on by parts of the corpus, many in a row: rows do not multiply with the buckets
+        part = np.array([int.from_bytes(n[:8], "little") % buckets for n in names_once], dtype=np.int64)
+        order = np.lexsort((text, part[text])) if len(text) else text
         keys, text, many = keys[order], text[order], many[order]
-        cut, end = runs(text)
-        return pd.DataFrame({"digest": [names_once[text[s]] for s in cut], "keys": [keys[s:e].tobytes() for s, e in zip(cut, end, strict=True)], "many": [many[s:e].astype(np.int64).tobytes() for s, e in zip(cut, end, strict=True)]})
+        out = []
+        for s, e in zip(*runs(part[text]), strict=True):
+            cut, end = runs(text[s:e])
+            out.append((part[text[s]], b"".join(names_once[t] for t in text[s + cut]), (end - cut).astype(np.int64).tobytes(), keys[s:e].tobytes(), many[s:e].astype(np.int64).tobytes()))
+        return pd.DataFrame(out, columns=["part", "names", "sizes", "keys", "many"])
+
+    def gather(b: pd.DataFrame) -> pd.DataFrame:
+        release()
+        names = [x[i : i + DIGEST] for x in b["names"] for i in range(0, len(x), DIGEST)]
+        known = {n: i for i, n in enumerate(dict.fromkeys(names))}
+        sizes = np.frombuffer(b"".join(b["sizes"]), dtype=np.int64)
+        text = np.repeat(np.array([known[n] for n in names], dtype=np.int64), sizes)
+        keys, many = np.frombuffer(b"".join(b["keys"]), dtype=_U), np.frombuffer(b"".join(b["many"]), dtype=np.int64)
+        order = np.argsort(text, kind="stable")
+        keys, many = keys[order], many[order]
+        cut, end = runs(text[order])
+        return pd.DataFrame({"digest": list(known), "keys": [keys[s:e].tobytes() for s, e in zip(cut, end, strict=True)], "many": [many[s:e].tobytes() for s, e in zip(cut, end, strict=True)]})
 
     posted = rows.select("text").mapInPandas(releasing(post), "bucket long, keys binary, texts binary, names binary")
-    met = posted.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "digest binary, keys binary, many binary")
-    return written(met.groupBy("digest").agg(F.collect_list(F.struct("keys", "many")).alias("found")), "keys")
+    met = posted.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "part long, names binary, sizes binary, keys binary, many binary")
+    whole = met.repartition(buckets, "part").groupBy("part").applyInPandas(gather, "digest binary, keys binary, many binary")
+    return written(whole.select("digest", F.array(F.struct("keys", "many")).alias("found")), "keys")
 
 
 PIECES = "deal long, shard long, docs binary, tags binary, starts binary, sizes binary, keys binary, bytes binary"
