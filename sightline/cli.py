@@ -53,6 +53,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--fov-deg", type=float, default=c.SENSOR["fov_deg"])
     p.add_argument("--range-m", type=float, default=c.SENSOR["range_m"])
     p.add_argument("--region-radius-m", type=float, default=c.REGION_M)
+    p.add_argument("--baseline", help="JSON of a grid's totals by field of view, to stand beside the vehicles")
+    p.add_argument("--baseline-poses", type=int, default=60, help="poses of that grid in a frame")
     p.add_argument("--heading-mode", choices=["yaw", "inward"], default="yaw")
     add("proximity", "bias from egos near real vehicles, from a sweep's records").add_argument("--records", required=True)
     add("traffic", "statistics of trajectories and near misses", near=True).add_argument("--dt", type=float, default=c.FRAME_S)
@@ -135,7 +137,12 @@ def near_misses(spark: SparkSession, a: argparse.Namespace) -> dict:
 def vehicles(spark: SparkSession, a: argparse.Namespace) -> dict:
     seen = observe.vehicle_sweep(tables.read_tracks(spark, a.tracks), a.heading_mode, a.fov_deg, a.range_m)
     sinks.write_parquet(seen, f"{a.out}/vehicle_as_ego.parquet")
-    return {"subsets": sinks.document(summary.vehicle_summary(spark.read.parquet(f"{a.out}/vehicle_as_ego.parquet"), a.region_radius_m).orderBy("subset"))}
+    subsets = summary.vehicle_summary(spark.read.parquet(f"{a.out}/vehicle_as_ego.parquet"), a.region_radius_m)
+    out = {"subsets": sinks.document(subsets.orderBy("subset"))}
+    if a.baseline:
+        grid = results.read_grid_baseline(spark, a.baseline, a.fov_deg, a.baseline_poses)
+        out["comparison"] = sinks.document(summary.design_comparison(grid, subsets, grid["design"]).orderBy("design"))
+    return out
 
 
 def proximity_bias(spark: SparkSession, a: argparse.Namespace) -> dict:

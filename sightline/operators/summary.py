@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .config import APPROACHES, REASONS, REGION_M
@@ -69,10 +69,11 @@ def inbound_share(observed: DataFrame, region_m: float = REGION_M) -> DataFrame:
     return observed.where(F.col("ego_dist_to_center") <= region_m).agg(F.avg(F.col("ego_inbound").cast("double")).alias("inbound_share"))
 
 
-def design_comparison(grid_summary: DataFrame, vehicle_summaries: DataFrame) -> DataFrame:
-    """The grid's row over those of the vehicle designs."""
+def design_comparison(grid_summary: DataFrame, vehicle_summaries: DataFrame, name: Column | None = None) -> DataFrame:
+    """The grid's row, under a name, over those of the vehicle designs."""
     cols = ["n_obs", "int_wide", "nearby", "conflict", "occluded", "out_fov", "out_range", "total"]
-    return grid_summary.select(F.lit("grid").alias("design"), *cols).unionByName(vehicle_summaries.select(F.concat(F.lit("vehicle_"), "subset").alias("design"), *cols))
+    grid = grid_summary.select((F.lit("grid") if name is None else name).alias("design"), *cols)
+    return grid.unionByName(vehicle_summaries.select(F.concat(F.lit("vehicle_"), "subset").alias("design"), *cols))
 
 
 def object_decomposition(observed: DataFrame) -> DataFrame:

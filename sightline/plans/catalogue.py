@@ -11,7 +11,7 @@ from ..functions import geometry
 from ..operators import config as c
 from ..operators import conflicts, egos, frames, observe, proximity, summary, trajectory, whatif
 from ..operators import visibility as vis
-from ..sources import digests, layout, sinks
+from ..sources import digests, layout, results, sinks, tables
 from ..sources.shared import shared_dir
 from . import fixture
 from .oracles import ORACLES  # noqa: F401
@@ -455,3 +455,73 @@ def ordered_record(spark, sf_dir):
     back = spark.read.parquet(path)
     order = sinks.file_ranges(back, ["frame_idx", "approach", "pos"]).agg(F.bool_and("after_the_one_before").alias("in_order"))
     return back.groupBy("approach").agg(F.count("*").alias("n_obs"), F.sum("n_visible_onboard").alias("n_visible")).crossJoin(F.broadcast(order))
+
+
+@query
+def tracks_read(spark, sf_dir):
+    """Tracks written and read back, all columns."""
+    path = f"{shared_dir(spark)}/tracks"
+    sinks.write_parquet(fixture.tracks(spark, sf_dir), path)
+    return tables.read_tracks(spark, path)
+
+
+@query
+def tracks_projected(spark, sf_dir):
+    """Tracks written and read back, three columns: the scan reads no more than those and what makes a row usable."""
+    path = f"{shared_dir(spark)}/tracks"
+    sinks.write_parquet(fixture.tracks(spark, sf_dir), path)
+    return tables.read_tracks(spark, path, ["frame_idx", "track_id", "class_name"])
+
+
+@query
+def near_misses_read(spark, sf_dir):
+    """Near misses written as they come and read back with class names in one spelling."""
+    path = f"{shared_dir(spark)}/near"
+    raw = fixture.near_misses(spark, fixture.tracks(spark, sf_dir), normalize=False)
+    sinks.write_parquet(raw, path)
+    return tables.read_near_misses(spark, path)
+
+
+@query
+def record_read(spark, sf_dir):
+    """The sweep's record written and read back by its schema, per approach and place."""
+    path = f"{shared_dir(spark)}/record"
+    sinks.write_parquet(swept(spark, sf_dir), path)
+    return results.read_records(spark, path).groupBy("approach", "ego_x", "ego_y").agg(F.count("*").alias("n_obs"), F.sum("n_occluded").alias("n_occluded"), F.sum("nm_ego_relevant").alias("nm_ego_relevant"), F.count("class_visibility").alias("n_class_maps"))
+
+
+@query
+def rows_json(spark, sf_dir):
+    """Classes written as an indented JSON array and read back as rows."""
+    path = f"{shared_dir(spark)}/classes.json"
+    sinks.write_json(trajectory.class_summary(fixture.tracks(spark, sf_dir)), path)
+    return tables.read_rows_json(spark, path, "class_name string, n_rows bigint, n_tracks bigint")
+
+
+@query
+def document_json(spark, sf_dir):
+    """Bounds of the record written as a nested JSON document; values read back at key paths, one of which is absent."""
+    path = f"{shared_dir(spark)}/bounds.json"
+    (bounds,) = sinks.document(trajectory.frame_bounds(fixture.tracks(spark, sf_dir)))
+    sinks.write_json({"record": {"bounds": bounds}, "kind": "tracks"}, path)
+    return tables.read_document_json(spark, path, "record.bounds.last_frame", "record.bounds.n_frames", "kind", "record.none")
+
+
+@query
+def first_frames(spark, sf_dir):
+    """The first 20 of every fifth frame."""
+    return frames.strided(fixture.tracks(spark, sf_dir), 5, 20)
+
+
+@query
+def repeated_farthest(spark, sf_dir):
+    """Of rows that share a track in a frame the farthest from the sensor counts."""
+    seen_ = vis.classified(vis.visibility(fixture.repeated(fixture.tracks(spark, sf_dir)), egos.grid(spark)))
+    return seen_.select("frame_idx", "ego_id", "track_id", "rng", "reason", "occluded_by")
+
+
+@query
+def object_spans(spark, sf_dir):
+    """The smallest arc that covers an object's corners, from every pose."""
+    rows = vis.with_egos(vis.prepared(fixture.tracks(spark, sf_dir)), egos.grid(spark), c.SENSOR, False)
+    return rows.withColumn("span", geometry.angular_span(F.array(*(F.col(f"rel{i}") for i in range(4))))).select("frame_idx", "ego_id", "track_id", "span.start", "span.stop")

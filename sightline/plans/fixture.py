@@ -63,10 +63,10 @@ def repeated(scene: DataFrame) -> DataFrame:
     return scene.unionByName(twice)
 
 
-def near_misses(spark: SparkSession, scene: DataFrame) -> DataFrame:
+def near_misses(spark: SparkSession, scene: DataFrame, normalize: bool = True) -> DataFrame:
     from ..sources.tables import near_misses as usable
 
-    return usable(_sql(spark, _NEAR_MISSES, tracks=scene))
+    return usable(_sql(spark, _NEAR_MISSES, tracks=scene), normalize)
 
 
 def _sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:

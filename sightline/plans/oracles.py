@@ -279,3 +279,24 @@ SELECT lang, part, strlen(body)::BIGINT AS size, md5(body) AS md5, TRUE AS verif
 FROM (SELECT coalesce(lang, '-') AS lang, doc_id // 1000 AS part, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1, 2) AS files"""
 ORACLES["stored_frames"] = ORACLES["observation_counts"]
 ORACLES["ordered_record"] = query("SELECT approach, count(*) AS n_obs, sum(n_visible_onboard)::BIGINT AS n_visible, TRUE AS in_order FROM o JOIN egos USING (ego_id) GROUP BY 1", *OBS)
+_TRACK = f"frame_idx, track_id, class_name, {r('bbox_center_x', 'bbox_center_y', 'bbox_dx', 'bbox_dy', 'bbox_dz', 'bbox_yaw', 'score')}"
+ORACLES |= {
+    "tracks_read": query(f"SELECT {_TRACK} FROM tracks"),
+    "tracks_projected": query("SELECT frame_idx, track_id, class_name FROM tracks"),
+    "near_misses_read": query(f"SELECT frame_idx, track_id_a, track_id_b, class_a, class_b, {r('ttc', 'min_separation')} FROM nm"),
+    "record_read": query(f"SELECT approach, {r('ego_x', 'ego_y')}, count(*) AS n_obs, sum(n_occluded)::BIGINT AS n_occluded, sum(coalesce(m.nm_ego_relevant, 0))::BIGINT AS nm_ego_relevant, 0::BIGINT AS n_class_maps FROM o JOIN egos USING (ego_id) LEFT JOIN m USING (frame_idx, ego_id) GROUP BY approach, ego_x, ego_y", *OBS, nm_cte("s", "m")),
+    "rows_json": ORACLES["class_summary"],
+    "document_json": query("SELECT max(frame_idx)::VARCHAR AS record_bounds_last_frame, count(DISTINCT frame_idx)::VARCHAR AS record_bounds_n_frames, 'tracks' AS kind, NULL::VARCHAR AS record_none FROM tracks"),
+    "first_frames": query("SELECT frame_idx FROM (SELECT DISTINCT frame_idx FROM scene) AS f ORDER BY frame_idx LIMIT 20", strided_cte(5)),
+    # as for the list form; then a track's farthest rows
+    "repeated_farthest": query(
+        f"SELECT frame_idx, ego_id::BIGINT AS ego_id, track_id // 2 AS track_id, {r('rng')}, reason, occluded_by // 2 AS occluded_by FROM (SELECT *, max(rng) OVER (PARTITION BY frame_idx, ego_id, track_id // 2) AS farthest FROM s) AS q WHERE rng = farthest",
+        f"listed AS ({REPEATED}), numbered AS (SELECT * REPLACE (track_id * 2 + row_number() OVER (PARTITION BY frame_idx, track_id ORDER BY bbox_center_x) - 1 AS track_id) FROM listed)",
+        egos_cte(), vis_ctes(120.0, "v", scene="numbered"), seen_cte("v", "s"),
+    ),
+    "object_spans": query(
+        "SELECT frame_idx, ego_id::BIGINT AS ego_id, track_id, round(a[i % 4 + 1], 6) AS start, round(a[i], 6) AS stop FROM k", *GRID120[:2],
+        "a AS (SELECT frame_idx, ego_id, track_id, list_sort([rel0, rel1, rel2, rel3]) AS a FROM v_g)",
+        f"k AS (SELECT *, list_position(gaps, list_max(gaps)) AS i FROM (SELECT *, [a[2] - a[1], a[3] - a[2], a[4] - a[3], a[1] + {TWO_PI} - a[4]] AS gaps FROM a) AS q)",
+    ),
+}

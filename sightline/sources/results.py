@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import conform, read_document_json, read_rows_json
@@ -42,3 +43,17 @@ def read_ranges(spark: SparkSession, path: str) -> DataFrame:
 def read_near_miss_rates(spark: SparkSession, path: str) -> DataFrame:
     """One row with the rates and breakdowns of a near-miss summary, by field of view; null where one is missing."""
     return read_document_json(spark, path, *RATES)
+
+
+def read_grid_baseline(spark: SparkSession, path: str, fov_deg: float, poses: int = 60) -> DataFrame:
+    """The grid's row of a comparison with vehicles as egos, from a document with totals by field of view.
+
+    The document: {"configs": {"120": {frames, int_wide, nearby, conflict, occluded, out_fov, out_range, total}, ...}}; a field of
+    view that it has not gives a row of nulls, named so.
+    """
+    means = ("int_wide", "nearby", "conflict", "occluded", "out_fov", "out_range", "total")
+    schema = f"configs map<string, struct<frames: bigint, {', '.join(f'{m}: double' for m in means)}>>"
+    key = f"{fov_deg:g}"
+    found = read_rows_json(spark, path, schema).select(F.try_element_at("configs", F.lit(key)).alias("c"))
+    name = F.when(F.col("c").isNull(), f"grid (no {key} degree baseline)").otherwise("grid")
+    return found.select(name.alias("design"), (F.col("c.frames") * poses).alias("n_obs"), *(F.col(f"c.{m}").alias(m) for m in means))

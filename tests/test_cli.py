@@ -61,6 +61,17 @@ def test_other_analyses(scene, analysis, near):
     assert made and all(made.values())
 
 
+def test_vehicles_beside_a_grid_baseline(scene, tmp_path):
+    totals = {"frames": 84, "int_wide": 0.4, "nearby": 0.5, "conflict": 0.6, "occluded": 3.0, "out_fov": 4.0, "out_range": 0.5, "total": 11}
+    (tmp_path / "grid.json").write_text(json.dumps({"note": "x", "configs": {"120": totals, "360": {}}}))
+    made, _ = run(scene, "vehicles", "--baseline", str(tmp_path / "grid.json"), near=False)
+    rows = {r["design"]: r for r in made["comparison"]}
+    assert set(rows) == {"grid", "vehicle_all", "vehicle_region", "vehicle_region_inbound"}
+    assert rows["grid"]["n_obs"] == 84 * 60 and rows["grid"]["int_wide"] == 0.4 and rows["vehicle_all"]["n_obs"] > 0
+    made, _ = run(scene, "vehicles", "--fov-deg", "90", "--baseline", str(tmp_path / "grid.json"), near=False)
+    assert [r["int_wide"] for r in made["comparison"] if r["design"] == "grid (no 90 degree baseline)"] == [None]
+
+
 def test_tables_for_a_console():
     assert sinks.table_text([{"name": "a", "n": 12, "x": 0.25}, {"name": "long", "n": 3, "x": None}], "t") == "--- t ---\nname   n      x\na     12  0.250\nlong   3      -"
     assert sinks.table_text([]) == "(no rows)"
