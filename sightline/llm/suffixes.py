@@ -404,8 +404,11 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", length:
     return results(rows, spans, key, length, repeated, documents.schema[key].dataType.simpleString())
 
 
-def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, shard_bytes: int = 12 << 20, memory: int = 96 << 20) -> DataFrame:
-    """The documents with kept: the bytes that remain of a text that loses some, else null. Only texts that may lose some move."""
+def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, shard_bytes: int = 8 << 20, memory: int = 64 << 20, whole_characters: bool = False) -> DataFrame:
+    """The documents with kept: the bytes that remain of a text that loses some, else null. Only texts that may lose some move.
+
+    whole_characters: bytes left of a broken character go too.
+    """
     sheltered(documents, key, text)
     rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     spans, _ = repeated_spans(rows, length, shard_bytes, memory)
@@ -418,7 +421,8 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     @F.pandas_udf("binary")
     def left(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_bytes(raw_bytes(t), some)[0] if some is not None else b"" for t, some in zip(texts, spans, strict=True)], dtype=object)
+        kept = [cut_bytes(raw_bytes(t), some)[0] if some is not None else b"" for t, some in zip(texts, spans, strict=True)]
+        return pd.Series([b.decode("utf-8", "ignore").encode() for b in kept] if whole_characters else kept, dtype=object)
 
     own = [f"`{c}`" for c in documents.columns]
     maybe = marked.where("maybe").select(*own, F.col(key).cast("long").alias("_id"), tag(F.unhex(F.sha2(F.col(text).cast("string"), 256))).alias("_tag"))
