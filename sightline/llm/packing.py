@@ -44,7 +44,7 @@ class Encoder:
     in the same places, and the tokenizer is asked once for each different piece; `most` pieces are remembered at a time.
     """
 
-    def __init__(self, path: str, most: int = 1 << 19) -> None:
+    def __init__(self, path: str, most: int = 1 << 20) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -126,16 +126,17 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = 1 << 20) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].most = most
     return _encoders[path]
 
 
 PIECES = "key string, start long, length long, ids_crc32 long, doc_tokens long, block long, local_rank long"
 
 
-def pieces(documents: DataFrame, tokenizer: str, key: str, text: str, window: int, end_id: int) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str, key: str, text: str, window: int, end_id: int, known: int, at_once: int) -> DataFrame:
     """A written table of pieces: each with the number of its partition and its rank there among pieces of its length.
 
     The number is the partition's own, not its task's: a task may run through several partitions.
@@ -146,15 +147,15 @@ def pieces(documents: DataFrame, tokenizer: str, key: str, text: str, window: in
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def encoded(keys: list, texts: list[str]) -> Iterator[tuple]:
-            """Keys and ids, of about two million characters at a time."""
+            """Keys and ids, of about `at_once` characters at a time."""
             first, size = 0, 0
             for i, t in enumerate(texts):
                 size += len(t)
-                if size >= 1 << 21 or i + 1 == len(texts):
+                if size >= at_once or i + 1 == len(texts):
                     yield from zip(keys[first : i + 1], encode_some(texts[first : i + 1]), strict=True)
                     first, size = i + 1, 0
 
-        encode_some = encoder(tokenizer).encode_some
+        encode_some = encoder(tokenizer, known).encode_some
         seen: dict[int, int] = {}
         for batch in batches:
             out = []
@@ -276,11 +277,14 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:
     return np.array(sorted(out), dtype=np.int64).reshape(-1, 5)
 
 
-def pack(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = 2048, end_id: int = 1, grid: int = 32) -> DataFrame:
-    """Per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = 2048, end_id: int = 1, grid: int = 32, known: int = 1 << 20, at_once: int = 1 << 22) -> DataFrame:
+    """Per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    A worker remembers the ids of up to `known` different pieces of text and cuts `at_once` characters together: memory for time.
+    """
     sheltered(documents, key, text)
     kind = documents.schema[key].dataType.simpleString()
-    parts = pieces(documents, tokenizer, key, text, window, end_id)
+    parts = pieces(documents, tokenizer, key, text, window, end_id, known, at_once)
     per_block = parts.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = per_block.select("length", "block", F.coalesce(before, F.lit(0)).alias("before"))
