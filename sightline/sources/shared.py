@@ -31,12 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def in_waves(df: DataFrame, waves: int = 8) -> DataFrame:
-    """df in at most so many partitions for each core of the cluster, or an eighth of the shuffle partitions where that is more.
+    """df in at most so many partitions for each core of the cluster, or, where that is more, an eighth of the shuffle partitions at eight waves.
 
-    Whoever runs a cluster sets shuffle partitions by bytes; so no task gathers more than eight of those.
+    Whoever runs a cluster sets shuffle partitions by bytes; so no task gathers more than eight of those, and with fewer waves,
+    for rows of a few numbers, more of them in proportion.
     """
     spark = df.sparkSession
-    return df.coalesce(max(waves * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    return df.coalesce(max(waves * spark.sparkContext.defaultParallelism, waves * int(spark.conf.get("spark.sql.shuffle.partitions")) // 64))
 
 
 def written(df: DataFrame, name: str = "table", small: bool = False) -> DataFrame:
