@@ -35,11 +35,15 @@ def sheltered(df: DataFrame, *used: str) -> None:
     missing = [c for c in used if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; the table has {df.columns}")
-    conf = df.sparkSession.conf
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        now = int(conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB"))
+    bounded(df.sparkSession, BATCH_ROWS, BATCH_BYTES)
+
+
+def bounded(spark: SparkSession, rows: int, size: int) -> None:
+    """Lowers what goes to Python at once to so many rows and bytes, where it is more."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB"))
         if not 0 < now <= most:
-            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
