@@ -12,16 +12,22 @@ from ..functions import geometry as g
 from .config import CLEARANCES, OCCLUDERS, PROXIMITY_EDGES, sensor_with
 
 
+def vehicles_of(tracks: DataFrame, classes: Sequence[str] = OCCLUDERS) -> DataFrame:
+    """(frame_idx, _v): a frame's vehicles as one array."""
+    return tracks.where(F.col("class_name").isin(*classes)).groupBy("frame_idx").agg(F.collect_list(F.struct(F.col("bbox_center_x").alias("x"), F.col("bbox_center_y").alias("y"))).alias("_v"))
+
+
 def nearest_vehicle(observations: DataFrame, tracks: DataFrame, sensor: dict[str, float] | None = None, classes: Sequence[str] = OCCLUDERS) -> DataFrame:
     """Adds d_sensor and d_center, distances to the nearest vehicle's centre; null in frames without a vehicle.
 
     observations: frame_idx, ego_x, ego_y, ego_heading_deg. A frame's vehicles become one array, so that observations
-    are not multiplied by them.
+    are not multiplied by them; where observations have brought it along (see `vehicles_of`), nothing is joined.
     """
     sensor = sensor_with(sensor)
-    v = tracks.where(F.col("class_name").isin(*classes)).groupBy("frame_idx").agg(F.collect_list(F.struct(F.col("bbox_center_x").alias("x"), F.col("bbox_center_y").alias("y"))).alias("_v"))
     sx, sy = g.sensor_position(F.col("ego_x"), F.col("ego_y"), F.radians("ego_heading_deg"), sensor["forward_m"], sensor["left_m"])
-    met = observations.withColumns({"_sx": sx, "_sy": sy}).join(v, "frame_idx", "left")
+    met = observations.withColumns({"_sx": sx, "_sy": sy})
+    if "_v" not in observations.columns:
+        met = met.join(vehicles_of(tracks, classes), "frame_idx", "left")
     near = lambda x, y: F.array_min(F.transform("_v", lambda p: g.distance(F.col(x) - p["x"], F.col(y) - p["y"])))
     return met.withColumns({"d_sensor": near("_sx", "_sy"), "d_center": near("ego_x", "ego_y")}).drop("_v", "_sx", "_sy")
 
