@@ -51,15 +51,27 @@ def scores_of_views(seen: DataFrame, fovs: tuple[float, float] = (120.0, 360.0))
     return seen.groupBy("frame_idx", "ego_id", "track_id").agg(F.first("score").alias("score"), *views)
 
 
+def _counted(views: DataFrame) -> DataFrame:
+    """Views with n, the poses of a row, and the numbers of them that see it: rows of one pose each are given it."""
+    return views if "n" in views.columns else views.withColumns({"n": F.lit(1).cast("long"), **{v: F.col(v).cast("long") for v in ("v120", "v360")}})
+
+
+def _share(part: Column) -> Column:
+    return F.try_divide(F.sum(part).cast("double"), F.sum("n").cast("double"))
+
+
 def confidence_curve(views: DataFrame, taus: Sequence[float] = CONFIDENCES) -> DataFrame:
-    """Per threshold: share of objects seen with enough confidence, at both fields of view and by infrastructure alone."""
-    rows = views.withColumn("tau", F.explode(_list(taus)))
-    sure = F.coalesce(F.col("score") >= F.col("tau"), F.lit(False))
-    return rows.groupBy("tau").agg(*(F.avg(c.cast("double")).alias(n) for n, c in (("fov_120", F.col("v120") & sure), ("fov_360", F.col("v360") & sure), ("v2i", sure))))
+    """Per threshold: share of objects seen with enough confidence, at both fields of view and by infrastructure alone.
+
+    views: rows of `visibility.rows_of_views` or counts of `visibility.times_seen`; so below.
+    """
+    rows = _counted(views).withColumn("tau", F.explode(_list(taus)))
+    sure = lambda c: F.when(F.col("score") >= F.col("tau"), F.col(c)).otherwise(0)
+    return rows.groupBy("tau").agg(*(_share(sure(c)).alias(n) for n, c in (("fov_120", "v120"), ("fov_360", "v360"), ("v2i", "n"))))
 
 
 def ungated(views: DataFrame) -> DataFrame:
-    return views.agg(F.count("*").alias("n"), F.avg(F.col("v120").cast("double")).alias("fov_120"), F.avg(F.col("v360").cast("double")).alias("fov_360"))
+    return _counted(views).agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"), _share(F.col("v120")).alias("fov_120"), _share(F.col("v360")).alias("fov_360"))
 
 
 def confidence_grid(views: DataFrame, taus: Sequence[float] = CONFIDENCES) -> DataFrame:
@@ -69,12 +81,12 @@ def confidence_grid(views: DataFrame, taus: Sequence[float] = CONFIDENCES) -> Da
     crossed with the grid, not the rows.
     """
     reach = F.coalesce(F.size(F.filter(_list(taus), lambda t: t <= F.col("score"))), F.lit(0))
-    cells = views.groupBy("v360", reach.alias("reach")).agg(F.count("*").alias("n"))
+    cells = _counted(views).groupBy(reach.alias("reach")).agg(F.sum("v360").alias("seen"), F.sum("n").alias("n"))
     step = F.explode(F.sequence(F.lit(1), F.lit(len(taus))))
     grid = cells.withColumn("i", step).withColumn("j", step)
-    on = (F.col("v360") & (F.col("reach") >= F.col("i"))) | (F.col("reach") >= F.col("j"))
+    on = F.when(F.col("reach") >= F.col("j"), F.col("n")).when(F.col("reach") >= F.col("i"), F.col("seen")).otherwise(0)
     value = lambda k: F.element_at(_list(taus), F.col(k))
-    return grid.groupBy("i", "j").agg((F.sum(F.when(on, F.col("n")).otherwise(0)) / F.sum("n")).alias("cooperative")).select(value("i").alias("tau_av"), value("j").alias("tau_rsu"), "cooperative")
+    return grid.groupBy("i", "j").agg((F.sum(on) / F.sum("n")).alias("cooperative")).select(value("i").alias("tau_av"), value("j").alias("tau_rsu"), "cooperative")
 
 
 def _blocker_class() -> Column:

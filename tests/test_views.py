@@ -55,3 +55,15 @@ def test_pairs_and_steps_agree_with_functions(spark):
         assert one.count() == other.count() == stored.count() and one.exceptAll(other).count() == 0
         rounded = [x.select(*(F.round(c, 9).alias(c) if t == "double" else c for c, t in x.dtypes)) for x in (other, stored)]
         assert rounded[0].exceptAll(rounded[1]).count() == 0
+
+
+def test_poses_that_see_a_track_are_counted_in_its_frame(spark):
+    given = (fixture.repeated(fixture.tracks(spark, SF)), egos.grid(spark), (120.0, 360.0), ("v120", "v360"))
+    rows = vis.rows_of_views(*given, once=True)
+    summed = {(r.frame_idx, r.track_id): (r.n, r.a, r.b) for r in rows.groupBy("frame_idx", "track_id").agg(F.count("*").alias("n"), F.count_if("v120").alias("a"), F.count_if("v360").alias("b")).collect()}
+    for crowd in (vis.CROWD, 4):
+        counted = vis.times_seen(*given, crowd=crowd)
+        got = counted.collect()
+        assert {(r.frame_idx, r.track_id): (r.n, r.v120, r.v360) for r in got} == summed and len(got) == len(summed)
+    for f in (whatif.ungated, whatif.confidence_curve, whatif.confidence_grid):
+        assert sorted(f(counted).collect()) == sorted(f(rows).collect())
