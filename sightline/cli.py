@@ -88,8 +88,8 @@ def _sampled(spark: SparkSession, a: argparse.Namespace, fovs: Sequence[float])
     return vis.classified(vis.visibility(rows, egos.grid(spark), fovs))
 
 
-def _records(spark: SparkSession, a: argparse.Namespace, fovs: Sequence[float], ranges: Sequence[float], classes: bool = False) -> DataFrame:
-    return observe.sweep(_chosen(spark, a), tables.read_near_misses(spark, a.near_misses), egos.grid(spark, positions=a.n_ego_per_approach), fovs, ranges, classes=classes)
+def _records(spark: SparkSession, a: argparse.Namespace, fovs: Sequence[float], ranges: Sequence[float], classes: bool = False, in_order: bool = False) -> DataFrame:
+    return observe.sweep(_chosen(spark, a), tables.read_near_misses(spark, a.near_misses), egos.grid(spark, positions=a.n_ego_per_approach), fovs, ranges, classes=classes, in_order=in_order)
 
 
 def _by(df: DataFrame, key: str) -> dict:
@@ -97,8 +97,8 @@ def _by(df: DataFrame, key: str) -> dict:
 
 
 def sweep(spark: SparkSession, a: argparse.Namespace) -> dict:
-    record = _records(spark, a, [a.fov_deg], [a.range_m], classes=True).withColumn("class_visibility", observe.class_json(F.col("class_visibility")))
-    sinks.write_ordered(record.select(*(f.name for f in results.RECORD)), f"{a.out}/ego_sweep_results.parquet", ["frame_idx", "approach", "pos"])
+    record = _records(spark, a, [a.fov_deg], [a.range_m], classes=True, in_order=True).withColumn("class_visibility", observe.class_json(F.col("class_visibility")))
+    sinks.write_ordered(record.select(*(f.name for f in results.RECORD)), f"{a.out}/ego_sweep_results.parquet", ["frame_idx", "approach", "pos"], dealt=True)
     made = spark.read.parquet(f"{a.out}/ego_sweep_results.parquet")
     (whole,), (near,) = sinks.document(summary.sweep_summary(made)), sinks.document(summary.detectability(made))
     rates = {n: near[n] for n in ("both_visible_rate", "at_least_one_visible_rate", "ego_relevant_awareness_rate")} if near["nm_total"] else {}

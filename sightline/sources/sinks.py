@@ -13,12 +13,13 @@ def write_parquet(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").parquet(path)
 
 
-def write_ordered(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+def write_ordered(df: DataFrame, path: str, keys: Sequence[str], dealt: bool = False) -> None:
     """Writes rows in order of the keys: files hold ranges that follow one another, and so do row groups within.
 
-    No task sorts more than its range, and nothing is gathered into one file.
+    No task sorts more than its range, and nothing is gathered into one file. dealt: partitions are ranges of the first key already
+    (`observe.sweep` with in_order), so rows do not move, and are not computed a second time for a sample of their keys.
     """
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    (df if dealt else df.repartitionByRange(*keys)).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
 def file_ranges(stored: DataFrame, keys: Sequence[str]) -> DataFrame:

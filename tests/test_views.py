@@ -67,3 +67,33 @@ def test_poses_that_see_a_track_are_counted_in_its_frame(spark):
         assert {(r.frame_idx, r.track_id): (r.n, r.v120, r.v360) for r in got} == summed and len(got) == len(summed)
     for f in (whatif.ungated, whatif.confidence_curve, whatif.confidence_grid):
         assert sorted(f(counted).collect()) == sorted(f(rows).collect())
+
+
+def exchanges(df):
+    plan = plan_of(df)
+    return [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+
+
+def test_record_in_order_is_dealt_once_by_ranges(spark):
+    record = observe.ordered(observe.sweep(fixture.tracks(spark, SF), spark.createDataFrame([(3, 1, 2)], "frame_idx long, track_id_a long, track_id_b long"), egos.grid(spark), in_order=True), dealt=True)
+    ranges = [line for line in exchanges(record) if "rangepartitioning" in line]
+    assert len(ranges) == 1 and "REPARTITION" in ranges[0] and plan_of(record).count("+- ArrowEvalPython") == 1
+    got = [tuple(r) for r in record.select("frame_idx", "approach", "pos").collect()]
+    assert got == sorted(got) and len(set(got)) == 84 * 60
+
+
+def test_near_misses_are_counted_in_the_frames_task(spark):
+    tracks = fixture.repeated(fixture.tracks(spark, SF))
+    near = fixture.near_misses(spark, tracks).select("frame_idx", "track_id_a", "track_id_b")
+    some = near.limit(1).select("frame_idx", F.lit(10**9).alias("track_id_a"), "track_id_b")
+    near = near.unionByName(near.where("track_id_a % 2 = 0")).unionByName(some)
+    grid, fovs, keys = egos.grid(spark, positions=4), (120.0, 360.0), ("frame_idx", "ego_x", "ego_y", "fov_deg", "range_m")
+    seen = vis.in_ranges(vis.visibility(tracks, grid, fovs), (20.0, 50.0))
+    want = observe.near_miss_counts(seen, near).join(F.broadcast(grid), "ego_id").select(*keys, *observe.NEAR_MISS_COUNTS)
+    for in_order in (False, True):
+        for classes in (False, True):
+            swept = observe.sweep(tracks, near, grid, fovs, (20.0, 50.0), classes=classes, in_order=in_order)
+            assert swept.count() == 84 * 16 * 4
+            got = swept.where("nm_total > 0").select(*keys, *observe.NEAR_MISS_COUNTS)
+            assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+    assert "os:" not in plan_of(observe.sweep(tracks, near, grid, classes=False))
