@@ -97,3 +97,20 @@ def test_near_misses_are_counted_in_the_frames_task(spark):
             got = swept.where("nm_total > 0").select(*keys, *observe.NEAR_MISS_COUNTS)
             assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
     assert "os:" not in plan_of(observe.sweep(tracks, near, grid, classes=False))
+
+
+def test_each_occluder_is_held_against_all_objects_of_an_observation():
+    import numpy as np
+
+    from sightline.operators import blockers
+
+    rng, n, rows = np.random.default_rng(4), 7, 200
+    far, near = rng.integers(1, 6, (rows, n)) * 1.0, rng.integers(1, 4, (rows, n)) * 1.0
+    lo = rng.integers(0, 8, (rows, n)).astype(np.int16)
+    hi, cbin, casts = (lo + rng.integers(0, 8, (rows, n))).astype(np.int16), rng.integers(-1, 12, (rows, n)).astype(np.int16), rng.random((rows, n)) < 0.7
+    before = far.T[:, None] < far.T[None]
+    got = blockers.by_pairs(before, far, near, cbin, [lo, hi], lo, hi, np.zeros((rows, n), dtype=bool), casts)
+    for r in range(rows):
+        for o in range(n):
+            those = [(near[r, c], far[r, c], c) for c in range(n) if casts[r, c] and far[r, c] < far[r, o] and lo[r, c] <= cbin[r, o] <= hi[r, c]]
+            assert got[r, o] == (min(those)[2] if those else -1)
