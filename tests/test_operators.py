@@ -277,3 +277,20 @@ def test_crossings_in_a_crowded_cell(spark):
     began = time.monotonic()
     (r,) = conflicts.pet_crossings(spark.read.parquet(path), spark.createDataFrame([(0, 1)], "ego_track_id long, partner_id long")).collect()
     assert r.crossing_m < 1e-4 and time.monotonic() - began < 90
+
+
+def test_short_paths_cross_as_arrays_and_move_once_for_each_pair(spark):
+    rng = random.Random(3)
+    points = [(f, t, float(rng.randrange(12)), float(rng.randrange(12)) / 2) for t in range(8) for f in range(rng.choice((1, 3, 9, 20)))]
+    df = spark.createDataFrame(points, "frame_idx long, track_id long, bbox_center_x double, bbox_center_y double")
+    pairs = spark.createDataFrame([(a, b) for a in range(8) for b in range(9) if a != b], "ego_track_id long, partner_id long")
+    want = {}
+    for a, b in ((a, b) for a in range(8) for b in range(8) if a != b):
+        least = min((((p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2) ** 0.5, p[0], q[0]) for p in points if p[1] == a for q in points if q[1] == b)
+        want |= {(a, b): least} if least[0] <= 2.0 else {}
+    for few in (64, 9, 2):
+        made = conflicts.pet_crossings(df, pairs, few_points=few)
+        got = {(r.ego_track_id, r.partner_id): (r.crossing_m, r.ego_frame, r.partner_frame) for r in made.collect()}
+        assert got.keys() == want.keys() and all(got[k][1:] == want[k][1:] and abs(got[k][0] - want[k][0]) < 1e-12 for k in want)
+    plan = conflicts.pet_crossings(df, pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "cax" not in plan
