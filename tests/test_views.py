@@ -114,3 +114,28 @@ def test_each_occluder_is_held_against_all_objects_of_an_observation():
         for o in range(n):
             those = [(near[r, c], far[r, c], c) for c in range(n) if casts[r, c] and far[r, c] < far[r, o] and lo[r, c] <= cbin[r, o] <= hi[r, c]]
             assert got[r, o] == (min(those)[2] if those else -1)
+
+
+def test_values_of_the_c_library_come_without_a_call_for_each():
+    import math
+
+    import numpy as np
+
+    from sightline.operators import blockers
+
+    calls = []
+
+    def atan2(y, x):
+        calls.append(1)
+        return math.atan2(y, x)
+
+    def off(y, x):
+        return np.nextafter(np.arctan2(y, x), np.inf)
+
+    off.nin = 2
+    y, x = np.random.default_rng(3).normal(size=(2, 40, 50)) * 20.0
+    found, probed = blockers.as_in_c(off, atan2), len(calls)
+    got = found(y, x)
+    assert len(calls) == probed and got.shape == y.shape
+    assert got.ravel().tolist() == [math.atan2(*p) for p in zip(y.ravel().tolist(), x.ravel().tolist(), strict=True)]
+    assert np.isnan(found(np.array([np.nan]), np.array([1.0]))).all()
